@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import packing, quality_rules, suffix_dedup, toxicity, warc
+from tidemark.llm import packing, pii, quality_rules, suffix_dedup, toxicity, warc
 from tidemark.llm.common import crc_fold
 
 
@@ -14,6 +14,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("spark.tidemark.pii.key", pii.KEY)
+    return pii.pseudonymise(_docs(spark, sf_dir), key).select("doc_id", "text", "n_private", "private_kinds")
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
