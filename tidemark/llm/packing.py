@@ -8,6 +8,7 @@ fan-in times the open windows.
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import cache
 
@@ -31,6 +32,7 @@ class WordTokens:
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only spin
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.clear()
 
@@ -41,14 +43,18 @@ class WordTokens:
     def _learn(self, words: list[str]) -> None:
         for lo in range(0, len(words), 4096):
             some = words[lo : lo + 4096]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            flat = np.fromiter((i for x in found for i in x), np.uint32)
+            whole = self.tokenizer.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0]
+            if None in (of := whole.word_ids):  # a special token's string in the text
+                found = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                flat, sizes = np.fromiter((i for x in found for i in x), np.uint32), np.fromiter(map(len, found), np.int64)
+            else:
+                flat, sizes = np.array(whole.ids, np.uint32), np.bincount(np.array(of, np.int64), minlength=len(some))
             while self.filled + len(some) + 1 > len(self.starts):
                 self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.used : self.used + len(flat)] = flat
-            ends = self.used + np.cumsum([len(x) for x in found])
+            ends = self.used + np.cumsum(sizes)
             self.starts[self.filled + 1 : self.filled + 1 + len(some)] = ends
             self.index.update(zip(some, range(self.filled, self.filled + len(some))))
             self.used, self.filled = int(ends[-1]), self.filled + len(some)
