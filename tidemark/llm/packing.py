@@ -29,7 +29,7 @@ class WordTokens:
     """ids of texts by a word-wise tokenizer: its pieces never cross ASCII white space, so each distinct word is
     encoded once and kept. The cache is emptied when it holds ``most`` words; that bounds memory, not results."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only spin

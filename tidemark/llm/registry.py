@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import packing, pii, quality_rules, suffix_dedup, toxicity, warc
+from tidemark.llm import packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, warc
 from tidemark.llm.common import crc_fold
 
 
@@ -43,6 +43,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_docs(spark, sf_dir))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    scored = quality_classifier.classify(docs, quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", (crc_fold() == 0).alias("held_out"), "score", "predicted", "evidence", "host_prior", "path_prior")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return warc.read_warc(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "block_ok")
