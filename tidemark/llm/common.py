@@ -47,6 +47,22 @@ def text_of(df: DataFrame, column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def key_bits(keys: DataFrame, *columns: str, slots: int = 1 << 26) -> DataFrame:
+    """Which of ``slots`` hash slots the keys fall into, as bitmaps of 32,768 bits: at most slots / 8 bytes (8 MB) in
+    2,048 rows for any number of keys, so it may be broadcast. Several keys can share a slot."""
+    at = F.pmod(F.xxhash64(*columns), F.lit(slots)) + 1
+    return written(keys.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")), "bits")
+
+
+def maybe_in(df: DataFrame, bits: DataFrame, *columns: str, slots: int = 1 << 26, negate: bool = False) -> DataFrame:
+    """The rows of ``df`` that may have one of the keys, or with ``negate`` those that surely haven't."""
+    at = F.pmod(F.xxhash64(*columns), F.lit(slots)) + 1
+    b = F.broadcast(bits.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits")))
+    j = df.withColumn("__at", at).join(b, F.expr("bitmap_bucket_number(__at)") == F.col("__bucket"), "left")
+    hit = F.expr("coalesce(shiftright(cast(conv(hex(substring(__bits, cast(bitmap_bit_position(__at) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(__at) % 8 as int)) & 1, 0) = 1")
+    return j.where(~hit if negate else hit).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xD6E8FEB86659FD93)
 
