@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import jaccard_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, warc
+from tidemark.llm import embedding_dedup, jaccard_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, warc
 from tidemark.llm.common import crc_fold
 
 
@@ -19,6 +19,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_docs(spark, sf_dir), key).select("doc_id", "text", "n_private", "private_kinds")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
