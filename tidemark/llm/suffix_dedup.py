@@ -1,17 +1,21 @@
 """Repeated substrings by a distributed sparse suffix array.
 
-Every ``length``-byte window of a text picks one suffix: the start, among its first length - GRAM + 1 positions, with
-the least hash of the GRAM bytes that follow. Equal windows pick equal suffixes, so only picked suffixes are sorted
-(about one in 68 bytes). Their leading token is the code of those GRAM bytes, the next one the code of all that their
+Every ``length``-byte window of a text picks one suffix: the start, among its first length - GRAMS[0] + 1 positions, with
+the least hash of the GRAMS[0] bytes that follow. Equal windows pick equal suffixes, so only picked suffixes are sorted
+(about one in 68 bytes). Their leading token is the code of those bytes, the next one the code of all that their
 windows cover (the suffix's context).
 
 1. Sampled splitters range-partition the suffixes by their leading tokens; a hash of the row comes last, so a passage
    that a third of all documents hold spreads over buckets. Each bucket is sorted by multikey quicksort. A context
    next to an equal one is a repeat as a whole. A suffix whose leading token meets other contexts, or that stands at
    a bucket's edge, goes on; all others have no equal window anywhere.
-2. Of what goes on, one suffix per distinct context and bucket is opened into its windows; these are range-partitioned
-   by their own tokens and sorted in the same way, and the ends of neighbouring buckets are compared by a grouped
-   count over two rows a bucket.
+2. Of what goes on, one suffix per distinct context and bucket is opened: its windows pick suffixes anew, by GRAMS[1]
+   bytes, which are compared in the same way, so that little is left around the places where copies differ.
+3. What goes on from there is opened into single windows; these are range-partitioned by their own tokens and sorted
+   in the same way, and the ends of neighbouring buckets are compared by a grouped count over two rows a bucket.
+
+Texts are only shuffled for the documents that steps 2 and 3 or the removal need. A bitmap of fixed size tells which
+may be among them; a false alarm costs a text's shuffle and changes nothing.
 
 Codes are 64 bits each and two are compared, so different windows count as equal with a chance near 2**-100.
 """
@@ -26,9 +30,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import mix64, written
+from tidemark.llm.common import key_bits, maybe_in, mix64, written
 
-GRAM = 64
+GRAMS = (64, 150)
 SUFFIXES = "lead long, context long, doc_id long, crc long, at long"
 FOUND = "kind int, lead long, context long, doc_id long, crc long, at long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -58,11 +62,11 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - w)], x[width - w :]) if w < width else x
 
 
-def picked(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def picked(buf: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(document, lead code, first window, last window) of the picked suffixes of texts laid end to end."""
     if len(buf) < length:
         return (np.zeros(0, np.int64),) * 4
-    g = min(GRAM, length)
+    g = min(gram, length)
     h = codes(buf, g)
     mask = (np.uint64(1) << _POS) - np.uint64(1)
     at = (_window_min(h & ~mask | np.arange(len(h), dtype=np.uint64), length - g + 1) & mask).astype(np.int64)
@@ -123,13 +127,13 @@ def _pick(length: int):
             joined = b"".join(r[-1] for r in rows)
             starts = np.cumsum([0] + [len(r[-1]) for r in rows[:-1]])
             # an empty text shares its start with the next: searchsorted(right) then names the last of them
-            doc, lead, lo, hi = picked(np.frombuffer(joined, np.uint8), starts, length)
+            doc, lead, lo, hi = picked(np.frombuffer(joined, np.uint8), starts, length, GRAMS[0])
             view = memoryview(joined)
             blake = hashlib.blake2b
             context = np.frombuffer(b"".join([blake(view[a : z + length], digest_size=8).digest() for a, z in zip(lo.tolist(), hi.tolist())]), "<i8")
             ids = pa.array([r[0] for r in rows], pa.int64()).take(pa.array(doc))
             crc = np.array([r[1] for r in rows], np.int64)[doc]
-            at = (lo - starts[doc]) << 16 | (hi - lo)
+            at = (lo - starts[doc]) << 17 | (hi - lo) << 1
             yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64)), pa.array(context), ids, pa.array(crc), pa.array(at)], names=["lead", "context", "doc_id", "crc", "at"])
 
     return pick
@@ -154,12 +158,12 @@ def _compare(batches):
     t = _bucket(batches)
     if t is None:
         return
-    lead, context = (t.column(k).to_numpy() for k in ("lead", "context"))
+    lead, context, at = (t.column(k).to_numpy() for k in ("lead", "context", "at"))
     order = multikey_order([lead, context])
-    lead, context = lead[order], context[order]
+    lead, context, at = lead[order], context[order], at[order]
     by_lead, by_both = _runs(lead), _runs(lead, context)
     size = np.diff(by_both)
-    repeat = np.repeat(size > 1, size)
+    repeat = np.repeat((size > 1) | (np.maximum.reduceat(at & 1, by_both[:-1]) > 0), size)
     # leading tokens with several contexts, and those at the bucket's edges
     run = np.repeat(np.arange(len(by_lead) - 1), np.diff(by_lead))
     mixed = np.diff(np.searchsorted(by_both[:-1], by_lead)) > 1
@@ -173,22 +177,42 @@ def _compare(batches):
     yield from pa.table([pa.array(kind), *out.columns], names=["kind", *t.column_names]).to_batches(1 << 16)
 
 
+def _pieces(batches, length: int):
+    """Of each document: its id, crc, the opened contexts' first windows, their marks, and their bytes as pieces."""
+    for b in batches:
+        for doc_id, crc, spans, body in zip(*(c.to_pylist() for c in b.columns)):
+            marks: dict[int, int] = {}
+            for x in spans:
+                marks[x >> 1] = marks.get(x >> 1, 0) | x & 1
+            where = np.array([x >> 16 for x in marks], np.int64)
+            pieces = [body[x >> 16 : (x >> 16) + (x & 0xFFFF) + length] for x in marks]
+            yield doc_id, crc, where, np.array(list(marks.values()), np.int64), pieces
+
+
+def _repick(length: int):
+    def repick(batches):
+        for doc_id, crc, where, marks, pieces in _pieces(batches, length):
+            joined = b"".join(pieces)
+            starts = np.cumsum([0, *map(len, pieces[:-1])])
+            piece, lead, lo, hi = picked(np.frombuffer(joined, np.uint8), starts, length, GRAMS[1])
+            context = np.frombuffer(b"".join([hashlib.blake2b(joined[a : z + length], digest_size=8).digest() for a, z in zip(lo.tolist(), hi.tolist())]), "<i8")
+            at = (lo - starts[piece] + where[piece]) << 17 | (hi - lo) << 1 | marks[piece]
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64)), pa.array(context), pa.array([doc_id] * n, pa.int64()), pa.array([crc] * n, pa.int64()), pa.array(at)], names=["lead", "context", "doc_id", "crc", "at"])
+
+    return repick
+
+
 def _open(length: int):
     def open_(batches):
-        for b in batches:
-            for doc_id, crc, spans, body in zip(*(c.to_pylist() for c in b.columns)):
-                buf = np.frombuffer(body, np.uint8)
-                spans = sorted(set(spans))
-                parts = [(s >> 17, (s >> 1) & 0xFFFF, s & 1) for s in spans]
-                w1, w2, pos, many = [], [], [], []
-                for a, n, m in parts:
-                    piece = buf[a : a + n + length]
-                    w1.append(codes(piece, length, 0))
-                    w2.append(codes(piece, length, 1))
-                    pos.append(np.arange(a, a + n + 1))
-                    many.append(np.full(n + 1, m))
-                k = sum(map(len, w1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(w1).view(np.int64)), pa.array(np.concatenate(w2).view(np.int64)), pa.array([doc_id] * k, pa.int64()), pa.array([crc] * k, pa.int64()), pa.array(np.concatenate(pos) << 1 | np.concatenate(many))], names=["lead", "context", "doc_id", "crc", "at"])
+        for doc_id, crc, where, marks, pieces in _pieces(batches, length):
+            sizes = np.array([len(x) for x in pieces]) - length + 1
+            bufs = [np.frombuffer(x, np.uint8) for x in pieces]
+            w1, w2 = (np.concatenate([codes(x, length, seed) for x in bufs]).view(np.int64) for seed in (0, 1))
+            n = int(sizes.sum())
+            inner = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = (np.repeat(where, sizes) + inner) << 17 | np.repeat(marks, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array([doc_id] * n, pa.int64()), pa.array([crc] * n, pa.int64()), pa.array(at)], names=["lead", "context", "doc_id", "crc", "at"])
 
     return open_
 
@@ -229,15 +253,20 @@ def repeated_spans(docs: DataFrame, length: int = 200, bucket_bytes: int = 32 <<
     t = _texts(docs).select(F.col("__doc").alias("doc_id"), F.col("__crc").alias("crc"), F.col("__body").alias("body"))
     total = t.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
-    suffixes = t.where(F.octet_length("body") >= length).mapInArrow(_pick(length), SUFFIXES)
-    found = written(_ranged(suffixes, n).mapInArrow(_compare, FOUND), "suffixes")
-    todo = found.where("kind > 1").groupBy("doc_id", "crc").agg(F.collect_list(F.shiftleft("at", 1).bitwiseOR((F.col("kind") == 3).cast("long"))).alias("spans"))
-    both = todo.hint("merge").join(t.select(F.col("doc_id").alias("d"), F.col("crc").alias("c"), "body").where(F.octet_length("body") >= length).hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("c"))).select("doc_id", "crc", "spans", "body")
-    windows = written(_ranged(both.mapInArrow(_open(length), SUFFIXES), n).mapInArrow(_compare_windows, FOUND), "windows")
+    t = t.where(F.octet_length("body") >= length)
+
+    def bodies(found: DataFrame) -> DataFrame:
+        todo = written(found.where("kind > 1").groupBy("doc_id", "crc").agg(F.collect_list(F.col("at").bitwiseOR((F.col("kind") == 3).cast("long"))).alias("spans")), "opened")
+        have = maybe_in(t, key_bits(todo, "doc_id", "crc"), "doc_id", "crc").select(F.col("doc_id").alias("d"), F.col("crc").alias("c"), "body")
+        return todo.hint("merge").join(have.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("c"))).select("doc_id", "crc", "spans", "body")
+
+    found = written(_ranged(t.mapInArrow(_pick(length), SUFFIXES), n).mapInArrow(_compare, FOUND), "suffixes")
+    again = written(_ranged(bodies(found).mapInArrow(_repick(length), SUFFIXES), n).mapInArrow(_compare, FOUND), "suffixes")
+    windows = written(_ranged(bodies(again).mapInArrow(_open(length), SUFFIXES), n).mapInArrow(_compare_windows, FOUND), "windows")
     ends = windows.where("kind = 4").groupBy("lead", "context").agg(F.count("*").alias("n")).where("n > 1")
     across = windows.where("kind = 5").hint("merge").join(ends.hint("merge"), ["lead", "context"], "left_semi")
-    wide = windows.where("kind = 1").unionByName(across).select("doc_id", "crc", F.shiftleft(F.shiftright("at", 1), 16).alias("at"))
-    return found.where("kind = 1").select("doc_id", "crc", "at").union(wide).groupBy("doc_id", "crc").agg(F.collect_list("at").alias("spans"))
+    whole = found.union(again).union(windows).where("kind = 1").select("doc_id", "crc", "at").union(across.select("doc_id", "crc", "at"))
+    return whole.groupBy("doc_id", "crc").agg(F.collect_set(F.shiftright("at", 1)).alias("spans"))
 
 
 def merged(spans: list[int] | None, length: int) -> list[tuple[int, int]]:
@@ -257,11 +286,16 @@ def _cut(body: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(body[a:z] for a, z in list(pairwise(ends))[::2])
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """Every row with its body and its spans (null: none). A left join on ids and checksums that neither side's skew
-    can pile up, as a document has one row of spans."""
-    spans = repeated_spans(docs, length).select(F.col("doc_id").alias("__d"), F.col("crc").alias("__c"), F.col("spans").alias("__spans"))
-    return _texts(docs).hint("merge").join(spans.hint("merge"), F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__crc") == F.col("__c")), "left")
+def _with_spans(docs: DataFrame, length: int, columns: list[str]) -> DataFrame:
+    """``columns`` of every row with its body and its spans (null: none); only rows that may have spans are joined."""
+    spans = written(repeated_spans(docs, length), "spans")
+    bits = key_bits(spans, "doc_id", "crc")
+    t = _texts(docs).select(*columns, "__doc", "__crc", "__body")
+    spans = spans.select(F.col("doc_id").alias("__d"), F.col("crc").alias("__c"), F.col("spans").alias("__spans"))
+    some = maybe_in(t, bits, "__doc", "__crc").hint("merge").join(spans.hint("merge"), F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__crc") == F.col("__c")), "left")
+    none = maybe_in(t, bits, "__doc", "__crc", negate=True).withColumn("__spans", F.lit(None).cast("array<bigint>"))
+    columns = list(dict.fromkeys([*columns, "__doc", "__body", "__spans"]))
+    return some.select(*columns).unionAll(none.select(*columns))
 
 
 def _digest(length: int):
@@ -281,7 +315,7 @@ def _digest(length: int):
 def removal_digest(docs: DataFrame, length: int = 200) -> DataFrame:
     """What is removed of every document, and the SHA-256 of the rest. Null text is empty; null or repeated doc_ids
     keep a row each (equal rows are repeats of each other); an empty table gives no rows; extra columns are ignored."""
-    return _with_spans(docs, length).select("__doc", "__body", "__spans").mapInArrow(_digest(length), RESULT)
+    return _with_spans(docs, length, []).select("__doc", "__body", "__spans").mapInArrow(_digest(length), RESULT)
 
 
 def _clean(length: int):
@@ -298,5 +332,5 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """``docs`` with the repeated bytes cut out of text, all other columns kept; characters cut in half go."""
     others = [c for c in docs.columns if c != "text"]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    kept = _with_spans(docs, length).select(*others, "__body", "__spans").mapInArrow(_clean(length), ", ".join([*fields, "text string"]))
+    kept = _with_spans(docs, length, others).select(*others, "__body", "__spans").mapInArrow(_clean(length), ", ".join([*fields, "text string"]))
     return kept.select(*docs.columns)
