@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import embedding_dedup, jaccard_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, warc
+from tidemark.llm import embedding_dedup, jaccard_join, packing, pii, quality_classifier, quality_rules, segmentations, suffix_dedup, toxicity, warc
 from tidemark.llm.common import crc_fold
 
 
@@ -58,6 +58,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "block_ok")
 
 
+def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = segmentations.sample_segmentations(_docs(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+    return sampled.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_p", "perturbed", "threshold", "inclusion")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_docs(spark, sf_dir))
 

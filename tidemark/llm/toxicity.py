@@ -213,3 +213,13 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def passages(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Every significant passage with its word span, character span, score and E-value."""
     return _input(docs).mapInArrow(_finder(model), PASSAGES)
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose score is below ``least``: scored and filtered in the scan, no join."""
+
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array([score_text(t, model)[4] < least for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
