@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import zlib
 from functools import cache
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -25,56 +27,101 @@ _NAMES = [x.split()[0] for x in OPEN.split(", ")]
 _KINDS = (pa.int64(),) * 8 + (pa.binary(), pa.int64())
 
 
+class _Index(dict):
+    """word: its number; a new word takes the next one and is noted."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordTokens:
     """ids of texts by a word-wise tokenizer: its pieces never cross ASCII white space, so each distinct word is
-    encoded once and kept. The cache is emptied when it holds ``most`` words; that bounds memory, not results."""
+    encoded once and kept. The cache is emptied when it holds ``most`` words; that bounds memory, not results.
+
+    Most words are letters with at most one full stop or comma behind. The tokenizer normalizes (NFC, lower case) and
+    parts these as the code here does, so they go straight to its model; all others take its whole pipeline.
+    """
 
     def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only spin
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        probe = "Zebra, \u00c9t\u00e9. Stra\u00dfe"
+        self.stops = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in ".,"}
+        self.bytes = {i: c for i, c in enumerate(_byte_letters())}
+        self.direct = True
         self.clear()
+        self.direct = [i for w in probe.split() for i in self._simple(w) or ()] == self.tokenizer.encode(probe, add_special_tokens=False).ids
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
+        self.index.new = []
+        self.stems: dict[str, list[int]] = {}
         self.starts, self.ids, self.used, self.filled = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0, 0
 
-    def _learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 4096):
-            some = words[lo : lo + 4096]
-            whole = self.tokenizer.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0]
-            if None in (of := whole.word_ids):  # a special token's string in the text
-                found = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-                flat, sizes = np.fromiter((i for x in found for i in x), np.uint32), np.fromiter(map(len, found), np.int64)
+    def _simple(self, word: str) -> list[int] | None:
+        stop = word[-1:]
+        stem = word[:-1] if stop in self.stops and stop else word
+        stem = stem.lower()
+        got = self.stems.get(stem)
+        if got is None:
+            if not stem.isalpha():
+                return None
+            if stem.isascii():
+                name = stem
+            elif max(stem) < "\u0180" and "\u0130" not in word and is_normalized("NFC", word):
+                name = stem.encode().decode("latin-1").translate(self.bytes)
             else:
-                flat, sizes = np.array(whole.ids, np.uint32), np.bincount(np.array(of, np.int64), minlength=len(some))
-            while self.filled + len(some) + 1 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(flat)] = flat
-            ends = self.used + np.cumsum(sizes)
-            self.starts[self.filled + 1 : self.filled + 1 + len(some)] = ends
-            self.index.update(zip(some, range(self.filled, self.filled + len(some))))
-            self.used, self.filled = int(ends[-1]), self.filled + len(some)
+                return None
+            got = self.stems[stem] = [x.id for x in self.tokenizer.model.tokenize(name)]
+        return got + self.stops[stop] if len(stem) < len(word) else got
 
-    def encode(self, text: str | None) -> np.ndarray:
-        for x in "\t\n\v\f\r" if text else "":  # split() without argument would part at other white space too
-            text = text.replace(x, " ")
-        words = text.split(" ") if text else []
+    def _learn(self, words: list[str]) -> None:
+        found = [self._simple(w) if self.direct else None for w in words]
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+            found[i] = x.ids
+        flat = np.fromiter(chain.from_iterable(found), np.uint32)
+        while self.filled + len(words) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.starts[self.filled + 1 : self.filled + 1 + len(words)] = self.used + np.cumsum(np.fromiter(map(len, found), np.int64, len(words)))
+        self.used, self.filled = self.used + len(flat), self.filled + len(words)
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        words, counts = [], []
+        for text in texts:
+            for x in "\t\n\v\f\r" if text else "":  # split() without argument would part at other white space too
+                text = text.replace(x, " ")
+            own = text.split(" ") if text else []
+            words += own
+            counts.append(len(own))
         if self.filled > self.most:
             self.clear()
-        index = self.index
-        if new := [w for w in dict.fromkeys(words) if w not in index]:
-            self._learn(new)
-        if not words:
-            return np.zeros(0, np.uint32)
-        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            self._learn(self.index.new)
+            self.index.new = []
         a = self.starts[at]
         n = self.starts[at + 1] - a
-        ends = np.cumsum(n)
-        return self.ids[np.arange(int(ends[-1])) + np.repeat(a - ends + n, n)]
+        ends = np.append(0, np.cumsum(n))
+        ids = self.ids[np.arange(int(ends[-1])) + np.repeat(a - ends[:-1], n)]
+        return np.split(ids, ends[np.cumsum(counts)[:-1]]) if texts else []
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_many([text])[0]
+
+
+def _byte_letters() -> list[str]:
+    """Byte-level BPE's letter of each byte: printable ones stand for themselves, others for code points from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(i) if i in own else chr(next(others)) for i in range(256)]
 
 
 @cache
@@ -162,10 +209,12 @@ def _pack_documents(path: str, end_id: int, size: int, most: int, least_cut: int
         base, made, w, row = part << 36, 0, Windows(size, most, least_cut), part << 36
         words = tokens_of(path)
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(words.encode(text), np.uint32(end_id))
-                w.add((doc_id, 0, ids, len(ids), row))
-                row += 1
+            for k in range(0, b.num_rows, 32):
+                some = b.slice(k, 32)
+                for doc_id, ids in zip(some.column(0).to_pylist(), words.encode_many(some.column(1).to_pylist())):
+                    ids = np.append(ids, np.uint32(end_id))
+                    w.add((doc_id, 0, ids, len(ids), row))
+                    row += 1
                 if len(w.full) >= 512:
                     rows, made = _emit(w, made, base, part)
                     yield _batch(rows)
