@@ -16,6 +16,12 @@ def rnd(x, digits: int = 6) -> Column:
     return F.floor(col(x) * 10.0**digits + 0.5) / 10.0**digits
 
 
+def pearson(x, y) -> Column:
+    """Correlation of the rows where both are known; null where either is constant (corr would fail there)."""
+    a, b = F.when(col(y).isNotNull(), col(x).cast("double")), F.when(col(x).isNotNull(), col(y).cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def bucket_label(price) -> Column:
     """``lo-hi`` in steps of 0.05; what lies outside [0, 1) goes to the last bucket."""
     k = F.expr("1") * F.floor(F.round(col(price) * 1000) / 50)

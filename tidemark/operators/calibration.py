@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.scalar import bucket_label, rnd, z_null, z_wald
+from tidemark.functions.scalar import bucket_label, pearson, rnd, z_null, z_wald
 
 
 def join_time_window(trades: DataFrame, markets: DataFrame, before_s: int, after_s: int, offset_s: int = 0) -> DataFrame:
@@ -89,7 +89,7 @@ def zone_stats(snapshots: DataFrame, zones: dict[str, tuple[float, float]], refe
 
 
 def price_outcome_corr(snapshots: DataFrame, key: str) -> DataFrame:
-    return snapshots.where("yes IS NOT NULL").groupBy(key).agg(F.count("*").alias("n"), F.round(F.corr("price", F.col("yes").cast("double")), 4).alias("corr"))
+    return snapshots.where("yes IS NOT NULL").groupBy(key).agg(F.count("*").alias("n"), F.round(pearson("price", "yes"), 4).alias("corr"))
 
 
 def category_summary(snapshots: DataFrame, key: str, min_n: int = 30) -> DataFrame:

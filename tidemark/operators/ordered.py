@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.functions.scalar import pearson
+
 
 def grid_last_ffill(ticks: DataFrame, key: str, value: str, step_s: int, tie: str) -> DataFrame:
     """Last value per bin on a dense grid per key, filled forward."""
@@ -24,7 +26,7 @@ def lead_lag_xcorr(a: DataFrame, b: DataFrame, value: str, lags: int, least: int
     """Correlation of a(t) with b(t + lag) for each lag within +-``lags``; a positive peak lag: a leads."""
     x = a.select("bin", F.col(value).alias("x"), F.explode(F.sequence(F.lit(-lags), F.lit(lags))).alias("lag")).withColumn("bin", F.col("bin") + F.col("lag"))
     j = x.hint("merge").join(b.select("bin", F.col(value).alias("y")).hint("merge"), "bin").where("x is not null and y is not null")
-    c = j.groupBy("lag").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    c = j.groupBy("lag").agg(F.count("*").alias("n"), pearson("x", "y").alias("corr"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
     return c.where((F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0)).select("lag", "n", F.round("corr", 6).alias("corr"))
 
 
