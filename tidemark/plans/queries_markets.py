@@ -40,4 +40,4 @@ q("winner_from_scores", TRADE, body="SELECT market_id, line, CASE WHEN outcome_i
 q("pattern_coverage", body="SELECT pattern, count(*) AS n, count(*) FILTER (WHERE p_size > 25) AS relevant FROM (SELECT p_size, CASE WHEN p_name LIKE 'red%' THEN 'red' WHEN p_name LIKE '%bolt' THEN 'bolt' ELSE 'none' END AS pattern FROM part) GROUP BY pattern")(lambda t: K.pattern_coverage(t.part, F.when(F.col("p_name").like("red%"), "red").when(F.col("p_name").like("%bolt"), "bolt"), F.col("p_size") > 25))
 q("join_match_news_ts", TICK, body="SELECT asset AS market_id, count(*) AS n, epoch_us(min(ts)) AS first_us FROM v_tick WHERE cents > 40000 GROUP BY asset")(lambda t: J.news_index(t.tick.where("cents > 40000").select(F.col("id").alias("news_id"), F.col("asset").alias("market_id")), t.tick.select(F.col("id").alias("news_id"), "ts")).select("market_id", F.size("times").cast("long").alias("n"), F.unix_micros(F.element_at("times", 1)).alias("first_us")))
 q("expiry_error", MARKET, TRADE, body=f"SELECT m.market_id, o.off AS \"offset\", round(abs(t.p / 1000 - m.yes), 4) AS error, abs(t.p / 1000 - m.yes) >= 0.15 AS mispriced FROM (SELECT market_id, yes, end_ts FROM v_market WHERE yes IS NOT NULL) m CROSS JOIN (VALUES (0), ({30 * DAY})) o(off) ASOF JOIN (SELECT market_id, ts, last(price_milli ORDER BY line, price_milli) AS p FROM v_trade GROUP BY ALL) t ON m.market_id = t.market_id AND m.end_ts - to_seconds(o.off) >= t.ts")(lambda t: K.expiry_error(t.trade.groupBy("market_id", "ts").agg(F.max_by("price_milli", F.struct("line", "price_milli")).alias("price_milli"), F.max("line").alias("line")), t.market, [0, 30 * DAY]))
-q("move_zscore")(lambda t: K.move_zscore(t.tick.where("asset = 'purchase' and cents > 30000").select("asset", "ts", "id"), t.tick, "asset", "cents", 30, 3600, 86_400, "id").select("id", "before", "after", "z"))
+q("move_zscore")(lambda t: K.move_zscore(t.tick.where("asset = 'purchase'").select("asset", "ts", "id"), t.tick, "asset", "cents", 30, 3600, 86_400, "id").select("id", "before", "after", "z"))
