@@ -1,25 +1,30 @@
-"""Near-duplicate embeddings by a robust-pruned flat graph.
+"""Near-duplicate embeddings: exact links from pieces of a label that balls on the sphere bound.
 
-Vectors of one label are dealt to their nearest cluster centres (two each, so shards overlap). Every shard builds a
-robust-pruned neighbour graph; the adjacency lists of a vector's shards are united. Each shard then searches the united
-graph greedily from its medoid for each of its members and, where it meets the range, expands over all neighbours in
-range. What is found is verified in double precision. Every shard audits its recall against an exact scan for some of
-its members and searches again with a wider beam if that falls short, at last with the scan itself.
+Vectors of one label are dealt to their nearest cluster centre, pieces still too large are salted. Every piece has a
+centre and a radius (its largest angle to it), so the triangle inequality of angles sorts the pairs of pieces into
+three kinds: too far for any link (dropped), so near that all their vectors link (counted, never compared), and mixed.
+A vector goes to every mixed pair of its piece and is compared there with the other piece's vectors in double
+precision, in blocks. Every two vectors of a label meet in exactly one pair of pieces, so link counts add up without
+listing pairs and none is lost; for the components each pair of pieces emits a spanning forest only.
 
-A pair is counted in the first shard that both vectors share, so link counts add up without listing pairs; for the
-components each shard emits a spanning forest only.
+The robust-pruned graph below (``build``, ``search``) is for single queries on one machine. Building it compares all
+vectors of a shard, so the exact comparison needs no more work, and a graph over shards loses the links between them.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import components, written
 
-ADJACENCY = "shard long, node long, neighbours array<long>"
-FOUND = "kind string, node long, other long, links long, recall double"
+PROFILE = "piece long, label long, centre array<double>, radius double, copies long, low long"
+FOUND = "kind string, node long, other long, links long"
+#: Angles are right to about 1e-7 (arccos near 1); bounds are loosened by this much, so rounding drops no pair.
+SLACK = 1e-6
 
 
 def unit(x) -> np.ndarray:
@@ -163,87 +168,68 @@ def roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def _build(degree: int, alpha: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = build(unit(pdf["embedding"]), degree, alpha)
-        ids = pdf["node"].to_numpy()
-        return pd.DataFrame({"shard": pdf["shard"], "node": ids, "neighbours": [ids[r[r >= 0]].tolist() for r in g]})
+def joined(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The components ``lab`` (each row's smallest row) after the rows ``a`` and ``b`` are tied."""
+    a, b = lab[a], lab[b]
+    code = np.unique((a * len(lab) + b)[a != b])
+    return roots(len(lab), code // len(lab), code % len(lab))[lab] if len(code) else lab
+
+
+def _profile(pdf: pd.DataFrame) -> pd.DataFrame:
+    x = unit(pdf["embedding"])
+    c = x.sum(0)
+    c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else x[0]
+    radius = float(np.arccos(np.clip(x @ c, -1, 1)).max())
+    return pd.DataFrame({"piece": pdf["piece"][:1], "label": pdf["label"][:1], "centre": [c.tolist()], "radius": radius, "copies": int(pdf["copies"].sum()), "low": int(pdf["node"].min())})
 
-    return run
 
+def _compare(least: float, block: int = 256):
+    """All pairs of two pieces, or of one with itself: each vector's links and the edges of a spanning forest."""
 
-def _search(least: float, degree: int, alpha: float, beam: int, target: float, audit_rows: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node").reset_index(drop=True)
-        ids, x, copies = pdf["node"].to_numpy(), unit(pdf["embedding"]), pdf["copies"].to_numpy()
-        m, shard = len(pdf), int(pdf["shard"].iloc[0])
-        place = {v: i for i, v in enumerate(ids.tolist())}
-        united = [(i, place[v]) for i, some in enumerate(pdf["neighbours"]) for v in some if v in place]
-        homes = [list(v) for v in pdf["shards"]]
-        width = max(map(len, homes))
-        homes = np.array([h + [-1] * (width - len(h)) for h in homes], np.int64)
-        medoid = int((x @ x.mean(0)).argmax())
-        asked = np.unique(np.linspace(0, m - 1, min(m, audit_rows)).astype(int))
-        truth = x[asked] @ x.T >= least
-        truth[np.arange(len(asked)), asked] = False
-        recall = 0.0
-        for attempt in range(4):
-            if attempt == 3:  # the verified last resort: the shard's exact scan, in blocks
-                pairs = [np.nonzero(x[a : a + 256] @ x.T >= least) for a in range(0, m, 256)]
-                a = np.concatenate([p[0] + 256 * i for i, p in enumerate(pairs)])
-                b = np.concatenate([p[1] for p in pairs])
-                a, b = a[a != b], b[a != b]
-            else:
-                wide = 1 << attempt
-                offsets, flat = both_ways(np.full((m, 1), -1) if not attempt else build(x, degree * wide, alpha), united)
-                got = [search(x, np.arange(s, min(m, s + 256)), offsets, flat, medoid, least, beam * wide) for s in range(0, m, 256)]
-                a, b = (np.concatenate(z) for z in zip(*got))
-            hit = np.isin(a, asked)
-            recall = (hit.sum() / truth.sum()) if truth.sum() else 1.0
-            if recall >= target:
-                break
-        # found either way round; each unordered pair once, then by its owner shard
-        code = np.unique(np.minimum(a, b) * m + np.maximum(a, b))
-        a, b = code // m, code % m
-        first = np.full(len(a), np.iinfo(np.int64).max)
-        for i in range(width):
-            for j in range(width):
-                same = (homes[a, i] == homes[b, j]) & (homes[a, i] >= 0)
-                first = np.where(same, np.minimum(first, homes[a, i]), first)
-        own = first == shard
-        links = np.bincount(a[own], copies[b[own]], m) + np.bincount(b[own], copies[a[own]], m)
-        lab = roots(m, a, b)
+        pdf = pdf.sort_values(["piece", "node"]).reset_index(drop=True)
+        ids, x, copies = pdf["node"].to_numpy(), unit(pdf["embedding"]), pdf["copies"].to_numpy(np.float64)
+        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
+        m = len(pdf)
+        left = int((pdf["piece"] == p).sum())
+        links, lab = np.zeros(m), np.arange(m)
+        for a in range(0, left, block):
+            z = min(left, a + block)
+            first = a + 1 if p == q else left
+            hit = x[a:z] @ x[first:].T >= least
+            if p == q:  # each unordered pair once
+                hit &= np.arange(first, m) > np.arange(a, z)[:, None]
+            links[a:z] += hit @ copies[first:]
+            links[first:] += copies[a:z] @ hit
+            i, j = np.nonzero(hit)
+            lab = joined(lab, i + a, j + first)
         some, tied = np.flatnonzero(links), np.flatnonzero(lab != np.arange(m))
         return pd.concat([
-            pd.DataFrame({"kind": "links", "node": ids[some], "other": 0, "links": links[some].astype(np.int64), "recall": 0.0}),
-            pd.DataFrame({"kind": "edge", "node": ids[tied], "other": ids[lab[tied]], "links": 0, "recall": 0.0}),
-            pd.DataFrame({"kind": ["audit"], "node": [shard], "other": [int(truth.sum())], "links": [m], "recall": [float(recall)]}),
+            pd.DataFrame({"kind": "links", "node": ids[some], "other": 0, "links": links[some].astype(np.int64)}),
+            pd.DataFrame({"kind": "edge", "node": ids[tied], "other": ids[lab[tied]], "links": 0}),
         ])
 
     return run
 
 
-def _assign(table: dict, overlap: int):
+def _assign(table: dict):
     """table: shard id: (centres, first child id). Rows of other shards stay where they are."""
 
     def run(batches):
         for pdf in batches:
             kept = []
             for shard, some in pdf.groupby("shard"):
-                if shard not in table:
-                    kept.append(some)
-                    continue
-                c, first = table[shard]
-                near = np.argsort(-(unit(some["embedding"]) @ c.T), 1, kind="stable")[:, :overlap]
-                for j in range(near.shape[1]):
-                    kept.append(some.assign(shard=first + near[:, j]))
+                if shard in table:
+                    c, first = table[shard]
+                    some = some.assign(shard=first + (unit(some["embedding"]) @ c.T).argmax(1))
+                kept.append(some)
             if kept:
                 yield pd.concat(kept)
 
     return run
 
 
-def shards(heads: DataFrame, target_rows: int, max_rows: int, overlap: int, sample_rows: int, max_centres: int, levels: int = 3) -> DataFrame:
+def shards(heads: DataFrame, target_rows: int, max_rows: int, sample_rows: int, max_centres: int, levels: int = 3) -> DataFrame:
     """(shard, node, label, embedding, copies): labels dealt to centres; shards over ``max_rows`` are dealt again."""
     kind = "shard long, node long, label long, embedding array<float>, copies long"
     now = written(heads.select(F.col("label").alias("shard"), "node", "label", "embedding", "copies"), "shards")
@@ -264,17 +250,56 @@ def shards(heads: DataFrame, target_rows: int, max_rows: int, overlap: int, samp
             c = centres(unit(some["embedding"]), min(k[int(s)], len(some)))
             table[int(s)] = (c, free)
             free += len(c)
-        now = written(now.mapInPandas(_assign(table, overlap), kind), "shards")
+        now = written(now.mapInPandas(_assign(table), kind), "shards")
     return now
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, degree: int = 24, alpha: float = 1.2, beam: int = 32, target: float = 0.99, overlap: int = 2, target_rows: int = 1000, max_rows: int = 6000, sample_rows: int = 20_000, max_centres: int = 2048, audit_rows: int = 32) -> DataFrame:
-    """vec_id, n_links, component_id, kept and shard recall for every row.
+def pieces(heads: DataFrame, target_rows: int, max_rows: int, sample_rows: int, max_centres: int) -> DataFrame:
+    """(piece, node, label, embedding, copies): every vector once; shards still over ``max_rows`` are salted."""
+    now = shards(heads, target_rows, max_rows, sample_rows, max_centres)
+    sizes = now.groupBy("shard").count().where(F.col("count") > max_rows).select("shard", F.ceil(F.col("count") / target_rows).alias("salts"))
+    now = now.hint("merge").join(sizes.hint("merge"), "shard", "left")
+    salt = F.coalesce(F.pmod(F.xxhash64("node", F.lit("piece")), F.col("salts")), F.lit(0))
+    return written(now.select((F.col("shard") * (1 << 20) + salt).alias("piece"), "node", "label", "embedding", "copies"), "pieces")
+
+
+def piece_pairs(profiles: DataFrame, least: float, salts: int = 16) -> DataFrame:
+    """(p, q, gap, p_*, q_*, every): the pairs of pieces (p <= q) of a label that can hold a link; ``every`` if all of
+    their vectors link. A label with many pieces is spread over ``salts`` keys."""
+    range_ = math.acos(least)
+    a = profiles.select("label", F.pmod("piece", F.lit(salts)).alias("salt"), F.col("piece").alias("p"), *[F.col(c).alias(f"p_{c}") for c in ("centre", "radius", "copies", "low")])
+    b = profiles.select("label", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.col("piece").alias("q"), *[F.col(c).alias(f"q_{c}") for c in ("centre", "radius", "copies", "low")])
+    dot = F.aggregate(F.zip_with("p_centre", "q_centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    j = a.hint("merge").join(b.hint("merge"), ["label", "salt"]).where("p <= q")
+    j = j.withColumn("gap", F.when(F.col("p") == F.col("q"), 0.0).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))))
+    wide = F.col("p_radius") + F.col("q_radius")
+    j = j.where(F.col("gap") - wide <= range_ + SLACK)
+    return written(j.withColumn("every", F.col("gap") + wide <= range_ - SLACK).drop("label", "salt", "p_centre", "q_centre"), "piece-pairs")
+
+
+def linked(members: DataFrame, least: float) -> DataFrame:
+    """The links and forest edges of all pairs of vectors of a label with a similarity of ``least`` or more."""
+    pairs = piece_pairs(written(members.groupBy("piece").applyInPandas(_profile, PROFILE), "piece-profiles"), least)
+    mixed = pairs.where("not every").select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("piece"))
+    found = members.select("piece", "node", "embedding", "copies").hint("merge").join(mixed.hint("merge"), "piece").groupBy("p", "q").applyInPandas(_compare(least), FOUND)
+    # pieces that link as a whole: a vector links with all of the other pieces' and, in its own, with all but itself;
+    # edges to one of those vectors and between the pieces' lowest ones tie the same components
+    whole = pairs.where("every")
+    ends = F.array(F.struct(F.col("p").alias("piece"), F.col("q_copies").alias("copies"), F.col("q_low").alias("low"), (F.col("p") == F.col("q")).alias("own")), F.struct(F.col("q").alias("piece"), F.col("p_copies").alias("copies"), F.col("p_low").alias("low"), (F.col("p") == F.col("q")).alias("own")))
+    ends = whole.select(F.inline(F.array_distinct(ends))).groupBy("piece").agg(F.sum("copies").alias("all_copies"), F.min("low").alias("low"), F.max("own").alias("own"))
+    near = members.select("piece", "node", "copies").hint("merge").join(ends.hint("merge"), "piece")
+    links = near.select(F.lit("links").alias("kind"), "node", F.lit(0).cast("long").alias("other"), (F.col("all_copies") - F.when(F.col("own"), F.col("copies")).otherwise(0)).alias("links"))
+    edges = near.select("node", F.col("low").alias("other")).union(whole.select("p_low", "q_low")).select(F.lit("edge").alias("kind"), "node", "other", F.lit(0).cast("long").alias("links"))
+    return written(found.unionByName(links).unionByName(edges), "vector-links")
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.93, target_rows: int = 1000, max_rows: int = 6000, sample_rows: int = 20_000, max_centres: int = 2048) -> DataFrame:
+    """vec_id, n_links, component_id and kept for every row; exact.
 
     Only vectors of one label that isn't null are compared. Null, empty or zero vectors and those with null or
     non-finite parts link with nothing, nor do vectors of different lengths. Equal vectors are one node with a count. Rows that repeat a vec_id count each
     and share its component; a null vec_id links with nothing. An empty table gives no rows; other columns are ignored. The
-    cluster centres come from at most 2 * ``sample_rows`` vectors; every vector is indexed.
+    cluster centres come from at most 2 * ``sample_rows`` vectors; every vector is compared.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -284,11 +309,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, degree: int = 24, a
     classes = written(classes, "vector-classes")
     # vectors of different lengths are labels of their own
     heads = classes.withColumn("label", F.pmod(F.xxhash64("label", F.size("embedding")), F.lit(1 << 40)))
-    members = shards(heads, target_rows, max_rows, overlap, sample_rows, max_centres)
-    lists = members.select("shard", "node", "embedding").groupBy("shard").applyInPandas(_build(degree, alpha), ADJACENCY)
-    united = written(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"), F.sort_array(F.collect_set("shard")).alias("shards")), "adjacency")
-    full = members.select("shard", "node", "embedding", "copies").hint("merge").join(united.hint("merge"), "node")
-    found = written(full.groupBy("shard").applyInPandas(_search(least, degree, alpha, beam, target, audit_rows), FOUND), "vector-links")
+    found = linked(pieces(heads, target_rows, max_rows, sample_rows, max_centres), least)
     links = found.where("kind = 'links'").groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.where("kind = 'edge'").select(F.col("node").alias("a"), F.col("other").alias("b")))
     info = classes.select("node", "copies").groupBy("node").agg(F.sum(F.col("copies")).alias("copies"))
