@@ -19,12 +19,12 @@ from tidemark.llm.common import WORD, written
 
 SYMBOLS = "#*$%&|<>"
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
-#: feature: (expression, the least spread of its fence, side)
+#: feature: (expression, the tail quantile its fence starts at, side); sound texts repeat lines and phrases now and then
 FEATURES = {
-    "word_length": ("word_chars / n_words", 1.0, "both"),
-    "symbol_share": ("n_symbols / n_words", 0.1, "high"),
-    "dup_line_share": ("n_dup_lines / n_lines", 0.1, "high"),
-    "repeat_share": ("n_repeat_words / n_words", 0.1, "high"),
+    "word_length": ("word_chars / n_words", 0.9, "both"),
+    "symbol_share": ("n_symbols / n_words", 0.9, "high"),
+    "dup_line_share": ("n_dup_lines / n_lines", 0.95, "high"),
+    "repeat_share": ("n_repeat_words / n_words", 0.95, "high"),
 }
 _word = re.compile(WORD)
 _c = np.random.default_rng(8).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
@@ -94,18 +94,25 @@ def sketch_quantiles(sketch: DataFrame, keys: list[str], quantiles: tuple[float,
 
 
 def thresholds(stats: DataFrame, fence: float = 4.0, least_rows: int = 50, relative_error: float = 0.01) -> DataFrame:
-    """Low and high fences per (lang, source, feature): quartiles widened by ``fence`` times the larger of the
-    interquartile range and the feature's least spread. Groups under ``least_rows`` documents take the language's
-    merged sketch, and languages under it the whole corpus's."""
+    """Low and high fences per (lang, source, feature): the feature's tail quantiles, moved out by one bucket of the
+    sketch (its error) and by ``fence`` times their distance from the median. Nothing but the group's own sketch sets
+    them. Groups under ``least_rows`` documents take the language's merged sketch, and languages under it the whole
+    corpus's."""
     sk = sketches(stats, relative_error)
-    q = (0.25, 0.75)
+    tails = sorted({t for _, t, _ in FEATURES.values()})
+    q = (*(1 - t for t in tails), 0.5, *tails)
+    names = [f"q{i}" for i in range(len(q))]
     own = sketch_quantiles(sk, ["lang", "source"], q, relative_error)
-    lang = sketch_quantiles(sk, ["lang"], q, relative_error).select(F.col("lang").alias("l_lang"), F.col("feature").alias("l_f"), *[F.col(c).alias(f"l_{c}") for c in ("n", "q0", "q1")])
-    every = sketch_quantiles(sk, [], q, relative_error).select(F.col("feature").alias("e_f"), *[F.col(c).alias(f"e_{c}") for c in ("q0", "q1")])
+    lang = sketch_quantiles(sk, ["lang"], q, relative_error).select(F.col("lang").alias("l_lang"), F.col("feature").alias("l_f"), *[F.col(c).alias(f"l_{c}") for c in ("n", *names)])
+    every = sketch_quantiles(sk, [], q, relative_error).select(F.col("feature").alias("e_f"), *[F.col(c).alias(f"e_{c}") for c in names])
     t = own.hint("merge").join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("feature") == F.col("l_f"))).join(F.broadcast(every), F.col("feature") == F.col("e_f"))  # every: one row per feature
     pick = lambda c: F.when(F.col("n") >= least_rows, F.col(c)).when(F.col("l_n") >= least_rows, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}"))
-    spread = F.greatest(F.col("hi") - F.col("lo"), F.element_at(F.create_map(*[F.lit(v) for k, (_, s, _) in FEATURES.items() for v in (k, s)]), F.col("feature")))
-    return t.select("lang", "source", "feature", pick("q0").alias("lo"), pick("q1").alias("hi")).select("lang", "source", "feature", (F.col("lo") - fence * spread).alias("low"), (F.col("hi") + fence * spread).alias("high"))
+    of = lambda at: F.coalesce(*[F.when(F.col("feature") == k, pick(names[at(tails.index(tail))])) for k, (_, tail, _) in FEATURES.items()])
+    t = t.select("lang", "source", "feature", of(lambda i: i).alias("lo"), pick(names[len(tails)]).alias("mid"), of(lambda i: len(tails) + 1 + i).alias("hi"))
+    gamma = math.log((1 + relative_error) / (1 - relative_error))
+    low = F.expm1(F.log1p("lo") - gamma) - fence * (F.col("mid") - F.col("lo"))
+    high = F.expm1(F.log1p("hi") + gamma) + fence * (F.col("hi") - F.col("mid"))
+    return t.select("lang", "source", "feature", low.alias("low"), high.alias("high"))
 
 
 def quality_rules(docs: DataFrame, fence: float = 4.0, least_rows: int = 50, salts: int = 64) -> DataFrame:
