@@ -108,6 +108,10 @@ q("upsert_first_wins", TICK, body="SELECT actor, asset, first(cents ORDER BY ts,
 q("upsert_last_wins", TICK, body="SELECT actor, asset, last(cents ORDER BY ts, id) AS cents FROM v_tick GROUP BY ALL")(lambda t: J.upsert_last(t.tick, ["actor", "asset"], ["ts", "id"]).select("actor", "asset", "cents"))
 q("upsert_coalesce", MARKET, body="SELECT coalesce(o.k, n.k) AS k, coalesce(o.s, n.s) AS first_seen, coalesce(n.s, o.s) AS last_seen, coalesce(n.yes, o.yes) AS yes, o.k IS NULL AS is_new FROM (SELECT event_id AS k, min(market_id) AS s, min(yes) AS yes FROM v_market WHERE market_id % 3 = 0 GROUP BY 1) o FULL JOIN (SELECT event_id AS k, max(market_id) AS s, max(yes) AS yes FROM v_market WHERE market_id % 3 = 1 GROUP BY 1) n ON o.k = n.k")(lambda t: J.upsert_coalesce(t.market.where("market_id % 3 = 0").groupBy(F.col("event_id").alias("k")).agg(F.min("market_id").alias("first_seen"), F.min("market_id").alias("last_seen"), F.min("yes").alias("yes")), t.market.where("market_id % 3 = 1").groupBy(F.col("event_id").alias("k")).agg(F.max("market_id").alias("s"), F.max("yes").alias("yes")), "k", "s"))
 
+# -- whole tables: the joins above whose SQL takes a subset of the rows, over all of them ----------------------------
+q("join_token_overlap_whole", body="WITH a AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS b_key, unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part WHERE p_partkey % 2 = 1), p AS (SELECT p_partkey, b_key, count(*) AS shared FROM a JOIN b USING (t) GROUP BY ALL HAVING count(*) >= 2) SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY shared DESC, b_key) AS rank FROM p")(lambda t: J.token_overlap(t.part.where("p_partkey % 2 = 0").select("p_partkey", F.split("p_name", " ").alias("tokens")), t.part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("b_key"), F.split("p_name", " ").alias("tokens")), "p_partkey", "b_key"))
+q("join_keyword_match_whole", body="WITH n AS (SELECT doc_id AS news_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM documents), k AS (SELECT item_id AS market_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM benchmark) SELECT news_id, market_id, count(*) AS hits FROM n JOIN k USING (w) GROUP BY ALL HAVING count(*) >= 5")(lambda t: J.keyword_match(t.documents.select(F.col("doc_id").alias("news_id"), F.split(F.lower("text"), " ").alias("tokens"), F.col("text").alias("title")), t.benchmark.select(F.col("item_id").alias("market_id"), F.split(F.lower("text"), " ").alias("keywords")), 5))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: (lambda spark, folder, f=f: f(Tables(spark, folder))) for k, (f, _) in QUERIES.items()}
