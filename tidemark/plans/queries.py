@@ -111,6 +111,10 @@ q("upsert_coalesce", MARKET, body="SELECT coalesce(o.k, n.k) AS k, coalesce(o.s,
 # -- whole tables: the joins above whose SQL takes a subset of the rows, over all of them ----------------------------
 q("join_token_overlap_whole", body="WITH a AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS b_key, unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part WHERE p_partkey % 2 = 1), p AS (SELECT p_partkey, b_key, count(*) AS shared FROM a JOIN b USING (t) GROUP BY ALL HAVING count(*) >= 2) SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY shared DESC, b_key) AS rank FROM p")(lambda t: J.token_overlap(t.part.where("p_partkey % 2 = 0").select("p_partkey", F.split("p_name", " ").alias("tokens")), t.part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("b_key"), F.split("p_name", " ").alias("tokens")), "p_partkey", "b_key"))
 q("join_keyword_match_whole", body="WITH n AS (SELECT doc_id AS news_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM documents), k AS (SELECT item_id AS market_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM benchmark) SELECT news_id, market_id, count(*) AS hits FROM n JOIN k USING (w) GROUP BY ALL HAVING count(*) >= 5")(lambda t: J.keyword_match(t.documents.select(F.col("doc_id").alias("news_id"), F.split(F.lower("text"), " ").alias("tokens"), F.col("text").alias("title")), t.benchmark.select(F.col("item_id").alias("market_id"), F.split(F.lower("text"), " ").alias("keywords")), 5))
+q("join_asof_backward_whole", TICK, body="SELECT p.id, CASE WHEN epoch_us(p.ts) - epoch_us(s.ts) <= 3600000000 THEN s.cents END AS cents FROM (SELECT id, ts, actor FROM v_tick WHERE asset = 'purchase') p ASOF LEFT JOIN (SELECT actor, ts, last(cents ORDER BY id) AS cents FROM v_tick WHERE asset <> 'purchase' GROUP BY ALL) s ON p.actor = s.actor AND p.ts >= s.ts")(lambda t: J.asof_backward(t.tick.where("asset = 'purchase'").select("id", "ts", "actor"), t.tick.where("asset <> 'purchase'"), "actor", "ts", "cents", 3_600_000_000, "id").select("id", "cents"))
+q("upsert_coalesce_whole", MARKET, body="SELECT coalesce(o.k, n.k) AS k, coalesce(o.s, n.s) AS first_seen, coalesce(n.s, o.s) AS last_seen, coalesce(n.yes, o.yes) AS yes, o.k IS NULL AS is_new FROM (SELECT event_id AS k, min(market_id) AS s, min(yes) AS yes FROM v_market WHERE market_id % 2 = 0 GROUP BY 1) o FULL JOIN (SELECT event_id AS k, max(market_id) AS s, max(yes) AS yes FROM v_market WHERE market_id % 2 = 1 GROUP BY 1) n ON o.k = n.k")(lambda t: J.upsert_coalesce(t.market.where("market_id % 2 = 0").groupBy(F.col("event_id").alias("k")).agg(F.min("market_id").alias("first_seen"), F.min("market_id").alias("last_seen"), F.min("yes").alias("yes")), t.market.where("market_id % 2 = 1").groupBy(F.col("event_id").alias("k")).agg(F.max("market_id").alias("s"), F.max("yes").alias("yes")), "k", "s"))
+q("sort_multi_whole", MARKET, body="SELECT market_id, yes, volume FROM v_market ORDER BY yes DESC NULLS LAST, volume DESC, market_id")(lambda t: t.market.orderBy(F.desc_nulls_last("yes"), F.desc("volume"), "market_id").select("market_id", "yes", "volume"))
+q("join_match_news_ts_whole", TICK, body="SELECT asset, epoch_us(ts) // 86400000000 AS day, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM v_tick GROUP BY ALL")(lambda t: J.news_index(t.tick.select(F.col("id").alias("news_id"), F.struct("asset", F.expr("unix_micros(ts) div 86400000000").alias("day")).alias("market_id")), t.tick.select(F.col("id").alias("news_id"), "ts")).select("market_id.asset", "market_id.day", F.size("times").cast("long").alias("n"), F.unix_micros(F.element_at("times", 1)).alias("first_us"), F.unix_micros(F.element_at("times", -1)).alias("last_us")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
