@@ -5,8 +5,9 @@ the least hash of the GRAMS[0] bytes that follow. Equal windows pick equal suffi
 (about one in 68 bytes). Their leading token is the code of those bytes, the next one the code of all that their
 windows cover (the suffix's context).
 
-1. Sampled splitters range-partition the suffixes by their leading tokens; a hash of the row comes last, so a passage
-   that a third of all documents hold spreads over buckets. Each bucket is sorted by multikey quicksort. A context
+1. Splitters, read from the suffixes of a hash sample of the documents, range-partition the suffixes by their leading
+   tokens; a hash of the row comes last, so a passage that a third of all documents hold spreads over buckets. The
+   sample decides how even the buckets are, never what is found. Each bucket is sorted by multikey quicksort. A context
    next to an equal one is a repeat as a whole. A suffix whose leading token meets other contexts, or that stands at
    a bucket's edge, goes on; all others have no equal window anywhere.
 2. Of what goes on, one suffix per distinct context and bucket is opened: its windows pick suffixes anew, by GRAMS[1]
@@ -27,18 +28,20 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import key_bits, maybe_in, mix64, written
+from tidemark.llm.common import frugal, key_bits, maybe_in, mix64, written
 
 GRAMS = (64, 150)
-SUFFIXES = "lead long, context long, doc_id long, crc long, at long"
+SUFFIXES = "lead long, context long, doc_id long, crc long, at long, part int"
+_NAMES = ["lead", "context", "doc_id", "crc", "at", "part"]
 FOUND = "kind int, lead long, context long, doc_id long, crc long, at long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _table = np.random.default_rng(200).integers(0, 2**64, (2, 256), dtype=np.uint64)
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 _POS = np.uint64(28)  # low bits that hold a position in a block; a block is under 2**28 bytes
+BLOCK = 1 << 18  # bytes that are worked on together
+CHUNK = 1 << 22  # longer texts are cut into chunks that overlap by one byte less than a window
 
 
 def codes(buf: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
@@ -107,36 +110,69 @@ def multikey_order(columns: list[np.ndarray], small: int = 4096) -> np.ndarray:
     return order
 
 
-def _blocks(batches, most: int = 1 << 18):
-    """Rows as lists of (key..., bytes) with about ``most`` bytes each."""
+def _blocks(batches, length: int, most: int = BLOCK, chunk: int | None = None):
+    """Rows (doc_id, crc, offset, bytes) in lists of about ``most`` bytes. Each window of a text lies in one row."""
     rows, size = [], 0
+    step = (chunk or CHUNK) - length + 1
     for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns)):
-            rows.append(r)
-            size += len(r[-1])
-            if size >= most:
-                yield rows
-                rows, size = [], 0
+        for doc_id, crc, body in zip(*(c.to_pylist() for c in b.columns)):
+            for k in range(0, max(1, len(body) - length + 1), step):
+                rows.append((doc_id, crc, k, body[k : k + step + length - 1] if len(body) > step else body))
+                size += len(rows[-1][-1])
+                if size >= most:
+                    yield rows
+                    rows, size = [], 0
     if rows:
         yield rows
 
 
+def _tie(doc_id: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of a suffix's place: what parts equal suffixes."""
+    return mix64(doc_id.astype(np.uint64) * _A + at.astype(np.uint64)).view(np.int64)
+
+
+class Splitters:
+    """Ascending (lead, context, tie) triples; ``part`` says how many of them a row isn't below."""
+
+    def __init__(self, lead: np.ndarray, context: np.ndarray, tie: np.ndarray):
+        self.lead, self.context, self.tie = lead, context, tie
+
+    def part(self, lead: np.ndarray, context: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.lead, lead, "left"), np.searchsorted(self.lead, lead, "right")
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) // 2
+            c, t = context[open_], tie[open_]
+            over = (self.context[mid] < c) | ((self.context[mid] == c) & (self.tie[mid] <= t))
+            lo[open_], hi[open_] = np.where(over, mid + 1, lo[open_]), np.where(over, hi[open_], mid)
+        return lo
+
+
+def _suffixes(lead, context, doc_id, crc, at, splitters: Splitters | None) -> pa.RecordBatch:
+    lead, context = lead.view(np.int64), context.view(np.int64)
+    part = splitters.part(lead, context, _tie(doc_id, at)) if splitters else np.zeros(len(lead))
+    return pa.RecordBatch.from_arrays([*map(pa.array, (lead, context, doc_id, crc, at, part.astype(np.int32)))], names=_NAMES)
+
+
+def _contexts(joined: bytes, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+    view, blake = memoryview(joined), hashlib.blake2b
+    return np.frombuffer(b"".join([blake(view[a : z + length], digest_size=8).digest() for a, z in zip(lo.tolist(), hi.tolist())]), "<i8")
+
+
 def _pick(length: int):
-    def pick(batches):
-        for rows in _blocks(batches):
-            joined = b"".join(r[-1] for r in rows)
-            starts = np.cumsum([0] + [len(r[-1]) for r in rows[:-1]])
-            # an empty text shares its start with the next: searchsorted(right) then names the last of them
-            doc, lead, lo, hi = picked(np.frombuffer(joined, np.uint8), starts, length, GRAMS[0])
-            view = memoryview(joined)
-            blake = hashlib.blake2b
-            context = np.frombuffer(b"".join([blake(view[a : z + length], digest_size=8).digest() for a, z in zip(lo.tolist(), hi.tolist())]), "<i8")
-            ids = pa.array([r[0] for r in rows], pa.int64()).take(pa.array(doc))
-            crc = np.array([r[1] for r in rows], np.int64)[doc]
-            at = (lo - starts[doc]) << 17 | (hi - lo) << 1
-            yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64)), pa.array(context), ids, pa.array(crc), pa.array(at)], names=["lead", "context", "doc_id", "crc", "at"])
-
-    return pick
+    def maker(splitters: Splitters | None):
+        def pick(batches):
+            for rows in _blocks(batches, length):
+                joined = b"".join(r[-1] for r in rows)
+                starts = np.cumsum([0] + [len(r[-1]) for r in rows[:-1]])
+                # an empty text shares its start with the next: searchsorted(right) then names the last of them
+                doc, lead, lo, hi = picked(np.frombuffer(joined, np.uint8), starts, length, GRAMS[0])
+                ids, crc, offset = (np.array([r[k] for r in rows], np.int64)[doc] for k in range(3))
+                at = (lo - starts[doc] + offset) << 17 | (hi - lo) << 1
+                yield _suffixes(lead, _contexts(joined, lo, hi, length), ids, crc, at, splitters)
+
+        return frugal(pick)
+
+    return maker
 
 
 def _bucket(batches) -> pa.Table | None:
@@ -177,44 +213,55 @@ def _compare(batches):
     yield from pa.table([pa.array(kind), *out.columns], names=["kind", *t.column_names]).to_batches(1 << 16)
 
 
-def _pieces(batches, length: int):
-    """Of each document: its id, crc, the opened contexts' first windows, their marks, and their bytes as pieces."""
+def _pieces(batches, length: int, most: int = BLOCK):
+    """Pieces, the opened contexts of some documents: doc_id, crc, first window, mark and size of each, and their bytes
+    end to end, about ``most`` at a time."""
     for b in batches:
-        for doc_id, crc, spans, body in zip(*(c.to_pylist() for c in b.columns)):
-            marks: dict[int, int] = {}
-            for x in spans:
-                marks[x >> 1] = marks.get(x >> 1, 0) | x & 1
-            where = np.array([x >> 16 for x in marks], np.int64)
-            pieces = [body[x >> 16 : (x >> 16) + (x & 0xFFFF) + length] for x in marks]
-            yield doc_id, crc, where, np.array(list(marks.values()), np.int64), pieces
+        ids, crc, spans, bodies = b.columns
+        ids, crc = ids.to_numpy(), crc.to_numpy()
+        x, row = spans.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), spans.value_lengths().to_numpy())
+        order = np.lexsort((x >> 1, row))
+        x, row = x[order], row[order]
+        runs = _runs(row, x >> 1)[:-1] if len(x) else np.zeros(0, np.int64)
+        mark, x, row = np.maximum.reduceat(x & 1, runs) if len(x) else x, x[runs] >> 1, row[runs]
+        where, size = x >> 16, (x & 0xFFFF) + length
+        ends = np.cumsum(size)
+        texts = bodies.to_pylist()
+        cuts = np.unique([0, *np.searchsorted(ends, np.arange(most, int(ends[-1]) if len(ends) else 0, most)), len(x)])
+        for a, z in pairwise(cuts.tolist()):
+            joined = b"".join([texts[r][w : w + n] for r, w, n in zip(row[a:z].tolist(), where[a:z].tolist(), size[a:z].tolist())])
+            yield ids[row[a:z]], crc[row[a:z]], where[a:z], mark[a:z], size[a:z], joined
 
 
 def _repick(length: int):
-    def repick(batches):
-        for doc_id, crc, where, marks, pieces in _pieces(batches, length):
-            joined = b"".join(pieces)
-            starts = np.cumsum([0, *map(len, pieces[:-1])])
-            piece, lead, lo, hi = picked(np.frombuffer(joined, np.uint8), starts, length, GRAMS[1])
-            context = np.frombuffer(b"".join([hashlib.blake2b(joined[a : z + length], digest_size=8).digest() for a, z in zip(lo.tolist(), hi.tolist())]), "<i8")
-            at = (lo - starts[piece] + where[piece]) << 17 | (hi - lo) << 1 | marks[piece]
-            n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64)), pa.array(context), pa.array([doc_id] * n, pa.int64()), pa.array([crc] * n, pa.int64()), pa.array(at)], names=["lead", "context", "doc_id", "crc", "at"])
+    def maker(splitters: Splitters | None):
+        def repick(batches):
+            for ids, crc, where, marks, size, joined in _pieces(batches, length):
+                starts = np.cumsum(size) - size
+                piece, lead, lo, hi = picked(np.frombuffer(joined, np.uint8), starts, length, GRAMS[1])
+                at = (lo - starts[piece] + where[piece]) << 17 | (hi - lo) << 1 | marks[piece]
+                yield _suffixes(lead, _contexts(joined, lo, hi, length), ids[piece], crc[piece], at, splitters)
 
-    return repick
+        return frugal(repick)
+
+    return maker
 
 
 def _open(length: int):
-    def open_(batches):
-        for doc_id, crc, where, marks, pieces in _pieces(batches, length):
-            sizes = np.array([len(x) for x in pieces]) - length + 1
-            bufs = [np.frombuffer(x, np.uint8) for x in pieces]
-            w1, w2 = (np.concatenate([codes(x, length, seed) for x in bufs]).view(np.int64) for seed in (0, 1))
-            n = int(sizes.sum())
-            inner = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = (np.repeat(where, sizes) + inner) << 17 | np.repeat(marks, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array([doc_id] * n, pa.int64()), pa.array([crc] * n, pa.int64()), pa.array(at)], names=["lead", "context", "doc_id", "crc", "at"])
+    def maker(splitters: Splitters | None):
+        def open_(batches):
+            for ids, crc, where, marks, size, joined in _pieces(batches, length):
+                n = size - length + 1  # windows of each piece
+                inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                first = np.repeat(np.cumsum(size) - size, n) + inner
+                buf = np.frombuffer(joined, np.uint8)
+                w1, w2 = (codes(buf, length, seed)[first] for seed in (0, 1))
+                at = (np.repeat(where, n) + inner) << 17 | np.repeat(marks, n)
+                yield _suffixes(w1, w2, np.repeat(ids, n), np.repeat(crc, n), at, splitters)
+
+        return frugal(open_)
 
-    return open_
+    return maker
 
 
 def _compare_windows(batches):
@@ -237,32 +284,58 @@ def _compare_windows(batches):
     yield from pa.table([pa.array(kind), *out.columns], names=["kind", *t.column_names]).to_batches(1 << 16)
 
 
-def _ranged(df: DataFrame, n: int) -> DataFrame:
-    return df.repartitionByRange(n, "lead", "context", F.xxhash64("doc_id", "at"))
+def splitters(sample: DataFrame, n: int, per: int = 64) -> Splitters:
+    """What parts suffixes like those of ``sample`` evenly into ``n`` ranges; at most ``per * n`` rows come to the
+    driver, those with the least hashes."""
+    got = sample.orderBy(F.xxhash64("doc_id", "at", "crc"), "lead").limit(per * n).toPandas()
+    lead, context, doc_id, at = (got[c].to_numpy(np.int64) for c in ("lead", "context", "doc_id", "at"))
+    if len(got) < n:  # too few to tell: codes are even
+        even = np.array([(k << 64) // n - (1 << 63) for k in range(1, n)], np.int64)
+        return Splitters(even, np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64))
+    tie = _tie(doc_id, at)
+    order = np.lexsort((tie, context, lead))[np.arange(1, n) * len(got) // n]
+    return Splitters(lead[order], context[order], tie[order])
+
+
+def _ranged(rows: DataFrame, sample: DataFrame, maker, n: int) -> DataFrame:
+    """The suffixes that ``maker`` makes of ``rows``, in ``n`` ranges; the splitters come from those of ``sample``."""
+    dealt = rows.mapInArrow(maker(splitters(sample.mapInArrow(maker(None), SUFFIXES), n)), SUFFIXES)
+    return dealt.repartitionById(n, "part").drop("part")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__body": body}).withColumn("__crc", F.crc32("__body"))
+    # the key of a row: a null doc_id takes the least number, so that arrays of ids have no holes
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__key": key, "__body": body}).withColumn("__crc", F.crc32("__body"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, bucket_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, crc, spans) of every text with a repeat; crc tells rows that repeat a doc_id apart. spans are the first
     and last start of repeated windows as start << 16 | extent, unordered."""
     spark = docs.sparkSession
-    t = _texts(docs).select(F.col("__doc").alias("doc_id"), F.col("__crc").alias("crc"), F.col("__body").alias("body"))
+    t = _texts(docs).select(F.col("__key").alias("doc_id"), F.col("__crc").alias("crc"), F.col("__body").alias("body"))
     total = t.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     t = t.where(F.octet_length("body") >= length)
 
-    def bodies(found: DataFrame) -> DataFrame:
-        todo = written(found.where("kind > 1").groupBy("doc_id", "crc").agg(F.collect_list(F.col("at").bitwiseOR((F.col("kind") == 3).cast("long"))).alias("spans")), "opened")
-        have = maybe_in(t, key_bits(todo, "doc_id", "crc"), "doc_id", "crc").select(F.col("doc_id").alias("d"), F.col("crc").alias("c"), "body")
-        return todo.hint("merge").join(have.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("c"))).select("doc_id", "crc", "spans", "body")
+    def some(df: DataFrame, share: float) -> DataFrame:
+        return df.where(F.pmod(F.xxhash64("doc_id", "crc", F.lit(n)), F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
 
-    found = written(_ranged(t.mapInArrow(_pick(length), SUFFIXES), n).mapInArrow(_compare, FOUND), "suffixes")
-    again = written(_ranged(bodies(found).mapInArrow(_repick(length), SUFFIXES), n).mapInArrow(_compare, FOUND), "suffixes")
-    windows = written(_ranged(bodies(again).mapInArrow(_open(length), SUFFIXES), n).mapInArrow(_compare_windows, FOUND), "windows")
+    def bodies(todo: DataFrame) -> DataFrame:
+        have = maybe_in(t, key_bits(todo, "doc_id", "crc"), "doc_id", "crc").select(F.col("doc_id").alias("d"), F.col("crc").alias("c"), "body")
+        return todo.hint("merge").join(have.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("crc") == F.col("c"))).select("doc_id", "crc", "spans", "body")
+
+    def again_from(found: DataFrame, maker, apart: int) -> DataFrame:
+        """What goes on, opened by ``maker``, which makes a suffix of about ``apart`` bytes."""
+        marked = F.collect_list(F.col("at").bitwiseOR((F.col("kind") == 3).cast("long")))
+        todo = written(found.where("kind > 1").groupBy("doc_id", "crc").agg(marked.alias("spans")), "opened")
+        size = todo.agg(F.sum(F.expr(f"aggregate(spans, 0L, (a, x) -> a + (shiftright(x, 1) & 65535) + {length})"))).first()[0] or 0
+        return _ranged(bodies(todo), bodies(written(some(todo, 192 * n * apart / max(1, size)), "opened-sample")), maker, n)
+
+    found = written(_ranged(t, some(t, 192 * n * 68 / max(1, total)), _pick(length), n).mapInArrow(frugal(_compare, 0), FOUND), "suffixes")
+    again = written(again_from(found, _repick(length), 26).mapInArrow(frugal(_compare, 0), FOUND), "suffixes")
+    windows = written(again_from(again, _open(length), 1).mapInArrow(frugal(_compare_windows, 0), FOUND), "windows")
     ends = windows.where("kind = 4").groupBy("lead", "context").agg(F.count("*").alias("n")).where("n > 1")
     across = windows.where("kind = 5").hint("merge").join(ends.hint("merge"), ["lead", "context"], "left_semi")
     whole = found.union(again).union(windows).where("kind = 1").select("doc_id", "crc", "at").union(across.select("doc_id", "crc", "at"))
@@ -290,10 +363,10 @@ def _with_spans(docs: DataFrame, length: int, columns: list[str]) -> DataFrame:
     """``columns`` of every row with its body and its spans (null: none); only rows that may have spans are joined."""
     spans = written(repeated_spans(docs, length), "spans")
     bits = key_bits(spans, "doc_id", "crc")
-    t = _texts(docs).select(*columns, "__doc", "__crc", "__body")
+    t = _texts(docs).select(*columns, "__doc", "__key", "__crc", "__body")
     spans = spans.select(F.col("doc_id").alias("__d"), F.col("crc").alias("__c"), F.col("spans").alias("__spans"))
-    some = maybe_in(t, bits, "__doc", "__crc").hint("merge").join(spans.hint("merge"), F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__crc") == F.col("__c")), "left")
-    none = maybe_in(t, bits, "__doc", "__crc", negate=True).withColumn("__spans", F.lit(None).cast("array<bigint>"))
+    some = maybe_in(t, bits, "__key", "__crc").hint("merge").join(spans.hint("merge"), (F.col("__key") == F.col("__d")) & (F.col("__crc") == F.col("__c")), "left")
+    none = maybe_in(t, bits, "__key", "__crc", negate=True).withColumn("__spans", F.lit(None).cast("array<bigint>"))
     columns = list(dict.fromkeys([*columns, "__doc", "__body", "__spans"]))
     return some.select(*columns).unionAll(none.select(*columns))
 
@@ -315,7 +388,7 @@ def _digest(length: int):
 def removal_digest(docs: DataFrame, length: int = 200) -> DataFrame:
     """What is removed of every document, and the SHA-256 of the rest. Null text is empty; null or repeated doc_ids
     keep a row each (equal rows are repeats of each other); an empty table gives no rows; extra columns are ignored."""
-    return _with_spans(docs, length, []).select("__doc", "__body", "__spans").mapInArrow(_digest(length), RESULT)
+    return _with_spans(docs, length, []).select("__doc", "__body", "__spans").mapInArrow(frugal(_digest(length)), RESULT)
 
 
 def _clean(length: int):
@@ -332,5 +405,5 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """``docs`` with the repeated bytes cut out of text, all other columns kept; characters cut in half go."""
     others = [c for c in docs.columns if c != "text"]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    kept = _with_spans(docs, length, others).select(*others, "__body", "__spans").mapInArrow(_clean(length), ", ".join([*fields, "text string"]))
+    kept = _with_spans(docs, length, others).select(*others, "__body", "__spans").mapInArrow(frugal(_clean(length)), ", ".join([*fields, "text string"]))
     return kept.select(*docs.columns)
