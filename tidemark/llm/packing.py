@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import frugal, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long"
 OPEN = PIECES + ", ids binary, part long"
@@ -44,7 +44,7 @@ class WordTokens:
     parts these as the code here does, so they go straight to its model; all others take its whole pipeline.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only spin
@@ -222,7 +222,7 @@ def _pack_documents(path: str, end_id: int, size: int, most: int, least_cut: int
         yield _batch(rows)
         yield _batch(_rows(w.rest(False), None, part))
 
-    return pack
+    return frugal(pack, 0)
 
 
 def _merge(round_: int, fan_in: int, size: int, most: int, least_cut: int, last: bool):
@@ -248,15 +248,16 @@ def _merge(round_: int, fan_in: int, size: int, most: int, least_cut: int, last:
         if w:
             yield _batch(close())
 
-    return merge
+    return frugal(merge)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, open_windows: int = 32, end_id: int = 2, least_cut: int = 32, fan_in: int = 32) -> DataFrame:
     """Packs every document's ids (then ``end_id``) into sequences of at most ``size``; one row per piece.
 
     Null or empty text is the end id alone. Repeated or null doc_ids are packed as documents of their own (column
-    row tells them apart); an empty table gives no rows; extra columns are ignored. Only the last sequence of the
-    last merge can be short of ``size`` by more than a cut's least length.
+    row tells them apart); an empty table gives no rows; extra columns are ignored. A sequence of
+    the first merges is short of ``size`` by its gap where a cut would leave a piece under ``least_cut``; the last merge
+    pours its windows together, so that of these one at most isn't full.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

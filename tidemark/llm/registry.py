@@ -59,8 +59,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sampled = segmentations.sample_segmentations(_docs(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
-    return sampled.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_p", "perturbed", "threshold", "inclusion")
+    path = tokenizer_file("piece_bpe_32k.model")
+    sampled = segmentations.sample_segmentations(_docs(spark, sf_dir), path).withColumn("ids_crc32", F.crc32("ids"))
+    return segmentations.decode(sampled, path).withColumn("text_crc32", F.crc32(F.col("text").cast("binary"))).drop("text")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,26 +7,37 @@ pieces excluded) is bounded by one Gumbel variable at its total weight, truncate
 highest bound is split along one sampled path, whose own value is the bound. Paths come out in descending order.
 
 Pieces never cross a word's start, so the lattice is a chain of word lattices. Each distinct word's lattice is built
-once per worker (in numpy over many words at a time) and shared by all its occurrences; drawing is vectorised over a
-text's words.
+once per worker (in numpy over many words at a time) and shared by all its occurrences; drawing and searching are
+vectorised over the words and rows of many texts. A run of spaces belongs to the word behind it, so pieces that are
+runs of word marks take part.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import mix64
+from tidemark.llm.common import frugal, mix64
 
 SAMPLES = "doc_id long, sample int, n_pieces long, log_p double, perturbed double, threshold double, inclusion double, ids binary"
 SPACE = "▁"
 _C = np.random.default_rng(9).integers(1, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+_NONE = np.iinfo(np.int32).min
+
+
+def _step(h: np.ndarray, points: np.ndarray) -> np.ndarray:
+    h = (h ^ points) * _C[0]
+    return h ^ (h >> np.uint64(31))
+
+
 class _Grown:
     """An array that grows at its end by doubling."""
 
@@ -57,12 +68,12 @@ class Lattice:
     ways from a node to the word's end, so an arc's probability is exp(weight + beta(next) - beta(node)).
     """
 
-    def __init__(self, path: str, temperature: float = 1.0, most_words: int = 400_000):
+    def __init__(self, path: str, temperature: float = 1.0, most_arcs: int = 3_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
-        usable = [i for i in range(len(self.pieces)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) and len(self.pieces[i]) <= 24 and SPACE not in self.pieces[i][1:]]
+        usable = [i for i in range(len(self.pieces)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) and self.pieces[i] and SPACE not in self.pieces[i].lstrip(SPACE)]
         byte = {int(self.pieces[i][1:-1], 16): i for i in range(len(self.pieces)) if sp.is_byte(i)}
         self.byte_ids = np.array([byte.get(i, sp.unk_id()) for i in range(256)], np.int64)
         # a merge vocabulary stores ranks, not probabilities: weights follow Zipf's law over its order
@@ -72,23 +83,41 @@ class Lattice:
         self.byte_weight = float(z[-1])  # of each byte of a character that no piece covers
         self.ids = {self.pieces[i]: (i, float(z[rank[i]])) for i in usable}
         self.longest = max(map(len, self.ids))
-        names = list(self.ids)
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for n in sorted(set(map(len, names))):
-            some = [x for x in names if len(x) == n]
-            h = self._hash(np.array([[ord(c) for c in x] for x in some], np.uint64))
-            o = np.argsort(h)
-            self.by_length[n] = (h[o], np.array([self.ids[x][0] for x in some], np.int64)[o], np.array([self.ids[x][1] for x in some])[o])
-        self.most = most_words
+        # a table of the pieces by their hashes, filled by linear probing
+        rows = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") for x in self.ids]
+        self.keys = np.array([self._hash(x.astype(np.uint64)) for x in rows], np.uint64)
+        # the last entry stands for no piece
+        self.piece_id, self.piece_weight = (np.array([*x, none]) for x, none in zip(zip(*self.ids.values()), (_NONE, -np.inf)))
+        self.piece_id = self.piece_id.astype(np.int32)
+        bits = max(4, (8 * len(rows)).bit_length())
+        self.shift, self.slots, self.probes = np.uint64(64 - bits), np.full((1 << bits) + 64, -1, np.int32), 1
+        for i, at in enumerate((self.keys >> self.shift).tolist()):
+            start = at
+            while self.slots[at] >= 0:
+                at += 1
+            self.slots[at] = i
+            self.probes = max(self.probes, at - start + 1)
+        self.most = most_arcs  # 22 bytes each; over it the words start anew, which bounds memory, not results
         self.clear()
 
     @staticmethod
     def _hash(points: np.ndarray) -> np.ndarray:
-        h = np.zeros(points.shape[:-1], np.uint64)
-        for k in range(points.shape[-1]):
-            h = (h ^ points[..., k]) * _C[0]
-            h ^= h >> np.uint64(31)
-        return h
+        h = np.zeros(1, np.uint64)
+        for x in points:
+            h = _step(h, x)
+        return h[0]
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The row of the piece with each hash, or -1."""
+        at = (h >> self.shift).astype(np.int64)
+        row = self.slots[at]
+        open_ = np.flatnonzero((row >= 0) & (self.keys[row] != h))
+        for k in range(1, self.probes + 1):
+            if not len(open_):
+                break
+            row[open_] = self.slots[at[open_] + k] if k < self.probes else -1
+            open_ = open_[(row[open_] >= 0) & (self.keys[row[open_]] != h[open_])]
+        return row
 
     def clear(self) -> None:
         self.words = _Index()
@@ -96,9 +125,9 @@ class Lattice:
         self._first = _Grown([], np.int64)  # first node of each word
         self._chars = _Grown([], np.int64)  # its length
         self._arc0 = _Grown([0], np.int64)  # per node: first arc
-        self._cum = _Grown([], np.float64)  # per arc: cumulative probability through it; a node's likeliest arc comes first
+        self._cum = _Grown([], np.float64)  # per arc: cumulative probability through it; a node's longest arc comes first
         self._arc_id = _Grown([], np.int32)  # piece id, or -1 - code point for a character in bytes
-        self._arc_n = _Grown([], np.int8)
+        self._arc_n = _Grown([], np.int16)
         self._arc_w = _Grown([], np.float64)  # log-probability of the arc given its node
         self._arc_only = _Grown([], bool)  # the only one of its node, so it can't be left
         self._show()
@@ -106,67 +135,60 @@ class Lattice:
     def _show(self) -> None:
         self.first, self.chars, self.arc0, self.cum, self.arc_id, self.arc_n, self.arc_w, self.arc_only = (x.room for x in (self._first, self._chars, self._arc0, self._cum, self._arc_id, self._arc_n, self._arc_w, self._arc_only))
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str], cells: int = 1 << 20) -> None:
+        """Adds the lattices of new words, those of one length side by side: rows are words, columns their positions, and
+        the third axis the lengths of pieces, long ones first."""
+        words = [SPACE + w.replace(" ", SPACE) for w in words]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        base = np.cumsum(sizes) - sizes
-        left = np.repeat(base + sizes, sizes) - np.arange(len(text))  # characters from each node to its word's end
-        nodes, lens, ids, weights = [], [], [], []
-        h = np.zeros(len(text), np.uint64)
-        for n in range(1, min(self.longest, int(sizes.max(initial=0))) + 1):
-            h = h[: len(text) - n + 1] if len(text) >= n else h[:0]
-            h = (h ^ text[n - 1 :]) * _C[0]
-            h ^= h >> np.uint64(31)
-            at = np.flatnonzero(left[: len(h)] >= n)
-            if n in self.by_length and len(at):
-                keys, pid, w = self.by_length[n]
-                k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-                ok = keys[k] == h[at]
-                nodes.append(at[ok])
-                lens.append(np.full(int(ok.sum()), n))
-                ids.append(pid[k[ok]])
-                weights.append(w[k[ok]])
-        covered = np.zeros(len(text), bool)
-        for a, n in zip(nodes, lens):
-            if len(n) and n[0] == 1:
-                covered[a] = True
-        bare = np.flatnonzero(~covered)
-        points = text[bare].astype(np.int64)
-        nbytes = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-        nodes.append(bare)
-        lens.append(np.ones(len(bare), np.int64))
-        ids.append(-1 - points)
-        weights.append(nbytes * self.byte_weight)
-        node, n, pid, w = (np.concatenate(z) for z in (nodes, lens, ids, weights))
-        order = np.lexsort((pid, n, node))
-        node, n, pid, w = node[order], n[order], pid[order], w[order]
-        counts = np.bincount(node, minlength=len(text))
-        # totals from the words' ends backward: the nodes with the same distance to the end step together
-        beta = np.zeros(len(text) + 1)
-        is_end = n == left[node]
-        by_left = np.argsort(left[node], kind="stable")
-        cuts = np.searchsorted(left[node][by_left], np.arange(1, int(left.max(initial=0)) + 2))
-        for a, z in zip(cuts[:-1], cuts[1:]):
-            e = by_left[a:z]
-            v = w[e] + np.where(is_end[e], 0.0, beta[np.minimum(node[e] + n[e], len(text))])
-            starts = np.flatnonzero(np.append(True, node[e][1:] != node[e][:-1]))
-            top = np.maximum.reduceat(v, starts)
-            total = np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(starts, len(v))))), starts)) + top
-            beta[node[e][starts]] = total
-        lw = w + np.where(is_end, 0.0, beta[np.minimum(node + n, len(text))]) - beta[node]
-        p = np.exp(lw)
-        order = np.lexsort((pid, -p, node))  # node stays as it is
-        n, pid, p, lw = n[order], pid[order], p[order], lw[order]
-        ends = np.cumsum(counts)
-        c = np.cumsum(p)
-        before = np.where(ends - counts > 0, c[np.maximum(ends - counts - 1, 0)], 0.0)
-        share = np.clip((c - np.repeat(before, counts)) / np.repeat(np.add.reduceat(p, ends - counts), counts), 0, 1)
-        share[ends - 1] = 1.0
-        n0, a0 = self._arc0.n - 1, self._cum.n
-        for room, more in ((self._first, base + n0), (self._chars, sizes), (self._cum, share), (self._arc0, ends + a0), (self._arc_id, pid), (self._arc_n, n), (self._arc_only, np.repeat(counts == 1, counts)), (self._arc_w, lw)):
-            room.add(more)
+        order = np.argsort(sizes, kind="stable")
+        text = np.frombuffer("".join([words[i] for i in order.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4")
+        first, done, at = np.empty(len(words), np.int64), 0, 0
+        while done < len(words):
+            size = int(sizes[order[done]])
+            width = min(size, self.longest)
+            n = min(int(np.searchsorted(sizes[order], size, "right")) - done, max(1, cells // (size * width)))
+            first[order[done : done + n]] = self._arc0.n - 1 + np.arange(n) * size
+            self._learn(text[at : at + n * size].astype(np.uint64).reshape(n, size), width)
+            done, at = done + n, at + n * size
+        self._first.add(first)
+        self._chars.add(sizes)
         self._show()
 
+    def _learn(self, chars: np.ndarray, width: int) -> None:
+        n, size = chars.shape
+        chars = np.ascontiguousarray(chars.T)  # words last: every step below runs along them
+        ids = np.full((size, width, n), _NONE, np.int32)
+        weight = np.full((size, width, n), -np.inf)
+        h = np.zeros((size, n), np.uint64)
+        for k in range(width):
+            h = _step(h[: size - k], chars[k:])
+            row = self._find(h.ravel()).reshape(h.shape)
+            ids[: size - k, width - 1 - k], weight[: size - k, width - 1 - k] = self.piece_id[row], self.piece_weight[row]
+        bare = ids[:, -1] == _NONE
+        points = chars[bare].astype(np.int64)
+        ids[:, -1][bare] = -1 - points
+        weight[:, -1][bare] = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)) * self.byte_weight
+        # totals from the words' ends backward
+        beta = np.zeros((size + width, n))
+        for i in range(size - 1, -1, -1):
+            v = weight[i, max(0, width - size + i) :]
+            v = v + beta[i + 1 : i + 1 + len(v)][::-1]
+            top = v.max(0)
+            beta[i] = np.log(np.exp(v - top).sum(0)) + top
+        # the arcs word by word, node by node
+        word, at, k = np.nonzero((ids != _NONE).transpose(2, 0, 1))
+        step = width - k
+        log_p = weight[at, k, word] + beta[at + step, word] - beta[at, word]
+        counts = np.bincount(word * size + at, minlength=n * size)
+        share, head, most = np.exp(log_p), np.cumsum(counts) - counts, int(counts.max(initial=1))
+        for r in range(1, most):
+            on = head[counts > r] + r
+            share[on] += share[on - 1]
+        share = np.minimum(1.0, share / np.repeat(share[head + counts - 1], counts))
+        self._arc0.add(self._cum.n + np.cumsum(counts))
+        for room, more in ((self._cum, share), (self._arc_id, ids[at, k, word]), (self._arc_n, step), (self._arc_only, np.repeat(counts == 1, counts)), (self._arc_w, log_p)):
+            room.add(more)
+
     def draw(self, node: np.ndarray, left: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Arcs of a sampled path to the word's end from each node, one path after the other, and their numbers."""
         who, out, total = np.arange(len(node)), [], np.zeros(len(node), np.int64)
@@ -189,7 +211,11 @@ class Lattice:
         return whole, total
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.words) > self.most:
+        """The numbers of words as ``words_of`` gives them."""
+        return self.numbers_raw([w[1:] for w in words])
+
+    def numbers_raw(self, words: list[str]) -> np.ndarray:
+        if self._cum.n > self.most:
             self.clear()
         at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         if self.words.new:
@@ -198,30 +224,40 @@ class Lattice:
         return at
 
     def piece_ids(self, arcs: np.ndarray) -> np.ndarray:
+        return self.piece_ids_of(arcs, np.array([len(arcs)]))[0]
+
+    def piece_ids_of(self, arcs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of paths laid end to end, of ``counts`` arcs each, and how many ids each path has."""
         ids = self.arc_id[arcs].astype(np.int64)
-        low = np.flatnonzero(ids < 0)
+        low = np.flatnonzero(ids < 0)  # characters in bytes
         if not len(low):
-            return ids
+            return ids, counts
         points = -1 - ids[low]
-        ids[low] = np.where(points < 128, self.byte_ids[np.minimum(points, 127)], ids[low])
-        if (points < 128).all():
-            return ids
-        cuts = low[points >= 128]  # characters of several bytes
-        parts, last = [], 0
-        for c in cuts.tolist():
-            parts += [ids[last:c], self.byte_ids[list(chr(-1 - int(ids[c])).encode("utf-8", "surrogatepass"))]]
-            last = c + 1
-        return np.concatenate([*parts, ids[last:]])
+        size = np.ones(len(ids), np.int64)
+        size[low] = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        at = np.cumsum(size) - size
+        out = np.repeat(ids, size)
+        raw = np.frombuffer("".join(map(chr, points.tolist())).encode("utf-8", "surrogatepass"), np.uint8)
+        n = size[low]
+        out[np.repeat(at[low] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))] = self.byte_ids[raw]
+        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(counts))]
+        return out, np.diff(ends)
+
 
+_run = re.compile(" +[^ ]*")
 
-def normal(text: str | None) -> str:
-    """The lattice's text: a space in front, spaces as the word mark."""
-    return (SPACE + text.replace(" ", SPACE)) if text else ""
+
+def _raw_words(text: str | None) -> list[str]:
+    """The text with a space in front, cut before each run of spaces; the first space of each run is left out."""
+    if not text:
+        return []
+    words = text.split(" ")
+    return [w[1:] for w in _run.findall(" " + text)] if "" in words else words
 
 
 def words_of(text: str | None) -> list[str]:
-    """The normal form cut before each word mark."""
-    return [SPACE + w for w in text.split(" ")] if text else []
+    """The normal form cut before each run of word marks."""
+    return [SPACE + w.replace(" ", SPACE) for w in _raw_words(text)]
 
 
 def uniform(seed: np.ndarray, stream) -> np.ndarray:
@@ -245,65 +281,139 @@ def _bounds(lattice: Lattice, arcs: np.ndarray, prefix: np.ndarray, top: np.ndar
     return np.where(lattice.arc_only[arcs], -np.inf, _below(_gumbel(prefix + rest, uniform(seed, 200)), top))
 
 
-def top_k(lattice: Lattice, rows: list[np.ndarray], seeds: list[int], k: int) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
-    """For each row of word numbers, up to k distinct paths as (arcs, log-probability, perturbed value) in descending
-    value, and the next value (-inf if there is none): the threshold of inclusion. Rows are searched side by side."""
-    state = []
-    for numbers, s in zip(rows, seeds):
-        base = mix64(np.array([s], np.uint64))[0]
-        top = float(_gumbel(np.zeros(1), uniform(np.array([base]), 201))[0])
-        state.append({"first": lattice.first[numbers], "chars": lattice.chars[numbers], "base": base, "paths": [], "found": [], "next": top, "open": True})
+def _ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in its row) of ragged rows laid end to end."""
+    return np.repeat(np.arange(len(counts)), counts), np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+class _Paths:
+    """One sampled path of some rows: arcs, bounds and log-probabilities before each arc, laid end to end."""
+
+    def __init__(self, lattice: Lattice, n_rows: int, rows, counts, arcs, bounds, before, log_p, value):
+        self.rows, self.counts, self.arcs, self.bounds, self.before, self.log_p, self.value = rows, counts, arcs, bounds, before, log_p, value
+        self.off = np.full(n_rows, -1)
+        self.off[rows] = np.cumsum(counts) - counts
+        n = lattice.arc_n[arcs].astype(np.int64)
+        self.chars = np.cumsum(n) - n  # before each arc, counted from the first row's start
+        self.n_rows = n_rows
+        self.rate()
+
+    def rate(self) -> None:
+        """The highest bound of each row, and where it is."""
+        self.best, self.at = np.full(self.n_rows, -np.inf), np.zeros(self.n_rows, np.int64)
+        some = self.counts > 0
+        if not some.any():
+            return
+        rows, starts, counts = self.rows[some], self.off[self.rows[some]], self.counts[some]
+        top = np.maximum.reduceat(self.bounds, starts)
+        hit = np.flatnonzero(self.bounds == np.repeat(top, counts))
+        owner = np.repeat(np.arange(len(rows)), counts)[hit]
+        first = np.unique(owner, return_index=True)[1]
+        self.best[rows], self.at[rows] = top, hit[first]
+
+
+def search(lattice: Lattice, numbers: np.ndarray, n_words: np.ndarray, seeds: np.ndarray, k: int) -> tuple[list[_Paths], np.ndarray]:
+    """Up to k distinct paths of each row of word numbers, as one _Paths for each rank, and each row's next value
+    (-inf if there is none): the threshold of inclusion. All rows are searched side by side."""
+    n = len(n_words)
+    first, chars = lattice.first[numbers], lattice.chars[numbers]
+    word_end = np.cumsum(n_words)
+    char_end = np.cumsum(chars)
+    row_char = np.append(0, char_end)[word_end - n_words]
+    base = mix64(seeds.astype(np.uint64))
+    following = _gumbel(np.zeros(n), uniform(base, 201))
+    found: list[_Paths] = []
+    left_out: dict[tuple[int, int, int], set[int]] = {}  # (row, path, place): the arcs that its set excludes
     for j in range(k):
-        work = []
-        for r in state:
-            if not r["open"]:
-                continue
-            if not j:
-                work.append((r, r["first"], r["chars"], 0.0, r["next"], np.zeros(0, np.int64), np.zeros(0)))
-                continue
-            value, best = r["next"], r["best"]
-            t = int(best["bounds"].argmax())
-            node = int(_node(lattice, best["arcs"][t : t + 1])[0])
-            out = best["out"].setdefault(t, {int(best["arcs"][t])})
-            free = np.array([x for x in range(int(lattice.arc0[node]), int(lattice.arc0[node + 1])) if x not in out])
-            p = np.exp(lattice.arc_w[free])
-            u = uniform(np.array([r["base"]]), 1000 + 2 * j + np.arange(2))
-            arc = int(free[min(int(np.searchsorted(np.cumsum(p), u[0] * p.sum())), len(p) - 1)])
-            out.add(arc)
-            at = float(best["before"][t])
+        if not j:
+            rows, value, head = np.arange(n), following, np.zeros(n)
+            part = np.zeros(n, bool)
+            start = length = np.zeros(n, np.int64)
+            word = word_end - n_words - 1
+        else:
+            rows = np.flatnonzero(following > -np.inf)
+            if not len(rows):
+                break
+            value, r = following[rows], np.arange(len(rows))
+            which = np.stack([p.best for p in found])[:, rows].argmax(0)
+            shift = np.append(0, np.cumsum([len(p.arcs) for p in found]))
+            arcs, before, done = (np.concatenate([getattr(p, c) for p in found]) for c in ("arcs", "before", "chars"))
+            off = np.stack([p.off for p in found])[which, rows] + shift[which]
+            at = np.stack([p.at for p in found])[which, rows] + shift[which]
+            old, at_p = arcs[at], before[at]
+            node = _node(lattice, old)
+            a0, width = lattice.arc0[node], lattice.arc0[node + 1] - lattice.arc0[node]
+            cell = np.minimum(a0[:, None] + np.arange(int(width.max())), len(lattice.arc_w) - 1)
+            free = (np.arange(cell.shape[1]) < width[:, None]) & (cell != old[:, None])
+            if j > 1:
+                for i, key in enumerate(zip(rows.tolist(), which.tolist(), (at - off).tolist())):
+                    if key in left_out:
+                        free[i] &= ~np.isin(cell[i], list(left_out[key]))
+            p = np.where(free, np.exp(lattice.arc_w[cell]), 0.0)
+            cum = np.cumsum(p, 1)
+            total = cum[:, -1]
+            u = uniform(base[rows], 1000 + 2 * j)
+            hit = free & (cum >= (u * total)[:, None])
+            pick = np.where(hit.any(1), hit.argmax(1), cell.shape[1] - 1 - free[:, ::-1].argmax(1))
+            arc = cell[r, pick]
+            if j + 1 < k:
+                for key, x, y in zip(zip(rows.tolist(), which.tolist(), (at - off).tolist()), old.tolist(), arc.tolist()):
+                    left_out.setdefault(key, {x}).add(y)
             # the same node again, with this arc excluded too
-            left = float(p.sum() - np.exp(lattice.arc_w[arc]))
-            best["bounds"][t] = _below(_gumbel(np.array([at + np.log(left)]), u[1:]), value)[0] if len(free) > 1 and left > 0 else -np.inf
+            rest = total - p[r, pick]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                again = _below(_gumbel(at_p + np.log(rest), uniform(base[rows], 1001 + 2 * j)), value)
+            again = np.where((free.sum(1) > 1) & (rest > 0), again, -np.inf)
+            for q in np.unique(which).tolist():
+                own = which == q
+                found[q].bounds[at[own] - shift[q]] = again[own]
+                found[q].rate()
             # the rest of the word, then the following words
-            done, ends = int(lattice.arc_n[best["arcs"][:t]].sum(dtype=np.int64)), np.cumsum(r["chars"])
-            w, step = int(np.searchsorted(ends, done, "right")), int(lattice.arc_n[arc])
-            start, length = np.append(node + step, r["first"][w + 1 :]), np.append(int(ends[w]) - done - step, r["chars"][w + 1 :])
-            if length[0] == 0:
-                start, length = start[1:], length[1:]
-            work.append((r, start, length, at, value, np.append(best["arcs"][:t], arc), np.append(best["before"][:t], at)))
-        if not work:
-            break
-        sizes = np.array([len(x[1]) for x in work])
-        inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        seed = mix64(np.repeat(np.array([x[0]["base"] for x in work], np.uint64), sizes) + (inner * 64 + j).astype(np.uint64) * _C[2])
-        arcs, counts = lattice.draw(np.concatenate([x[1] for x in work]), np.concatenate([x[2] for x in work]), seed)
-        own = np.add.reduceat(np.append(counts, 0), np.minimum(np.cumsum(sizes) - sizes, len(counts))) * (sizes > 0)
-        stops = np.cumsum(own)
-        sums = np.cumsum(lattice.arc_w[arcs])
-        head = [x[3] + (float(lattice.arc_w[x[5][-1]]) if len(x[5]) else 0.0) for x in work]
-        shift = np.repeat(np.array(head) - np.append(0.0, sums)[stops - own], own)
-        phi = sums + shift
-        before = phi - lattice.arc_w[arcs]
-        place = np.arange(len(arcs)) - np.repeat(stops - own, own)
-        base = np.repeat(np.array([x[0]["base"] for x in work], np.uint64), own)
-        bounds = _bounds(lattice, arcs, before, np.repeat(np.array([x[4] for x in work]), own), mix64(base + (place * 64 + j).astype(np.uint64) * _C[0]))
-        for (r, _, _, _, value, kept, prefix), a, z, h in zip(work, stops - own, stops, head):
-            r["paths"].append({"arcs": np.concatenate([kept, arcs[a:z]]), "bounds": np.concatenate([np.full(len(kept), -np.inf), bounds[a:z]]), "before": np.concatenate([prefix, before[a:z]]), "out": {}})
-            r["found"].append((r["paths"][-1]["arcs"], float(phi[z - 1]) if z > a else h, value))
-            r["best"] = max(r["paths"], key=lambda q: q["bounds"].max(initial=-np.inf))
-            r["next"] = float(r["best"]["bounds"].max(initial=-np.inf))
-            r["open"] = r["next"] > -np.inf
-    return [(r["found"], r["next"]) for r in state]
+            step = lattice.arc_n[arc].astype(np.int64)
+            place = row_char[rows] + done[at] - np.where(off < at, done[off], done[at])
+            word = np.searchsorted(char_end, place, "right")
+            start, length = node + step, char_end[word] - place - step
+            part, head = length > 0, at_p + lattice.arc_w[arc]
+        m = part + word_end[rows] - word - 1
+        row, inner = _ragged(m)
+        here = part[row] & (inner == 0)
+        number = np.where(here, 0, word[row] + 1 + inner - part[row])
+        nodes, lefts = (np.where(here, x[row], y[number]) if len(y) else x[row] for x, y in ((start, first), (length, chars)))
+        seed = mix64(base[rows][row] + (inner * 64 + j).astype(np.uint64) * _C[2])
+        drawn, counts = lattice.draw(nodes, lefts, seed)
+        own = np.diff(np.append(0, np.cumsum(counts))[np.append(0, np.cumsum(m))])
+        sums, stops = np.cumsum(lattice.arc_w[drawn]), np.cumsum(own)
+        phi = sums + np.repeat(head - np.append(0.0, sums)[stops - own], own)
+        after = phi - lattice.arc_w[drawn]
+        row, inner = _ragged(own)
+        bounds = _bounds(lattice, drawn, after, value[row], mix64(base[rows][row] + (inner * 64 + j).astype(np.uint64) * _C[0]))
+        log_p = head.copy()
+        log_p[own > 0] = phi[stops[own > 0] - 1]
+        if j:
+            # before what was drawn stand the arcs that are kept and the one that leaves the old path
+            kept = at - off
+            size = kept + 1 + own
+            where = np.cumsum(size) - size
+            all_arcs, all_bounds, all_before = np.empty(int(size.sum()), np.int64), np.full(int(size.sum()), -np.inf), np.empty(int(size.sum()))
+            k_row, k_inner = _ragged(kept)
+            all_arcs[where[k_row] + k_inner], all_before[where[k_row] + k_inner] = arcs[off[k_row] + k_inner], before[off[k_row] + k_inner]
+            all_arcs[where + kept], all_before[where + kept] = arc, at_p
+            to = where[row] + kept[row] + 1 + inner
+            all_arcs[to], all_bounds[to], all_before[to] = drawn, bounds, after
+            drawn, bounds, after, own = all_arcs, all_bounds, all_before, size
+        found.append(_Paths(lattice, n, rows, own, drawn, bounds, after, log_p, value))
+        following = np.stack([p.best for p in found]).max(0)
+    return found, following
+
+
+def top_k(lattice: Lattice, rows: list[np.ndarray], seeds: list[int], k: int) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
+    """``search`` row by row: up to k paths as (arcs, log-probability, perturbed value), and the threshold."""
+    found, threshold = search(lattice, np.concatenate([np.zeros(0, np.int64), *rows]), np.array([len(x) for x in rows], np.int64), np.array(seeds, np.uint64), k)
+    out = [([], float(t)) for t in threshold]
+    for p in found:
+        for r, arcs, log_p, value in zip(p.rows.tolist(), np.split(p.arcs, np.cumsum(p.counts)[:-1]), p.log_p.tolist(), p.value.tolist()):
+            out[r][0].append((arcs, log_p, value))
+    return out
 
 
 def _node(lattice: Lattice, arcs: np.ndarray) -> np.ndarray:
@@ -319,29 +429,30 @@ def lattice_of(path: str, temperature: float) -> Lattice:
 def _sampler(path: str, k: int, temperature: float, seed: int):
     def sample(batches):
         lattice = lattice_of(path, temperature)
+        names = [x.split()[0] for x in SAMPLES.split(", ")]
         for b in batches:
-            for s in range(0, b.num_rows, 64):
-                some = b.slice(s, 64)
-                ids, texts = some.column(0).to_pylist(), some.column(1).to_pylist()
-                words = [words_of(t) for t in texts]
-                flat = lattice.numbers([w for own in words for w in own])
-                cuts = np.cumsum([0, *map(len, words)])
-                rows = []
-                seeds = [zlib.crc32(str(i).encode()) << 32 | seed for i in ids]
-                for doc_id, (found, threshold) in zip(ids, top_k(lattice, [flat[a:z] for a, z in zip(cuts[:-1], cuts[1:])], seeds, k)):
-                    for j, (arcs, log_p, value) in enumerate(found):
-                        inclusion = 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(min(700.0, log_p - threshold))))
-                        pieces = lattice.piece_ids(arcs)
-                        rows.append((doc_id, j, len(pieces), log_p, value, threshold, inclusion, pieces.astype("<u2").tobytes()))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=[x.split()[0] for x in SAMPLES.split(", ")])
-
-    return sample
+            doc_id, texts = b.column(0), b.column(1).to_pylist()
+            words = [_raw_words(t) for t in texts]
+            n_words = np.fromiter(map(len, words), np.int64, len(words))
+            flat = lattice.numbers_raw(list(chain.from_iterable(words)))
+            seeds = np.array([zlib.crc32(str(i).encode()) << 32 | seed for i in doc_id.to_pylist()], np.uint64)
+            found, threshold = search(lattice, flat, n_words, seeds, k)
+            for j, p in enumerate(found):
+                ids, counts = lattice.piece_ids_of(p.arcs, p.counts)
+                t = threshold[p.rows]
+                with np.errstate(over="ignore"):
+                    inclusion = np.where(t == -np.inf, 1.0, -np.expm1(-np.exp(np.minimum(700.0, p.log_p - t))))
+                offsets = np.append(0, 4 * np.cumsum(counts)).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])
+                rank = np.full(len(counts), j, np.int32)
+                yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(p.rows)), *map(pa.array, (rank, counts, p.log_p, p.value, t, inclusion)), raw], names=names)
+
+    return frugal(sample, 128)
 
 
 def sample_segmentations(docs: DataFrame, path: str, k: int = 2, temperature: float = 1.0, seed: int = 7) -> DataFrame:
     """SAMPLES: up to k distinct segmentations per document, drawn without replacement and seeded by doc_id; ids are
-    little-endian unsigned 16-bit. A text with fewer ways gives fewer rows with inclusion 1. Null or empty text has the
+    little-endian unsigned 32-bit. A text with fewer ways gives fewer rows with inclusion 1. Null or empty text has the
     one empty segmentation; rows that repeat a doc_id with one text repeat its samples; an empty table gives no rows;
     other columns are ignored. (k + 1)-th value: column threshold; inclusion: the chance to exceed it.
     """
@@ -371,13 +482,17 @@ def _decoder(path: str):
     def decode(batches):
         d = decoder_of(path)
         for b in batches:
-            text = [d.decode(np.frombuffer(x, "<u2").tolist()) if x is not None else None for x in b.column("ids").to_pylist()]
+            text = [d.decode(np.frombuffer(x, "<u4").tolist()) if x is not None else None for x in b.column("ids").to_pylist()]
             keep = [n for n in b.schema.names if n != "ids"]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep], pa.array(text, pa.string())], names=[*keep, "text"])
 
-    return decode
+    return frugal(decode)
 
 
 def decode(samples: DataFrame, path: str) -> DataFrame:
-    """doc_id, sample and the decoded text of each row of ``samples`` (word marks in the input decode to spaces)."""
-    return samples.select("doc_id", "sample", "ids").mapInArrow(_decoder(path), "doc_id long, sample int, text string")
+    """``samples`` with the decoded text of each row in place of its ids; null ids decode to null, no ids to the empty
+    text, an empty table to no rows; all other columns stay, but for a column named text, which the result replaces.
+    Word marks in the input decode to spaces."""
+    kept = samples.drop("text").select(*[c for c in samples.columns if c not in ("ids", "text")], "ids")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "ids"]
+    return kept.mapInArrow(_decoder(path), ", ".join([*fields, "text string"]))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import crc_fold, written
+from tidemark.llm.common import crc_fold, frugal, written
 
 _word = re.compile(r"[^\W_]+")
 SCORES = "doc_id long, n_words long, n_passages long, best double, evidence double, score double"
@@ -39,7 +39,8 @@ def maximal_segments(at: np.ndarray | list, score: list, rest: float) -> list[tu
     ``at`` are ascending positions that score ``score``; all positions between score ``rest`` < 0, so a segment
     starts and ends at one of ``at``. Returns (first, last, sum) in order; time is linear in len(at).
     """
-    stack: list[tuple[int, int, float, float]] = []  # first, last, cumulative before first, cumulative through last
+    # first, last, cumulative before first, cumulative through last, nearest earlier candidate that starts lower
+    stack: list[tuple[int, int, float, float, int]] = []
     total, before = 0.0, -1
     for p, s in zip(at, score):
         total += rest * (p - before - 1)
@@ -48,17 +49,18 @@ def maximal_segments(at: np.ndarray | list, score: list, rest: float) -> list[tu
         if s <= 0:
             continue
         first, last, right = p, p, total
+        j = len(stack) - 1
         while True:
-            # drop to the nearest candidate that starts lower; what lies between can't reach over it
-            j = len(stack) - 1
+            # the nearest candidate that starts lower: those that start higher than one passed are jumped over
             while j >= 0 and stack[j][2] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= right:
                 break
-            first, left = stack[j][0], stack[j][2]
+            first, left, lower = stack[j][0], stack[j][2], stack[j][4]
             del stack[j:]
-        stack.append((first, last, left, right))
-    return [(a, b, r - c) for a, b, c, r in stack]
+            j = lower
+        stack.append((first, last, left, right, j))
+    return [(a, b, r - c) for a, b, c, r, _ in stack]
 
 
 def _segments(words: list[str], model: ToxicityModel) -> list[tuple[int, int, float]]:
@@ -86,7 +88,7 @@ def _scorer(model: ToxicityModel):
             cols = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "n_words", "n_passages", "best", "evidence", "score"])
 
-    return score
+    return frugal(score)
 
 
 def _finder(model: ToxicityModel):
@@ -103,7 +105,7 @@ def _finder(model: ToxicityModel):
             kinds = (pa.int64(),) * 5 + (pa.float64(),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=[x.split()[0] for x in PASSAGES.split(", ")])
 
-    return find
+    return frugal(find)
 
 
 def _signer(batches):
@@ -150,9 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_tokens:
     E[exp(lam * s)] = 1 over the clean tokens; k is its maximum-likelihood value from the best passages of clean
     documents. Without labels of both kinds every document scores the neutral prior.
     """
-    rows = written(training_rows(docs, labels, max_rows).mapInArrow(_signer, "doc_id long, text string, toxic int, sign long"), "toxicity-rows")
+    rows = written(training_rows(docs, labels, max_rows).mapInArrow(frugal(_signer), "doc_id long, text string, toxic int, sign long"), "toxicity-rows")
     one = rows.groupBy("sign", "toxic").agg(F.min("doc_id").alias("doc_id"))  # a document copied many times counts once
-    counts = written(rows.join(F.broadcast(one.select("doc_id").distinct()), "doc_id", "left_semi").select("text", "toxic").mapInArrow(_counter, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-counts")
+    counts = written(rows.join(F.broadcast(one.select("doc_id").distinct()), "doc_id", "left_semi").select("text", "toxic").mapInArrow(frugal(_counter, 1024), "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-counts")
     n0, n1 = (int(x or 0) for x in counts.agg(F.sum("clean"), F.sum("toxic")).first())
     by = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     d1, d0 = by.get(1, 0), by.get(0, 0)
@@ -180,10 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_tokens:
         mid = (low + high) / 2
         low, high = (mid, high) if drift(mid) < 0 else (low, mid)
     model.lam, model.k = low, 1e-9
-    seen = rows.select("doc_id", "text").mapInArrow(_scorer(model), SCORES).join(rows.select("doc_id", "toxic"), "doc_id")
+    seen = rows.select("doc_id", "text").mapInArrow(_scorer(model), SCORES).hint("merge").join(rows.select("doc_id", "toxic").hint("merge"), "doc_id")
     x = seen.where("toxic = 0").agg(F.count("*").alias("n"), F.sum(F.greatest(F.lit(1), "n_words") * F.exp(-F.lit(model.lam) * F.col("best"))).alias("s")).first()
     model.k = max(1e-9, x["n"] / x["s"]) if x["s"] else 0.1
-    points = rows.select("doc_id", "text").mapInArrow(_scorer(model), SCORES).join(rows.select("doc_id", "toxic"), "doc_id")
+    points = rows.select("doc_id", "text").mapInArrow(_scorer(model), SCORES).hint("merge").join(rows.select("doc_id", "toxic").hint("merge"), "doc_id")
     points = points.groupBy(F.round("evidence", 2).alias("e")).agg(F.sum("toxic").alias("y"), F.count("*").alias("n")).toPandas()  # evidence is a logarithm: under 2,000 rounded values
     model.bias, model.slope = _logistic(points["e"].to_numpy(float), points["y"].to_numpy(float), points["n"].to_numpy(float))
     return model
@@ -222,4 +224,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> Dat
         for b in batches:
             yield b.filter(pa.array([score_text(t, model)[4] < least for t in b.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(frugal(keep), docs.schema)
