@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,20 +16,42 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one only on a local master (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: no folder that all executors see")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts lineage and gives Spark true sizes."""
+#: Folders that ``written`` has made inside the ``scratch`` scopes that are open, innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What ``written`` makes inside is deleted at the end, but for what it was told to keep. Nothing that is returned
+    may still read it: then a lost executor's work can always be done again from what is left."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: cuts lineage and gives Spark true sizes. Inside
+    ``scratch`` it is deleted with the scope, with ``keep`` only with the scope around it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append(path)
     writer = df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -54,11 +77,6 @@ def frugal(fn, rows: int = 256):
     return run
 
 
-def unhinted(df: DataFrame) -> DataFrame:
-    """Marks a side for a sort-merge join, as estimates after Python functions are unreliable."""
-    return df.hint("merge")
-
-
 def crc_fold(doc_id: str = "doc_id"):
     """The fold of a row: crc32 of the id's decimal text, modulo 5."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
@@ -85,6 +103,16 @@ def maybe_in(df: DataFrame, bits: DataFrame, *columns: str, slots: int = 1 << 26
     return j.where(~hit if negate else hit).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, parts: int = 1000) -> DataFrame:
+    """Inner join on ``key``, which is unique in ``right``; its column ``weight`` is how many rows of ``left`` have the key,
+    ``total`` how many there are, and isn't in the result. Keys with over total / parts rows are fewer than ``parts``: they
+    are broadcast, so that no task gets a hot key's rows; all others are merged."""
+    hot = F.col("weight") * parts > max(total, 1)
+    few = F.broadcast(right.where(hot).drop("weight"))
+    rest = left.join(few.select(key), key, "left_anti").hint("merge").join(right.where(~hot).drop("weight").hint("merge"), key)
+    return left.join(few, key).unionByName(rest)
+
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xD6E8FEB86659FD93)
 
@@ -104,22 +132,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     minimum comes from a grouped aggregate with map-side combine joined back to the edges, never from a
     collected group, and every round is written to the shared folder. Self loops and null ends are dropped.
     """
-    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    for _ in range(rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").hint("merge").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.hint("merge").join(low.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("s"))
-        small = written(small.select(F.col("s.x").alias("u"), F.col("s.y").alias("v")).where("u <> v").distinct(), name)
-        if small.groupBy("u").count().where("count > 1").limit(1).count() == 0:
-            roots = small.select("v").distinct().join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-            if roots.limit(1).count() == 0:
-                e = small
-                break
-        e = small
-    else:
-        raise RuntimeError("components did not settle")
+    with scratch(edges.sparkSession):
+        e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
+        e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+        for _ in range(rounds):
+            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+            large = both.where("v > u").hint("merge").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = large.where("u <> v").distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            ends = F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))
+            small = large.hint("merge").join(low.hint("merge"), "u").select(F.explode(ends).alias("s"))
+            e = written(small.select(F.col("s.x").alias("u"), F.col("s.y").alias("v")).where("u <> v").distinct(), name)
+            if e.groupBy("u").count().where("count > 1").limit(1).count() == 0:
+                roots = e.select("v").distinct().join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+                if roots.limit(1).count() == 0:
+                    break
+        else:
+            raise RuntimeError("components did not settle")
+        e = written(e, name, keep=True)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component")))

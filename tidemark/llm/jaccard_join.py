@@ -15,12 +15,14 @@ reach the threshold t share at least HITS of these (or all they share, if less).
 from __future__ import annotations
 
 import hashlib
+import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import components, key_bits, maybe_in, mix64, written
+from tidemark.llm.common import components, frugal, key_bits, maybe_in, mix64, scratch, spread_join, written
 
 HITS = 3
 BLOCK = 512
@@ -29,29 +31,46 @@ _byte = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _place = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 2**64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+CHUNK = 1 << 20
+_blank = re.compile(rb"[\x20\x09-\x0D]")
 
 
+@cache
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, r in enumerate((_R, _R_INVERSE)):
-            _powers[k] = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size - 1, r, np.uint64))])
-    return _powers[0], _powers[1]
+    """The powers of _R and of its inverse below n."""
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n - 1, r, np.uint64))]) for r in (_R, _R_INVERSE))
 
 
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit codes of a text's ``width``-word shingles; a shorter text is one shingle as a whole."""
-    a = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)  # bytes.lower() is A-Z only
+def _word_codes(raw: bytes) -> np.ndarray:
+    """A 64-bit code of each word of a text of at most about CHUNK bytes (more only for one long word)."""
+    a = np.frombuffer(raw, np.uint8)
     space = np.ones(len(a) + 2, np.int8)
     space[1:-1] = (a == 32) | ((a >= 9) & (a <= 13))
     turn = np.diff(space)
     starts, ends = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power(len(a) + 1)
+    up, down = _power(CHUNK + 1) if len(a) <= CHUNK else _power.__wrapped__(len(a) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte[a] * up[: len(a)])])
-    words = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def _cut(raw: bytes):
+    """The text in chunks that end at white space."""
+    at = 0
+    while len(raw) - at > CHUNK:
+        gap = _blank.search(raw, at + CHUNK // 2)
+        if gap is None:
+            break
+        yield raw[at : gap.start()]
+        at = gap.start()
+    yield raw[at:] if at else raw
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit codes of a text's ``width``-word shingles; a shorter text is one shingle as a whole."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes.lower() is A-Z only
+    words = np.concatenate([_word_codes(x) for x in _cut(raw)]) if len(raw) > CHUNK else _word_codes(raw)
+    if not len(words):
+        return np.zeros(0, np.uint64)
     if len(words) < width:
         return mix64(np.array([(words * _place[40 : 40 + len(words)]).sum() + np.uint64(len(words))], np.uint64))
     n = len(words) - width + 1
@@ -77,7 +96,7 @@ def _sign(width: int):
                 rows.append((len(s), int(d[0]), int(d[1])))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 3)]], names=["doc_id", "n", "d1", "d2"])
 
-    return sign
+    return frugal(sign)
 
 
 def _low_tokens(width: int, share: float):
@@ -90,45 +109,54 @@ def _low_tokens(width: int, share: float):
             token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *got]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
 
-    return tokens
+    return frugal(tokens, 1024)
+
 
+def _prefixes(width: int, percent: int, frequent: np.ndarray, rank: np.ndarray, rows_per_task: int):
+    """Prefix tokens of each document. A token that very many documents hold is dealt over several keys (salt)."""
+    salts = np.append(np.minimum(-(-2 * rank // rows_per_task), 1 << 20), 1)
 
-def _prefixes(width: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
     def prefix(batches):
         for b in batches:
-            tokens, ids, sizes = [], [], []
+            tokens, ids, sizes, salted = [], [], [], []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 s = shingles(text, width)
                 n = len(s)
                 if not n:
                     continue
                 keep = min(n, n - needed(n, percent) + HITS)
+                salt = np.zeros(keep, np.int32)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    s = s[np.argsort(np.where(frequent[at] == s, rank[at], 0), kind="stable")]
+                    at[frequent[at] != s] = -1
+                    order = np.argsort(np.where(at >= 0, rank[at], 0), kind="stable")[:keep]
+                    s, own = s[order], salts[at[order]]
+                    salt = (doc_id % own + (own > 1)).astype(np.int32)  # 0: not salted
                 tokens.append(s[:keep])
+                salted.append(salt)
                 ids.append(np.full(keep, doc_id, np.int64))
                 sizes.append(np.full(keep, n, np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], names=["token", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(salted))], names=["token", "doc_id", "n", "salt"])
 
-    return prefix
+    return frugal(prefix)
 
 
 def _shared(batches):
-    """Of a partition dealt by token: the rows whose token another document has too, with how many have it."""
+    """Of a partition dealt by token and salt: the rows whose token another document has too, with how many have it (of
+    a salted token: within its salt)."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     t = pa.Table.from_batches(got)
-    token, doc = t.column("token").to_numpy(), t.column("doc_id").to_numpy()
-    order = np.argsort(token, kind="stable")
-    s = token[order]
-    starts = np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])), len(s))
+    token, salt = t.column("token").to_numpy(), t.column("salt").to_numpy()
+    order = np.lexsort((salt, token))
+    s, x = token[order], salt[order]
+    starts = np.append(np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (x[1:] != x[:-1]))), len(s))
     size = np.diff(starts)
     many = np.repeat(size, size)
-    pick = order[many > 1]
-    out = t.take(pa.array(pick)).append_column("df", pa.array(many[many > 1]))
+    pick = (many > 1) | (x > 0)
+    out = t.take(pa.array(order[pick])).append_column("df", pa.array(many[pick]))
     yield from out.to_batches(1 << 16)
 
 
@@ -148,7 +176,7 @@ def _with_leader(width: int, percent: int):
                     out.append((doc_id, leader, any(linked(len(np.intersect1d(s, x, True)), len(s), len(x), percent) for x in lead)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "leader", "linked"])
 
-    return compare
+    return frugal(compare)
 
 
 def _opened(width: int, percent: int):
@@ -195,22 +223,15 @@ def _opened(width: int, percent: int):
                         out.append((doc_id, ids[k]))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 2)], names=["a", "b"])
 
-    return open_
+    return frugal(open_)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, sample_share: float = 0.2, sample_least: int = 50_000, frequent_tokens: int = 300_000, rows_per_task: int = 500_000) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document.
-
-    Null, empty and blank texts have no shingles and link with nothing. Rows that repeat a doc_id are one document,
-    linked by what either row links with. A null doc_id links with nothing and has a null component. An empty table
-    gives no rows; other columns are ignored. The order of tokens comes from counts over ``sample_share`` of the documents (at least
-    about ``sample_least``), of which the ``frequent_tokens`` most common tokens are sent to the tasks (4.8 MB); it
-    decides the work, never the links.
-    """
+def _links(docs: DataFrame, width: int, percent: int, frequent_tokens: int, rows_per_task: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's set size, and links (a, b) that join what belongs together."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signs = written(d.mapInArrow(_sign(width), "doc_id long, n long, d1 long, d2 long"), "jaccard-signs")
+    signs = written(d.mapInArrow(_sign(width), "doc_id long, n long, d1 long, d2 long"), "jaccard-signs", keep=True)
     known = signs.where("doc_id is not null")
     classes = written(known.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("head"), F.max("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
     copied = known.where("n > 0").hint("merge").join(classes.where("copies > 1").drop("n").hint("merge"), ["d1", "d2"]).select("doc_id", "head")
@@ -223,34 +244,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, sample_s
     unsure = maybe_in(present, spare, "doc_id").hint("merge").join(heads.hint("merge"), F.col("doc_id") == F.col("h"), "left_semi")
     rep = maybe_in(present, spare, "doc_id", negate=True).union(unsure)
 
-    rate = min(1.0, max(sample_share, sample_least / max(1, known.count())))
-    sampled = present.where(F.pmod(F.xxhash64("doc_id"), F.lit(1000)) < int(1000 * rate))
-    counts = sampled.mapInArrow(_low_tokens(width, 0.3), "token long, n long").groupBy("token").agg(F.sum("n").alias("count"))
+    counts = present.mapInArrow(_low_tokens(width, 0.3), "token long, n long").groupBy("token").agg(F.sum("n").alias("count"))
     common = counts.where("count >= 4").orderBy(F.desc("count"), "token").limit(frequent_tokens).toPandas()
     frequent, rank = common["token"].to_numpy(np.int64).view(np.uint64), common["count"].to_numpy(np.int64)
     order = np.argsort(frequent)
-    rows = rep.mapInArrow(_prefixes(width, percent, frequent[order], rank[order]), "token long, doc_id long, n int")
+    rows = rep.mapInArrow(_prefixes(width, percent, frequent[order], rank[order], rows_per_task), "token long, doc_id long, n int, salt int")
     total = int(classes.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100) + {HITS}"))).first()[0] or 0)
-    lists = written(rows.repartition(max(parts, -(-total // rows_per_task)), "token").mapInArrow(_shared, "token long, doc_id long, n int, df long"), "jaccard-lists")
+    lists = written(rows.repartition(max(parts, -(-total // rows_per_task)), "token", "salt").mapInArrow(frugal(_shared, 0), "token long, doc_id long, n int, salt int, df long").drop("salt"), "jaccard-lists")
 
     # groups: the most connected document among those that share a document's most common prefix tokens; in a large
     # cluster of near copies these are the same for all, so it becomes one group
     first = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("df"), "token"))), 1, 12)  # bounded by a document's length
     votes = lists.groupBy("doc_id").agg(F.sum("df").alias("pull"), first.alias("tokens"))
     votes = written(votes.select("doc_id", "pull", F.explode("tokens.token").alias("token")), "jaccard-votes")
-    winners = votes.groupBy("token").agg(F.max(F.struct("pull", (-F.col("doc_id")).alias("minus"))).alias("w")).select("token", (-F.col("w.minus")).alias("leader"))
-    ballots = votes.hint("merge").join(winners.hint("merge"), "token").groupBy("doc_id", "leader").count()
+    winners = written(votes.groupBy("token").agg(F.max(F.struct("pull", (-F.col("doc_id")).alias("minus"))).alias("w"), F.count("*").alias("weight")).select("token", (-F.col("w.minus")).alias("leader"), "weight"), "jaccard-winners")
+    n_votes = votes.count()
+    ballots = spread_join(votes, winners, "token", n_votes).groupBy("doc_id", "leader").count()
     chosen = written(ballots.groupBy("doc_id").agg(F.max(F.struct("count", (-F.col("leader")).alias("minus"))).alias("w")).select("doc_id", (-F.col("w.minus")).alias("leader")), "jaccard-chosen")
     # once more, for the largest group that any token's voters have chosen: fragments of a cluster join its main group
-    sized = chosen.hint("merge").join(chosen.groupBy("leader").agg(F.count("*").alias("size")).hint("merge"), "leader")
-    best = votes.hint("merge").join(sized.hint("merge"), "doc_id").groupBy("token").agg(F.max(F.struct("size", (-F.col("leader")).alias("minus"))).alias("w")).select("token", (-F.col("w.minus")).alias("leader"), "w.size")
-    ballots = votes.hint("merge").join(best.hint("merge"), "token").groupBy("doc_id", "leader", "size").count()
+    n_docs = chosen.count()
+    sizes = written(chosen.groupBy("leader").agg(F.count("*").alias("weight")).withColumn("size", F.col("weight")), "jaccard-sizes")
+    sized = spread_join(chosen, sizes, "leader", n_docs)
+    best = votes.hint("merge").join(sized.hint("merge"), "doc_id").groupBy("token").agg(F.max(F.struct("size", (-F.col("leader")).alias("minus"))).alias("w"), F.count("*").alias("weight")).select("token", (-F.col("w.minus")).alias("leader"), "w.size", "weight")
+    ballots = spread_join(votes, written(best, "jaccard-winners"), "token", n_votes).groupBy("doc_id", "leader", "size").count()
     chosen = ballots.groupBy("doc_id").agg(F.max(F.struct("count", "size", (-F.col("leader")).alias("minus"))).alias("w")).select("doc_id", (-F.col("w.minus")).alias("leader"))
     # a leader leads its own group
+    chosen = written(chosen, "jaccard-chosen")
     lead = chosen.select(F.col("leader").alias("doc_id")).distinct().withColumn("own", F.lit(True))
-    groups = chosen.hint("merge").join(lead.hint("merge"), "doc_id", "left").select("doc_id", F.when(F.col("own"), F.col("doc_id")).otherwise(F.col("leader")).alias("leader"))
-    sizes = groups.groupBy("leader").agg(F.count("*").alias("size"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    groups = written(groups.hint("merge").join(sizes.hint("merge"), "leader").select("doc_id", "leader", "size", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block")), "jaccard-groups")
+    groups = written(chosen.hint("merge").join(lead.hint("merge"), "doc_id", "left").select("doc_id", F.when(F.col("own"), F.col("doc_id")).otherwise(F.col("leader")).alias("leader")), "jaccard-led")
+    sizes = groups.groupBy("leader").agg(F.count("*").alias("weight")).withColumn("size", F.col("weight")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    sizes = written(sizes, "jaccard-sizes")
+    groups = written(spread_join(groups, sizes, "leader", n_docs).select("doc_id", "leader", "size", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block")), "jaccard-groups")
 
     def texts(ids: DataFrame) -> DataFrame:
         ids = written(ids, "jaccard-open")
@@ -279,15 +303,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, sample_s
     alone = own.groupBy("doc_id", "n", "leader").agg(F.count_distinct("token").alias("hits")).where(f"hits >= least({HITS}, ceil({percent} * n / 100))").select("doc_id", F.col("leader").alias("g_leader"))
     asked = written(bound.select("doc_id", "g_leader").union(alone).distinct(), "jaccard-asked")
     flags = star.select(F.col("doc_id").alias("s_id"), "linked")
-    members = groups.hint("merge").join(asked.select(F.col("g_leader").alias("leader")).distinct().hint("merge"), "leader", "left_semi").hint("merge").join(flags.hint("merge"), F.col("doc_id") == F.col("s_id"), "left")
+    wanted = asked.groupBy(F.col("g_leader").alias("leader")).agg(F.count("*").alias("askers")).hint("merge").join(sizes.hint("merge"), "leader")
+    wanted = written(wanted.select("leader", "askers", "weight", F.col("blocks").alias("g_blocks")), "jaccard-wanted")
+    members = spread_join(groups, wanted.select("leader", "weight"), "leader", n_docs).hint("merge").join(flags.hint("merge"), F.col("doc_id") == F.col("s_id"), "left")
     members = members.select("leader", "block", F.lit(0).alias("kind"), "doc_id", F.coalesce("linked", F.col("doc_id") == F.col("leader")).alias("linked"))
-    sizes = groups.select(F.col("leader").alias("g_leader"), "blocks").distinct()
-    queries = asked.hint("merge").join(sizes.hint("merge"), "g_leader").select(F.col("g_leader").alias("leader"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(1).alias("kind"), "doc_id", F.lit(False).alias("linked"))
+    queries = spread_join(asked.withColumnRenamed("g_leader", "leader"), wanted.select("leader", F.col("askers").alias("weight"), "g_blocks"), "leader", asked.count())
+    queries = queries.select("leader", F.explode(F.expr("sequence(0, g_blocks - 1)")).alias("block"), F.lit(1).alias("kind"), "doc_id", F.lit(False).alias("linked"))
     opened = texts(members.union(queries)).repartition(parts, "leader", "block").sortWithinPartitions("leader", "block", "kind", "doc_id").mapInArrow(_opened(width, percent), "a long, b long")
     edges.append(opened)
 
-    found = written(edges[0].union(edges[1]).union(edges[2]), "jaccard-links")
-    parts_of = components(found)
+    return signs, written(edges[0].union(edges[1]).union(edges[2]), "jaccard-links", keep=True)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, frequent_tokens: int = 300_000, rows_per_task: int = 500_000, **_) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document.
+
+    Null, empty and blank texts have no shingles and link with nothing. Rows that repeat a doc_id are one document,
+    linked by what either row links with. A null doc_id links with nothing and has a null component. An empty table
+    gives no rows; other columns are ignored. The order of tokens comes from counts over all documents, of which the
+    ``frequent_tokens`` most common tokens are sent to the tasks (4.8 MB); it decides the work, never the links. Tokens
+    are counted in the lowest 30 % of the code range, as prefixes hold few others.
+    """
+    with scratch(docs.sparkSession):
+        signs, links = _links(docs, width, percent, frequent_tokens, rows_per_task)
+    parts_of = components(links)
     out = signs.select("doc_id", F.col("n").alias("n_shingles")).hint("merge").join(parts_of.hint("merge"), F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

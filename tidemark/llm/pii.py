@@ -4,13 +4,22 @@ A value is found by one pattern, validated (Luhn, mod-97, calendar, octets, numb
 L < a and R < b, and permuted by rounds that add SHA-256 values keyed by secret, kind and round to either half, modulo
 its size. That is a bijection of the kind's format, so equal values stay equal across documents and different ones
 stay different. Words (mailbox names, keys) are permuted in the same way, letter by letter within their classes.
+
+Dates are permuted within their class (field order, and which of day and month have one digit), by walking the
+permutation of year, month and day numbers until it meets a day of the calendar; a walk visits no value of another class.
+
+The secret key comes in as the column of a one-row table, so neither plans nor the event log hold it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-KEY = "example-key"  # replaced by the caller's secret
+KEY = "__pii_key"  # the column that holds the secret
+TEST_KEY = "key of local test runs"
+CONF = "spark.tidemark.pii.key"
+WALK = 24
 ROUNDS = 8
 #: kind: pattern. The first alternative that matches wins.
 PATTERNS = {
@@ -25,6 +34,14 @@ PATTERNS = {
 }
 
 
+def key_of(spark: SparkSession) -> str:
+    """The secret in ``spark.tidemark.pii.key``; where it is unset, a fixed one on a local master, else an error."""
+    key = spark.conf.get(CONF, None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CONF} is not set")
+    return key or TEST_KEY
+
+
 def _q(s: str) -> str:
     """A SQL string literal."""
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -43,7 +60,7 @@ def _any(kinds: list[str]) -> str:
 
 
 def _round_value(key: str, kind: str, round_: str, half: str) -> str:
-    return f"cast(conv(substr(sha2(concat({_q(key)}, '|{kind}|', {round_}, '|', {half}), 256), 1, 15), 16, 10) as bigint)"
+    return f"cast(conv(substr(sha2(concat({key}, '|{kind}|', {round_}, '|', {half}), 256), 1, 15), 16, 10) as bigint)"
 
 
 def feistel(left: str, a: str, right: str, b: str, key: str, kind: str) -> str:
@@ -69,7 +86,7 @@ def word(s: str, key: str, kind: str) -> str:
     """SQL: a word permuted character by character within digits, lower and upper case letters (or hexadecimal
     digits, if it has no others), in two halves; other characters stay. Case doesn't change which word it is."""
     classes = "case when hexa and c rlike '[0-9a-f]' then '0123456789abcdef' when c rlike '[0-9]' then '0123456789' when c rlike '[a-z]' then 'abcdefghijklmnopqrstuvwxyz' when c rlike '[A-Z]' then 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' else c end"
-    stream = f"conv(substr(sha2(concat({_q(key)}, '|{kind}|', i, '|', k div 16, '|', lower({{half}})), 256), (k % 16) * 4 + 1, 4), 16, 10)"
+    stream = f"conv(substr(sha2(concat({key}, '|{kind}|', i, '|', k div 16, '|', lower({{half}})), 256), (k % 16) * 4 + 1, 4), 16, 10)"
     turn = lambda own, half: f"array_join(transform(split({own}, ''), (c, k) -> transform(array({classes}), al -> substr(al, 1 + cast(pmod(locate(c, al) - 1 + cast({stream.format(half=half)} as int), length(al)) as int), 1))[0]), '')"
     step = f"if(i % 2 = 0, named_struct('l', {turn('s.l', 's.r')}, 'r', s.r), named_struct('l', s.l, 'r', {turn('s.r', 's.l')}))"
     f = f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', substr(w, 1, length(w) div 2), 'r', substr(w, length(w) div 2 + 1)), (s, i) -> {step}, s -> concat(s.l, s.r))"
@@ -108,19 +125,24 @@ def _kinds(key: str) -> dict[str, tuple[str, str]]:
     out["ip"] = (f"{o(0)} between 1 and 255 and {o(1)} < 256 and {o(2)} < 256 and {o(3)} < 256", let(feistel(f"{o(0)} * 256 + {o(1)} - 256", "65280", f"{o(2)} * 256 + {o(3)}", "65536", key, "ip"), "f", "concat_ws('.', (f.l + 256) div 256, (f.l + 256) % 256, f.r div 256, f.r % 256)"))
     area = "(cast(substr(m, 1, 3) as bigint) - 1 - if(cast(substr(m, 1, 3) as bigint) > 666, 1, 0))"
     out["ssn"] = ("substr(m, 1, 3) not in ('000', '666') and m < '9' and substr(m, 5, 2) <> '00' and substr(m, 8) <> '0000'", let(feistel(f"{area} * 99 + cast(substr(m, 5, 2) as bigint) - 1", "88902", "cast(substr(m, 8) as bigint) - 1", "9999", key, "ssn"), "f", "concat(lpad(cast(f.l div 99 + 1 + if(f.l div 99 + 1 > 665, 1, 0) as string), 3, '0'), '-', lpad(cast(f.l % 99 + 1 as string), 2, '0'), '-', lpad(cast(f.r + 1 as string), 4, '0'))"))
-    # a day from 1900-01-01 to 2099-12-31: 73,049 = 229 * 319
-    y, x, z = (f"split(m, '[-/.]')[{i}]" for i in (0, 1, 2))
+    # a day from 1900-01-01 to 2099-12-31. Its class: order of fields (year, day or month first; what can be read day first
+    # is), and whether month and day have one digit. Numbers of a class: year * months + month, and day, from their least
+    f = lambda i: f"split(m, '[-/.]')[{i}]"
     as_date = lambda a, b, c: f"try_to_timestamp(concat({a}, '-', lpad({b}, 2, '0'), '-', lpad({c}, 2, '0')), 'yyyy-MM-dd')"
-    day = f"coalesce(if(length({y}) = 4, {as_date(y, x, z)}, coalesce({as_date(z, x, y)}, {as_date(z, y, x)})), null)"
-    order = f"case when length({y}) = 4 then 'y' when {as_date(z, x, y)} is not null then 'd' else 'm' end"
-    number = f"datediff(cast({day} as date), date'1900-01-01')"
-    made = "date_add(date'1900-01-01', cast(f.l * 319 + f.r as int))"
-    sep = "regexp_extract(m, '[-/.]', 0)"
-    pad = lambda v, i: f"if(length(split(m, '[-/.]')[{i}]) = 2, lpad({v}, 2, '0'), cast(cast({v} as int) as string))"
-    # a field of one digit may need two: the width is the date's, not the value's
-    yy, mm, dd = "lpad(cast(year(t) as string), 4, '0')", "cast(month(t) as string)", "cast(day(t) as string)"
-    shown = f"case {order} when 'y' then concat({yy}, {sep}, {pad(mm, 1)}, {sep}, {pad(dd, 2)}) when 'd' then concat({pad(dd, 0)}, {sep}, {pad(mm, 1)}, {sep}, {yy}) else concat({pad(mm, 0)}, {sep}, {pad(dd, 1)}, {sep}, {yy}) end"
-    out["date"] = (f"coalesce({number}, -1) between 0 and 73048", let(feistel(f"{number} div 319", "229", f"{number} % 319", "319", key, "date"), "f", let(made, "t", shown)))
+    order = f"case when length({f(0)}) = 4 then 'y' when {as_date(f(2), f(1), f(0))} is not null then 'd' else 'm' end"
+    field = lambda y, d, m: f"case o when 'y' then {y} when 'd' then {d} else {m} end"
+    year, month, day = field(f(0), f(2), f(2)), field(f(1), f(1), f(0)), field(f(2), f(0), f(1))
+    read = let(order, "o", f"named_struct('o', o, 'y', {year}, 'm', {month}, 'd', {day})")
+    as_parts = let(read, "p", "named_struct('o', p.o, 'y', cast(p.y as bigint) - 1900, 'm', cast(p.m as bigint) - 1, 'd', cast(p.d as bigint), 'wm', length(p.m), 'wd', length(p.d), 'months', if(length(p.m) = 1, 9, 12), 'd0', if(p.o = 'm', 13, 1), 'days', case when p.o = 'm' then 19 when length(p.d) = 1 then 9 else 31 end)")
+    turned = lambda left, right: feistel(left, "200 * c.months", right, "c.days", key, "date")
+    good = "s.r + c.d0 <= day(last_day(make_date(cast(1900 + s.l div c.months as int), cast(s.l % c.months + 1 as int), 1)))"
+    walked = f"aggregate(sequence(1, {WALK}), {turned('c.y * c.months + c.m', 'c.d - c.d0')}, (s, w) -> if({good}, s, {turned('s.l', 's.r')}))"
+    yyyy = "cast(1900 + f.l div c.months as string)"
+    mm, dd = "lpad(cast(f.l % c.months + 1 as string), c.wm, '0')", "lpad(cast(f.r + c.d0 as string), c.wd, '0')"
+    joined = lambda *x: "concat(" + ", sep, ".join(x) + ")"
+    shown = let("regexp_extract(m, '[-/.]', 0)", "sep", f"case c.o when 'y' then {joined(yyyy, mm, dd)} when 'd' then {joined(dd, mm, yyyy)} else {joined(mm, dd, yyyy)} end")
+    known = f"coalesce({as_date(f(0), f(1), f(2))}, {as_date(f(2), f(1), f(0))}, {as_date(f(2), f(0), f(1))})"
+    out["date"] = (f"coalesce(year({known}), 0) between 1900 and 2099", let(as_parts, "c", let(walked, "f", shown)))
     body = digits("substr(d0, 2, length(d0) - 2)", key, "card")
     full = let(f"concat(substr(d0, 1, 1), {body})", "b", f"concat(b, cast((10 - {luhn_sum(chr(99) + 'oncat(b, ' + chr(39) + '0' + chr(39) + ')')} % 10) % 10 as string))")
     out["card"] = (f"substr({only}, 1, 1) <> '0' and {let(only, 'd0', luhn_sum('d0'))} % 10 = 0", let(only, "d0", let(full, "p", refill("m", "p"))))
@@ -139,21 +161,26 @@ def _pseudonyms(key: str, kinds: list[str]) -> Column:
     return F.expr(f"transform(__found, m -> transform(array({which}), kind -> named_struct('kind', kind, 'value', m, 'pseudonym', {made}))[0])")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, kinds: list[str] | None = None, column: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None, kinds: list[str] | None = None, column: str = "text") -> DataFrame:
     """``docs`` with every validated value in ``column`` replaced; plus n_private (long) and private_kinds (array).
 
     Null text stays null with no values; empty and clean texts come back as they are; repeated rows and ids keep a row
-    each; all other columns stay. A date field of one digit takes two where the new value needs them.
+    each; an empty table gives no rows. All other columns stay, but for columns named n_private or private_kinds, which
+    the results replace. ``key``: the secret, by default that of ``key_of``.
     """
-    kinds = kinds or list(PATTERNS)
+    kinds, docs = kinds or list(PATTERNS), docs.drop("n_private", "private_kinds")
+    spark = docs.sparkSession
+    secret = spark.createDataFrame(pa.table({KEY: [key or key_of(spark)]}))
     found = F.regexp_extract_all(F.col(column), F.lit(_any(kinds)), 0)
     may = F.col(column).rlike(r"[0-9@]|[=:]")  # every pattern needs one of these
-    d = docs.withColumn("__found", F.when(may, found).otherwise(F.array().cast("array<string>")))
-    d = d.withColumn("__made", F.when(F.size("__found") > 0, _pseudonyms(key, kinds)))
+    # secret is one row: every row of docs gets its column
+    d = docs.join(F.broadcast(secret)).withColumn("__found", F.when(may, found).otherwise(F.array().cast("array<string>")))
+    d = d.withColumn("__made", F.when(F.size("__found") > 0, _pseudonyms(KEY, kinds)))
     pieces = F.split(F.col(column), _any(kinds), -1)
     whole = F.array_join(F.zip_with(pieces, F.col("__made"), lambda p, m: F.concat(p, F.coalesce(m["pseudonym"], F.lit("")))), "")
     valid = F.filter(F.transform("__made", lambda m: m["kind"]), lambda k: k.isNotNull())
     hit = F.coalesce(F.size(valid), F.lit(0)) > 0
     d = d.withColumn("__text", F.when(hit, whole).otherwise(F.col(column)))
     kinds_of = F.when(hit, valid).otherwise(F.array().cast("array<string>"))
-    return d.withColumns({"n_private": F.size(kinds_of).cast("long"), "private_kinds": kinds_of}).select(*[F.col("__text").alias(c) if c == column else F.col(f"`{c}`") for c in docs.columns], "n_private", "private_kinds")
+    d = d.withColumns({"n_private": F.size(kinds_of).cast("long"), "private_kinds": kinds_of})
+    return d.select(*[F.col("__text").alias(c) if c == column else F.col(f"`{c}`") for c in docs.columns], "n_private", "private_kinds")

@@ -15,8 +15,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.tidemark.pii.key", pii.KEY)
-    return pii.pseudonymise(_docs(spark, sf_dir), key).select("doc_id", "text", "n_private", "private_kinds")
+    return pii.pseudonymise(_docs(spark, sf_dir)).select("doc_id", "text", "n_private", "private_kinds")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import frugal, key_bits, maybe_in, mix64, written
+from tidemark.llm.common import frugal, key_bits, maybe_in, mix64, scratch, written
 
 GRAMS = (64, 150)
 SUFFIXES = "lead long, context long, doc_id long, crc long, at long, part int"
@@ -361,7 +361,8 @@ def _cut(body: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _with_spans(docs: DataFrame, length: int, columns: list[str]) -> DataFrame:
     """``columns`` of every row with its body and its spans (null: none); only rows that may have spans are joined."""
-    spans = written(repeated_spans(docs, length), "spans")
+    with scratch(docs.sparkSession):
+        spans = written(repeated_spans(docs, length), "spans", keep=True)
     bits = key_bits(spans, "doc_id", "crc")
     t = _texts(docs).select(*columns, "__doc", "__key", "__crc", "__body")
     spans = spans.select(F.col("doc_id").alias("__d"), F.col("crc").alias("__c"), F.col("spans").alias("__spans"))
@@ -402,7 +403,8 @@ def _clean(length: int):
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of text, all other columns kept; characters cut in half go."""
+    """``docs`` with the repeated bytes cut out of text, all other columns kept; characters cut in half go. Null text
+    becomes empty; null or repeated doc_ids keep a row each; an empty table gives no rows."""
     others = [c for c in docs.columns if c != "text"]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
     kept = _with_spans(docs, length, others).select(*others, "__body", "__spans").mapInArrow(frugal(_clean(length)), ", ".join([*fields, "text string"]))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import crc_fold, frugal, written
+from tidemark.llm.common import crc_fold, frugal, scratch, written
 
 _word = re.compile(r"[^\W_]+")
 SCORES = "doc_id long, n_words long, n_passages long, best double, evidence double, score double"
@@ -152,7 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_tokens:
     E[exp(lam * s)] = 1 over the clean tokens; k is its maximum-likelihood value from the best passages of clean
     documents. Without labels of both kinds every document scores the neutral prior.
     """
-    rows = written(training_rows(docs, labels, max_rows).mapInArrow(frugal(_signer), "doc_id long, text string, toxic int, sign long"), "toxicity-rows")
+    with scratch(docs.sparkSession):
+        return _fit(training_rows(docs, labels, max_rows), max_tokens, prior_share, min_z, max_e)
+
+
+def _fit(rows: DataFrame, max_tokens: int, prior_share: float, min_z: float, max_e: float) -> ToxicityModel:
+    rows = written(rows.mapInArrow(frugal(_signer), "doc_id long, text string, toxic int, sign long"), "toxicity-rows")
     one = rows.groupBy("sign", "toxic").agg(F.min("doc_id").alias("doc_id"))  # a document copied many times counts once
     counts = written(rows.join(F.broadcast(one.select("doc_id").distinct()), "doc_id", "left_semi").select("text", "toxic").mapInArrow(frugal(_counter, 1024), "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-counts")
     n0, n1 = (int(x or 0) for x in counts.agg(F.sum("clean"), F.sum("toxic")).first())
@@ -213,12 +218,14 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def passages(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Every significant passage with its word span, character span, score and E-value."""
+    """Every significant passage with its word span, character span, score and E-value. Null and empty texts have none;
+    rows that repeat an id give their passages each; an empty table gives no rows; extra columns are ignored."""
     return _input(docs).mapInArrow(_finder(model), PASSAGES)
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose score is below ``least``: scored and filtered in the scan, no join."""
+    """The rows of ``docs``, unchanged, whose score is below ``least``: scored and filtered in the scan, no join.
+    Null and empty texts score as texts without passages; repeated rows stay each; an empty table gives no rows."""
 
     def keep(batches):
         for b in batches:
