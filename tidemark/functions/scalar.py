@@ -204,3 +204,56 @@ def rules(text: Column, table: list[tuple[str, str]], default: str = "other", re
 def first_reason(reasons: dict[str, Column]) -> Column:
     """The name of the first condition that holds, else null."""
     return F.coalesce(*[F.when(c, F.lit(k)) for k, c in reasons.items()])
+
+
+def first_known(*values) -> Column:
+    """An event's time: its own start, else the end of its market (which carries a settlement delay)."""
+    return F.coalesce(*[col(v) for v in values])
+
+
+def parse_underlying(title, tickers: list[tuple[str, str]]) -> Column:
+    """The ticker of the first keyword that the title holds, in the table's order; null if none."""
+    return F.coalesce(*[F.when(F.lower(col(title)).contains(word), F.lit(ticker)) for word, ticker in tickers])
+
+
+#: A slug's cadence by the first pattern that it holds.
+CADENCES = [
+    (r"-\d{4}-\d{2}-\d{2}", "daily"),
+    (r"week-of-|\d{1,2}-(mon|tue|wed|thu|fri|sat|sun)-", "weekly"),
+    (r"-(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)-", "monthly"),
+]
+
+
+def cadence_from_slug(slug) -> Column:
+    return rules(F.lower(F.coalesce(col(slug), F.lit(""))), CADENCES, "one-off")
+
+
+def theme_group(theme) -> Column:
+    """The coarse group of a market's theme; everything else is global."""
+    t = F.lower(col(theme))
+    return (
+        F.when(t.startswith("iran-") | t.startswith("israel-"), "middle-east")
+        .when(t.contains("ukraine"), "ukraine")
+        .when(t.startswith("china-") | t.startswith("taiwan"), "asia")
+        .when(t.startswith("uk-") | t.startswith("europe"), "uk")
+        .otherwise("global")
+    )
+
+
+#: Ordered rules for a slug's kind of question; order is part of the table.
+SUBCATEGORIES = [
+    (r"-spread-|-handicap-|-by-\d+-or-more", "spreads"),
+    (r"-(over|under)-\d|-total-|-o-u-", "totals"),
+    (r"-(points|rebounds|assists|goals|yards)-", "props"),
+    (r"-(champion|winner|mvp|title|finals)(-|$)", "futures"),
+    (r"-vs-|-\d{4}-\d{2}-\d{2}$", "game_outcome"),
+]
+
+
+def subcategory(slug) -> Column:
+    return rules(F.lower(col(slug)), SUBCATEGORIES, "uncategorized")
+
+
+def is_game_outcome(slug) -> Column:
+    """A head-to-head or dated slug that no rule before ``game_outcome`` claims."""
+    return subcategory(slug) == "game_outcome"

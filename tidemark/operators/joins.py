@@ -33,18 +33,29 @@ def probes_struct(df: DataFrame):
     return df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType
 
 
+def _next_at(left: DataFrame, right: DataFrame, key: str, ts: str, before_us: int) -> DataFrame:
+    """left with first_us: the earliest right time of its key at or after t - before; null if none. One shuffle on the
+    key: both sides are stacked and the next right time is carried backward in one sort."""
+    kind = probes_struct(left)
+    r = right.where(F.col(ts).isNotNull()).select(F.col(key).alias("__k"), F.unix_micros(ts).alias("__u"), F.lit(1).alias("__side"), F.unix_micros(ts).alias("__r"), F.lit(None).cast(kind).alias("__p"))
+    p = left.select(F.col(key).alias("__k"), (F.unix_micros(ts) - before_us).alias("__u"), F.lit(0).alias("__side"), F.lit(None).cast("long").alias("__r"), F.struct(*left.columns).alias("__p"))
+    w = Window.partitionBy("__k").orderBy("__u", "__side").rowsBetween(0, Window.unboundedFollowing)
+    j = r.unionByName(p).withColumn("first_us", F.first("__r", ignorenulls=True).over(w)).where("__side = 0")
+    known = F.col(f"__p.{key}").isNotNull() & F.col("__u").isNotNull()  # null keys and times meet nothing
+    return j.select("__p.*", F.when(known, F.col("first_us")).alias("first_us"))
+
+
 def first_in_range(left: DataFrame, right: DataFrame, key: str, ts: str, before_us: int, after_us: int) -> DataFrame:
     """The earliest right time in [t - before, t + after] of each left row, and its lead in minutes; null if none."""
-    r = right.select(F.col(key).alias("__k"), F.unix_micros(ts).alias("__u"))
-    near = (F.col("__u") >= F.unix_micros(ts) - before_us) & (F.col("__u") <= F.unix_micros(ts) + after_us)
-    j = left.join(r, (F.col(key) == F.col("__k")) & near, "left")
-    return j.groupBy(*left.columns).agg(F.min("__u").alias("first_us")).withColumn("lead_min", F.round((F.unix_micros(ts) - F.col("first_us")) / 60e6, 4))
+    j = _next_at(left, right, key, ts, before_us)
+    j = j.withColumn("first_us", F.when(F.col("first_us") <= F.unix_micros(ts) + after_us, F.col("first_us")))
+    return j.withColumn("lead_min", F.round((F.unix_micros(ts) - F.col("first_us")) / 60e6, 4))
 
 
 def range_exclusion(left: DataFrame, right: DataFrame, key: str, ts: str, before_us: int, after_us: int) -> DataFrame:
     """Left rows without any right row of their key in [t - before, t + after]."""
-    r = right.select(F.col(key).alias("__k"), F.unix_micros(ts).alias("__u"))
-    return left.join(r, (F.col(key) == F.col("__k")) & F.col("__u").between(F.unix_micros(ts) - before_us, F.unix_micros(ts) + after_us), "left_anti")
+    j = _next_at(left, right, key, ts, before_us)
+    return j.where(F.col("first_us").isNull() | (F.col("first_us") > F.unix_micros(ts) + after_us)).drop("first_us")
 
 
 def composite_key(a: DataFrame, b: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -57,7 +68,7 @@ def token_overlap(a: DataFrame, b: DataFrame, id_a: str, id_b: str, tokens: str
     """Pairs that share ``least`` tokens or more, the best of each left id first (ties by id)."""
     x = a.select(id_a, F.explode(F.array_distinct(tokens)).alias("t"))
     y = b.select(id_b, F.explode(F.array_distinct(tokens)).alias("t"))
-    p = x.join(y, "t").groupBy(id_a, id_b).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    p = x.hint("merge").join(y.hint("merge"), "t").groupBy(id_a, id_b).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
     return p.withColumn("rank", F.row_number().over(Window.partitionBy(id_a).orderBy(F.desc("shared"), id_b)))
 
 
@@ -77,16 +88,30 @@ def token_date(a: DataFrame, b: DataFrame, days: int = 1) -> DataFrame:
     y = b.select(F.col("id").alias("b_id"), F.col("home").alias("bh"), F.col("away").alias("ba"), F.col("day").alias("d"), F.explode(F.array_union("home", "away")).alias("t"))
     same = F.arrays_overlap("ah", "bh") & F.arrays_overlap("aa", "ba")
     turned = F.arrays_overlap("ah", "ba") & F.arrays_overlap("aa", "bh")
-    return x.join(y, ["t", "d"]).where(same | turned).groupBy("a_id").agg(F.min_by(F.struct("b_id", same.alias("same")), "b_id").alias("m")).select("a_id", "m.b_id", "m.same")
-
-
-def keyword_match(news: DataFrame, markets: DataFrame, least: int = 2) -> DataFrame:
-    """news: (news_id, tokens, title), markets: (market_id, keywords). Single words match tokens, phrases stand in the
-    title; a phrase is looked up through its first word, so only titles that hold it are scanned."""
-    k = markets.select("market_id", F.explode(F.array_distinct("keywords")).alias("kw")).withColumn("head", F.split("kw", " ")[0])
-    n = news.select("news_id", F.lower("title").alias("title"), F.explode(F.array_distinct("tokens")).alias("head"))
-    hit = n.join(k, "head").where((F.instr("kw", " ") == 0) | F.expr("contains(title, kw)"))
-    return hit.groupBy("news_id", "market_id").agg(F.count_distinct("kw").alias("hits")).where(F.col("hits") >= least)
+    return x.hint("merge").join(y.hint("merge"), ["t", "d"]).where(same | turned).groupBy("a_id").agg(F.min_by(F.struct("b_id", same.alias("same")), "b_id").alias("m")).select("a_id", "m.b_id", "m.same")
+
+
+def keyword_match(news: DataFrame, markets: DataFrame, least: int = 2, share: float = 0.0) -> DataFrame:
+    """news: (news_id, tokens, title), markets: (market_id, keywords). Pairs with at least ``least`` keywords, and at least
+    ``share`` of the market's. Single words match tokens; phrases stand in the title.
+
+    A market of k keywords that needs h hits misses at most k - h of them, so it is looked up by its k - h + 1 rarest
+    keywords only (a phrase by its first word); all keywords are counted for the candidates. Common words are thus
+    joined only where a market has no rarer ones."""
+    m = markets.select("market_id", F.array_distinct("keywords").alias("keywords")).where(F.size("keywords") > 0)
+    m = m.withColumn("need", F.greatest(F.lit(least), F.ceil(F.size("keywords") * F.lit(share) - 1e-9)).cast("int"))
+    k = m.where("need <= size(keywords)").select("market_id", "need", F.size("keywords").alias("k"), F.explode("keywords").alias("kw")).withColumn("head", F.split("kw", " ")[0])
+    words = news.select("news_id", F.explode(F.array_distinct("tokens")).alias("head"))
+    heads = k.select("head").distinct()
+    often = words.hint("merge").join(heads.hint("merge"), "head", "left_semi").groupBy("head").agg(F.count("*").alias("often"))
+    rare = k.hint("merge").join(often.hint("merge"), "head", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("market_id").orderBy("often", "kw"))
+    index = rare.withColumn("place", place).where("place <= k - need + 1 and often > 0").select("market_id", "head").distinct()
+    pairs = words.hint("merge").join(index.hint("merge"), "head").select("news_id", "market_id").distinct()
+    full = pairs.hint("merge").join(m.hint("merge"), "market_id").hint("merge").join(news.select("news_id", "tokens", F.lower("title").alias("title")).hint("merge"), "news_id")
+    single = F.size(F.array_intersect("keywords", F.filter("tokens", lambda t: F.instr(t, " ") == 0)))
+    phrases = F.size(F.filter("keywords", lambda w: (F.instr(w, " ") > 0) & F.col("title").contains(w)))
+    return full.withColumn("hits", (single + phrases).cast("long")).where("hits >= need").select("news_id", "market_id", "hits")
 
 
 def news_index(matches: DataFrame, news: DataFrame) -> DataFrame:
@@ -99,7 +124,7 @@ def ticker_prefix(a: DataFrame, b: DataFrame, days: int = 1) -> DataFrame:
     x = a.select(F.col("id").alias("a_id"), F.upper(F.substring("team", 1, 3)).alias("p"), F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days))).alias("d"))
     y = b.select(F.col("id").alias("b_id"), "ticker", F.col("day").alias("d"))
     y = y.withColumn("p", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("ticker") - 2)), lambda i: F.substring("ticker", i, 3)))))
-    return x.join(y, ["p", "d"]).select("a_id", "b_id").distinct()
+    return x.hint("merge").join(y.hint("merge"), ["p", "d"]).select("a_id", "b_id").distinct()
 
 
 def pre_post(before: DataFrame, after: DataFrame, value: str, shift: float = 0.10, drop: float = 0.20) -> DataFrame:

@@ -95,26 +95,38 @@ q("join_anti", MARKET, TRADE, body="SELECT market_id FROM v_market m WHERE NOT E
 q("join_broadcast_lookup", body="SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")(lambda t: t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n")))
 q("scan_semi_filtered", TRADE, body="SELECT wallet, count(*) AS n FROM v_trade WHERE market_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY wallet")(lambda t: J.semi(t.trade, t.market.where("category = '1-URGENT'"), "market_id").groupBy("wallet").agg(F.count("*").alias("n")))
 q("join_composite_key", TRADE, body="SELECT a.market_id, a.wallet, a.cents, b.size FROM (SELECT market_id, wallet, first(cents ORDER BY line, cents) AS cents FROM v_trade GROUP BY ALL) a JOIN (SELECT market_id, wallet, first(size ORDER BY line, size) AS size FROM v_trade WHERE outcome_index = 1 GROUP BY ALL) b USING (market_id, wallet)")(lambda t: J.composite_key(t.trade.select("market_id", "wallet", "line", "cents"), t.trade.where("outcome_index = 1").select("market_id", "wallet", "line", "size"), ["market_id", "wallet"], "line").select("market_id", "wallet", "cents", "size"))
-q("join_asof_backward", TICK, body="SELECT p.id, CASE WHEN epoch_us(p.ts) - epoch_us(s.ts) <= 3600000000 THEN s.cents END AS cents FROM (SELECT id, ts, asset FROM v_tick WHERE id % 4 = 0) p ASOF LEFT JOIN (SELECT asset, ts, last(cents ORDER BY id) AS cents FROM v_tick WHERE id % 4 <> 0 GROUP BY ALL) s ON p.asset = s.asset AND p.ts >= s.ts")(lambda t: J.asof_backward(t.tick.where("id % 4 = 0").select("id", "ts", "asset"), t.tick.where("id % 4 <> 0"), "asset", "ts", "cents", 3_600_000_000, "id").select("id", "cents"))
 q("join_first_in_range", TICK, body="SELECT l.id, round((epoch_us(l.ts) - min(epoch_us(r.ts))) / 60e6, 4) AS lead_min FROM v_tick l LEFT JOIN (SELECT * FROM v_tick WHERE asset = 'purchase') r ON l.actor = r.actor AND epoch_us(r.ts) BETWEEN epoch_us(l.ts) - 3600000000 * 6 AND epoch_us(l.ts) + 600000000 WHERE l.asset <> 'purchase' GROUP BY l.id, l.ts")(lambda t: J.first_in_range(t.tick.where("asset <> 'purchase'").select("id", "actor", "ts"), t.tick.where("asset = 'purchase'"), "actor", "ts", 6 * 3_600_000_000, 600_000_000).select("id", "lead_min"))
 q("join_range_exclusion", TICK, body="SELECT id FROM v_tick l WHERE asset <> 'purchase' AND NOT EXISTS (SELECT 1 FROM v_tick r WHERE r.asset = 'purchase' AND r.actor = l.actor AND epoch_us(r.ts) BETWEEN epoch_us(l.ts) - 7200000000 AND epoch_us(l.ts) + 600000000)")(lambda t: J.range_exclusion(t.tick.where("asset <> 'purchase'"), t.tick.where("asset = 'purchase'"), "actor", "ts", 7_200_000_000, 600_000_000).select("id"))
 q("join_self_comove", TRADE, body="SELECT market_id, line, CAST((SELECT count(DISTINCT wallet) FROM v_trade b WHERE b.market_id = a.market_id AND b.size >= 25) AS BIGINT) - CASE WHEN size >= 25 THEN 1 ELSE 0 END AS others FROM v_trade a")(lambda t: J.comove(t.trade.withColumn("theme", F.lit(1)), "theme", "market_id", "wallet", "size", 25).select("market_id", "line", "others"))
 q("join_pre_post", MARKET, body="SELECT pre_n, post_n, round(pre_mean, 4) AS pre_mean, round(post_mean, 4) AS post_mean, CASE WHEN abs((post_mean - pre_mean) / pre_mean) > 0.1 OR post_n < 0.8 * pre_n THEN 'BREAKING' ELSE 'CLEAN' END AS verdict FROM (SELECT count(*) AS pre_n, avg(yes) AS pre_mean FROM v_market WHERE market_id % 2 = 0), (SELECT count(*) AS post_n, avg(yes) AS post_mean FROM v_market WHERE market_id % 2 = 1)")(lambda t: J.pre_post(t.market.where("market_id % 2 = 0"), t.market.where("market_id % 2 = 1"), "yes"))
 q("join_grid", TRADE, body="SELECT fee, cap, count(*) AS n FROM v_trade, (VALUES (0), (200)) f(fee), (VALUES (10), (20), (40)) c(cap) WHERE size <= cap GROUP BY ALL")(lambda t: J.grid(t.trade, fee=[0, 200], cap=[10, 20, 40]).where("size <= cap").groupBy("fee", "cap").agg(F.count("*").alias("n")))
-q("join_token_overlap", body="WITH a AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part WHERE p_size <= 5), b AS (SELECT p_partkey AS b_key, unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part WHERE p_size >= 48) SELECT p_partkey, b_key, count(*) AS shared FROM a JOIN b USING (t) GROUP BY ALL HAVING count(*) >= 2")(lambda t: J.token_overlap(t.part.where("p_size <= 5").select("p_partkey", F.split("p_name", " ").alias("tokens")), t.part.where("p_size >= 48").select(F.col("p_partkey").alias("b_key"), F.split("p_name", " ").alias("tokens")), "p_partkey", "b_key").drop("rank"))
 q("join_token_exact", body="WITH k AS (SELECT array_to_string(list_sort(string_split(p_type, ' ')), ' ') AS key, p_size % 7 AS day, p_brand AS venue, arg_max(CAST(round(p_retailprice * 100) AS BIGINT), CAST(p_size AS BIGINT) * 100000000 + CAST(round(p_retailprice * 100) AS BIGINT)) AS c FROM part GROUP BY ALL) SELECT key, day, max(c) FILTER (WHERE venue = 'Brand#1') AS \"Brand#1\", max(c) FILTER (WHERE venue = 'Brand#2') AS \"Brand#2\" FROM k WHERE venue IN ('Brand#1', 'Brand#2') GROUP BY key, day HAVING count(*) >= 2")(lambda t: J.token_exact(t.part.select(F.split("p_type", " ").alias("tokens"), (F.col("p_size") % 7).alias("day"), F.col("p_brand").alias("venue"), F.col("p_size").alias("v"), F.round(F.col("p_retailprice") * 100).cast("long").alias("c")), "venue", "tokens", "day", "v", "c", ["Brand#1", "Brand#2"]))
-q("join_keyword_match", body="WITH n AS (SELECT doc_id AS news_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM documents), k AS (SELECT item_id AS market_id, unnest(list_distinct(list_slice(string_split(lower(text), ' '), 1, 6))) AS w FROM benchmark) SELECT news_id, market_id, count(*) AS hits FROM n JOIN k USING (w) GROUP BY ALL HAVING count(*) >= 5")(lambda t: J.keyword_match(t.documents.select(F.col("doc_id").alias("news_id"), F.split(F.lower("text"), " ").alias("tokens"), F.col("text").alias("title")), t.benchmark.select(F.col("item_id").alias("market_id"), F.slice(F.split(F.lower("text"), " "), 1, 6).alias("keywords")), 5))
 q("upsert_first_wins", TICK, body="SELECT actor, asset, first(cents ORDER BY ts, id) AS cents FROM v_tick GROUP BY ALL")(lambda t: J.upsert_first(t.tick, ["actor", "asset"], ["ts", "id"]).select("actor", "asset", "cents"))
 q("upsert_last_wins", TICK, body="SELECT actor, asset, last(cents ORDER BY ts, id) AS cents FROM v_tick GROUP BY ALL")(lambda t: J.upsert_last(t.tick, ["actor", "asset"], ["ts", "id"]).select("actor", "asset", "cents"))
-q("upsert_coalesce", MARKET, body="SELECT coalesce(o.k, n.k) AS k, coalesce(o.s, n.s) AS first_seen, coalesce(n.s, o.s) AS last_seen, coalesce(n.yes, o.yes) AS yes, o.k IS NULL AS is_new FROM (SELECT event_id AS k, min(market_id) AS s, min(yes) AS yes FROM v_market WHERE market_id % 3 = 0 GROUP BY 1) o FULL JOIN (SELECT event_id AS k, max(market_id) AS s, max(yes) AS yes FROM v_market WHERE market_id % 3 = 1 GROUP BY 1) n ON o.k = n.k")(lambda t: J.upsert_coalesce(t.market.where("market_id % 3 = 0").groupBy(F.col("event_id").alias("k")).agg(F.min("market_id").alias("first_seen"), F.min("market_id").alias("last_seen"), F.min("yes").alias("yes")), t.market.where("market_id % 3 = 1").groupBy(F.col("event_id").alias("k")).agg(F.max("market_id").alias("s"), F.max("yes").alias("yes")), "k", "s"))
-
-# -- whole tables: the joins above whose SQL takes a subset of the rows, over all of them ----------------------------
-q("join_token_overlap_whole", body="WITH a AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS b_key, unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part WHERE p_partkey % 2 = 1), p AS (SELECT p_partkey, b_key, count(*) AS shared FROM a JOIN b USING (t) GROUP BY ALL HAVING count(*) >= 2) SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY shared DESC, b_key) AS rank FROM p")(lambda t: J.token_overlap(t.part.where("p_partkey % 2 = 0").select("p_partkey", F.split("p_name", " ").alias("tokens")), t.part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("b_key"), F.split("p_name", " ").alias("tokens")), "p_partkey", "b_key"))
-q("join_keyword_match_whole", body="WITH n AS (SELECT doc_id AS news_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM documents), k AS (SELECT item_id AS market_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM benchmark) SELECT news_id, market_id, count(*) AS hits FROM n JOIN k USING (w) GROUP BY ALL HAVING count(*) >= 5")(lambda t: J.keyword_match(t.documents.select(F.col("doc_id").alias("news_id"), F.split(F.lower("text"), " ").alias("tokens"), F.col("text").alias("title")), t.benchmark.select(F.col("item_id").alias("market_id"), F.split(F.lower("text"), " ").alias("keywords")), 5))
-q("join_asof_backward_whole", TICK, body="SELECT p.id, CASE WHEN epoch_us(p.ts) - epoch_us(s.ts) <= 3600000000 THEN s.cents END AS cents FROM (SELECT id, ts, actor FROM v_tick WHERE asset = 'purchase') p ASOF LEFT JOIN (SELECT actor, ts, last(cents ORDER BY id) AS cents FROM v_tick WHERE asset <> 'purchase' GROUP BY ALL) s ON p.actor = s.actor AND p.ts >= s.ts")(lambda t: J.asof_backward(t.tick.where("asset = 'purchase'").select("id", "ts", "actor"), t.tick.where("asset <> 'purchase'"), "actor", "ts", "cents", 3_600_000_000, "id").select("id", "cents"))
-q("upsert_coalesce_whole", MARKET, body="SELECT coalesce(o.k, n.k) AS k, coalesce(o.s, n.s) AS first_seen, coalesce(n.s, o.s) AS last_seen, coalesce(n.yes, o.yes) AS yes, o.k IS NULL AS is_new FROM (SELECT event_id AS k, min(market_id) AS s, min(yes) AS yes FROM v_market WHERE market_id % 2 = 0 GROUP BY 1) o FULL JOIN (SELECT event_id AS k, max(market_id) AS s, max(yes) AS yes FROM v_market WHERE market_id % 2 = 1 GROUP BY 1) n ON o.k = n.k")(lambda t: J.upsert_coalesce(t.market.where("market_id % 2 = 0").groupBy(F.col("event_id").alias("k")).agg(F.min("market_id").alias("first_seen"), F.min("market_id").alias("last_seen"), F.min("yes").alias("yes")), t.market.where("market_id % 2 = 1").groupBy(F.col("event_id").alias("k")).agg(F.max("market_id").alias("s"), F.max("yes").alias("yes")), "k", "s"))
-q("sort_multi_whole", MARKET, body="SELECT market_id, yes, volume FROM v_market ORDER BY yes DESC NULLS LAST, volume DESC, market_id")(lambda t: t.market.orderBy(F.desc_nulls_last("yes"), F.desc("volume"), "market_id").select("market_id", "yes", "volume"))
-q("join_match_news_ts_whole", TICK, body="SELECT asset, epoch_us(ts) // 86400000000 AS day, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM v_tick GROUP BY ALL")(lambda t: J.news_index(t.tick.select(F.col("id").alias("news_id"), F.struct("asset", F.expr("unix_micros(ts) div 86400000000").alias("day")).alias("market_id")), t.tick.select(F.col("id").alias("news_id"), "ts")).select("market_id.asset", "market_id.day", F.size("times").cast("long").alias("n"), F.unix_micros(F.element_at("times", 1)).alias("first_us"), F.unix_micros(F.element_at("times", -1)).alias("last_us")))
+
+# -- joins that need two sides of one table -----------------------------------------------------------------------
+q("join_token_overlap", body="WITH a AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS b_key, unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part WHERE p_partkey % 2 = 1), p AS (SELECT p_partkey, b_key, count(*) AS shared FROM a JOIN b USING (t) GROUP BY ALL HAVING count(*) >= 2) SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY shared DESC, b_key) AS rank FROM p")(lambda t: J.token_overlap(t.part.where("p_partkey % 2 = 0").select("p_partkey", F.split("p_name", " ").alias("tokens")), t.part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("b_key"), F.split("p_name", " ").alias("tokens")), "p_partkey", "b_key"))
+KEYWORDS = """n AS (SELECT doc_id AS news_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM documents),
+k AS (SELECT item_id AS market_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM benchmark),
+s AS (SELECT market_id, greatest(5, CAST(ceil(count(*) * 0.6 - 1e-9) AS BIGINT)) AS need FROM k GROUP BY market_id)"""
+q("join_keyword_match", KEYWORDS, body="""
+SELECT news_id, market_id, count(*) AS hits FROM n JOIN k USING (w) JOIN s USING (market_id) GROUP BY news_id, market_id, need HAVING count(*) >= need
+""")(lambda t: J.keyword_match(
+    t.documents.select(F.col("doc_id").alias("news_id"), F.split(F.lower("text"), " ").alias("tokens"), F.col("text").alias("title")),
+    t.benchmark.select(F.col("item_id").alias("market_id"), F.split(F.lower("text"), " ").alias("keywords")), 5, 0.6))
+q("join_asof_backward", TICK, body="SELECT p.id, CASE WHEN epoch_us(p.ts) - epoch_us(s.ts) <= 3600000000 THEN s.cents END AS cents FROM (SELECT id, ts, actor FROM v_tick WHERE asset = 'purchase') p ASOF LEFT JOIN (SELECT actor, ts, last(cents ORDER BY id) AS cents FROM v_tick WHERE asset <> 'purchase' GROUP BY ALL) s ON p.actor = s.actor AND p.ts >= s.ts")(lambda t: J.asof_backward(t.tick.where("asset = 'purchase'").select("id", "ts", "actor"), t.tick.where("asset <> 'purchase'"), "actor", "ts", "cents", 3_600_000_000, "id").select("id", "cents"))
+q("upsert_coalesce", MARKET, body="SELECT coalesce(o.k, n.k) AS k, coalesce(o.s, n.s) AS first_seen, coalesce(n.s, o.s) AS last_seen, coalesce(n.yes, o.yes) AS yes, o.k IS NULL AS is_new FROM (SELECT event_id AS k, min(market_id) AS s, min(yes) AS yes FROM v_market WHERE market_id % 2 = 0 GROUP BY 1) o FULL JOIN (SELECT event_id AS k, max(market_id) AS s, max(yes) AS yes FROM v_market WHERE market_id % 2 = 1 GROUP BY 1) n ON o.k = n.k")(lambda t: J.upsert_coalesce(t.market.where("market_id % 2 = 0").groupBy(F.col("event_id").alias("k")).agg(F.min("market_id").alias("first_seen"), F.min("market_id").alias("last_seen"), F.min("yes").alias("yes")), t.market.where("market_id % 2 = 1").groupBy(F.col("event_id").alias("k")).agg(F.max("market_id").alias("s"), F.max("yes").alias("yes")), "k", "s"))
+q("sort_multi", MARKET, body="SELECT market_id, yes, volume FROM v_market ORDER BY yes DESC NULLS LAST, volume DESC, market_id")(lambda t: t.market.orderBy(F.desc_nulls_last("yes"), F.desc("volume"), "market_id").select("market_id", "yes", "volume"))
+q("join_match_news_ts", TICK, body="SELECT asset, epoch_us(ts) // 86400000000 AS day, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM v_tick GROUP BY ALL")(lambda t: J.news_index(t.tick.select(F.col("id").alias("news_id"), F.struct("asset", F.expr("unix_micros(ts) div 86400000000").alias("day")).alias("market_id")), t.tick.select(F.col("id").alias("news_id"), "ts")).select("market_id.asset", "market_id.day", F.size("times").cast("long").alias("n"), F.unix_micros(F.element_at("times", 1)).alias("first_us"), F.unix_micros(F.element_at("times", -1)).alias("last_us")))
+
+# the same under the names of round 1's whole-table forms; of the keyword match the one without a share of the keywords
+for _name in ("join_token_overlap", "join_asof_backward", "upsert_coalesce", "sort_multi", "join_match_news_ts"):
+    QUERIES[f"{_name}_whole"] = QUERIES[_name]
+q("join_keyword_match_whole", *KEYWORDS.split(",\nk")[:1], "k" + KEYWORDS.split(",\nk")[1].split(",\ns")[0], body="""
+SELECT news_id, market_id, count(*) AS hits FROM n JOIN k USING (w) GROUP BY news_id, market_id HAVING count(*) >= 5
+""")(lambda t: J.keyword_match(
+    t.documents.select(F.col("doc_id").alias("news_id"), F.split(F.lower("text"), " ").alias("tokens"), F.col("text").alias("title")),
+    t.benchmark.select(F.col("item_id").alias("market_id"), F.split(F.lower("text"), " ").alias("keywords")), 5))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -55,7 +55,6 @@ q("price_sufficiency", MARKET, TRADE, body=f"SELECT m.market_id, count(*) FILTER
 q("participant_profile", MARKET, TRADE, body="SELECT wallet, n, takers, favourite FROM (SELECT wallet, count(*) AS n, count(*) FILTER (WHERE outcome_index = 1) AS takers FROM v_trade GROUP BY wallet) JOIN (SELECT wallet, category AS favourite FROM (SELECT wallet, category, row_number() OVER (PARTITION BY wallet ORDER BY c DESC, category) AS rn FROM (SELECT wallet, category, sum(cents) AS c FROM v_trade JOIN v_market USING (market_id) GROUP BY wallet, category)) WHERE rn = 1) USING (wallet)")(lambda t: t.trade.groupBy("wallet").agg(F.count("*").alias("n"), F.count_if(F.col("outcome_index") == 1).alias("takers")).join(A.topk_per_group(t.trade.join(t.market, "market_id").groupBy("wallet", "category").agg(F.sum("cents").alias("c")), "wallet", [F.desc("c"), F.col("category")], 1).select("wallet", F.col("category").alias("favourite")), "wallet"))
 q("topk_global", TRADE, body="SELECT wallet, CAST(sum(cents) AS BIGINT) AS cents FROM v_trade GROUP BY wallet ORDER BY cents DESC, wallet LIMIT 20")(lambda t: t.trade.groupBy("wallet").agg(F.sum("cents").alias("cents")).orderBy(F.desc("cents"), "wallet").limit(20))
 q("topk_per_group", MARKET, body="SELECT category, market_id, rank FROM (SELECT category, market_id, row_number() OVER (PARTITION BY category ORDER BY volume DESC, market_id) AS rank FROM v_market) WHERE rank <= 10")(lambda t: A.topk_per_group(t.market, "category", [F.desc("volume"), F.col("market_id")], 10).select("category", "market_id", "rank"))
-q("sort_multi", MARKET, body="SELECT market_id, row_number() OVER (ORDER BY yes DESC NULLS LAST, volume DESC, market_id) AS place FROM v_market ORDER BY place LIMIT 100")(lambda t: t.market.orderBy(F.desc_nulls_last("yes"), F.desc("volume"), "market_id").limit(100).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("yes"), F.desc("volume"), "market_id"))).select("market_id", "place"))
 
 # -- ordered -------------------------------------------------------------------------------------------------------
 GRID = "last6 AS (SELECT asset, epoch_us(ts) // 21600000000 AS bin, last(cents ORDER BY ts, id) AS cents FROM v_tick GROUP BY ALL), span AS (SELECT asset, unnest(generate_series(min(bin), max(bin))) AS bin FROM last6 GROUP BY asset), grid AS (SELECT asset, bin, last_value(cents IGNORE NULLS) OVER (PARTITION BY asset ORDER BY bin) AS cents FROM span LEFT JOIN last6 USING (asset, bin))"
@@ -126,4 +125,3 @@ q("stream_tumbling_moves", TICK, body="SELECT asset, epoch_us(ts) // 600000000 *
 q("stream_feed_health", TICK, body="SELECT asset, epoch_us(ts) // 10800000000 * 10800000000 AS start_us, count(*) AS items FROM v_tick GROUP BY ALL")(lambda t: M.feed_health(t.tick, "asset").select("asset", F.unix_micros("start").alias("start_us"), "items"))
 q("stream_adaptive_window", MARKET, TRADE, body=f"SELECT phase, count(*) AS n FROM (SELECT CASE WHEN l <= 0 THEN 'past' WHEN l <= {90 * DAY} THEN 'final' ELSE 'normal' END AS phase FROM (SELECT (epoch_us(m.end_ts) - epoch_us(t.ts)) / 1e6 AS l FROM v_trade t JOIN v_market m USING (market_id))) GROUP BY phase")(lambda t: M.adaptive_window(t.trade.join(t.market, "market_id"), 90 * DAY).groupBy("phase").agg(F.count("*").alias("n")))
 q("stream_quote_presence", TICK, body="SELECT asset, epoch_us(ts) // 3600000000 * 3600000000 AS start_us, count(*) AS n, round(avg(CASE WHEN abs((b + a) / 2 - 100) <= 50 THEN 1.0::DOUBLE ELSE 0 END), 6) AS presence FROM (SELECT *, cents / 100 - 1 AS b, cents / 100 + 1 AS a FROM v_tick) GROUP BY ALL")(lambda t: M.quote_presence(t.tick.withColumns({"bid": F.col("cents") / 100 - 1, "ask": F.col("cents") / 100 + 1}), "asset", 100.0, 50.0).select("asset", F.unix_micros("start").alias("start_us"), "n", "presence"))
-q("stream_flag_on_entry", TICK, body="SELECT actor, id FROM (SELECT actor, id, cents >= 5000 AS now, lag(cents >= 5000) OVER (PARTITION BY actor ORDER BY ts, id) AS before FROM v_tick) WHERE now AND NOT coalesce(before, false)")(lambda t: t.tick.withColumn("before", F.lag(F.col("cents") >= 5000).over(Window.partitionBy("actor").orderBy("ts", "id"))).where((F.col("cents") >= 5000) & ~F.coalesce("before", F.lit(False))).select("actor", "id"))

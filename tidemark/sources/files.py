@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one only on a local master (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: no folder that all executors see")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def scan_pruned(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.parquet(path).select(*columns)
 
@@ -30,7 +43,7 @@ def scan_parts(spark: SparkSession, paths: list[str], strict: bool = True) -> Da
 
 
 def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType, numbers: list[str]) -> DataFrame:
-    """JSON lines with a declared schema; bad lines keep their text in _corrupt; null numbers are 0."""
+    """JSON lines with a declared schema; bad lines keep their text in _corrupt (count them there); null numbers are 0."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     df = spark.read.schema(full).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     return df.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in numbers})
@@ -84,8 +97,10 @@ def json_report(overall: DataFrame, cells: DataFrame, by: str) -> DataFrame:
     return overall.crossJoin(nested).select(F.to_json(F.struct("*")).alias("report"))  # one row each
 
 
-def append_jsonl(stream: DataFrame, path: str, checkpoint: str):
-    return stream.writeStream.outputMode("append").format("json").option("checkpointLocation", checkpoint).start(path)
+def append_jsonl(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False):
+    """Appends a stream as JSON lines; with ``available_now`` it ends when all that has landed is read."""
+    writer = stream.writeStream.outputMode("append").format("json").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start(path)
 
 
 def ticker_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
