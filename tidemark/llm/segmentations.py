@@ -68,7 +68,7 @@ class Lattice:
     ways from a node to the word's end, so an arc's probability is exp(weight + beta(next) - beta(node)).
     """
 
-    def __init__(self, path: str, temperature: float = 1.0, most_arcs: int = 3_000_000):
+    def __init__(self, path: str, temperature: float = 1.0, most_arcs: int = 2_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
