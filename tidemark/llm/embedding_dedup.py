@@ -1,14 +1,20 @@
-"""Near-duplicate embeddings: exact links from pieces of a label that balls on the sphere bound.
-
-Vectors of one label are dealt to their nearest cluster centre, pieces still too large are salted. Every piece has a
-centre and a radius (its largest angle to it), so the triangle inequality of angles sorts the pairs of pieces into
-three kinds: too far for any link (dropped), so near that all their vectors link (counted, never compared), and mixed.
-A vector goes to every mixed pair of its piece and is compared there with the other piece's vectors in double
-precision, in blocks. Every two vectors of a label meet in exactly one pair of pieces, so link counts add up without
-listing pairs and none is lost; for the components each pair of pieces emits a spanning forest only.
-
-The robust-pruned graph below (``build``, ``search``) is for single queries on one machine. Building it compares all
-vectors of a shard, so the exact comparison needs no more work, and a graph over shards loses the links between them.
+"""Near-duplicate embeddings by a robust-pruned flat graph over overlapping cluster shards.
+
+1. Vectors of a label are dealt to their nearest cluster centre (shards still too large are salted) and, for the graph,
+   also to the second nearest. Each shard builds a robust-pruned neighbour graph of both kinds of members; the adjacency
+   lists of a vector's shards are united.
+2. A shard has a centre and a radius (its largest angle to it), so the triangle inequality of angles sorts the pairs of
+   shards: too far for any link (dropped), so near that all their vectors link (counted, never compared), and mixed.
+   Every two vectors of a label meet in exactly one pair of shards, so no link is lost to the dealing and none is
+   counted twice.
+3. For each mixed pair one shard's vectors search the other's part of the united graph: greedily from its medoid, then
+   expanding over all neighbours in range. What is found is verified in double precision.
+4. Each pair audits its recall: a sample of its queries is compared with all vectors of the other shard. Under the target
+   it searches again with a denser graph and a wider beam, at last it compares all in blocks; a pair of which over a
+   tenth links is compared in blocks at once, as listing its links would cost more. The audits of all pairs are added
+   up: they compare sampled vectors with all of their label that may link, so the figure is the recall of the whole.
+
+Link counts add up without listing pairs; for the components each pair of shards emits a spanning forest only.
 """
 
 from __future__ import annotations
@@ -19,10 +25,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import components, written
+from tidemark.llm.common import components, scratch, spread_join, written
 
 PROFILE = "piece long, label long, centre array<double>, radius double, copies long, low long"
 FOUND = "kind string, node long, other long, links long"
+ADJACENCY = "node long, neighbours array<long>"
 #: Angles are right to about 1e-7 (arccos near 1); bounds are loosened by this much, so rounding drops no pair.
 SLACK = 1e-6
 
@@ -183,30 +190,84 @@ def _profile(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": pdf["piece"][:1], "label": pdf["label"][:1], "centre": [c.tolist()], "radius": radius, "copies": int(pdf["copies"].sum()), "low": int(pdf["node"].min())})
 
 
-def _compare(least: float, block: int = 256):
-    """All pairs of two pieces, or of one with itself: each vector's links and the edges of a spanning forest."""
+def _build(degree: int, alpha: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        ids = pdf["node"].to_numpy()
+        g = build(unit(pdf["embedding"]), degree, alpha)
+        return pd.DataFrame({"node": ids, "neighbours": [ids[r[r >= 0]].tolist() for r in g]})
+
+    return run
+
+
+def _graph_pairs(x: np.ndarray, lists, ids: np.ndarray, queries: np.ndarray, inside: np.ndarray, least: float, degree: int, alpha: float, beam: int, dense: bool):
+    """(query row, row) found by search from the medoid of the rows ``inside`` over the united lists (``dense``: and a
+    graph of their own)."""
+    place = {v: i for i, v in enumerate(ids.tolist())}
+    rows = np.flatnonzero(inside)
+    edges = [(i, place[v]) for i in rows.tolist() for v in lists[i] if v in place and inside[place[v]]]
+    if dense or not edges:
+        g = build(x[rows], degree, alpha)
+        a, k = np.nonzero(g >= 0)
+        edges += list(zip(rows[a].tolist(), rows[g[a, k]].tolist()))
+    offsets, flat = both_ways(np.full((len(x), 1), -1), edges)
+    start = int(rows[(x[rows] @ x[rows].mean(0)).argmax()])
+    got = [search(x, queries[k : k + 256], offsets, flat, start, least, min(beam, len(x))) for k in range(0, len(queries), 256)]
+    a, b = (np.concatenate([z[i] for z in got]) for i in (0, 1))
+    keep = inside[b]
+    return a[keep], b[keep]
+
+
+def _compare(least: float, degree: int, alpha: float, beam: int, target: float, audit_rows: int, block: int = 256):
+    """All links of two pieces, or of one with itself: each vector's number, the edges of a spanning forest, the audit."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["piece", "node"]).reset_index(drop=True)
-        ids, x, copies = pdf["node"].to_numpy(), unit(pdf["embedding"]), pdf["copies"].to_numpy(np.float64)
+        ids, x, copies, lists = pdf["node"].to_numpy(), unit(pdf["embedding"]), pdf["copies"].to_numpy(np.float64), list(pdf["neighbours"])
         p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-        m = len(pdf)
-        left = int((pdf["piece"] == p).sum())
+        m, left = len(pdf), int((pdf["piece"] == p).sum())
+        queries, inside = np.arange(left), np.ones(m, bool)
+        if p != q:
+            inside[:left] = False
+        asked = np.unique(np.linspace(0, left - 1, min(left, audit_rows)).astype(int))
+        truth = (x[asked] @ x.T >= least) & inside
+        truth[np.arange(len(asked)), asked] = False
+        want, got, found = int(truth.sum()), 0, None
+        if want <= 0.1 * len(asked) * inside.sum():
+            for wide in (1, 2):
+                a, b = _graph_pairs(x, lists, ids, queries, inside, least, degree * wide, alpha, beam * wide, wide > 1)
+                hit = np.zeros((left, 1), np.int64)
+                if p == q:  # found either way round
+                    code = np.unique(np.minimum(a, b) * m + np.maximum(a, b))
+                    a, b = code // m, code % m
+                    np.add.at(hit[:, 0], b[b < left], 1)
+                np.add.at(hit[:, 0], a, 1)
+                got = int(hit[asked, 0].sum())
+                if got >= target * want:
+                    found = a, b
+                    break
         links, lab = np.zeros(m), np.arange(m)
-        for a in range(0, left, block):
-            z = min(left, a + block)
-            first = a + 1 if p == q else left
-            hit = x[a:z] @ x[first:].T >= least
-            if p == q:  # each unordered pair once
-                hit &= np.arange(first, m) > np.arange(a, z)[:, None]
-            links[a:z] += hit @ copies[first:]
-            links[first:] += copies[a:z] @ hit
-            i, j = np.nonzero(hit)
-            lab = joined(lab, i + a, j + first)
+        if found is not None:
+            a, b = found
+            links += np.bincount(a, copies[b], m) + np.bincount(b, copies[a], m)
+            lab = joined(lab, a, b)
+        else:
+            got = want
+            for a in range(0, left, block):
+                z = min(left, a + block)
+                first = a + 1 if p == q else left
+                hit = x[a:z] @ x[first:].T >= least
+                if p == q:  # each unordered pair once
+                    hit &= np.arange(first, m) > np.arange(a, z)[:, None]
+                links[a:z] += hit @ copies[first:]
+                links[first:] += copies[a:z] @ hit
+                i, j = np.nonzero(hit)
+                lab = joined(lab, i + a, j + first)
         some, tied = np.flatnonzero(links), np.flatnonzero(lab != np.arange(m))
         return pd.concat([
             pd.DataFrame({"kind": "links", "node": ids[some], "other": 0, "links": links[some].astype(np.int64)}),
             pd.DataFrame({"kind": "edge", "node": ids[tied], "other": ids[lab[tied]], "links": 0}),
+            pd.DataFrame({"kind": ["audit"], "node": [want], "other": [min(got, want)], "links": [int(found is not None)]}),
         ])
 
     return run
@@ -221,7 +282,8 @@ def _assign(table: dict):
             for shard, some in pdf.groupby("shard"):
                 if shard in table:
                     c, first = table[shard]
-                    some = some.assign(shard=first + (unit(some["embedding"]) @ c.T).argmax(1))
+                    near = np.argsort(-(unit(some["embedding"]) @ c.T), 1, kind="stable")
+                    some = some.assign(shard=first + near[:, 0], second=first + near[:, min(1, len(c) - 1)])
                 kept.append(some)
             if kept:
                 yield pd.concat(kept)
@@ -230,9 +292,10 @@ def _assign(table: dict):
 
 
 def shards(heads: DataFrame, target_rows: int, max_rows: int, sample_rows: int, max_centres: int, levels: int = 3) -> DataFrame:
-    """(shard, node, label, embedding, copies): labels dealt to centres; shards over ``max_rows`` are dealt again."""
-    kind = "shard long, node long, label long, embedding array<float>, copies long"
-    now = written(heads.select(F.col("label").alias("shard"), "node", "label", "embedding", "copies"), "shards")
+    """(shard, second, node, label, embedding, copies): labels dealt to centres, with the second nearest centre's shard;
+    shards over ``max_rows`` are dealt again."""
+    kind = "shard long, second long, node long, label long, embedding array<float>, copies long"
+    now = written(heads.select(F.col("label").alias("shard"), F.col("label").alias("second"), "node", "label", "embedding", "copies"), "shards")
     free = int(now.agg(F.max("shard")).first()[0] or 0) + 1
     for level in range(levels):
         # the largest shards first; at most max_centres centres and sample_rows sampled vectors come to the driver
@@ -255,12 +318,24 @@ def shards(heads: DataFrame, target_rows: int, max_rows: int, sample_rows: int,
 
 
 def pieces(heads: DataFrame, target_rows: int, max_rows: int, sample_rows: int, max_centres: int) -> DataFrame:
-    """(piece, node, label, embedding, copies): every vector once; shards still over ``max_rows`` are salted."""
+    """(piece, second, node, label, embedding, copies): every vector once; shards still over ``max_rows`` are salted."""
     now = shards(heads, target_rows, max_rows, sample_rows, max_centres)
-    sizes = now.groupBy("shard").count().where(F.col("count") > max_rows).select("shard", F.ceil(F.col("count") / target_rows).alias("salts"))
-    now = now.hint("merge").join(sizes.hint("merge"), "shard", "left")
-    salt = F.coalesce(F.pmod(F.xxhash64("node", F.lit("piece")), F.col("salts")), F.lit(0))
-    return written(now.select((F.col("shard") * (1 << 20) + salt).alias("piece"), "node", "label", "embedding", "copies"), "pieces")
+    sizes = written(now.groupBy("shard").agg(F.count("*").alias("weight"), F.ceil(F.count("*") / target_rows).alias("salts")), "shard-sizes")
+    sizes = sizes.withColumn("salts", F.when(F.col("weight") > max_rows, F.least("salts", F.lit(1 << 16))).otherwise(1))
+    now = spread_join(now, sizes, "shard", now.count())
+    return written(now.select((F.col("shard") * (1 << 16) + F.pmod(F.xxhash64("node", F.lit("piece")), "salts")).alias("piece"), (F.col("second") * (1 << 16)).alias("second"), "node", "label", "embedding", "copies"), "pieces")
+
+
+def adjacency(members: DataFrame, degree: int, alpha: float, max_rows: int) -> DataFrame:
+    """(node, neighbours): the united lists of every vector over the graphs of its own and its second piece. A piece that is
+    the second one of many vectors builds several graphs, each of its own members and some of the others."""
+    guests = members.where("second <> piece").select(F.col("second").alias("piece"), "node", "embedding")
+    slots = written(guests.groupBy("piece").agg(F.count("*").alias("weight"), F.ceil(F.count("*") / max_rows).alias("slots")), "piece-slots")
+    dealt = spread_join(guests, slots, "piece", members.count()).select("piece", F.pmod(F.xxhash64("node"), "slots").alias("slot"), "node", "embedding")
+    own = members.select("piece", "node", "embedding").hint("merge").join(slots.select("piece", "slots").hint("merge"), "piece", "left")
+    own = own.select("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slots", F.lit(1)).cast("long") - 1)).alias("slot"), "node", "embedding")
+    lists = own.unionByName(dealt).groupBy("piece", "slot").applyInPandas(_build(degree, alpha), ADJACENCY)
+    return written(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours")), "adjacency")
 
 
 def piece_pairs(profiles: DataFrame, least: float, salts: int = 16) -> DataFrame:
@@ -277,11 +352,13 @@ def piece_pairs(profiles: DataFrame, least: float, salts: int = 16) -> DataFrame
     return written(j.withColumn("every", F.col("gap") + wide <= range_ - SLACK).drop("label", "salt", "p_centre", "q_centre"), "piece-pairs")
 
 
-def linked(members: DataFrame, least: float) -> DataFrame:
-    """The links and forest edges of all pairs of vectors of a label with a similarity of ``least`` or more."""
-    pairs = piece_pairs(written(members.groupBy("piece").applyInPandas(_profile, PROFILE), "piece-profiles"), least)
+def linked(members: DataFrame, least: float, degree: int, alpha: float, beam: int, target: float, audit_rows: int, max_rows: int) -> DataFrame:
+    """The links, forest edges and audits of all pairs of vectors of a label with a similarity of ``least`` or more."""
+    profiles = members.select("piece", "label", "node", "embedding", "copies").groupBy("piece").applyInPandas(_profile, PROFILE)
+    pairs = piece_pairs(written(profiles, "piece-profiles"), least)
     mixed = pairs.where("not every").select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("piece"))
-    found = members.select("piece", "node", "embedding", "copies").hint("merge").join(mixed.hint("merge"), "piece").groupBy("p", "q").applyInPandas(_compare(least), FOUND)
+    listed = members.select("piece", "node", "embedding", "copies").hint("merge").join(adjacency(members, degree, alpha, max_rows).hint("merge"), "node")
+    found = listed.hint("merge").join(mixed.hint("merge"), "piece").groupBy("p", "q").applyInPandas(_compare(least, degree, alpha, beam, target, audit_rows), FOUND)
     # pieces that link as a whole: a vector links with all of the other pieces' and, in its own, with all but itself;
     # edges to one of those vectors and between the pieces' lowest ones tie the same components
     whole = pairs.where("every")
@@ -293,30 +370,44 @@ def linked(members: DataFrame, least: float) -> DataFrame:
     return written(found.unionByName(links).unionByName(edges), "vector-links")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, target_rows: int = 1000, max_rows: int = 6000, sample_rows: int = 20_000, max_centres: int = 2048) -> DataFrame:
-    """vec_id, n_links, component_id and kept for every row; exact.
+def near_duplicates(vectors: DataFrame, least: float = 0.93, target_rows: int = 1000, max_rows: int = 6000, sample_rows: int = 20_000, max_centres: int = 2048, degree: int = 24, alpha: float = 1.2, beam: int = 32, target: float = 0.99, audit_rows: int = 64) -> DataFrame:
+    """vec_id, n_links, component_id, kept and audited_recall for every row.
 
     Only vectors of one label that isn't null are compared. Null, empty or zero vectors and those with null or
-    non-finite parts link with nothing, nor do vectors of different lengths. Equal vectors are one node with a count. Rows that repeat a vec_id count each
-    and share its component; a null vec_id links with nothing. An empty table gives no rows; other columns are ignored. The
-    cluster centres come from at most 2 * ``sample_rows`` vectors; every vector is compared.
+    non-finite parts link with nothing, nor do vectors of different lengths. Equal vectors are one node with a count. Rows that
+    repeat a vec_id count each and share its component; a null vec_id links with nothing. An empty table gives no rows;
+    other columns are ignored. The cluster centres come from at most 2 * ``sample_rows`` vectors; every vector is in the
+    graph and queries it. audited_recall is one figure for the whole result: the share of the audited links that the
+    accepted searches found, of ``audit_rows`` queries of each pair of shards.
     """
+    with scratch(vectors.sparkSession):
+        v, classes, info, recall = _info(vectors, least, target_rows, max_rows, sample_rows, max_centres, degree, alpha, beam, target, audit_rows)
+    copied = classes.where("copies > 1").select(F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"), F.col("node").alias("head"))
+    keyed = v.hint("merge").join(copied.hint("merge"), F.col("good") & (F.col("label") == F.col("c_label")) & (F.col("embedding") == F.col("c_embedding")), "left")
+    keyed = keyed.select("vec_id", F.when(F.col("good"), F.coalesce("head", "vec_id")).alias("key"))
+    out = keyed.hint("merge").join(info.hint("merge"), F.col("key") == F.col("node"), "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumns({"kept": F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)), "audited_recall": F.lit(recall)})
+
+
+def _info(vectors: DataFrame, least: float, target_rows: int, max_rows: int, sample_rows: int, max_centres: int, degree: int, alpha: float, beam: int, target: float, audit_rows: int) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """The rows with a mark of those that can link, the classes of equal vectors, each class's links and component, and the
+    audited recall."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
-    v = written(v.withColumn("good", good), "vectors")
+    v = written(v.withColumn("good", good), "vectors", keep=True)
     classes = v.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    classes = written(classes, "vector-classes")
-    # vectors of different lengths are labels of their own
-    heads = classes.withColumn("label", F.pmod(F.xxhash64("label", F.size("embedding")), F.lit(1 << 40)))
-    found = linked(pieces(heads, target_rows, max_rows, sample_rows, max_centres), least)
+    classes = written(classes, "vector-classes", keep=True)
+    # a number for each label and length: vectors of different lengths are labels of their own
+    heads = classes.withColumn("kind", F.struct("label", F.size("embedding").alias("size")))
+    numbers = written(heads.groupBy("kind").agg(F.count("*").alias("weight")).withColumn("number", F.monotonically_increasing_id()), "label-numbers")
+    heads = spread_join(heads, numbers, "kind", classes.count()).select(F.col("number").alias("label"), "node", "embedding", "copies")
+    found = linked(pieces(heads, target_rows, max_rows, sample_rows, max_centres), least, degree, alpha, beam, target, audit_rows, max_rows)
+    audit = found.where("kind = 'audit'").agg(F.sum("node").alias("want"), F.sum("other").alias("got")).first()
     links = found.where("kind = 'links'").groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.where("kind = 'edge'").select(F.col("node").alias("a"), F.col("other").alias("b")))
     info = classes.select("node", "copies").groupBy("node").agg(F.sum(F.col("copies")).alias("copies"))
     info = info.hint("merge").join(links.hint("merge"), "node", "left").join(parts.hint("merge"), "node", "left")
-    info = written(info.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "vector-info")
-    copied = classes.where("copies > 1").select(F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"), F.col("node").alias("head"))
-    keyed = v.hint("merge").join(copied.hint("merge"), F.col("good") & (F.col("label") == F.col("c_label")) & (F.col("embedding") == F.col("c_embedding")), "left")
-    keyed = keyed.select("vec_id", F.when(F.col("good"), F.coalesce("head", "vec_id")).alias("key"))
-    out = keyed.hint("merge").join(info.hint("merge"), F.col("key") == F.col("node"), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    info = written(info.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "vector-info", keep=True)
+    return v, classes, info, (audit["got"] / audit["want"]) if audit["want"] else 1.0
