@@ -161,6 +161,74 @@ def test_segments_brute():
         assert all(s[a] > 0 and s[b] > 0 for a, b, _ in got)
 
 
+def test_segments_exact_and_linear():
+    """All maximal segments, one by one, against the recursive definition; long texts take time in proportion."""
+    import time
+
+    rng = np.random.default_rng(6)
+
+    def maximal(s, a, z):
+        best = max(((sum(s[i:j]), i - j, -i, i, j) for i in range(a, z) for j in range(i + 1, z + 1)), default=(0,))
+        if best[0] <= 0:
+            return []
+        i, j = best[3:]
+        return maximal(s, a, i) + [(i, j - 1, best[0])] + maximal(s, j, z)
+
+    for _ in range(300):
+        s = (rng.choice([-3.5, -1.0625, 2.53125, 4.1328125, -0.5], rng.integers(1, 14)) + rng.integers(-50, 50, 1) / 4096).tolist()
+        got = toxicity.maximal_segments(range(len(s)), s, -1.0)
+        want = [(i, j, x) for i, j, x in maximal(s, 0, len(s))]
+        assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        toxicity.maximal_segments(range(0, 9 * n, 9), np.linspace(4, 2, n).tolist(), -1.0)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.2
+
+
+def test_long_texts_in_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    body = rng.choice(list(b"abcd "), 5000).astype(np.uint8).tobytes()
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([5, 6]), pa.array([body, b"short"], pa.binary())], names=["doc_id", "crc", "body"])
+    got = pa.Table.from_batches(suffix_dedup._pick(200)(None)(iter([batch]))).to_pylist()
+    windows = sorted(k for r in got if r["doc_id"] == 1 for k in range(r["at"] >> 17, (r["at"] >> 17) + (r["at"] >> 1 & 0xFFFF) + 1))
+    assert windows == list(range(len(body) - 199)) and not [r for r in got if r["doc_id"] == 2]
+    words = body.decode()
+    whole = jaccard_join.shingles(words)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 300)
+    assert (jaccard_join.shingles(words) == whole).all()
+    twin = spark.createDataFrame([(None, "x" * 250), (None, "y" * 10 + "x" * 240), (3, "z")], "doc_id long, text string")
+    assert sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.removal_digest(twin).collect()) == [(1, 0), (250, 240), (250, 250)]
+
+
+def test_dates_are_permuted_within_their_class(spark):
+    days = spark.range(0, 73049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("t"))
+    forms = ["dd/MM/yyyy", "MM/dd/yyyy", "d/M/yyyy", "yyyy-M-d"]
+    x = days.select(F.explode(F.array(*[F.date_format("t", f) for f in forms])).alias("text")).distinct().withColumn("before", F.col("text")).withColumn("n_private", F.lit("clash"))
+    r = pii.pseudonymise(x, kinds=["date"]).cache()
+    assert r.columns == ["text", "before", "n_private", "private_kinds"]
+    n = x.count()
+    assert r.select("text").distinct().count() == n and r.where("n_private = 1").count() == n
+    assert r.where(F.regexp_replace("text", "[0-9]", "9") != F.regexp_replace("before", "[0-9]", "9")).count() == 0
+    assert "a secret of ours" not in pii.pseudonymise(x, "a secret of ours")._jdf.queryExecution().toString()
+
+
+def test_empty_tables(spark, docs):
+    none, path = docs.limit(0), tokenizer_file("word_bpe_49k.json")
+    assert packing.pack(none, path).count() == 0 and quality_rules.quality_rules(none).count() == 0
+    assert jaccard_join.near_duplicates(none).count() == 0 and jaccard_join.keep_one(none).count() == 0
+    assert suffix_dedup.remove_repeats(none).count() == 0
+    pieces = tokenizer_file("piece_bpe_32k.model")
+    assert segmentations.decode(segmentations.sample_segmentations(none, pieces), pieces).count() == 0
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
+    runs = segmentations.words_of("  two  and   three ")
+    assert "".join(runs) == "\u2581" + "  two  and   three ".replace(" ", "\u2581") and all(w.lstrip("\u2581").count("\u2581") == 0 for w in runs)
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_models_hold_out(spark, docs):
     d, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")

@@ -137,8 +137,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
         for _ in range(rounds):
             both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-            large = both.where("v > u").hint("merge").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight")).select("u", F.least("m", "u").alias("m"), "weight")
+            # a node that many hang on is a hot key
+            large = spread_join(both.where("v > u"), low, "u", 2 * e.count()).select(F.col("v").alias("u"), F.col("m").alias("v"))
             large = large.where("u <> v").distinct()
             low = large.groupBy("u").agg(F.min("v").alias("m"))
             ends = F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))
