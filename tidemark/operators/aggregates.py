@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import bucket_custom, first_reason
-from tidemark.operators.joins import range_exclusion
+from tidemark.operators.joins import asof_backward, range_exclusion
 
 
 def share(part: Column, whole: Column, digits: int = 6) -> Column:
@@ -46,16 +46,31 @@ def topk_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> Da
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def concentration(df: DataFrame, key: str, value: str, group: list[str] = ()) -> DataFrame:
-    """Totals per participant, then per group: top-1/10/50 shares, Gini (ranked closed form), diffuse if top 10 < half.
-    The window runs over one row per participant of a group."""
+def ranked(df: DataFrame, value: str, key: str, parts: int = 256) -> DataFrame:
+    """df with its ascending rank ``i`` over all rows (ties by ``key``). Rows are dealt to at most ``parts`` ranges of the
+    value by approximate quantiles, ranked inside them, and moved up by the sizes of the ranges below: no task sorts all."""
+    cuts = df.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000).alias("__cuts"))
+    dealt = df.crossJoin(F.broadcast(cuts))  # one row
+    dealt = dealt.withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    below = F.coalesce(F.sum("__n").over(Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy(F.col("__b").alias("__at")).agg(F.count("*").alias("__n")).select("__at", below.alias("__below"))  # at most parts rows
+    own = dealt.withColumn("__i", F.row_number().over(Window.partitionBy("__b").orderBy(value, key)))
+    return own.join(F.broadcast(sizes), F.col("__b") == F.col("__at")).withColumn("i", F.col("__i") + F.col("__below")).drop("__b", "__at", "__i", "__below")
+
+
+def concentration(df: DataFrame, key: str, value: str, group: list[str] = (), tops: tuple[int, ...] = (1, 10, 50, 100)) -> DataFrame:
+    """Totals per participant, then per group: shares of the top 1, 10, 50, 100, Gini (ranked closed form), diffuse if the
+    top 10 have under half. Without groups all participants are ranked by ranges of their totals."""
     t = df.groupBy(*group, key).agg(F.sum(value).alias("x"))
-    w = Window.partitionBy(*(group or [F.lit(1)]))
-    r = t.select(*group, "x", F.row_number().over(w.orderBy(F.desc("x"), key)).alias("top"), F.row_number().over(w.orderBy("x", key)).alias("i"))
+    if group:
+        w = Window.partitionBy(*group)
+        r = t.select(*group, "x", F.row_number().over(w.orderBy("x", key)).alias("i"), F.count("*").over(w).alias("all"))
+    else:
+        r = ranked(t, "x", key).crossJoin(F.broadcast(t.agg(F.count("*").alias("all"))))  # one row
     total = F.sum("x")
-    tops = [share(F.sum(F.when(F.col("top") <= k, F.col("x"))), total).alias(f"top{k}") for k in (1, 10, 50)]
+    shares = [share(F.sum(F.when(F.col("all") - F.col("i") < k, F.col("x"))), total).alias(f"top{k}") for k in tops]
     gini = F.round(2 * F.sum(F.col("i") * F.col("x")).cast("double") / (F.count("*") * total.cast("double")) - (F.count("*") + 1) / F.count("*"), 6)
-    return r.groupBy(*group).agg(F.count("*").alias("participants"), total.alias("total"), *tops, gini.alias("gini")).withColumn("diffuse", F.col("top10") < 0.5)
+    return r.groupBy(*group).agg(F.count("*").alias("participants"), total.alias("total"), *shares, gini.alias("gini")).withColumn("diffuse", F.col("top10") < 0.5)
 
 
 def wallet_aggregate(t: DataFrame) -> DataFrame:
@@ -113,15 +128,28 @@ def basket_edge(legs: DataFrame, event: str, ask_milli: str, least: int = 2) ->
     return g.withColumn("profit", F.round(F.greatest(F.col("edge_pct"), F.lit(0.0)) / 100 * F.col("sets"), 4))
 
 
-def completeness(legs: DataFrame, event: str) -> DataFrame:
-    """DEGENERATE under two legs, GUARANTEED if every leg has resolved or settles, else PROBABILISTIC."""
-    g = legs.groupBy(event).agg(F.count("*").alias("legs"), F.count("yes").alias("resolved"), F.sum("yes").alias("winners"))
-    return g.withColumn("class", F.when(F.col("legs") < 2, "DEGENERATE").when(F.col("resolved") == F.col("legs"), "GUARANTEED").otherwise("PROBABILISTIC"))
+def completeness(legs: DataFrame, event: str, placeholder: str, red_flags: list[str]) -> DataFrame:
+    """Per event: listed, active, placeholder and resolved legs, winners, red-flag language. DEGENERATE under two active
+    legs, PROBABILISTIC with a placeholder leg or a red flag, else GUARANTEED.
+    legs: slug, description, active, yes; ``placeholder`` is a pattern of slugs."""
+    flag = F.lit(False)
+    for words in red_flags:
+        flag = flag | F.lower(F.coalesce("description", F.lit(""))).contains(words)
+    g = legs.groupBy(event).agg(
+        F.count("*").alias("legs"), F.count_if("active").alias("active"), F.count_if(F.coalesce(F.col("slug").rlike(placeholder), F.lit(False))).alias("placeholders"),
+        F.count("yes").alias("resolved"), F.sum("yes").alias("winners"), F.max(flag).alias("red_flag"))
+    c = F.when(F.col("active") < 2, "DEGENERATE").when(F.col("red_flag") | (F.col("placeholders") > 0), "PROBABILISTIC").otherwise("GUARANTEED")
+    return g.withColumn("class", c)
 
 
 def resolution_class(events: DataFrame) -> DataFrame:
+    """Events per way of resolution: OPEN, LISTED-WIN, TAIL (no listed leg won), DEGENERATE; and the share of TAIL among the
+    clean, fully resolved ones (no placeholder, no red flag) of that class's row."""
     c = F.when(F.col("resolved") < F.col("legs"), "OPEN").when(F.col("winners") == 1, "LISTED-WIN").when(F.col("winners") == 0, "TAIL").otherwise("DEGENERATE")
-    return events.withColumn("class", c).groupBy("class").agg(F.count("*").alias("events"))
+    clean = (F.col("placeholders") == 0) & ~F.col("red_flag")
+    g = events.withColumn("resolution", c).groupBy("resolution").agg(F.count("*").alias("events"), F.count_if(clean).alias("clean"))
+    known = F.sum(F.when(F.col("resolution").isin("LISTED-WIN", "TAIL"), F.col("clean"))).over(Window.partitionBy(F.lit(1)))  # four rows
+    return g.withColumn("tail_rate", F.when(F.col("resolution") == "TAIL", share(F.col("clean"), known)))
 
 
 def multi_winner_hist(events: DataFrame) -> DataFrame:
@@ -221,6 +249,17 @@ def fill_prob_matrix(depth: DataFrame, sizes: list[int], fill_rate: float = 0.85
     return e.groupBy("bucket", "want").agg(F.count("*").alias("n"), F.round(F.avg((F.col("most") >= F.col("want")).cast("double")) * fill_rate, 6).alias("p_fill"))
 
 
+def entry_momentum(fills: DataFrame, prices: DataFrame, wallet: str, asset: str, value: str, back_s: int = 4 * 3600, gap_s: int = 60, flat: float = 0.005) -> DataFrame:
+    """Per participant over its opening fills: the asset's return over ``back_s`` that ends ``gap_s`` before each entry (two
+    as-of lookups), with the fill's side (1 long, -1 short) as momentum, contrarian or neutral; over 0.8 momentum is lucky,
+    under 0.3 structural. fills: wallet, asset, ts, side, id; prices: asset, ts, value, id."""
+    at = lambda s: F.timestamp_micros(F.unix_micros("ts") - s * 1_000_000)
+    e = fills.select(wallet, asset, "side", F.col("id").alias("fill"), at(gap_s).alias("ts"))
+    e = asof_backward(e, prices, asset, "ts", value, tie="id").withColumnRenamed(value, "now").withColumn("ts", at(back_s))
+    e = asof_backward(e, prices, asset, "ts", value, tie="id").withColumn("ret", F.col("side") * (F.col("now") / F.col(value) - 1))
+    return momentum_label(e, wallet, "ret", flat)
+
+
 def momentum_label(returns: DataFrame, key: str, ret: str, flat: float) -> DataFrame:
     label = F.when(F.col(ret) > flat, "momentum").when(F.col(ret) < -flat, "contrarian").otherwise("neutral")
     g = returns.where(F.col(ret).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), share(F.count_if(label == "momentum"), F.count("*")).alias("momentum_share"))

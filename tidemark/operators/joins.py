@@ -14,17 +14,25 @@ def anti(fact: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return fact.join(keys.select(on).distinct(), on, "left_anti")
 
 
-def asof_backward(probes: DataFrame, series: DataFrame, key: str, ts: str, value: str, tolerance_us: int | None = None, tie: str | None = None) -> DataFrame:
+def asof_backward(probes: DataFrame, series: DataFrame, key: str, ts: str, value: str, tolerance_us: int | None = None, tie: str | None = None, bucket_us: int = 86_400_000_000) -> DataFrame:
     """Adds ``value``: the series' latest at or before each probe's ``ts``, null if older than the tolerance.
 
-    One shuffle on the key: both sides are stacked, and the last value of the series is carried forward in time order
-    (values before probes at equal times; ``tie`` orders equal times of the series).
+    Both sides are stacked and the last value of the series is carried forward in time order (values before probes at
+    equal times; ``tie`` orders equal times of the series), within each key and time bucket, so that a handful of keys
+    are no handful of tasks. What comes in from earlier buckets is read from a table of one row per key and bucket.
     """
     order = F.col(tie) if tie else F.lit(0)
-    s = series.select(F.col(key).alias("__k"), F.col(ts).alias("__t"), F.lit(0).alias("__side"), order.cast("long").alias("__o"), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")).alias("__s"), F.lit(None).cast(probes_struct(probes)).alias("__p"))
+    bucket = F.floor(F.unix_micros("__t") / bucket_us).alias("__b")
+    s = series.where(F.col(ts).isNotNull()).select(F.col(key).alias("__k"), F.col(ts).alias("__t"), F.lit(0).alias("__side"), order.cast("long").alias("__o"), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")).alias("__s"), F.lit(None).cast(probes_struct(probes)).alias("__p"))
     p = probes.select(F.col(key).alias("__k"), F.col(ts).alias("__t"), F.lit(1).alias("__side"), F.lit(0).cast("long").alias("__o"), F.lit(None).cast(s.schema["__s"].dataType).alias("__s"), F.struct(*probes.columns).alias("__p"))
-    w = Window.partitionBy("__k").orderBy("__t", "__side", "__o").rowsBetween(Window.unboundedPreceding, 0)
-    j = s.unionByName(p).withColumn("__last", F.last("__s", ignorenulls=True).over(w)).where("__side = 1")
+    both = s.unionByName(p).select("*", bucket)
+    ends = both.groupBy("__k", "__b").agg(F.max_by("__s", F.when(F.col("__side") == 0, F.struct("__t", "__o"))).alias("__end"))
+    carried = F.last("__end", ignorenulls=True).over(Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(F.col("__k").alias("__ek"), F.col("__b").alias("__eb"), carried.alias("__in"))
+    w = Window.partitionBy("__k", "__b").orderBy("__t", "__side", "__o").rowsBetween(Window.unboundedPreceding, 0)
+    j = both.withColumn("__last", F.last("__s", ignorenulls=True).over(w)).where("__side = 1")
+    j = j.hint("merge").join(ends.hint("merge"), F.col("__k").eqNullSafe(F.col("__ek")) & F.col("__b").eqNullSafe(F.col("__eb")), "left")
+    j = j.withColumn("__last", F.coalesce("__last", "__in"))
     fresh = F.lit(True) if tolerance_us is None else F.unix_micros("__t") - F.unix_micros("__last.t") <= tolerance_us
     return j.select("__p.*", F.when(fresh, F.col("__last.v")).alias(value))
 

@@ -27,9 +27,7 @@ q("cross_tab", MARKET, body="SELECT category, count(*) FILTER (WHERE yes = 0) AS
 q("conditional_counts", TRADE, body=f"SELECT wallet, count(*) AS n, count(*) FILTER (WHERE size > 40) AS big, {share('count(*) FILTER (WHERE size > 40)', 'count(*)')} AS big_share FROM v_trade GROUP BY wallet")(lambda t: t.trade.groupBy("wallet").agg(F.count("*").alias("n"), F.count_if(F.col("size") > 40).alias("big"), A.share(F.count_if(F.col("size") > 40), F.count("*")).alias("big_share")))
 q("group_collect", MARKET, body="SELECT event_id, count(*) AS n, array_to_string(list_sort(list(market_id)), ',') AS ids, CAST(sum(yes) AS BIGINT) AS winners FROM v_market GROUP BY event_id HAVING count(*) >= 2 AND sum(yes) = 1")(lambda t: t.market.groupBy("event_id").agg(F.count("*").alias("n"), F.concat_ws(",", F.transform(F.sort_array(F.collect_list("market_id")), lambda x: x.cast("string"))).alias("ids"), F.sum("yes").alias("winners")).where("n >= 2 and winners = 1"))
 EV = "ev AS (SELECT event_id, count(*) AS legs, count(yes) AS resolved, sum(yes) AS winners FROM v_market GROUP BY event_id)"
-q("multi_winner_hist", MARKET, EV, body="SELECT legs, CAST(winners AS BIGINT) AS winners, count(*) AS events FROM ev GROUP BY ALL")(lambda t: A.multi_winner_hist(A.completeness(t.market, "event_id")))
-q("event_completeness", MARKET, EV, body="SELECT event_id, legs, resolved, CAST(winners AS BIGINT) AS winners, CASE WHEN legs < 2 THEN 'DEGENERATE' WHEN resolved = legs THEN 'GUARANTEED' ELSE 'PROBABILISTIC' END AS class FROM ev")(lambda t: A.completeness(t.market, "event_id"))
-q("resolution_class", MARKET, EV, body="SELECT class, count(*) AS events FROM (SELECT CASE WHEN resolved < legs THEN 'OPEN' WHEN winners = 1 THEN 'LISTED-WIN' WHEN winners = 0 THEN 'TAIL' ELSE 'DEGENERATE' END AS class FROM ev) GROUP BY class")(lambda t: A.resolution_class(A.completeness(t.market, "event_id")))
+q("multi_winner_hist", MARKET, EV, body="SELECT legs, CAST(winners AS BIGINT) AS winners, count(*) AS events FROM ev GROUP BY ALL")(lambda t: A.multi_winner_hist(t.market.groupBy("event_id").agg(F.count("*").alias("legs"), F.sum("yes").alias("winners"))))
 q("basket_sum_edge", TRADE, body="SELECT market_id, legs, total_milli, sets, edge_pct, round(greatest(edge_pct, 0) / 100 * sets, 4) AS profit FROM (SELECT market_id, count(*) AS legs, CAST(sum(price_milli) AS BIGINT) AS total_milli, min(size) AS sets, round((1 - sum(price_milli) / 1000) * 100, 4) AS edge_pct FROM v_trade GROUP BY market_id HAVING count(*) >= 2)")(lambda t: A.basket_edge(t.trade, "market_id", "price_milli"))
 q("market_level_sum_stats", TRADE, body="SELECT legs, count(*) AS markets, min(s) AS least, max(s) AS most FROM (SELECT count(*) AS legs, CAST(sum(price_milli) AS BIGINT) AS s FROM v_trade GROUP BY market_id) GROUP BY legs")(lambda t: t.trade.groupBy("market_id").agg(F.count("*").alias("legs"), F.sum("price_milli").alias("s")).groupBy("legs").agg(F.count("*").alias("markets"), F.min("s").alias("least"), F.max("s").alias("most")))
 q("column_validity", body="SELECT name, count(v) AS present, count(*) FILTER (WHERE v > 1 AND v < 1000) AS valid FROM (SELECT 'l_quantity' AS name, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem) GROUP BY name")(lambda t: A.column_validity(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"], (F.col("v") > 1) & (F.col("v") < 1000)))
@@ -37,7 +35,7 @@ q("stratified_sample", MARKET, body="SELECT category, market_id FROM (SELECT *,
 q("viability_gate", MARKET, body="SELECT category, n, p50, p90, CASE WHEN n >= 100 AND p50 >= 50000 THEN 'PROMISING' ELSE 'SKIP' END AS verdict FROM (SELECT category, count(*) AS n, round(quantile_cont(volume, 0.5), 4) AS p50, round(quantile_cont(volume, 0.9), 4) AS p90 FROM v_market GROUP BY category)")(lambda t: t.market.groupBy("category").agg(F.count("*").alias("n"), F.round(F.percentile("volume", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("volume", F.lit(0.9)), 4).alias("p90")).withColumn("verdict", F.when((F.col("n") >= 100) & (F.col("p50") >= 50000), "PROMISING").otherwise("SKIP")))
 
 # -- participants --------------------------------------------------------------------------------------------------
-q("share_topk_gini", TRADE, body=f"SELECT participants, total, {share('t1', 'total')} AS top1, {share('t10', 'total')} AS top10, {share('t50', 'total')} AS top50, round(2 * CAST(ix AS DOUBLE) / (participants * CAST(total AS DOUBLE)) - (participants + 1) / participants, 6) AS gini, t10 / total < 0.5 AS diffuse FROM (SELECT count(*) AS participants, CAST(sum(x) AS BIGINT) AS total, sum(CASE WHEN top <= 1 THEN x END) AS t1, sum(CASE WHEN top <= 10 THEN x END) AS t10, sum(CASE WHEN top <= 50 THEN x END) AS t50, sum(i * x) AS ix FROM (SELECT x, row_number() OVER (ORDER BY x DESC, wallet) AS top, row_number() OVER (ORDER BY x, wallet) AS i FROM (SELECT wallet, sum(cents) AS x FROM v_trade GROUP BY wallet)))")(lambda t: A.concentration(t.trade, "wallet", "cents"))
+q("share_topk_gini", TRADE, body=f"SELECT participants, total, {share('t1', 'total')} AS top1, {share('t10', 'total')} AS top10, {share('t50', 'total')} AS top50, {share('t100', 'total')} AS top100, round(2 * CAST(ix AS DOUBLE) / (participants * CAST(total AS DOUBLE)) - (participants + 1) / participants, 6) AS gini, t10 / total < 0.5 AS diffuse FROM (SELECT count(*) AS participants, CAST(sum(x) AS BIGINT) AS total, sum(CASE WHEN top <= 1 THEN x END) AS t1, sum(CASE WHEN top <= 10 THEN x END) AS t10, sum(CASE WHEN top <= 50 THEN x END) AS t50, sum(CASE WHEN top <= 100 THEN x END) AS t100, sum(i * x) AS ix FROM (SELECT x, row_number() OVER (ORDER BY x DESC, wallet) AS top, row_number() OVER (ORDER BY x, wallet) AS i FROM (SELECT wallet, sum(cents) AS x FROM v_trade GROUP BY wallet)))")(lambda t: A.concentration(t.trade, "wallet", "cents"))
 q("wallets_per_market", TRADE, body="SELECT count(*) AS markets, round(avg(w), 6) AS mean, round(quantile_cont(w, 0.5), 4) AS median, round(quantile_cont(w, 0.95), 4) AS p95 FROM (SELECT count(DISTINCT wallet) AS w FROM v_trade GROUP BY market_id)")(lambda t: A.wallets_per_market(t.trade))
 q("wallet_aggregate", TRADE, body="SELECT wallet, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents, count(DISTINCT market_id) AS markets, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM v_trade GROUP BY wallet")(lambda t: A.wallet_aggregate(t.trade).select("wallet", "n", "cents", "markets", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us")))
 q("wallet_vertical_mix", MARKET, TRADE, body=f"SELECT wallet, coalesce(u, 0) AS \"1-URGENT\", coalesce(h, 0) AS \"2-HIGH\", {share('coalesce(u, 0)', 'coalesce(u, 0) + coalesce(h, 0)')} AS \"1-URGENT_share\", {share('coalesce(h, 0)', 'coalesce(u, 0) + coalesce(h, 0)')} AS \"2-HIGH_share\" FROM (SELECT wallet, CAST(sum(cents) FILTER (WHERE category = '1-URGENT') AS BIGINT) AS u, CAST(sum(cents) FILTER (WHERE category = '2-HIGH') AS BIGINT) AS h FROM v_trade JOIN v_market USING (market_id) GROUP BY wallet)")(lambda t: A.mix(t.trade.join(t.market, "market_id"), "wallet", "category", ["1-URGENT", "2-HIGH"], "cents"))
@@ -80,7 +78,6 @@ q("latest_per_key", TICK, body="SELECT actor, last(cents ORDER BY ts, id) AS cen
 q("first_per_key", TICK, body="SELECT actor, first(cents ORDER BY ts, id) AS cents FROM v_tick GROUP BY actor")(lambda t: J.upsert_first(t.tick, ["actor"], ["ts", "id"]).select("actor", "cents"))
 q("change_count", TICK, body="SELECT actor, count(*) AS n, count(*) FILTER (WHERE c) AS changes FROM (SELECT actor, asset <> lag(asset) OVER (PARTITION BY actor ORDER BY ts, id) AS c FROM v_tick) GROUP BY actor")(lambda t: O.change_count(t.tick, "actor", "asset", ["ts", "id"]))
 q("rolling_return", TICK, GRID, body="SELECT asset, bin, cents, round(ln(cents / lag(cents, 4) OVER (PARTITION BY asset ORDER BY bin)), 6) AS ret FROM grid")(lambda t: O.rolling_return(O.grid_last_ffill(t.tick, "asset", "cents", 21_600, "id"), "asset", "bin", "cents", 4))
-q("momentum_label", TICK, GRID, body=f"SELECT asset, n, momentum_share, CASE WHEN momentum_share > 0.8 THEN 'lucky' WHEN momentum_share < 0.3 THEN 'structural' ELSE 'mixed' END AS label FROM (SELECT asset, count(*) AS n, {share('count(*) FILTER (WHERE ret > 0.005)', 'count(*)')} AS momentum_share FROM (SELECT asset, round(ln(cents / lag(cents, 4) OVER (PARTITION BY asset ORDER BY bin)), 6) AS ret FROM grid) WHERE ret IS NOT NULL GROUP BY asset)")(lambda t: A.momentum_label(O.rolling_return(O.grid_last_ffill(t.tick, "asset", "cents", 21_600, "id"), "asset", "bin", "cents", 4), "asset", "ret", 0.005))
 q("time_in_range", TICK, body="SELECT actor, width, count(*) AS n, round(avg(CASE WHEN abs(cents - f) <= width * f THEN 1.0::DOUBLE ELSE 0 END), 6) AS share, NOT bool_and(abs(cents - f) <= width * f) AS exited FROM (SELECT actor, cents, first_value(cents) OVER (PARTITION BY actor ORDER BY ts, id) AS f FROM v_tick), (VALUES (0.5::DOUBLE), (2.0::DOUBLE)) v(width) GROUP BY actor, width")(lambda t: O.time_in_range(t.tick, "actor", "cents", ["ts", "id"], [0.5, 2.0]))
 q("realized_vol_windows", TICK, GRID, RET, body="SELECT asset, w, count(*) AS n, round(stddev_samp(ret) * sqrt(8760.0), 6) AS vol FROM (SELECT asset, ret, unnest(generate_series((bin - 11 + 3) // 4, bin // 4)) AS w FROM ret WHERE ret IS NOT NULL) GROUP BY asset, w HAVING count(*) = 12")(lambda t: O.realized_vol_windows(O.grid_last_ffill(t.tick, "asset", "cents", 21_600, "id"), "asset", "cents", 12, 4))
 q("terciles", MARKET, body="SELECT market_id, CASE WHEN i < m // 3 THEN 'low' WHEN i < 2 * m // 3 THEN 'mid' ELSE 'high' END AS regime FROM (SELECT market_id, row_number() OVER (PARTITION BY category ORDER BY volume, market_id) - 1 AS i, count(*) OVER (PARTITION BY category) AS m FROM v_market)")(lambda t: O.terciles(t.market, "category", "volume", "market_id").select("market_id", "regime"))

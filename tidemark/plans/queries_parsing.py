@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.functions import scalar as S
-from tidemark.operators import books as B, joins as J, markets as K
+from tidemark.operators import aggregates as A, books as B, joins as J, markets as K
 from tidemark.plans.bindings import MARKET, TICK, TRADE, Tables
 from tidemark.plans.queries import DAY, q
 from tidemark.sources import files
@@ -343,3 +343,34 @@ n AS (SELECT p_partkey AS news_id, unnest(list_distinct(string_split(p_name, ' '
 q("stream_scan_log", TICK, "l AS (SELECT actor, epoch_us(ts) // 3600000000 AS scan, last(cents ORDER BY ts, id) AS cents FROM v_tick GROUP BY ALL)", body="""
 SELECT actor, count(*) AS scans, min(cents) AS least, round(sum(cents) / count(*), 6) AS mean, max(cents) AS most, min(scan) * 3600000000 AS first, max(scan) * 3600000000 AS last FROM l GROUP BY actor
 """)(lambda t: B.scan_evolution(B.scan_log(t.tick, "actor", "cents", 60), "actor", "cents"))
+
+# -- events as a whole -------------------------------------------------------------------------------------------------
+LEG_TEXT = View(
+    "v_listed", "orders",
+    event_id="o_custkey", active="o_orderstatus <> 'F'", yes="CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END",
+    slug=f"concat({pick(K_, 'will-a', 'will-b', 'will-person-', 'will-c', 'will-d', 'will-e', 'will-f')}, CAST({K_} % 13 AS STRING))",
+    description="concat('Rules: ', CASE o_custkey % 5 WHEN 0 THEN 'the list may be Expanded later' ELSE 'fixed list' END)",
+)
+DONE = """ev2 AS (SELECT event_id, count(*) AS legs, count(*) FILTER (WHERE active) AS active, count(*) FILTER (WHERE regexp_matches(slug, 'person-\\d+$')) AS placeholders,
+count(yes) AS resolved, CAST(sum(yes) AS BIGINT) AS winners, bool_or(contains(lower(description), 'may be expanded')) AS red_flag FROM v_listed GROUP BY event_id)"""
+
+
+def completed(t: Tables) -> DataFrame:
+    return A.completeness(LEG_TEXT.of(t), "event_id", r"person-\d+$", ["may be expanded"])
+
+
+q("event_completeness", LEG_TEXT.sql, DONE, body="""
+SELECT *, CASE WHEN active < 2 THEN 'DEGENERATE' WHEN red_flag OR placeholders > 0 THEN 'PROBABILISTIC' ELSE 'GUARANTEED' END AS class FROM ev2
+""")(completed)
+
+q("resolution_class", LEG_TEXT.sql, DONE, """c AS (SELECT CASE WHEN resolved < legs THEN 'OPEN' WHEN winners = 1 THEN 'LISTED-WIN' WHEN winners = 0 THEN 'TAIL' ELSE 'DEGENERATE' END AS resolution,
+count(*) AS events, count(*) FILTER (WHERE placeholders = 0 AND NOT red_flag) AS clean FROM ev2 GROUP BY 1)""", body="""
+SELECT resolution, events, clean, CASE WHEN resolution = 'TAIL' THEN round(clean / (SELECT sum(clean) FROM c WHERE resolution IN ('LISTED-WIN', 'TAIL')), 6) END AS tail_rate FROM c
+""")(lambda t: A.resolution_class(completed(t)))
+
+q("momentum_label", TICK, "s AS (SELECT asset, ts, last(cents ORDER BY id) AS cents FROM v_tick GROUP BY asset, ts)", """e AS (SELECT f.id, f.actor, f.asset, CASE WHEN f.id % 2 = 0 THEN 1 ELSE -1 END AS side,
+f.ts - INTERVAL 1 MINUTE AS t1, f.ts - INTERVAL 241 MINUTE AS t2 FROM v_tick f)""", "n AS (SELECT e.*, s.cents AS now FROM e ASOF LEFT JOIN s ON e.asset = s.asset AND e.t1 >= s.ts)",
+  "r AS (SELECT n.actor, side * (now / s.cents - 1) AS ret FROM n ASOF LEFT JOIN s ON n.asset = s.asset AND n.t2 >= s.ts)", body="""
+SELECT actor, n, momentum_share, CASE WHEN momentum_share > 0.8 THEN 'lucky' WHEN momentum_share < 0.3 THEN 'structural' ELSE 'mixed' END AS label FROM (
+SELECT actor, count(*) AS n, round(count(*) FILTER (WHERE ret > 0.005) / count(*), 6) AS momentum_share FROM r WHERE ret IS NOT NULL GROUP BY actor)
+""")(lambda t: A.entry_momentum(t.tick.select("actor", "asset", "ts", "id", F.expr("CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END").alias("side")), t.tick.select("asset", "ts", "cents", "id"), "actor", "asset", "cents"))
