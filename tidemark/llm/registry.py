@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import embedding_dedup, jaccard_join, packing, pii, quality_classifier, quality_rules, segmentations, suffix_dedup, toxicity, warc
+from tidemark.llm import embedding_dedup, jaccard_join, packing, pii, quality_classifier, quality_rules, segmentations, sql, suffix_dedup, toxicity, warc
 from tidemark.llm.common import crc_fold
 
 
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLE)
