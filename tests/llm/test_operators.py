@@ -355,12 +355,3 @@ def test_shared_helpers(spark):
     ids = spark.range(0, 100_000, 7).toDF("id")
     bits, every = key_bits(ids, "id"), spark.range(100_000)
     assert maybe_in(every, bits, "id").where("id % 7 = 0").count() == ids.count() and maybe_in(every, bits, "id", negate=True).where("id % 7 = 0").count() == 0
-
-
-@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    r = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
-    assert len(r) and r.groupby("sequence_id").length.sum().max() <= 4096
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeats", "private", "packing"]
