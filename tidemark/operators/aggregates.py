@@ -107,27 +107,12 @@ def settled_pnl(legs: DataFrame, markets: DataFrame, signed: bool = False) -> Da
     return p.groupBy("wallet").agg(F.count("*").alias("markets"), F.sum("pnl").alias("pnl_cents"), share(F.count_if(F.col("pnl") > 0), F.count("*")).alias("win_rate"))
 
 
-def backtest_edge(entries: DataFrame, fees_bps: list[int]) -> DataFrame:
-    """entries: price_milli, yes. Buy YES: gross edge = outcome - price, net of p (1 - p) fees, on a fee grid."""
-    e = entries.withColumn("fee_bps", F.explode(F.array(*[F.lit(x) for x in fees_bps])))
-    gross = F.col("yes") * 1000 - F.col("price_milli")
-    fee = F.col("fee_bps") * F.col("price_milli") * (1000 - F.col("price_milli"))
-    return e.groupBy("fee_bps").agg(F.count("*").alias("n"), F.round(F.sum(gross) / F.count("*") / 1000, 6).alias("gross"), F.round((F.sum(gross) / 1000 - F.sum(fee) / 1e10) / F.count("*"), 6).alias("net"), share(F.sum("yes"), F.count("*")).alias("hit_rate"))
-
-
 def banded(df: DataFrame, value: str, bands: list[tuple[str, float, float]], *aggs: Column) -> DataFrame:
     """Aggregates per inclusive band; bands may overlap."""
     b = F.explode(F.array(*[F.struct(F.lit(n).alias("band"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in bands]))
     return df.withColumn("b", b).where((F.col(value) >= F.col("b.lo")) & (F.col(value) <= F.col("b.hi"))).groupBy(F.col("b.band").alias("band")).agg(*aggs)
 
 
-def basket_edge(legs: DataFrame, event: str, ask_milli: str, least: int = 2) -> DataFrame:
-    """Sum of asks per event of at least ``least`` legs, edge in percent, sets that the thinnest leg allows."""
-    g = legs.groupBy(event).agg(F.count("*").alias("legs"), F.sum(ask_milli).alias("total_milli"), F.min("size").alias("sets"))
-    g = g.where(F.col("legs") >= least).withColumn("edge_pct", F.round((1 - F.col("total_milli") / 1000) * 100, 4))
-    return g.withColumn("profit", F.round(F.greatest(F.col("edge_pct"), F.lit(0.0)) / 100 * F.col("sets"), 4))
-
-
 def completeness(legs: DataFrame, event: str, placeholder: str, red_flags: list[str]) -> DataFrame:
     """Per event: listed, active, placeholder and resolved legs, winners, red-flag language. DEGENERATE under two active
     legs, PROBABILISTIC with a placeholder leg or a red flag, else GUARANTEED.
@@ -168,14 +153,6 @@ def baseline_sigma(windows: DataFrame, news: DataFrame, key: str, before_us: int
     return s.select(key, "n_calm", F.when((F.col("n_calm") >= least) & (F.col("sigma") > 0), F.round("sigma", 6)).alias("sigma"))
 
 
-def flag_moves(windows: DataFrame, sigma: DataFrame, key: str, least_z: float = 3.0, quiet_windows: int = 3) -> DataFrame:
-    """Windows whose move is ``least_z`` sigmas or more, not among a key's first ``quiet_windows``."""
-    w = Window.partitionBy(key).orderBy("window")
-    j = windows.withColumn("rn", F.row_number().over(w)).join(sigma.where("sigma is not null"), key)
-    z = F.round(F.abs(F.col("delta")) / F.col("sigma"), 4)
-    return j.withColumn("z", z).where((F.col("z") >= least_z) & (F.col("rn") > quiet_windows)).drop("rn")
-
-
 def rate_ratio(flags: DataFrame, hours: DataFrame, key: str, candidate: Column) -> DataFrame:
     """Flags per hour of candidates against controls, their ratio and its verdict ladder 1.0 / 1.5 / 3.0."""
     f = flags.groupBy(key).agg(F.count("*").alias("flags"))
@@ -208,13 +185,6 @@ def skip_reasons(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:
     return df.groupBy(F.coalesce(first_reason(reasons), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def strategy_report(df: DataFrame, key: str, gross_milli: str, fee_milli: str) -> DataFrame:
-    """Counts, hit rate, edges and a verdict ladder per cell."""
-    n, g = F.count("*"), F.sum(gross_milli)
-    r = df.groupBy(key).agg(n.alias("n"), share(F.count_if(F.col(gross_milli) > 0), n).alias("hit_rate"), F.round(g / n / 1000, 6).alias("gross"), F.round((g - F.sum(fee_milli)) / n / 1000, 6).alias("net"))
-    return r.withColumn("verdict", F.when(F.col("n") < 20, "insufficient").when(F.col("net") >= 0.015, "go").when(F.col("net") >= 0.005, "watch").otherwise("stop"))
-
-
 def quality_gate(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """One row: each check is an aggregate condition; pass and the names of those that fail."""
     one = df.agg(*[c.alias(k) for k, c in checks.items()])
@@ -243,12 +213,6 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int =
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(stratum).orderBy(order, key))).where(F.col("rn") <= n).drop("rn")
 
 
-def fill_prob_matrix(depth: DataFrame, sizes: list[int], fill_rate: float = 0.85) -> DataFrame:
-    """depth: bucket, most (largest trade). P(most >= size) times the fill rate, on a grid of sizes."""
-    e = depth.withColumn("want", F.explode(F.array(*[F.lit(x) for x in sizes])))
-    return e.groupBy("bucket", "want").agg(F.count("*").alias("n"), F.round(F.avg((F.col("most") >= F.col("want")).cast("double")) * fill_rate, 6).alias("p_fill"))
-
-
 def entry_momentum(fills: DataFrame, prices: DataFrame, wallet: str, asset: str, value: str, back_s: int = 4 * 3600, gap_s: int = 60, flat: float = 0.005) -> DataFrame:
     """Per participant over its opening fills: the asset's return over ``back_s`` that ends ``gap_s`` before each entry (two
     as-of lookups), with the fill's side (1 long, -1 short) as momentum, contrarian or neutral; over 0.8 momentum is lucky,
@@ -266,13 +230,6 @@ def momentum_label(returns: DataFrame, key: str, ret: str, flat: float) -> DataF
     return g.withColumn("label", F.when(F.col("momentum_share") > 0.8, "lucky").when(F.col("momentum_share") < 0.3, "structural").otherwise("mixed"))
 
 
-def price_sufficiency(samples: DataFrame, markets: DataFrame, windows_s: list[int]) -> DataFrame:
-    """Per resolved market: trades in each of the last windows before its end."""
-    j = markets.where("yes is not null").select("market_id", "end_ts").join(samples.select("market_id", "ts"), "market_id", "left")
-    age = F.unix_micros("end_ts") - F.unix_micros("ts")
-    return j.groupBy("market_id").agg(*[F.count_if((age >= 0) & (age <= w * 1_000_000)).alias(f"in_{w}") for w in windows_s])
-
-
 def normalized_odds(df: DataFrame, group: list[str], odds: str) -> DataFrame:
     """1/odds per row, the group's overround, and the share of it; groups with any odds outside (1, 500] drop out."""
     w = Window.partitionBy(*group)
@@ -280,3 +237,33 @@ def normalized_odds(df: DataFrame, group: list[str], odds: str) -> DataFrame:
     ok = F.min(((F.col(odds) > 1) & (F.col(odds) <= 500)).cast("int")).over(w) == 1
     x = df.withColumn("implied", F.when(F.col(odds) > 0, p)).withColumn("ok", ok).where("ok")
     return x.withColumn("overround", F.sum("implied").over(w)).withColumn("prob", F.col("implied") / F.col("overround")).drop("ok")
+
+
+def flag_moves(windows: DataFrame, sigma: DataFrame, key: str, least_z: float = 3.0, quiet_windows: int = 3, *, ends: DataFrame, margin_us: int, volume: str, least_volume: int, health: DataFrame, sure: int) -> DataFrame:
+    """Windows (key, window, end_ts, delta) whose move is ``least_z`` sigmas or more: not among a key's first
+    ``quiet_windows``, at least ``margin_us`` before its end (``ends``: key, key_end), with enough volume and healthy feeds
+    (``health``: key, healthy). Sigmas from fewer than ``sure`` calm windows are of low confidence."""
+    w = Window.partitionBy(key).orderBy("window")
+    j = windows.withColumn("rn", F.row_number().over(w)).join(sigma.where("sigma is not null"), key).join(ends, key).join(health.where("healthy"), key)
+    z = F.round(F.abs(F.col("delta")) / F.col("sigma"), 4)
+    left = F.unix_micros("key_end") - F.unix_micros("end_ts")
+    kept = j.withColumn("z", z).where((F.col("z") >= least_z) & (F.col("rn") > quiet_windows) & (left >= margin_us) & (F.col(volume) >= least_volume))
+    return kept.withColumn("low_confidence", F.col("n_calm") < sure).drop("rn").orderBy(F.desc("z"), key, "window")
+
+
+def feed_coverage(items: DataFrame, feed: str, key: str) -> DataFrame:
+    """Per feed: items, keys, least, median and most items of a key, and the latest."""
+    n = items.groupBy(feed, key).agg(F.count("*").alias("n"), F.max("ts").alias("at"))
+    return n.groupBy(feed).agg(F.sum("n").alias("items"), F.count("*").alias("keys"), F.min("n").alias("least"), F.round(F.percentile("n", F.lit(0.5)), 4).alias("median"), F.max("n").alias("most"), F.max("at").alias("latest"))
+
+
+def feed_window_health(items: DataFrame, feed: str, step_s: int, limit_s: int) -> DataFrame:
+    """Per window of ``step_s`` seconds: feeds that have begun and not ended, their items, the longest silence at the window's
+    end in minutes, and whether every feed had an item within ``limit_s`` of it. The grid has a row per feed and window."""
+    us = step_s * 1_000_000
+    c = items.groupBy(feed, F.expr(f"unix_micros(ts) div {us}").alias("window")).agg(F.count("*").alias("n"), F.max(F.unix_micros("ts")).alias("last"))
+    span = c.groupBy(feed).agg(F.min("window").alias("lo"), F.max("window").alias("hi"))
+    grid = span.select(feed, F.explode(F.sequence("lo", "hi")).alias("window")).hint("merge").join(c.hint("merge"), [feed, "window"], "left")
+    w = Window.partitionBy(feed).orderBy("window").rowsBetween(Window.unboundedPreceding, 0)
+    seen = grid.select("window", F.coalesce("n", F.lit(0)).alias("n"), ((F.col("window") + 1) * us - F.last("last", ignorenulls=True).over(w)).alias("silent"))
+    return seen.groupBy("window").agg(F.count("*").alias("feeds"), F.sum("n").alias("items"), F.round(F.max("silent") / 60e6, 4).alias("silent_min"), F.bool_and(F.col("silent") <= limit_s * 1_000_000).alias("healthy"))

@@ -88,37 +88,6 @@ def candle_vwap(candles: DataFrame, key: str) -> DataFrame:
     return candles.groupBy(key).agg(F.round(F.coalesce(F.when(v > 0, w), F.sum("reference") / F.count("*")), 4).alias("price"), F.when(v > 0, "traded").otherwise("reference").alias("source"))
 
 
-def venue_profile(hourly: DataFrame, key: str) -> DataFrame:
-    """hourly: key, bin, volume. Active hours, total, mean, and hours over thresholds."""
-    return hourly.groupBy(key).agg(F.count("*").alias("hours"), F.sum("volume").alias("total"), F.round(F.sum("volume") / F.count("*"), 4).alias("mean"), *[F.count_if(F.col("volume") >= x).alias(f"over_{x}") for x in (10_000, 100_000, 1_000_000)])
-
-
-def capacity(df: DataFrame) -> DataFrame:
-    """volume, spread_bps, fee_bps: net bps = half the spread less the fee; capacity = 0.5 % of volume over five."""
-    d = df.withColumn("net_bps", F.round(F.col("spread_bps") / 2 - F.col("fee_bps"), 4)).withColumn("cap", F.round(F.col("volume") * 0.005 / 5, 4))
-    return d.withColumn("label", F.when(F.col("net_bps") <= 0, "none").when(F.col("net_bps") < 5, "thin").otherwise("open"))
-
-
-def realized_vol_by_hour(bars: DataFrame, key: str, least: int = 3) -> DataFrame:
-    """bars: key, bin (hours since the epoch), open, close. Per day and hour of day sqrt(sum log(c/o)^2), then its
-    quartiles in basis points per hour of day."""
-    d = bars.groupBy(key, (F.col("bin") % 24).alias("hour"), F.expr("bin div 24").alias("day")).agg(F.count("*").alias("n"), F.sqrt(F.sum(F.pow(F.log(F.col("close") / F.col("open")), 2))).alias("v")).where(F.col("n") >= least)
-    q = F.percentile(F.col("v") * 10_000, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return d.groupBy("hour").agg(F.count("*").alias("n"), *[F.round(q[i], 4).alias(f"p{p}") for i, p in enumerate((25, 50, 75))])
-
-
-def flat_fraction(returns: DataFrame, ret: str, limit: float) -> DataFrame:
-    """Share of absolute returns under ``limit`` per hour of day (column bin in hours)."""
-    return returns.where(F.col(ret).isNotNull()).groupBy((F.col("bin") % 24).alias("hour")).agg(F.count("*").alias("n"), F.round(F.avg((F.abs(F.col(ret)) < limit).cast("double")), 6).alias("flat"))
-
-
-def funding_stats(rates: DataFrame, key: str, rate: str) -> DataFrame:
-    """Shares of positive and negative rates, mean, median, p10, p90, annualized at three a day."""
-    q = F.percentile(rate, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    n = F.count("*")
-    return rates.groupBy(key).agg(n.alias("n"), F.round(F.count_if(F.col(rate) > 0) / n, 6).alias("positive"), F.round(F.count_if(F.col(rate) < 0) / n, 6).alias("negative"), F.round(F.sum(rate) / n, 4).alias("mean"), *[F.round(q[i], 4).alias(f"p{p}") for i, p in enumerate((10, 50, 90))], F.round(F.sum(rate) / n * 3 * 365, 2).alias("annual"))
-
-
 def detection_forecast(detections: DataFrame, key: str, target: int) -> DataFrame:
     """Detections and distinct keys per hour, hours to a target sample, and a warning beyond a week."""
     hours = (F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 3.6e9
@@ -131,11 +100,6 @@ def winner_from_scores(home, away, done) -> Column:
     return F.when(col(done), F.when(col(home) > col(away), "home").when(col(home) < col(away), "away").otherwise("draw"))
 
 
-def pattern_coverage(df: DataFrame, pattern: Column, relevant: Column) -> DataFrame:
-    """Rows per first matching pattern; how many matched none though relevant."""
-    return df.groupBy(F.coalesce(pattern, F.lit("none")).alias("pattern")).agg(F.count("*").alias("n"), F.count_if(relevant).alias("relevant"))
-
-
 def move_zscore(probes: DataFrame, series: DataFrame, key: str, value: str, baseline_s: int, horizon_s: int, sigma_s: int, tie: str) -> DataFrame:
     """Move from the value ``baseline_s`` before a probe to ``horizon_s`` after it, over the deviation of the values in
     the ``sigma_s`` before it: two as-of lookups and one range-window deviation."""

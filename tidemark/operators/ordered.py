@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.functions.scalar import pearson
+from tidemark.functions.scalar import pearson, rnd
 
 
 def grid_last_ffill(ticks: DataFrame, key: str, value: str, step_s: int, tie: str) -> DataFrame:
@@ -57,26 +57,6 @@ def threshold_runs(grid: DataFrame, key: str, order: str, value: str, below: flo
     return r.where(F.col("n_rows") >= least_rows).drop("island")
 
 
-def persistence_summary(runs: DataFrame) -> DataFrame:
-    q = F.percentile("n_rows", F.array(F.lit(0.5), F.lit(0.9)))
-    return runs.agg(F.count("*").alias("runs"), F.count_distinct("event").alias("events"), F.round(q[0], 4).alias("p50"), F.round(q[1], 4).alias("p90"), F.max("n_rows").alias("longest"), F.count_if(F.col("n_rows") >= 4).alias("long_runs"))
-
-
-def path_shape(ticks: DataFrame, key: str, t0: int, target: int, near: int, fast_s: int, slow_s: int) -> DataFrame:
-    """First time within ``near`` of ``target`` after t0 (seconds): snap, drift or slow; counts before and after; the
-    value at t0."""
-    s = F.expr("unix_micros(ts)") / 1e6 - t0
-    hit = F.min(F.when((s >= 0) & (F.abs(F.col("cents") - target) <= near), s))
-    g = ticks.groupBy(key).agg(hit.alias("hit"), F.count_if(s < 0).alias("n_pre"), F.count_if(s >= 0).alias("n_post"), F.max_by(F.when(s <= 0, F.col("cents")), F.when(s <= 0, F.struct("ts", "id"))).alias("at_t0"))
-    return g.select(key, F.round("hit", 3).alias("hit_s"), "n_pre", "n_post", "at_t0", F.when(F.col("n_post") == 0, "no-data").when(F.col("hit") <= fast_s, "snap").when(F.col("hit") <= slow_s, "drift").otherwise("slow").alias("shape"))
-
-
-def last_tail_mean(rows: DataFrame, key: str, order: list[str], value: str, keep: str, k: int = 5) -> DataFrame:
-    """Mean of the last k values among the rows that ``keep`` holds for."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return rows.where(keep).select(key, value, F.row_number().over(w).alias("rn")).where(F.col("rn") <= k).groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum(value) / F.count("*"), 4).alias("tail_mean"))
-
-
 def window_first_last_delta(ticks: DataFrame, key: str, value: str, minutes: int, tie: str, volume: str | None = None) -> DataFrame:
     """Per key and tumbling window: first and last value, their difference, rows; volume change clipped at 0."""
     us = minutes * 60_000_000
@@ -117,9 +97,58 @@ def terciles(rows: DataFrame, key: str, value: str, tie: str) -> DataFrame:
 
 
 def time_in_range(ticks: DataFrame, key: str, value: str, order: list[str], widths: list[float]) -> DataFrame:
-    """Share of values within +-width of the key's first value, for a fixed list of widths."""
-    w = Window.partitionBy(key).orderBy(*order)
-    f = ticks.select(key, value, F.first(value).over(w).alias("first"))
+    """Share of values within +-width of the key's first value, for a fixed list of widths; whether any left it, the change
+    from first to last in percent, and the extremes."""
+    f = ticks.select(key, value, F.struct(*order).alias("o"), F.first(value).over(Window.partitionBy(key).orderBy(*order)).alias("first"))
     e = f.withColumn("width", F.explode(F.array(*[F.lit(x) for x in widths])))
     inside = F.abs(F.col(value) - F.col("first")) <= F.col("width") * F.col("first")
-    return e.groupBy(key, "width").agg(F.count("*").alias("n"), F.round(F.avg(inside.cast("double")), 6).alias("share"), (~F.bool_and(inside)).alias("exited"))
+    first, last = F.max("first"), F.max_by(value, "o")
+    return e.groupBy(key, "width").agg(
+        F.count("*").alias("n"),
+        F.round(F.avg(inside.cast("double")), 6).alias("share"),
+        (~F.bool_and(inside)).alias("exited"),
+        rnd(F.try_divide((last - first) * 100, first)).alias("change_pct"),
+        F.max(value).alias("most"),
+        F.min(value).alias("least"),
+    )
+
+
+def last_tail_mean(rows: DataFrame, key: str, order: list[str], value: str, keep: str, k: int = 5, yes_at: float = 0.85, no_at: float = 0.15) -> DataFrame:
+    """Mean of the last k values among the rows that ``keep`` holds for, the last such row's time (first of ``order``), and
+    YES, NO or null by two thresholds."""
+    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    tail = rows.where(keep).select(key, value, order[0], F.row_number().over(w).alias("rn")).where(F.col("rn") <= k)
+    g = tail.groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum(value) / F.count("*"), 4).alias("tail_mean"), F.max(order[0]).alias("last_active"))
+    return g.withColumn("verdict", F.when(F.col("tail_mean") >= yes_at, "YES").when(F.col("tail_mean") <= no_at, "NO"))
+
+
+def path_shape(ticks: DataFrame, key: str, t0: int, target: int, near: int, fast_s: int, slow_s: int, later: tuple[int, int]) -> DataFrame:
+    """First time within ``near`` of ``target`` after t0 (seconds): snap, drift or slow; counts before and after; the value
+    at t0; means of the first ``fast_s`` seconds and of the span ``later``."""
+    s = F.expr("unix_micros(ts)") / 1e6 - t0
+    hit = F.min(F.when((s >= 0) & (F.abs(F.col("cents") - target) <= near), s))
+
+    def mean(a: int, b: int):
+        x = F.when((s >= a) & (s <= b), F.col("cents"))
+        return F.round(F.try_divide(F.sum(x), F.count(x)), 4)
+
+    g = ticks.groupBy(key).agg(
+        hit.alias("hit"),
+        F.count_if(s < 0).alias("n_pre"),
+        F.count_if(s >= 0).alias("n_post"),
+        F.max_by(F.when(s <= 0, F.col("cents")), F.when(s <= 0, F.struct("ts", "id"))).alias("at_t0"),
+        mean(0, fast_s).alias("early_mean"),
+        mean(*later).alias("late_mean"),
+    )
+    shape = F.when(F.col("n_post") == 0, "no-data").when(F.col("hit") <= fast_s, "snap").when(F.col("hit") <= slow_s, "drift").otherwise("slow")
+    return g.select(key, F.round("hit", 3).alias("hit_s"), "n_pre", "n_post", "at_t0", "early_mean", "late_mean", shape.alias("shape"))
+
+
+def persistence_summary(runs: DataFrame, category: str, limit: int, step_h: int, spans_h: tuple[int, ...] = (24, 168, 720)) -> DataFrame:
+    """Runs under ``limit`` per category, and over all (null): median and p90 of the hours they last, of the edge (limit less
+    the least value) and of the decay (first less last value, so positive means the sum fell), and how many last long."""
+    x = runs.select(
+        "event", F.coalesce(category, F.lit("none")).alias(category), ((F.col("end") - F.col("start") + 1) * step_h).alias("hours"), (limit - F.col("least")).alias("edge"), (F.col("first_value") - F.col("last_value")).alias("decay")
+    )
+    parts = [F.round(F.percentile(c, F.lit(q)), 4).alias(f"{c}_p{p}") for c in ("hours", "edge", "decay") for p, q in ((50, 0.5), (90, 0.9))]
+    return x.rollup(category).agg(F.count("*").alias("runs"), F.count_distinct("event").alias("events"), *parts, *[F.count_if(F.col("hours") >= h).alias(f"over_{h}h") for h in spans_h])

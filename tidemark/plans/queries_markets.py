@@ -30,13 +30,7 @@ q("relative_since_filter", TICK, body="SELECT id FROM v_tick WHERE epoch_us(ts)
 q("join_fanout_legs", TICK, body="SELECT event, count(*) AS n FROM v_tick JOIN (VALUES ('click', 1), ('click', 2), ('purchase', 2)) l(asset, event) USING (asset) GROUP BY event")(lambda t: K.fanout_legs(t.tick, t.spark.createDataFrame([("click", 1), ("click", 2), ("purchase", 2)], "asset string, event int")).groupBy("event").agg(F.count("*").alias("n")))
 q("pair_sum_edge", TRADE, body="SELECT y.market_id, y.ask + n.ask AS total, least(y.size, n.size) AS shares, (1000 - y.ask - n.ask) * least(y.size, n.size) AS profit_milli FROM (SELECT market_id, first(price_milli ORDER BY price_milli, size) AS ask, first(size ORDER BY price_milli, size) AS size FROM v_trade WHERE outcome_index = 0 GROUP BY market_id) y JOIN (SELECT market_id, first(price_milli ORDER BY price_milli, size) AS ask, first(size ORDER BY price_milli, size) AS size FROM v_trade WHERE outcome_index = 1 GROUP BY market_id) n USING (market_id) WHERE y.ask + n.ask < 1000")(lambda t: (lambda x: K.pair_sum_edge(x.where("outcome_index = 0"), x.where("outcome_index = 1"), "market_id"))(t.trade.withColumnRenamed("price_milli", "ask")))
 q("candle_vwap_fallback", TICK, HOURLY, body="SELECT asset, round(CAST(sum(close * volume) AS DOUBLE) / sum(volume), 4) AS price, 'traded' AS source FROM hourly GROUP BY asset")(lambda t: K.candle_vwap(hourly(t).withColumn("reference", F.col("open")), "asset"))
-q("venue_profile", TICK, HOURLY, body="SELECT asset, count(*) AS hours, CAST(sum(volume) AS BIGINT) AS total, round(sum(volume) / count(*), 4) AS mean, count(*) FILTER (WHERE volume >= 10000) AS over_10000, count(*) FILTER (WHERE volume >= 100000) AS over_100000, count(*) FILTER (WHERE volume >= 1000000) AS over_1000000 FROM hourly GROUP BY asset")(lambda t: K.venue_profile(hourly(t), "asset"))
-q("capacity_table", TICK, HOURLY, body="SELECT asset, bin, net, round(volume * 0.005 / 5, 4) AS cap, CASE WHEN net <= 0 THEN 'none' WHEN net < 5 THEN 'thin' ELSE 'open' END AS label FROM (SELECT *, round(abs(close - open) / 100 / 2 - 4.5, 4) AS net FROM hourly)")(lambda t: K.capacity(hourly(t).withColumns({"spread_bps": F.abs(F.col("close") - F.col("open")) / 100, "fee_bps": F.lit(4.5)})).select("asset", "bin", F.col("net_bps").alias("net"), "cap", "label"))
-q("flat_fraction", TICK, HOURLY, body="SELECT hour, count(*) AS n, round(avg(CASE WHEN abs(ln(close / open)) < 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS flat FROM (SELECT bin % 24 AS hour, close, open FROM hourly) GROUP BY hour")(lambda t: K.flat_fraction(hourly(t).withColumn("ret", F.log(F.col("close") / F.col("open"))), "ret", 0.5))
-q("realized_vol_by_hour", TICK, HOURLY, body="SELECT hour, count(*) AS n, round(quantile_cont(v * 10000, 0.25), 4) AS p25, round(quantile_cont(v * 10000, 0.5), 4) AS p50, round(quantile_cont(v * 10000, 0.75), 4) AS p75 FROM (SELECT bin % 24 AS hour, sqrt(sum(pow(ln(close / open), 2))) AS v FROM (SELECT 1 AS k, * FROM hourly) GROUP BY k, bin % 24, bin // 24 HAVING count(*) >= 3) GROUP BY hour")(lambda t: K.realized_vol_by_hour(hourly(t).withColumn("k", F.lit(1)), "k"))
-q("funding_stats", TICK, body="SELECT asset, count(*) AS n, round(count(*) FILTER (WHERE r > 0) / count(*), 6) AS positive, round(count(*) FILTER (WHERE r < 0) / count(*), 6) AS negative, round(sum(r) / count(*), 4) AS mean, round(quantile_cont(r, 0.1), 4) AS p10, round(quantile_cont(r, 0.5), 4) AS p50, round(quantile_cont(r, 0.9), 4) AS p90, round(sum(r) / count(*) * 3 * 365, 2) AS annual FROM (SELECT asset, cents - 10000 AS r FROM v_tick) GROUP BY asset")(lambda t: K.funding_stats(t.tick.withColumn("r", F.col("cents") - 10_000), "asset", "r"))
 q("detection_rate_forecast", TICK, body="SELECT n, keys, round(n / h, 4) AS per_hour, round(1000.0::DOUBLE / (keys / h), 4) AS hours_needed, 1000.0::DOUBLE / (keys / h) > 168 AS warn FROM (SELECT count(*) AS n, count(DISTINCT actor) AS keys, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 AS h FROM v_tick)")(lambda t: K.detection_forecast(t.tick, "actor", 1000))
 q("winner_from_scores", TRADE, body="SELECT market_id, line, CASE WHEN outcome_index = 1 THEN CASE WHEN size > 25 THEN 'home' WHEN size < 25 THEN 'away' ELSE 'draw' END END AS winner FROM v_trade")(lambda t: t.trade.select("market_id", "line", K.winner_from_scores("size", F.lit(25), F.col("outcome_index") == 1).alias("winner")))
-q("pattern_coverage", body="SELECT pattern, count(*) AS n, count(*) FILTER (WHERE p_size > 25) AS relevant FROM (SELECT p_size, CASE WHEN p_name LIKE 'red%' THEN 'red' WHEN p_name LIKE '%bolt' THEN 'bolt' ELSE 'none' END AS pattern FROM part) GROUP BY pattern")(lambda t: K.pattern_coverage(t.part, F.when(F.col("p_name").like("red%"), "red").when(F.col("p_name").like("%bolt"), "bolt"), F.col("p_size") > 25))
 q("expiry_error", MARKET, TRADE, body=f"SELECT m.market_id, o.off AS \"offset\", round(abs(t.p / 1000 - m.yes), 4) AS error, abs(t.p / 1000 - m.yes) >= 0.15 AS mispriced FROM (SELECT market_id, yes, end_ts FROM v_market WHERE yes IS NOT NULL) m CROSS JOIN (VALUES (0), ({30 * DAY})) o(off) ASOF JOIN (SELECT market_id, ts, last(price_milli ORDER BY line, price_milli) AS p FROM v_trade GROUP BY ALL) t ON m.market_id = t.market_id AND m.end_ts - to_seconds(o.off) >= t.ts")(lambda t: K.expiry_error(t.trade.groupBy("market_id", "ts").agg(F.max_by("price_milli", F.struct("line", "price_milli")).alias("price_milli"), F.max("line").alias("line")), t.market, [0, 30 * DAY]))
 q("move_zscore")(lambda t: K.move_zscore(t.tick.where("asset = 'purchase'").select("asset", "ts", "id"), t.tick, "asset", "cents", 30, 3600, 86_400, "id").select("id", "before", "after", "z"))

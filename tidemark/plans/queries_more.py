@@ -25,14 +25,10 @@ q("value_counts", MARKET, body=f"SELECT category, n, {share('n', 'sum(n) OVER ()
 q("percent_share_ranked", MARKET, body=f"SELECT category, n, {share('n', 'sum(n) OVER ()')} AS share, row_number() OVER (ORDER BY n DESC, category) AS rank FROM (SELECT category, count(*) AS n FROM v_market GROUP BY category)")(lambda t: A.value_counts(t.market, "category").withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "category"))))
 q("cross_tab", MARKET, body="SELECT category, count(*) FILTER (WHERE yes = 0) AS \"0\", count(*) FILTER (WHERE yes = 1) AS \"1\" FROM v_market GROUP BY category")(lambda t: t.market.groupBy("category").pivot("yes", [0, 1]).count().na.fill(0))
 q("conditional_counts", TRADE, body=f"SELECT wallet, count(*) AS n, count(*) FILTER (WHERE size > 40) AS big, {share('count(*) FILTER (WHERE size > 40)', 'count(*)')} AS big_share FROM v_trade GROUP BY wallet")(lambda t: t.trade.groupBy("wallet").agg(F.count("*").alias("n"), F.count_if(F.col("size") > 40).alias("big"), A.share(F.count_if(F.col("size") > 40), F.count("*")).alias("big_share")))
-q("group_collect", MARKET, body="SELECT event_id, count(*) AS n, array_to_string(list_sort(list(market_id)), ',') AS ids, CAST(sum(yes) AS BIGINT) AS winners FROM v_market GROUP BY event_id HAVING count(*) >= 2 AND sum(yes) = 1")(lambda t: t.market.groupBy("event_id").agg(F.count("*").alias("n"), F.concat_ws(",", F.transform(F.sort_array(F.collect_list("market_id")), lambda x: x.cast("string"))).alias("ids"), F.sum("yes").alias("winners")).where("n >= 2 and winners = 1"))
 EV = "ev AS (SELECT event_id, count(*) AS legs, count(yes) AS resolved, sum(yes) AS winners FROM v_market GROUP BY event_id)"
 q("multi_winner_hist", MARKET, EV, body="SELECT legs, CAST(winners AS BIGINT) AS winners, count(*) AS events FROM ev GROUP BY ALL")(lambda t: A.multi_winner_hist(t.market.groupBy("event_id").agg(F.count("*").alias("legs"), F.sum("yes").alias("winners"))))
-q("basket_sum_edge", TRADE, body="SELECT market_id, legs, total_milli, sets, edge_pct, round(greatest(edge_pct, 0) / 100 * sets, 4) AS profit FROM (SELECT market_id, count(*) AS legs, CAST(sum(price_milli) AS BIGINT) AS total_milli, min(size) AS sets, round((1 - sum(price_milli) / 1000) * 100, 4) AS edge_pct FROM v_trade GROUP BY market_id HAVING count(*) >= 2)")(lambda t: A.basket_edge(t.trade, "market_id", "price_milli"))
 q("market_level_sum_stats", TRADE, body="SELECT legs, count(*) AS markets, min(s) AS least, max(s) AS most FROM (SELECT count(*) AS legs, CAST(sum(price_milli) AS BIGINT) AS s FROM v_trade GROUP BY market_id) GROUP BY legs")(lambda t: t.trade.groupBy("market_id").agg(F.count("*").alias("legs"), F.sum("price_milli").alias("s")).groupBy("legs").agg(F.count("*").alias("markets"), F.min("s").alias("least"), F.max("s").alias("most")))
 q("column_validity", body="SELECT name, count(v) AS present, count(*) FILTER (WHERE v > 1 AND v < 1000) AS valid FROM (SELECT 'l_quantity' AS name, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem) GROUP BY name")(lambda t: A.column_validity(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"], (F.col("v") > 1) & (F.col("v") < 1000)))
-q("stratified_sample", MARKET, body="SELECT category, market_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY (market_id * 2654435761 + 42 * 40503) % 4294967296, market_id) AS rn FROM v_market) WHERE rn <= 20")(lambda t: A.stratified_sample(t.market, "category", "market_id", 20).select("category", "market_id"))
-q("viability_gate", MARKET, body="SELECT category, n, p50, p90, CASE WHEN n >= 100 AND p50 >= 50000 THEN 'PROMISING' ELSE 'SKIP' END AS verdict FROM (SELECT category, count(*) AS n, round(quantile_cont(volume, 0.5), 4) AS p50, round(quantile_cont(volume, 0.9), 4) AS p90 FROM v_market GROUP BY category)")(lambda t: t.market.groupBy("category").agg(F.count("*").alias("n"), F.round(F.percentile("volume", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("volume", F.lit(0.9)), 4).alias("p90")).withColumn("verdict", F.when((F.col("n") >= 100) & (F.col("p50") >= 50000), "PROMISING").otherwise("SKIP")))
 
 # -- participants --------------------------------------------------------------------------------------------------
 q("share_topk_gini", TRADE, body=f"SELECT participants, total, {share('t1', 'total')} AS top1, {share('t10', 'total')} AS top10, {share('t50', 'total')} AS top50, {share('t100', 'total')} AS top100, round(2 * CAST(ix AS DOUBLE) / (participants * CAST(total AS DOUBLE)) - (participants + 1) / participants, 6) AS gini, t10 / total < 0.5 AS diffuse FROM (SELECT count(*) AS participants, CAST(sum(x) AS BIGINT) AS total, sum(CASE WHEN top <= 1 THEN x END) AS t1, sum(CASE WHEN top <= 10 THEN x END) AS t10, sum(CASE WHEN top <= 50 THEN x END) AS t50, sum(CASE WHEN top <= 100 THEN x END) AS t100, sum(i * x) AS ix FROM (SELECT x, row_number() OVER (ORDER BY x DESC, wallet) AS top, row_number() OVER (ORDER BY x, wallet) AS i FROM (SELECT wallet, sum(cents) AS x FROM v_trade GROUP BY wallet)))")(lambda t: A.concentration(t.trade, "wallet", "cents"))
@@ -42,15 +38,8 @@ q("wallet_vertical_mix", MARKET, TRADE, body=f"SELECT wallet, coalesce(u, 0) AS
 q("wallet_overlap", TRADE, body="SELECT a.wallet, a.x AS inside, coalesce(b.x, 0) AS outside FROM (SELECT wallet, CAST(sum(cents) AS BIGINT) AS x FROM v_trade WHERE size > 45 GROUP BY wallet) a LEFT JOIN (SELECT wallet, CAST(sum(cents) AS BIGINT) AS x FROM v_trade WHERE size <= 45 GROUP BY wallet) b ON a.wallet = b.wallet")(lambda t: A.overlap(t.trade, "wallet", F.col("size") > 45, "cents"))
 for name, cost, signed in (("settled_pnl", "cents", False), ("settled_pnl_signed", "(CASE WHEN outcome_index = 1 THEN -1 ELSE 1 END) * cents", True)):
     q(name, MARKET, TRADE, body=f"SELECT wallet, count(*) AS markets, CAST(sum(pnl) AS BIGINT) AS pnl_cents, {share('count(*) FILTER (WHERE pnl > 0)', 'count(*)')} AS win_rate FROM (SELECT wallet, (CASE WHEN net > 0 THEN net * yes ELSE -net * (1 - yes) END) * 100 - cost AS pnl FROM (SELECT wallet, market_id, sum((CASE WHEN outcome_index = 1 THEN -1 ELSE 1 END) * size) AS net, sum({cost}) AS cost FROM v_trade GROUP BY ALL) JOIN v_market USING (market_id) WHERE yes IS NOT NULL) GROUP BY wallet")(lambda t, signed=signed: A.settled_pnl(t.trade, t.market, signed))
-q("wallet_pnl_rollup", TRADE, body="SELECT wallet, CAST(sum(CASE WHEN outcome_index = 1 THEN cents ELSE -cents END) AS BIGINT) AS cash, CAST(sum(size) AS BIGINT) AS held FROM v_trade GROUP BY wallet")(lambda t: t.trade.groupBy("wallet").agg(F.sum(F.expr("CASE WHEN outcome_index = 1 THEN cents ELSE -cents END")).alias("cash"), F.sum("size").alias("held")))
-q("backtest_edge", MARKET, TRADE, body=f"SELECT fee_bps, count(*) AS n, round(sum(yes * 1000 - price_milli) / count(*) / 1000, 6) AS gross, round((sum(yes * 1000 - price_milli) / 1000 - sum(fee_bps * price_milli * (1000 - price_milli)) / 1e10) / count(*), 6) AS net, {share('sum(yes)', 'count(*)')} AS hit_rate FROM v_trade JOIN v_market USING (market_id), (VALUES (0), (200)) f(fee_bps) WHERE yes IS NOT NULL AND price_milli BETWEEN 550 AND 650 GROUP BY fee_bps")(lambda t: A.backtest_edge(t.trade.join(t.market, "market_id").where("yes is not null and price_milli between 550 and 650"), [0, 200]))
 q("realized_fee_bands", TRADE, body="SELECT band, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM v_trade, (VALUES ('low', 0, 100), ('mid', 400, 600), ('high', 900, 999)) b(band, lo, hi) WHERE price_milli BETWEEN lo AND hi GROUP BY band")(lambda t: A.banded(t.trade, "price_milli", [("low", 0, 100), ("mid", 400, 600), ("high", 900, 999)], F.count("*").alias("n"), F.sum("cents").alias("cents")))
-q("bucket_depth_stats", TRADE, body="SELECT b AS bucket, count(*) AS n, max(size) AS most, round(quantile_cont(size, 0.5), 4) AS median FROM (SELECT price_milli // 100 AS b, size FROM v_trade) GROUP BY b")(lambda t: t.trade.groupBy(F.expr("price_milli div 100").alias("bucket")).agg(F.count("*").alias("n"), F.max("size").alias("most"), F.round(F.percentile("size", F.lit(0.5)), 4).alias("median")))
-q("fill_prob_matrix", TRADE, body="SELECT bucket, want, count(*) AS n, round(avg(CASE WHEN most >= want THEN 1.0::DOUBLE ELSE 0 END) * 0.85::DOUBLE, 6) AS p_fill FROM (SELECT min(price_milli) // 100 AS bucket, max(size) AS most FROM v_trade GROUP BY market_id), (VALUES (10), (30), (50)) w(want) GROUP BY ALL")(lambda t: A.fill_prob_matrix(t.trade.groupBy("market_id").agg(F.expr("min(price_milli) div 100").alias("bucket"), F.max("size").alias("most")), [10, 30, 50]))
-q("strategy_report", MARKET, TRADE, body=f"SELECT category, n, hit_rate, gross, net, CASE WHEN n < 20 THEN 'insufficient' WHEN net >= 0.015 THEN 'go' WHEN net >= 0.005 THEN 'watch' ELSE 'stop' END AS verdict FROM (SELECT category, count(*) AS n, {share('count(*) FILTER (WHERE g > 0)', 'count(*)')} AS hit_rate, round(sum(g) / count(*) / 1000, 6) AS gross, round((sum(g) - sum(size)) / count(*) / 1000, 6) AS net FROM (SELECT category, size, yes * 1000 - price_milli AS g FROM v_trade JOIN v_market USING (market_id) WHERE yes IS NOT NULL) GROUP BY category)")(lambda t: A.strategy_report(t.trade.join(t.market.where("yes is not null"), "market_id").withColumn("g", F.expr("yes * 1000 - price_milli")), "category", "g", "size"))
 q("missed_reason", MARKET, TRADE, body="SELECT reason, count(*) AS n FROM (SELECT CASE WHEN t.market_id IS NULL THEN 'no_detection' WHEN t.most > 45 THEN 'cap_too_tight' WHEN t.n < 3 THEN 'attempted_no_fill' ELSE 'filled' END AS reason FROM v_market m LEFT JOIN (SELECT market_id, max(size) AS most, count(*) AS n FROM v_trade GROUP BY market_id) t ON m.market_id = t.market_id WHERE yes IS NOT NULL) GROUP BY reason")(lambda t: A.skip_reasons(t.market.where("yes is not null").join(t.trade.groupBy("market_id").agg(F.max("size").alias("most"), F.count("*").alias("n")), "market_id", "left"), {"no_detection": F.col("n").isNull(), "cap_too_tight": F.col("most") > 45, "attempted_no_fill": F.col("n") < 3, "filled": F.lit(True)}))
-q("price_sufficiency", MARKET, TRADE, body=f"SELECT m.market_id, count(*) FILTER (WHERE epoch_us(m.end_ts) - epoch_us(t.ts) BETWEEN 0 AND {30 * DAY} * 1000000::BIGINT) AS in_{30 * DAY}, count(*) FILTER (WHERE epoch_us(m.end_ts) - epoch_us(t.ts) BETWEEN 0 AND {365 * DAY} * 1000000::BIGINT) AS in_{365 * DAY} FROM v_market m LEFT JOIN v_trade t ON m.market_id = t.market_id WHERE yes IS NOT NULL GROUP BY m.market_id")(lambda t: A.price_sufficiency(t.trade, t.market, [30 * DAY, 365 * DAY]))
-q("participant_profile", MARKET, TRADE, body="SELECT wallet, n, takers, favourite FROM (SELECT wallet, count(*) AS n, count(*) FILTER (WHERE outcome_index = 1) AS takers FROM v_trade GROUP BY wallet) JOIN (SELECT wallet, category AS favourite FROM (SELECT wallet, category, row_number() OVER (PARTITION BY wallet ORDER BY c DESC, category) AS rn FROM (SELECT wallet, category, sum(cents) AS c FROM v_trade JOIN v_market USING (market_id) GROUP BY wallet, category)) WHERE rn = 1) USING (wallet)")(lambda t: t.trade.groupBy("wallet").agg(F.count("*").alias("n"), F.count_if(F.col("outcome_index") == 1).alias("takers")).join(A.topk_per_group(t.trade.join(t.market, "market_id").groupBy("wallet", "category").agg(F.sum("cents").alias("c")), "wallet", [F.desc("c"), F.col("category")], 1).select("wallet", F.col("category").alias("favourite")), "wallet"))
 q("topk_global", TRADE, body="SELECT wallet, CAST(sum(cents) AS BIGINT) AS cents FROM v_trade GROUP BY wallet ORDER BY cents DESC, wallet LIMIT 20")(lambda t: t.trade.groupBy("wallet").agg(F.sum("cents").alias("cents")).orderBy(F.desc("cents"), "wallet").limit(20))
 q("topk_per_group", MARKET, body="SELECT category, market_id, rank FROM (SELECT category, market_id, row_number() OVER (PARTITION BY category ORDER BY volume DESC, market_id) AS rank FROM v_market) WHERE rank <= 10")(lambda t: A.topk_per_group(t.market, "category", [F.desc("volume"), F.col("market_id")], 10).select("category", "market_id", "rank"))
 
@@ -69,16 +58,12 @@ def basket(t):
 q("carry_forward_basket", LEG, BASKET, body="SELECT * FROM basket")(basket)
 RUNS = "runs AS (SELECT event, min(bucket) AS start, max(bucket) AS \"end\", count(*) AS n_rows, min(total_micro) AS least, max(total_micro) AS most, first(total_micro ORDER BY bucket) AS first_value, last(total_micro ORDER BY bucket) AS last_value FROM (SELECT *, rn - row_number() OVER (PARTITION BY event ORDER BY bucket) AS island FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY bucket) AS rn FROM basket) WHERE total_micro < 1600000) GROUP BY event, island)"
 q("threshold_runs", LEG, BASKET, RUNS, body="SELECT * FROM runs")(lambda t: O.threshold_runs(basket(t), "event", "bucket", "total_micro", 1_600_000))
-q("persistence_summary", LEG, BASKET, RUNS, body="SELECT count(*) AS runs, count(DISTINCT event) AS events, round(quantile_cont(n_rows, 0.5), 4) AS p50, round(quantile_cont(n_rows, 0.9), 4) AS p90, max(n_rows) AS longest, count(*) FILTER (WHERE n_rows >= 4) AS long_runs FROM runs")(lambda t: O.persistence_summary(O.threshold_runs(basket(t), "event", "bucket", "total_micro", 1_600_000)))
-q("path_shape", TICK, body="SELECT actor, round(hit, 3) AS hit_s, n_pre, n_post, at_t0, CASE WHEN n_post = 0 THEN 'no-data' WHEN hit <= 86400 THEN 'snap' WHEN hit <= 432000 THEN 'drift' ELSE 'slow' END AS shape FROM (SELECT actor, min(s) FILTER (WHERE s >= 0 AND abs(cents - 10000) <= 1000) AS hit, count(*) FILTER (WHERE s < 0) AS n_pre, count(*) FILTER (WHERE s >= 0) AS n_post, last(cents ORDER BY ts, id) FILTER (WHERE s <= 0) AS at_t0 FROM (SELECT *, epoch_us(ts) / 1e6 - 1705276800 AS s FROM v_tick) GROUP BY actor)")(lambda t: O.path_shape(t.tick, "actor", 1_705_276_800, 10_000, 1_000, 86_400, 432_000))
-q("last_active_and_tail_mean", TICK, body="SELECT actor, count(*) AS n, round(sum(cents) / count(*), 4) AS tail_mean FROM (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY ts DESC, id DESC) AS rn FROM v_tick WHERE cents > 5000) WHERE rn <= 5 GROUP BY actor")(lambda t: O.last_tail_mean(t.tick, "actor", ["ts", "id"], "cents", "cents > 5000"))
 q("window_first_last_delta", TICK, MOVES, body="SELECT actor, \"window\", first, last, n, last - first AS delta FROM w")(lambda t: O.window_first_last_delta(t.tick, "actor", "cents", 360, "id"))
 q("rank_in_group", MARKET, body="SELECT market_id, row_number() OVER (PARTITION BY event_id ORDER BY volume DESC, market_id) AS rank FROM v_market")(lambda t: O.rank_in_group(t.market, "event_id", "volume", "market_id").select("market_id", "rank"))
 q("latest_per_key", TICK, body="SELECT actor, last(cents ORDER BY ts, id) AS cents FROM v_tick GROUP BY actor")(lambda t: J.upsert_last(t.tick, ["actor"], ["ts", "id"]).select("actor", "cents"))
 q("first_per_key", TICK, body="SELECT actor, first(cents ORDER BY ts, id) AS cents FROM v_tick GROUP BY actor")(lambda t: J.upsert_first(t.tick, ["actor"], ["ts", "id"]).select("actor", "cents"))
 q("change_count", TICK, body="SELECT actor, count(*) AS n, count(*) FILTER (WHERE c) AS changes FROM (SELECT actor, asset <> lag(asset) OVER (PARTITION BY actor ORDER BY ts, id) AS c FROM v_tick) GROUP BY actor")(lambda t: O.change_count(t.tick, "actor", "asset", ["ts", "id"]))
 q("rolling_return", TICK, GRID, body="SELECT asset, bin, cents, round(ln(cents / lag(cents, 4) OVER (PARTITION BY asset ORDER BY bin)), 6) AS ret FROM grid")(lambda t: O.rolling_return(O.grid_last_ffill(t.tick, "asset", "cents", 21_600, "id"), "asset", "bin", "cents", 4))
-q("time_in_range", TICK, body="SELECT actor, width, count(*) AS n, round(avg(CASE WHEN abs(cents - f) <= width * f THEN 1.0::DOUBLE ELSE 0 END), 6) AS share, NOT bool_and(abs(cents - f) <= width * f) AS exited FROM (SELECT actor, cents, first_value(cents) OVER (PARTITION BY actor ORDER BY ts, id) AS f FROM v_tick), (VALUES (0.5::DOUBLE), (2.0::DOUBLE)) v(width) GROUP BY actor, width")(lambda t: O.time_in_range(t.tick, "actor", "cents", ["ts", "id"], [0.5, 2.0]))
 q("realized_vol_windows", TICK, GRID, RET, body="SELECT asset, w, count(*) AS n, round(stddev_samp(ret) * sqrt(8760.0), 6) AS vol FROM (SELECT asset, ret, unnest(generate_series((bin - 11 + 3) // 4, bin // 4)) AS w FROM ret WHERE ret IS NOT NULL) GROUP BY asset, w HAVING count(*) = 12")(lambda t: O.realized_vol_windows(O.grid_last_ffill(t.tick, "asset", "cents", 21_600, "id"), "asset", "cents", 12, 4))
 q("terciles", MARKET, body="SELECT market_id, CASE WHEN i < m // 3 THEN 'low' WHEN i < 2 * m // 3 THEN 'mid' ELSE 'high' END AS regime FROM (SELECT market_id, row_number() OVER (PARTITION BY category ORDER BY volume, market_id) - 1 AS i, count(*) OVER (PARTITION BY category) AS m FROM v_market)")(lambda t: O.terciles(t.market, "category", "volume", "market_id").select("market_id", "regime"))
 q("spread_stats", TICK, MOVES, body=f"SELECT count(*) AS n, round(sum(d) / count(*), 4) AS mean, round(quantile_cont(d, 0.5), 4) AS median, round(stddev_samp(CAST(d AS DOUBLE)), 4) AS sd, round(sum(abs(d)) / count(*), 4) AS abs_mean, min(d) AS least, max(d) AS most, {share('count(*) FILTER (WHERE abs(d) > 10)', 'count(*)')} AS over_10, {share('count(*) FILTER (WHERE abs(d) > 20)', 'count(*)')} AS over_20, {share('count(*) FILTER (WHERE abs(d) > 50)', 'count(*)')} AS over_50, actor FROM (SELECT actor, last - first AS d FROM w) GROUP BY actor HAVING count(*) > 1")(lambda t: A.spread_stats(O.window_first_last_delta(t.tick, "actor", "cents", 360, "id"), ["actor"], "delta").where("n > 1"))
@@ -96,15 +81,12 @@ def sigma(t):
 
 
 q("baseline_sigma", TICK, MOVES, SIG, body="SELECT * FROM sig")(sigma)
-q("flag_moves", TICK, MOVES, SIG, body="SELECT actor, \"window\", z FROM (SELECT w.actor, w.\"window\", row_number() OVER (PARTITION BY w.actor ORDER BY w.\"window\") AS rn, round(abs(last - first) / sigma, 4) AS z FROM w JOIN sig USING (actor) WHERE sigma IS NOT NULL) WHERE z >= 1.5 AND rn > 3")(lambda t: A.flag_moves(moves(t), sigma(t), "actor", 1.5).select("actor", "window", "z"))
 q("observed_hours", TICK, body="SELECT actor, count(*) AS n, round(CASE WHEN count(*) < 2 THEN 0 ELSE (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 END, 4) AS hours FROM v_tick GROUP BY actor")(lambda t: A.observed_hours(t.tick, "actor"))
 q("rate_ratio_verdict", TICK, "f AS (SELECT actor, count(*) AS flags FROM v_tick WHERE cents > 15000 GROUP BY actor), h AS (SELECT actor, round(CASE WHEN count(*) < 2 THEN 0 ELSE (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 END, 4) AS hours FROM v_tick GROUP BY actor), g AS (SELECT actor % 2 = 0 AS cand, CAST(sum(coalesce(flags, 0)) AS DOUBLE) / sum(hours) AS rate FROM h LEFT JOIN f USING (actor) GROUP BY 1), o AS (SELECT max(rate) FILTER (WHERE cand) AS c, max(rate) FILTER (WHERE NOT cand) AS k FROM g)", body="SELECT round(c, 6) AS candidate, round(k, 6) AS control, round(c / k, 4) AS ratio, CASE WHEN c / k < 1 THEN 'none' WHEN c / k < 1.5 THEN 'weak' WHEN c / k < 3 THEN 'moderate' ELSE 'strong' END AS verdict FROM o")(lambda t: A.rate_ratio(t.tick.where("cents > 15000"), A.observed_hours(t.tick, "actor"), "actor", F.col("actor") % 2 == 0))
 q("feed_silence", TICK, body="SELECT actor, count(*) AS items, round(coalesce(max(gap), 0) / 60e6, 4) AS silent_min, coalesce(max(gap) <= 259200000000, true) AS healthy FROM (SELECT actor, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY actor ORDER BY ts) AS gap FROM v_tick) GROUP BY actor")(lambda t: A.feed_silence(t.tick, "actor", 259_200_000_000))
-q("feed_coverage", TICK, body="SELECT min(n) AS least, round(quantile_cont(n, 0.5), 4) AS median, max(n) AS most FROM (SELECT count(*) AS n FROM v_tick GROUP BY actor)")(lambda t: t.tick.groupBy("actor").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.round(F.percentile("n", F.lit(0.5)), 4).alias("median"), F.max("n").alias("most")))
 q("hour_profile", TICK, body=f"SELECT hour, n, {share('n', 'sum(n) OVER ()')} AS n_share, {share('a', 'sum(a) OVER ()')} AS amount_share, hour IN (2, 3, 4) AS quiet FROM (SELECT hour(ts) AS hour, count(*) AS n, sum(cents) AS a FROM v_tick GROUP BY 1)")(lambda t: A.hour_profile(t.tick, "cents", [2, 3, 4]))
 
 # -- quality, sets, sources ----------------------------------------------------------------------------------------
-q("dataset_quality_gate", TRADE, body="SELECT concat_ws(',', CASE WHEN NOT (count(*) >= 100000) THEN 'enough' END, CASE WHEN NOT (count(*) FILTER (WHERE price_milli = 0) < count(*) / 10) THEN 'nonzero' END) AS failed, count(*) >= 100000 AND count(*) FILTER (WHERE price_milli = 0) < count(*) / 10 AS passed FROM v_trade")(lambda t: A.quality_gate(t.trade, {"enough": F.count("*") >= 100_000, "nonzero": F.count_if(F.col("price_milli") == 0) < F.count("*") / 10}))
 q("table_freshness", body="SELECT 'orders' AS name, count(*) AS n, round((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(o_orderdate))) / 3.6e9, 4) AS age_hours, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(o_orderdate))) / 3.6e9 > 720 AS stale FROM orders UNION ALL SELECT 'events', count(*), round((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) / 3.6e9, 4), (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) / 3.6e9 > 720 FROM events")(lambda t: A.table_freshness({"orders": (t.orders, "o_orderdate"), "events": (t.events, "ts")}, "2024-01-31", 720))
 q("union_all", TRADE, body="SELECT side, count(*) AS n FROM (SELECT 'yes' AS side FROM v_trade WHERE outcome_index = 0 UNION ALL SELECT 'no' FROM v_trade WHERE outcome_index = 1) GROUP BY side")(lambda t: t.trade.where("outcome_index = 0").select(F.lit("yes").alias("side")).unionByName(t.trade.where("outcome_index = 1").select(F.lit("no").alias("side"))).groupBy("side").agg(F.count("*").alias("n")))
 q("distinct_keys", TRADE, body="SELECT DISTINCT market_id, wallet FROM v_trade")(lambda t: t.trade.select("market_id", "wallet").distinct())
