@@ -76,6 +76,22 @@ def near_brute(rows):
     return {(i, len(s), find(i)) for (i, _), s in zip(rows, sets)}
 
 
+def test_jaccard_join_small_blocks(spark, monkeypatch):
+    """Blocks and their askers cut small, on a chain whose ends aren't linked directly, and on many exact copies."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "ASKERS", 3)
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in rng.integers(0, 500, 120)]
+    rows = []
+    for k in range(70):
+        words[int(rng.integers(len(words)))] = f"x{k}"
+        words[int(rng.integers(len(words)))] = f"y{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(100 + k, rows[30][1]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {tuple(r) for r in jaccard_join.near_duplicates(df).collect()} == near_brute(rows)
+
+
 def test_jaccard_join(spark, docs):
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(200)]

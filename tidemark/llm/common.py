@@ -103,13 +103,13 @@ def maybe_in(df: DataFrame, bits: DataFrame, *columns: str, slots: int = 1 << 26
     return j.where(~hit if negate else hit).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, parts: int = 1000) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], total: int, parts: int = 1000) -> DataFrame:
     """Inner join on ``key``, which is unique in ``right``; its column ``weight`` is how many rows of ``left`` have the key,
     ``total`` how many there are, and isn't in the result. Keys with over total / parts rows are fewer than ``parts``: they
     are broadcast, so that no task gets a hot key's rows; all others are merged."""
     hot = F.col("weight") * parts > max(total, 1)
     few = F.broadcast(right.where(hot).drop("weight"))
-    rest = left.join(few.select(key), key, "left_anti").hint("merge").join(right.where(~hot).drop("weight").hint("merge"), key)
+    rest = left.join(few.select(*([key] if isinstance(key, str) else key)), key, "left_anti").hint("merge").join(right.where(~hot).drop("weight").hint("merge"), key)
     return left.join(few, key).unionByName(rest)
 
 

@@ -9,7 +9,7 @@ reach the threshold t share at least HITS of these (or all they share, if less).
 2. The matrix has a row for each token and group that holds it (the group's token union). A join on tokens counts how
    many of a query's tokens each other, larger group's union holds: an upper bound of what it shares with any member.
 3. Only groups that reach the bound (and a fitting size) are opened: their members, in blocks of bounded size, against
-   the query. Members that don't reach their leader query their own group. Links become components.
+   the query; a block that very many ask is repeated for each part of its askers. Members that don't reach their leader query their own group. Links become components.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from tidemark.llm.common import components, frugal, key_bits, maybe_in, mix64, s
 
 HITS = 3
 BLOCK = 512
+ASKERS = 2048
 _rng = np.random.default_rng(10)
 _byte = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _place = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -234,7 +235,8 @@ def _links(docs: DataFrame, width: int, percent: int, frequent_tokens: int, rows
     signs = written(d.mapInArrow(_sign(width), "doc_id long, n long, d1 long, d2 long"), "jaccard-signs", keep=True)
     known = signs.where("doc_id is not null")
     classes = written(known.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("head"), F.max("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
-    copied = known.where("n > 0").hint("merge").join(classes.where("copies > 1").drop("n").hint("merge"), ["d1", "d2"]).select("doc_id", "head")
+    total, n_rows = (x or 0 for x in classes.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100) + {HITS}")), F.sum("copies")).first())
+    copied = spread_join(known.where("n > 0"), classes.where("copies > 1").select("d1", "d2", "head", F.col("copies").alias("weight")), ["d1", "d2"], n_rows).select("doc_id", "head")
     edges = [copied.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))]
 
     # the heads' texts: whole classes of one need no join, others only where the bitmap can't tell
@@ -249,8 +251,7 @@ def _links(docs: DataFrame, width: int, percent: int, frequent_tokens: int, rows
     frequent, rank = common["token"].to_numpy(np.int64).view(np.uint64), common["count"].to_numpy(np.int64)
     order = np.argsort(frequent)
     rows = rep.mapInArrow(_prefixes(width, percent, frequent[order], rank[order], rows_per_task), "token long, doc_id long, n int, salt int")
-    total = int(classes.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100) + {HITS}"))).first()[0] or 0)
-    lists = written(rows.repartition(max(parts, -(-total // rows_per_task)), "token", "salt").mapInArrow(frugal(_shared, 0), "token long, doc_id long, n int, salt int, df long").drop("salt"), "jaccard-lists")
+    lists = written(rows.repartition(max(parts, -(-int(total) // rows_per_task)), "token", "salt").mapInArrow(frugal(_shared, 0), "token long, doc_id long, n int, salt int, df long").drop("salt"), "jaccard-lists")
 
     # groups: the most connected document among those that share a document's most common prefix tokens; in a large
     # cluster of near copies these are the same for all, so it becomes one group
@@ -304,11 +305,14 @@ def _links(docs: DataFrame, width: int, percent: int, frequent_tokens: int, rows
     asked = written(bound.select("doc_id", "g_leader").union(alone).distinct(), "jaccard-asked")
     flags = star.select(F.col("doc_id").alias("s_id"), "linked")
     wanted = asked.groupBy(F.col("g_leader").alias("leader")).agg(F.count("*").alias("askers")).hint("merge").join(sizes.hint("merge"), "leader")
-    wanted = written(wanted.select("leader", "askers", "weight", F.col("blocks").alias("g_blocks")), "jaccard-wanted")
-    members = spread_join(groups, wanted.select("leader", "weight"), "leader", n_docs).hint("merge").join(flags.hint("merge"), F.col("doc_id") == F.col("s_id"), "left")
-    members = members.select("leader", "block", F.lit(0).alias("kind"), "doc_id", F.coalesce("linked", F.col("doc_id") == F.col("leader")).alias("linked"))
-    queries = spread_join(asked.withColumnRenamed("g_leader", "leader"), wanted.select("leader", F.col("askers").alias("weight"), "g_blocks"), "leader", asked.count())
-    queries = queries.select("leader", F.explode(F.expr("sequence(0, g_blocks - 1)")).alias("block"), F.lit(1).alias("kind"), "doc_id", F.lit(False).alias("linked"))
+    chunks = F.ceil(F.col("askers") / ASKERS).cast("int").alias("chunks")
+    wanted = written(wanted.select("leader", "askers", "weight", F.col("blocks").alias("g_blocks"), chunks), "jaccard-wanted")
+    members = spread_join(groups, wanted.select("leader", "weight", "chunks"), "leader", n_docs).hint("merge").join(flags.hint("merge"), F.col("doc_id") == F.col("s_id"), "left")
+    members = members.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
+    members = members.select("leader", F.expr("block * chunks + chunk").alias("block"), F.lit(0).alias("kind"), "doc_id", F.coalesce("linked", F.col("doc_id") == F.col("leader")).alias("linked"))
+    queries = spread_join(asked.withColumnRenamed("g_leader", "leader"), wanted.select("leader", F.col("askers").alias("weight"), "g_blocks", "chunks"), "leader", asked.count())
+    queries = queries.withColumn("block", F.explode(F.expr("sequence(0, g_blocks - 1)")))
+    queries = queries.select("leader", F.expr("block * chunks + CAST(pmod(xxhash64(doc_id), chunks) AS INT)").alias("block"), F.lit(1).alias("kind"), "doc_id", F.lit(False).alias("linked"))
     opened = texts(members.union(queries)).repartition(parts, "leader", "block").sortWithinPartitions("leader", "block", "kind", "doc_id").mapInArrow(_opened(width, percent), "a long, b long")
     edges.append(opened)
 
