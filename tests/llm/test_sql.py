@@ -8,7 +8,7 @@ import pytest
 from tidemark.llm import registry
 
 DATA = Path("/root/testdata/sf0.001")
-TABLES = ("documents", "embeddings", "pages")
+TABLES = ("documents", "embeddings", "pages", "labels")
 
 
 def compare(spark, folder, name):
@@ -38,8 +38,10 @@ def edges(spark, tmp_path_factory):
             some = list(base)
             some[rng.integers(len(some))] = "other"
             texts.append(" ".join(some))
-    rows = [(i, t, ["en", "fr", None][i % 3], f"s{min(i % 7, 2)}" if i % 11 else None) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    rows = [(i, t, ["en", "fr", None][i % 3], f"s{min(i % 7, 2)}" if i % 11 else None, None if i % 5 == 0 else len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, i % 2, 1 if i % 3 == 0 else None) for i in range(0, len(texts), 2)] + [(2, 1, 0), (None, 1, 1), (10_000, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     near = np.repeat(rng.normal(size=(20, 16)), 6, 0) + rng.normal(size=(120, 16)) * 0.18
     vectors = [(i, int(i % 2), [float(np.float32(x)) for x in v]) for i, v in enumerate(near)]
     vectors += [(200, 0, vectors[0][2]), (201, None, vectors[0][2]), (202, 1, None), (203, 1, [0.0] * 16), (204, 1, [float("nan")] * 16), (205, 1, [None] + [1.0] * 15), (206, 1, [])]

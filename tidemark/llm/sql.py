@@ -1,4 +1,4 @@
-"""DuckDB SQL for the results that it can express: op2, op6, op8 and op10, by definition instead of by the operators' methods.
+"""DuckDB SQL for the results that it can express: op2, op6, op8 and op10 to op12, by definition instead of by the operators' methods.
 
 Pairs are compared one by one and components grow by recursion, so these texts are for small tables.
 """
@@ -92,4 +92,60 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM based b LEFT JOIN bad ON bad.doc_id = b.doc_id"""
 
 
-ORACLE = {"op2_embedding_dedup": OP2, "op6_quality_rules": _op6(), "op8_warc": OP8, "op10_jaccard_join": OP10}
+#: Every order walked step by step over masks of single documents.
+OP11 = f"""
+WITH RECURSIVE
+     lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+             FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+     d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents),
+     m AS (SELECT part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+                  + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+                  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                  + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+           FROM d LEFT JOIN lab USING (doc_id)),
+     letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+     prefix(ord, before, letter, bit) AS (SELECT '', 0, '', 0 UNION ALL
+             SELECT ord || l.letter, before | p.bit, l.letter, l.bit FROM prefix p, letters l WHERE (before | p.bit) & l.bit = 0),
+     steps AS (SELECT part, ord, letter, count(*) FILTER (WHERE mask & (before | bit) = 0) AS kept,
+                      count(*) FILTER (WHERE mask & bit > 0 AND mask & before = 0) AS removed,
+                      count(*) FILTER (WHERE mask & bit > 0 AND mask & before > 0) AS redundant,
+                      count(*) FILTER (WHERE mask = bit) AS unique_fails,
+                      count(*) FILTER (WHERE mask & bit > 0 AND mask & before = 0 AND good = 1) AS good_lost,
+                      count(*) FILTER (WHERE mask & bit > 0 AND mask & before = 0 AND toxic = 1) AS toxic_lost
+               FROM m, prefix WHERE ord <> '' GROUP BY part, ord, letter),
+     orders AS (SELECT o.ord AS filter_order, CAST(k AS INT) AS step, substr(o.ord, 1, k) AS ord FROM prefix o, range(1, 6) r(k) WHERE length(o.ord) = 5),
+     whole AS (SELECT part, filter_order, step, letter, kept, removed, redundant, unique_fails, good_lost, toxic_lost FROM orders JOIN steps USING (ord))
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM whole"""
+
+_field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+_leaf = lambda n: "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+_fold = "CASE WHEN l[xor(rank, 1) + 1] IS NULL THEN sha256(cur) WHEN rank % 2 = 0 THEN sha256(cur || l[rank + 2]) ELSE sha256(l[rank] || cur) END"
+_up = "list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], '')))"
+
+#: Trees as lists of each level's digests; every leaf is folded up through them.
+OP12 = f"""
+WITH RECURSIVE
+     tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, list_transform(range(8), lambda k: CAST(0 AS BIGINT))),
+                    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+     d AS (SELECT *, coalesce('=' || lang, '-') AS tree, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + 1)")} AS raised,
+                  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                                  lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS hit FROM documents, tab),
+     r AS (SELECT doc_id, tree, leaf, CASE WHEN hit THEN raised ELSE leaf END AS used,
+                  row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM d),
+     grow(tree, level, l) AS (SELECT tree, 0, list(leaf ORDER BY rank) FROM r GROUP BY tree UNION ALL SELECT tree, level + 1, {_up} FROM grow WHERE len(l) > 1),
+     subroots AS (SELECT tree, l[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS rank FROM grow WHERE len(l) = 1),
+     crown(level, l) AS (SELECT 0, list(subroot ORDER BY rank) FROM subroots HAVING count(*) > 0 UNION ALL SELECT level + 1, {_up} FROM crown WHERE len(l) > 1),
+     one(doc_id, tree, leaf, rank, level, cur, proof, n) AS (SELECT doc_id, tree, leaf, rank, 0, used, '', rank FROM r UNION ALL
+         SELECT doc_id, o.tree, leaf, rank // 2, o.level + 1, {_fold}, proof || coalesce(l[xor(rank, 1) + 1], ''), n
+         FROM one o JOIN grow g ON o.tree = g.tree AND o.level = g.level WHERE len(l) > 1),
+     two(doc_id, tree, leaf, rank, level, cur, proof) AS (
+         SELECT doc_id, o.tree, leaf, s.rank, 0, cur, proof FROM one o JOIN subroots s ON o.tree = s.tree JOIN grow g ON g.tree = o.tree AND g.level = o.level AND len(l) = 1
+         UNION ALL
+         SELECT doc_id, tree, leaf, rank // 2, t.level + 1, {_fold}, proof || coalesce(l[xor(rank, 1) + 1], '') FROM two t JOIN crown c ON t.level = c.level WHERE len(l) > 1)
+SELECT doc_id, leaf, subroot, c.l[1] AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = c.l[1] AS verified
+FROM two t JOIN crown c ON t.level = c.level AND len(c.l) = 1 JOIN subroots s ON s.tree = t.tree"""
+
+
+ORACLE = {"op2_embedding_dedup": OP2, "op6_quality_rules": _op6(), "op8_warc": OP8, "op10_jaccard_join": OP10, "op11_filter_audit": OP11, "op12_merkle_manifest": OP12}
