@@ -67,10 +67,11 @@ def universe_rank(venues: DataFrame, venue: str, names: str, contexts: str, majo
     return z.withColumn("rank", rank).withColumn("kind", F.when(F.col("name").isin(majors), "major").otherwise("synthetic")).drop("place")
 
 
-def scan_log(opportunities: DataFrame, event: str, edge: str, minutes: int) -> DataFrame:
-    """One row per opportunity and scan (its last edge), for the append sink."""
+def scan_log(opportunities: DataFrame, event: str, edge: str, minutes: int, delay: str = "1 hour") -> DataFrame:
+    """One row per opportunity and scan (its last edge), for the append sink of a stream or of a batch."""
     w = F.window("ts", f"{minutes} minutes")
-    return opportunities.groupBy(event, w.alias("w")).agg(F.max_by(edge, F.struct("ts", "id")).alias(edge)).select(event, F.col("w.start").alias("scan"), edge)
+    rows = opportunities.withWatermark("ts", delay) if opportunities.isStreaming else opportunities
+    return rows.groupBy(event, w.alias("w")).agg(F.max_by(edge, F.struct("ts", "id")).alias(edge)).select(event, F.col("w.start").alias("scan"), edge)
 
 
 def scan_evolution(log: DataFrame, event: str, edge: str) -> DataFrame:

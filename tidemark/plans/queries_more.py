@@ -1,4 +1,4 @@
-"""Further registered queries: aggregates, participants, ordered analytics, impact, ledgers, sets and streaming twins."""
+"""Further registered queries: aggregates, participants, ordered analytics, impact, ledgers, and sets."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from tidemark.functions import scalar as S
 from tidemark.operators import aggregates as A, joins as J, ordered as O
 from tidemark.plans.bindings import LEG, MARKET, TICK, TRADE
 from tidemark.plans.queries import DAY, q, r
-from tidemark.streaming import monitors as M
 
 MOVES = "w AS (SELECT actor, epoch_us(ts) // 21600000000 AS \"window\", first(cents ORDER BY ts, id) AS first, last(cents ORDER BY ts, id) AS last, count(*) AS n FROM v_tick GROUP BY ALL)"
 
@@ -98,9 +97,3 @@ q("scan_parquet_pruned", body="SELECT l_orderkey, l_quantity FROM lineitem WHERE
 q("scan_parquet_tolerant", body="SELECT o_orderkey, o_orderstatus FROM orders")(lambda t: t.orders.select([c for c in ("o_orderkey", "o_missing", "o_orderstatus") if c in t.orders.columns]))
 q("dataset_profile", body="SELECT count(*) AS n FROM lineitem")(lambda t: t.lineitem.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n")))
 q("venue_inventory", body="SELECT p_brand, p_type, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS rank FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY p_brand, p_type)) WHERE rank <= 3")(lambda t: A.topk_per_group(t.part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n")), "p_brand", [F.desc("n"), F.col("p_type")], 3))
-
-# -- streaming operators on batch tables ---------------------------------------------------------------------------
-q("stream_tumbling_moves", TICK, body="SELECT asset, epoch_us(ts) // 600000000 * 600000000 AS start_us, last(cents ORDER BY ts, id) - first(cents ORDER BY ts, id) AS delta, count(*) AS n FROM v_tick GROUP BY ALL")(lambda t: M.tumbling_moves(t.tick, "asset", "cents", "id").select("asset", F.unix_micros("start").alias("start_us"), "delta", "n"))
-q("stream_feed_health", TICK, body="SELECT asset, epoch_us(ts) // 10800000000 * 10800000000 AS start_us, count(*) AS items FROM v_tick GROUP BY ALL")(lambda t: M.feed_health(t.tick, "asset").select("asset", F.unix_micros("start").alias("start_us"), "items"))
-q("stream_adaptive_window", MARKET, TRADE, body=f"SELECT phase, count(*) AS n FROM (SELECT CASE WHEN l <= 0 THEN 'past' WHEN l <= {90 * DAY} THEN 'final' ELSE 'normal' END AS phase FROM (SELECT (epoch_us(m.end_ts) - epoch_us(t.ts)) / 1e6 AS l FROM v_trade t JOIN v_market m USING (market_id))) GROUP BY phase")(lambda t: M.adaptive_window(t.trade.join(t.market, "market_id"), 90 * DAY).groupBy("phase").agg(F.count("*").alias("n")))
-q("stream_quote_presence", TICK, body="SELECT asset, epoch_us(ts) // 3600000000 * 3600000000 AS start_us, count(*) AS n, round(avg(CASE WHEN abs((b + a) / 2 - 100) <= 50 THEN 1.0::DOUBLE ELSE 0 END), 6) AS presence FROM (SELECT *, cents / 100 - 1 AS b, cents / 100 + 1 AS a FROM v_tick) GROUP BY ALL")(lambda t: M.quote_presence(t.tick.withColumns({"bid": F.col("cents") / 100 - 1, "ask": F.col("cents") / 100 + 1}), "asset", 100.0, 50.0).select("asset", F.unix_micros("start").alias("start_us"), "n", "presence"))

@@ -1,4 +1,4 @@
-"""Parsers, order books, matching by tokens and tickers, files, and streams, over columns built from the given tables.
+"""Parsers, order books, matching by tokens and tickers, and files, over columns built from the given tables.
 
 A built view is one SQL text that both engines run: strings by concat, lists by the operator's own functions."""
 
@@ -13,7 +13,6 @@ from tidemark.operators import aggregates as A, books as B, joins as J, markets
 from tidemark.plans.bindings import MARKET, TICK, TRADE, Tables
 from tidemark.plans.queries import DAY, q
 from tidemark.sources import files
-from tidemark.streaming import monitors as M
 
 
 class View:
@@ -285,65 +284,6 @@ SELECT n, cells, CAST(top AS BIGINT) AS top FROM (SELECT count(*) AS n FROM v_ma
     F.from_json("report", "n BIGINT, cells ARRAY<STRUCT<category: STRING, count: BIGINT>>").alias("r")).select("r.n", F.size("r.cells").cast("long").alias("cells"), F.array_max("r.cells.count").alias("top")))
 
 
-# -- streams: the events as a file stream, run to its end ----------------------------------------------------------------
-RAW = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE"
-
-
-def event_stream(t: Tables) -> DataFrame:
-    kind = t.events.select("event_id", "ts", "user_id", "event_type", "value").schema
-    s = t.spark.readStream.schema(kind).parquet(f"{t.folder}/events.parquet*")
-    return s.selectExpr("event_type AS asset", "CAST(ts AS TIMESTAMP) AS ts", "CAST(round(value * 100) AS BIGINT) AS cents", "user_id AS actor", "event_id AS id")
-
-
-def through(t: Tables, stream: DataFrame) -> DataFrame:
-    """What a stream has written once all that has landed is read."""
-    at = folder(t)
-    writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/checkpoint")
-    writer.trigger(availableNow=True).start(f"{at}/out").awaitTermination()
-    return t.spark.read.schema(stream.schema).parquet(f"{at}/out")
-
-
-q("poll_feed_source", TICK, body=PER_ASSET)(lambda t: per_asset(through(t, event_stream(t))))
-
-
-def appended(t: Tables) -> DataFrame:
-    at = folder(t)
-    s = event_stream(t).select("id", "asset", F.col("cents").cast("double").alias("cents"))
-    files.append_jsonl(s, f"{at}/out", f"{at}/checkpoint", available_now=True).awaitTermination()
-    return files.scan_jsonl(t.spark, f"{at}/out", EVENTS, ["cents"])
-
-
-q("sink_append_jsonl", TICK, body=PER_ASSET)(lambda t: per_asset(appended(t)))
-q("stream_dedupe", TICK, body="SELECT DISTINCT actor, asset FROM v_tick")(lambda t: through(t, M.dedupe(event_stream(t), ["actor", "asset"], delay="400 days").select("actor", "asset")))
-q("stream_flag_on_entry", TICK, body="""
-SELECT actor, id FROM (SELECT actor, id, cents >= 5000 AS now, lag(cents >= 5000) OVER (PARTITION BY actor ORDER BY ts, id) AS before FROM v_tick) WHERE now AND NOT coalesce(before, false)
-""")(lambda t: through(t, M.flag_on_entry(event_stream(t), "actor", "cents", 5000)).select("actor", "id"))
-
-q("stream_resolution_lag", TICK, body="""
-SELECT market_id, end_us, lag_s, CASE WHEN lag_s <= 900000 THEN 'RESOLVED' ELSE 'LATE' END AS status FROM (SELECT actor AS market_id, 1704412800000000 AS end_us,
-(min(epoch_us(ts)) - 1704412800000000) / 1e6 AS lag_s FROM v_tick WHERE cents >= 5000 AND epoch_us(ts) >= 1704412800000000 GROUP BY actor)
-""")(lambda t: through(t, M.resolution_lag(event_stream(t).select(F.col("actor").alias("market_id"), "ts", "id", F.timestamp_micros(F.lit(1704412800000000)).alias("end_ts"), (F.col("cents") >= 5000).alias("resolved")), 900_000)).where("status <> 'UNRESOLVED'"))
-
-# ladders and episodes have no SQL twin: tests/test_streaming.py holds the operators against brute force
-q("stream_book_state")(lambda t: through(t, M.book_state(event_stream(t).selectExpr(
-    "CAST(actor AS STRING) AS asset", "CASE WHEN id % 5 = 0 THEN 'BUY' ELSE 'SELL' END AS side", "cents % 1000 AS price", "CAST(id % 4 AS DOUBLE) AS size", "ts", "id"))))
-q("stream_arb_episodes")(lambda t: through(t, M.arb_episodes(event_stream(t).selectExpr("actor AS event", "asset AS leg", "cents % 400 AS price", "ts", "id"), 3, 500, 100)))
-
-q("stream_spot_enrich", TICK, body="""
-SELECT q.id, last(s.cents ORDER BY s.ts, s.cents) AS spot FROM v_tick q JOIN v_tick s ON q.asset <> 'purchase' AND s.asset = 'purchase' AND q.actor = s.actor AND epoch_us(s.ts) BETWEEN epoch_us(q.ts) - 3600000000 AND epoch_us(q.ts) GROUP BY q.id
-""")(lambda t: M.spot_enrich(t.tick.where("asset <> 'purchase'").select("id", "actor", "ts"), t.tick.where("asset = 'purchase'").select("actor", F.col("ts").alias("spot_ts"), F.col("cents").alias("spot")), "actor", "1 hour"))
-
-q("stream_news_match", body="""
-WITH k AS (SELECT p_brand AS market_id, unnest(list_distinct(flatten(list(string_split(p_name, ' '))))) AS w FROM part WHERE p_size = 7 GROUP BY p_brand),
-n AS (SELECT p_partkey AS news_id, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part) SELECT news_id, market_id, count(*) AS hits FROM n JOIN k USING (w) GROUP BY ALL HAVING count(*) >= 2
-""")(lambda t: M.news_match(
-    t.part.select(F.col("p_partkey").alias("news_id"), F.split("p_name", " ").alias("tokens"), F.timestamp_micros(F.lit(1704412800000000)).alias("ts")),
-    t.part.where("p_size = 7").groupBy("p_brand").agg(F.array_distinct(F.flatten(F.collect_list(F.split("p_name", " ")))).alias("keywords")).withColumnRenamed("p_brand", "market_id")))
-
-q("stream_scan_log", TICK, "l AS (SELECT actor, epoch_us(ts) // 3600000000 AS scan, last(cents ORDER BY ts, id) AS cents FROM v_tick GROUP BY ALL)", body="""
-SELECT actor, count(*) AS scans, min(cents) AS least, round(sum(cents) / count(*), 6) AS mean, max(cents) AS most, min(scan) * 3600000000 AS first, max(scan) * 3600000000 AS last FROM l GROUP BY actor
-""")(lambda t: B.scan_evolution(B.scan_log(t.tick, "actor", "cents", 60), "actor", "cents"))
-
 # -- events as a whole -------------------------------------------------------------------------------------------------
 LEG_TEXT = View(
     "v_listed", "orders",

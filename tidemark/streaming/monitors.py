@@ -1,5 +1,6 @@
-"""Structured Streaming forms of the monitors. Each declares its watermark; rows later than that are dropped. The same
-functions run on batch tables, which is how their results are held against batch twins."""
+"""Structured Streaming forms of the monitors. Each declares its watermark; rows later than that are dropped and counted
+(``run.late_rows``, ``run.LateRows``). Windows come out once the watermark has passed their end: a source that falls silent
+needs a heartbeat row for its last ones. Books, episodes and silent feeds are in ``stateful``."""
 
 from __future__ import annotations
 
@@ -7,8 +8,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.joins import keyword_match
+
 
 def dedupe(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1 day") -> DataFrame:
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
@@ -35,19 +39,37 @@ def feed_health(stream: DataFrame, feed: str, hours: int = 3, delay: str = "3 ho
     return s.groupBy(feed, F.window("ts", f"{hours} hours").alias("w")).agg(F.count("*").alias("items"), F.max("ts").alias("latest")).select(feed, F.col("w.start").alias("start"), "items", "latest")
 
 
-def news_match(stream: DataFrame, markets: DataFrame, least: int = 2, delay: str = "1 day") -> DataFrame:
-    """Each news item's keyword hits per market: a stream-static join and a count within the item's event time."""
-    k = markets.select("market_id", F.explode("keywords").alias("kw"))
-    hit = stream.withWatermark("ts", delay).withColumn("kw", F.explode(F.array_distinct("tokens"))).join(k, "kw")
-    return hit.groupBy(F.window("ts", "1 second"), "news_id", "market_id").agg(F.count("*").alias("hits")).where(F.col("hits") >= least).select("news_id", "market_id", "hits")
+def news_match(stream: DataFrame, markets: DataFrame, out: str, checkpoint: str, least: int = 2, delay: str = "1 day", available_now: bool = False) -> StreamingQuery:
+    """Each news item matched once: a row per market of which it has ``least`` keywords, or one row without a market.
+
+    What an item matches depends on the static markets alone, so nothing waits for a watermark: a micro-batch is joined as
+    a batch (by the markets' rarest keywords, all joins merged) and written to a folder of its own number. A batch that a
+    restart repeats replaces its folder, so every item comes out exactly once; items sent again within ``delay`` are
+    dropped. stream: news_id, tokens, title, ts; markets: market_id, keywords."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.select("news_id", "tokens", "title").persist()
+        try:
+            hits = keyword_match(batch, markets, least)
+            every = batch.select("news_id").hint("merge").join(hits.hint("merge"), "news_id", "left")
+            every.select("news_id", "market_id", F.coalesce("hits", F.lit(0)).alias("hits")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    once = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["news_id"])
+    writer = once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def spot_enrich(quotes: DataFrame, spots: DataFrame, key: str, within: str = "10 seconds", delay: str = "1 minute") -> DataFrame:
-    """The latest spot of the preceding interval for each quote, by a stream-stream interval join and a windowed maximum."""
+    """The latest spot of the preceding interval for each quote, null if there is none: a stream-stream outer join within the
+    interval, whose state goes as both watermarks move on, and a maximum per quote. quotes: id, key, ts; spots: key,
+    spot_ts, spot (the greater spot of equal times)."""
     q = quotes.withWatermark("ts", delay).alias("q")
     s = spots.withWatermark("spot_ts", delay).alias("s")
-    j = q.join(s, F.expr(f"q.{key} = s.{key} AND spot_ts <= ts AND spot_ts >= ts - INTERVAL {within}"))
-    return j.groupBy(F.window("q.ts", "1 second"), "q.id").agg(F.max_by("s.spot", "s.spot_ts").alias("spot")).select("id", "spot")
+    j = q.join(s, F.expr(f"q.{key} = s.{key} AND spot_ts <= ts AND spot_ts >= ts - INTERVAL {within}"), "left_outer")
+    latest = F.max_by("s.spot", F.struct("s.spot_ts", "s.spot"))
+    return j.groupBy(F.window("q.ts", "1 second"), "q.id").agg(F.max("s.spot_ts").alias("spot_ts"), latest.alias("spot")).select("id", "spot_ts", "spot")
 
 
 def adaptive_window(ticks: DataFrame, final_s: int = 120):
@@ -79,60 +101,6 @@ def flag_on_entry(stream: DataFrame, key: str, value: str, least: float, delay:
     return stream.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, id long", "inside boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def book_state(deltas: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Best ask per asset after each change. The whole ladder is kept: a size of 0 removes its level, whichever it is.
-    deltas: asset, side, price (thousandths), size, ts, id; only side SELL holds asks."""
-
-    def step(keys, frames, state: GroupState):
-        levels = dict(zip(*state.get)) if state.exists else {}
-        best = min(levels, default=None)
-        rows = []
-        for r in _ordered(frames).itertuples():
-            if r.side != "SELL":
-                continue
-            if r.size > 0:
-                levels[int(r.price)] = float(r.size)
-            else:
-                levels.pop(int(r.price), None)
-            now = min(levels, default=None)
-            if now != best:
-                best = now
-                rows.append((keys[0], r.ts, r.id, best))
-        state.update((list(levels), list(levels.values())))
-        yield pd.DataFrame({"asset": [r[0] for r in rows], "ts": [r[1] for r in rows], "id": [r[2] for r in rows], "best": pd.array([r[3] for r in rows], "Int64")})
-
-    return deltas.withWatermark("ts", delay).groupBy("asset").applyInPandasWithState(step, "asset string, ts timestamp, id long, best long", "prices array<long>, sizes array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def arb_episodes(ticks: DataFrame, legs: int, below: int, phantom: int, delay: str = "1 minute") -> DataFrame:
-    """Per event: once all legs are known, an episode opens when their sum falls under ``below`` and closes when it
-    rises again; its start, end, least sum, mean sum, updates, and whether it's a phantom (sum under ``phantom``).
-    ticks: event, leg, price, ts, id. An open episode stays in state until it closes."""
-
-    def step(keys, frames, state: GroupState):
-        names, prices, start, least, total, n = state.get if state.exists else ([], [], None, 0, 0, 0)
-        book = dict(zip(names, prices))
-        rows = []
-        for r in _ordered(frames).itertuples():
-            book[r.leg] = int(r.price)
-            if len(book) < legs:
-                continue
-            s = sum(book.values())
-            us = int(pd.Timestamp(r.ts).value // 1000)
-            if s < below:
-                if start is None:
-                    start, least, total, n = us, s, 0, 0
-                least, total, n = min(least, s), total + s, n + 1
-            elif start is not None:
-                rows.append((keys[0], start, us, least, total / n, n, least < phantom))
-                start = None
-        state.update((list(book), list(book.values()), start, least, total, n))
-        yield pd.DataFrame(rows, columns=["event", "start_us", "end_us", "least", "mean", "updates", "phantom"])
-
-    kind = dict(ticks.dtypes)["event"]
-    return ticks.withWatermark("ts", delay).groupBy("event").applyInPandasWithState(step, f"event {kind}, start_us long, end_us long, least long, mean double, updates long, phantom boolean", "legs array<string>, prices array<long>, start long, least long, total long, n long", "append", GroupStateTimeout.NoTimeout)
-
-
 def resolution_lag(ticks: DataFrame, limit_s: int = 900, delay: str = "1 minute") -> DataFrame:
     """The lag of the first resolved tick after a market's end, or UNRESOLVED once event time passes end + limit.
     ticks: market_id, ts, id, end_ts, resolved."""
