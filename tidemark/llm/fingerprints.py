@@ -7,8 +7,8 @@ first, the same for every document: optimal densification. Of each bin BITS low-
 Its standard error is at most 0.024 where texts have many more shingles than there are bins.
 
 ``edited_likeness`` compares each document with its successor by doc_id and with a text that ends like the successor begins.
-Documents are dealt by ranges of doc_id and met in order, one at a time; only the first and last document of each
-partition wait for the others' and are joined after.
+Documents are dealt by ranges of doc_id, their texts compressed on the way, and met in order, one at a time; only the
+first and last document of each partition wait for the others' and are joined after.
 
 Null and empty texts, and texts without a word, have the fingerprint '' (no bins), which is like another of these by 1, like
 any other by 0. A text under five words is one shingle. Null doc_ids come first; rows that repeat a doc_id follow each
@@ -19,6 +19,7 @@ one by itself. An empty table has no rows. Texts of any length are read whole, i
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,12 +130,20 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _schema.types)], schema=_schema)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for the shuffle: less than half of the bytes, where Spark's own codec leaves two thirds."""
+    for b in batches:
+        texts = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(texts, pa.binary())], names=["doc_id", "tie", "packed"])
+
+
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A sorted partition, each document with the next; the first and the last are passed on as edges."""
     part, before, nothing = TaskContext.get().partitionId(), None, (None,) * 7
     for b in batches:
         rows = []
-        for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+        for doc_id, packed in zip(b.column("doc_id").to_pylist(), b.column("packed").to_pylist()):
+            text = zlib.decompress(packed).decode("utf-8", "surrogatepass")
             now = (doc_id, text, sketch(text))
             if before is None:
                 rows.append((*nothing, part, 0, doc_id, text))
@@ -156,8 +165,9 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, its edited text's, and its likeness to that and to the next document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    order = ["doc_id", F.xxhash64("text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("tie"), text_of(docs).alias("text"))
+    rows = rows.mapInArrow(frugal(_packed), "doc_id long, tie long, packed binary")
+    order = ["doc_id", "tie"]
     with scratch(docs.sparkSession):
         met = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(frugal(_in_order, 64), f"{RESULT}, {EDGE}")
         met = written(met, "fingerprints", keep=True)
