@@ -340,13 +340,13 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     stay; of rows that repeat a kept doc_id with other texts all stay, equal rows once. Only rows whose id may be among
     the dropped are joined, so the texts that stay aren't shuffled."""
     found = near_duplicates(docs, **options)
-    drop = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("d_id")).distinct(), "jaccard-drop")
-    bits = key_bits(drop, "d_id")
-    maybe = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    unsure = maybe_in(maybe, bits, "__id").hint("merge").join(drop.hint("merge"), F.col("__id") == F.col("d_id"), "left_anti")
+    drop = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__jaccard_drop")).distinct(), "jaccard-drop")
+    bits = key_bits(drop, "__jaccard_drop")
+    maybe = docs.withColumn("__jaccard_id", F.col("doc_id").cast("long"))
+    unsure = maybe_in(maybe, bits, "__jaccard_id").hint("merge").join(drop.hint("merge"), F.col("__jaccard_id") == F.col("__jaccard_drop"), "left_anti")
     # rows that repeat an id: the window of a doc_id is its own rows
-    again = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("r_id")), "jaccard-again")
-    kept = maybe_in(maybe, bits, "__id", negate=True).unionAll(unsure)
-    again_bits = key_bits(again, "r_id")
-    twice = maybe_in(kept, again_bits, "__id").dropDuplicates(["__id", "text"])
-    return maybe_in(kept, again_bits, "__id", negate=True).unionAll(twice).drop("__id")
+    again = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__jaccard_again")), "jaccard-again")
+    kept = maybe_in(maybe, bits, "__jaccard_id", negate=True).unionAll(unsure)
+    again_bits = key_bits(again, "__jaccard_again")
+    twice = maybe_in(kept, again_bits, "__jaccard_id").dropDuplicates(["__jaccard_id", "text"])
+    return maybe_in(kept, again_bits, "__jaccard_id", negate=True).unionAll(twice).drop("__jaccard_id")
