@@ -231,6 +231,7 @@ def cadence_from_slug(slug) -> Column:
 def theme_group(theme) -> Column:
     """The coarse group of a market's theme; everything else is global."""
     t = F.lower(col(theme))
+    # fixed values: the themes' prefixes and words, and their groups
     return (
         F.when(t.startswith("iran-") | t.startswith("israel-"), "middle-east")
         .when(t.contains("ukraine"), "ukraine")
@@ -240,20 +241,107 @@ def theme_group(theme) -> Column:
     )
 
 
-#: Ordered rules for a slug's kind of question; order is part of the table.
-SUBCATEGORIES = [
-    (r"-spread-|-handicap-|-by-\d+-or-more", "spreads"),
-    (r"-(over|under)-\d|-total-|-o-u-", "totals"),
-    (r"-(points|rebounds|assists|goals|yards)-", "props"),
-    (r"-(champion|winner|mvp|title|finals)(-|$)", "futures"),
-    (r"-vs-|-\d{4}-\d{2}-\d{2}$", "game_outcome"),
+Rule = tuple[str, str] | tuple[str, str, str]
+
+
+def blocks(table: list[Rule]) -> list[Rule]:
+    """The table with neighbouring rules of one label and no exclusion put into one pattern: the same labels in fewer scans."""
+    out: list[Rule] = []
+    for rule in table:
+        if out and len(rule) == 2 == len(out[-1]) and rule[1] == out[-1][1]:
+            out[-1] = (f"{out[-1][0]}|{rule[0]}", rule[1])
+        else:
+            out.append(rule)
+    return out
+
+
+def ordered_rules(text: Column, table: list[Rule], default: str) -> Column:
+    """The label of the first rule (pattern, label, and optionally a pattern that excludes it) that a text meets. One alternation of all
+    patterns is tried first; the rules, in blocks, are tried only where it hits, and none after the first that does."""
+    out = None
+    for pattern, label, *excluded in blocks(table):
+        hit = text.rlike(pattern)
+        for x in excluded:
+            hit = hit & ~text.rlike(x)
+        out = F.when(hit, label) if out is None else out.when(hit, label)
+    any_ = text.rlike("|".join(pattern for pattern, *_ in table))
+    return F.when(text.isNull() | ~any_, default).otherwise(out.otherwise(default))
+
+
+#: Ordered rules for a slug's kind of question: pattern, label, and what excludes it. Patterns are plain enough for any engine.
+SUBCATEGORIES: list[Rule] = [
+    # noise that would look like a contest
+    ("^(test|draft|demo)-", "uncategorized"),
+    # margins and handicaps
+    ("-spread(-|$)", "spreads"),
+    ("-handicap(-|$)", "spreads"),
+    ("-by-[0-9]+-or-more", "spreads"),
+    ("-(minus|plus)-[0-9]+pt5", "spreads"),
+    ("-run-line(-|$)", "spreads"),
+    ("-puck-line(-|$)", "spreads"),
+    # sums of a contest's score
+    ("-(over|under)-[0-9]", "totals", "-(goals|points|yards)-by-"),
+    ("-total-(points|goals|runs|sets|maps|rounds)", "totals"),
+    ("-o-u-[0-9]", "totals"),
+    ("-both-teams-(to-)?score", "totals"),
+    # a player's or a moment's statistic
+    ("-(points|rebounds|assists|goals|yards|strikeouts)-by-", "props"),
+    ("-first-(goal|touchdown|basket|scorer)", "props"),
+    ("-(anytime|last)-(goal|touchdown)-?scorer", "props"),
+    ("-coin-toss", "props"),
+    ("-halftime-", "props", "-halftime-result"),
+    ("-fastest-lap", "props"),
+    ("-pole(-position)?(-|$)", "props"),
+    ("-podium(-|$)", "props"),
+    ("-safety-car", "props"),
+    ("-double-double", "props"),
+    ("-hat-trick", "props"),
+    ("-man-of-the-match", "props"),
+    ("-(first|second|third|[0-9]+th)-(overall-)?pick", "props"),
+    ("-method-of-victory", "props"),
+    ("-go-the-distance", "props"),
+    ("^will-[a-z-]+-attend-", "props"),
+    # what a season or a vote decides
+    ("-champions?(hip)?(-|$)", "futures", "-vs-"),
+    ("-win-the-[a-z-]*(title|cup|trophy|league|pennant)", "futures", "-vs-"),
+    ("-mvp(-|$)", "futures"),
+    ("-(player|coach|rookie|manager)-of-the-(year|season)", "futures"),
+    ("-(golden-boot|golden-glove|ballon-d-or|heisman)", "futures"),
+    ("-(relegat|promot)(ed|ion)", "futures"),
+    ("-make-the-(playoffs|finals|knockouts)", "futures"),
+    ("-(top|win-the)-(division|conference|group)", "futures"),
+    ("-finish-(first|second|third|last|top-[0-9]+)", "futures"),
+    ("-season-wins", "futures"),
+    ("-(be|get)-traded(-|$)", "futures"),
+    ("-(next|new)-(coach|manager|captain)", "futures"),
+    ("-win-(wimbledon|the-[a-z]+-open)", "futures", "-vs-"),
+    ("-(oscars?|grammys?|emmys?|academy-awards?)(-|$)", "futures"),
+    # one contest
+    ("-grand-prix(-winner)?(-[0-9]{4})?$", "game_outcome"),
+    ("-halftime-result", "game_outcome"),
+    ("^(ufc|boxing|mma)-", "game_outcome"),
+    ("-beat-", "game_outcome"),
+    ("^[a-z0-9-]+-vs-[a-z0-9-]+$", "game_outcome"),
+    ("-at-[a-z]+-[0-9]{4}-[0-9]{2}-[0-9]{2}$", "game_outcome"),
+    ("^[a-z]{2,5}-[a-z0-9]{2,6}-[a-z0-9]{2,6}-[0-9]{4}-[0-9]{2}-[0-9]{2}$", "game_outcome"),
 ]
 
 
 def subcategory(slug) -> Column:
-    return rules(F.lower(col(slug)), SUBCATEGORIES, "uncategorized")
+    return ordered_rules(F.lower(col(slug)), SUBCATEGORIES, "uncategorized")
 
 
 def is_game_outcome(slug) -> Column:
     """A head-to-head or dated slug that no rule before ``game_outcome`` claims."""
     return subcategory(slug) == "game_outcome"
+
+
+def keywords(text: Column, table: list[tuple[str, list[str], list[str]]], default: str = "other") -> Column:
+    """The label of the first entry (label, words, required words) of which the text holds a word and, if any are given, a required
+    one as well."""
+    some = lambda words: F.coalesce(*[F.when(text.contains(w), F.lit(True)) for w in words], F.lit(False))
+    out = None
+    for label, words, required in table:
+        hit = some(words) & some(required) if required else some(words)
+        out = F.when(hit, label) if out is None else out.when(hit, label)
+    return out.otherwise(default)

@@ -6,35 +6,42 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import bucket_custom, first_reason
 from tidemark.operators.joins import asof_backward, range_exclusion
+from tidemark.operators.selection import select_ranks
 
 
 def share(part: Column, whole: Column, digits: int = 6) -> Column:
     return F.round(F.try_divide(part.cast("double"), whole.cast("double")), digits)
 
 
-def distribution_stats(df: DataFrame, key: str, value: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
-    """Interpolated percentiles, mean, extremes."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in quantiles]))
-    return df.groupBy(key).agg(F.count("*").alias("n"), *[F.round(q[i], 4).alias(f"p{int(x * 100)}") for i, x in enumerate(quantiles)], F.round(F.sum(F.col(value).cast("double")) / F.count("*"), 4).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+def distribution_stats(df: DataFrame, key: str, value: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.99), parts: int = 1000) -> DataFrame:
+    """Interpolated percentiles by selection, mean, extremes; rows without a value are left out."""
+    rows = df.where(F.col(value).isNotNull())
+    ranks = {f"{side}{q}": lambda n, q=q, f=f: f(q * (n - 1)) for q in quantiles for side, f in (("lo", F.floor), ("hi", F.ceil))}
+    found = select_ranks(rows, [key], [value], ranks, parts)
 
+    def between(q: float) -> Column:
+        lo, hi = (F.col(f"`{side}{q}`")[value].cast("double") for side in ("lo", "hi"))
+        at = q * (F.col("n") - 1)
+        return F.round(lo + (hi - lo) * (at - F.floor(at)), 4).alias(f"p{int(q * 100)}")
 
-def percentile_index(df: DataFrame, key: str, value: str, q: float, inner: bool = True) -> DataFrame:
+    points = found.select(F.col(key).alias("__key"), *[between(q) for q in quantiles])
+    sums = rows.groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum(F.col(value).cast("double")) / F.count("*"), 4).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return sums.hint("merge").join(points.hint("merge"), F.col(key).eqNullSafe(F.col("__key"))).select(key, "n", *[f"p{int(q * 100)}" for q in quantiles], "mean", "least", "most")
+
+
+def percentile_index(df: DataFrame, key: str, value: str, q: float, inner: bool = True, parts: int = 1000) -> DataFrame:
     """No interpolation: the value at sorted index floor(q (n - 1)) (``inner``) or floor(q n)."""
-    w = Window.partitionBy(key)
-    x = df.select(key, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = F.floor(q * (F.col("n") - 1)) if inner else F.least(F.floor(q * F.col("n")), F.col("n") - 1)
-    return x.where(F.col("i") == at).select(key, F.col(value).alias("value"), "n")
+    at = (lambda n: F.floor(q * (n - 1))) if inner else (lambda n: F.least(F.floor(q * n), n - 1))
+    return select_ranks(df, [key], [value], {"at": at}, parts).select(key, F.col("at")[value].alias("value"), "n")
 
 
-def quantile_exclusive(df: DataFrame, key: str, value: str, parts: int = 10) -> DataFrame:
+def quantile_exclusive(df: DataFrame, key: str, value: str, parts: int = 10, hot_parts: int = 1000) -> DataFrame:
     """The last of ``parts`` exclusive quantiles; the maximum where a key has fewer rows than ``parts``."""
-    w = Window.partitionBy(key)
-    x = df.select(key, F.col(value).cast("double").alias("v"), F.row_number().over(w.orderBy(value)).alias("i"), F.count("*").over(w).alias("n"))
-    pos = (F.col("n") + 1) * (parts - 1) / parts
-    j = F.least(F.greatest(F.floor(pos), F.lit(1)), F.col("n") - 1)
-    lo, hi = F.max(F.when(F.col("i") == j, F.col("v"))), F.max(F.when(F.col("i") == j + 1, F.col("v")))
-    frac = F.max(pos - j)
-    return x.groupBy(key).agg(F.max("n").alias("n"), F.round(F.when(F.max("n") < parts, F.max("v")).otherwise(lo + (hi - lo) * frac), 4).alias("q"))
+    pos = lambda n: (n + 1) * (parts - 1) / parts
+    j = lambda n: F.least(F.greatest(F.floor(pos(n)), F.lit(1)), n - 1)
+    found = select_ranks(df, [key], [value], {"lo": lambda n: j(n) - 1, "hi": j, "most": lambda n: n - 1}, hot_parts)
+    lo, hi, most = (F.col(c)[value].cast("double") for c in ("lo", "hi", "most"))
+    return found.select(key, "n", F.round(F.when(F.col("n") < parts, most).otherwise(lo + (hi - lo) * (pos(F.col("n")) - j(F.col("n")))), 4).alias("q"))
 
 
 def value_counts(df: DataFrame, *keys: str) -> DataFrame:
@@ -163,11 +170,16 @@ def rate_ratio(flags: DataFrame, hours: DataFrame, key: str, candidate: Column)
     return one.select(F.round("candidate", 6).alias("candidate"), F.round("control", 6).alias("control"), F.round("ratio", 4).alias("ratio"), bucket_custom("ratio", [1.0, 1.5, 3.0], ["none", "weak", "moderate", "strong"]).alias("verdict"))
 
 
-def feed_silence(items: DataFrame, feed: str, limit_us: int) -> DataFrame:
-    """Per feed: items, longest silence in minutes between items, and whether it stays within the limit."""
-    w = Window.partitionBy(feed).orderBy("ts")
-    g = items.select(feed, F.unix_micros("ts").alias("u"), (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)).alias("gap"))
-    return g.groupBy(feed).agg(F.count("*").alias("items"), F.round(F.coalesce(F.max("gap"), F.lit(0)) / 60e6, 4).alias("silent_min"), F.coalesce(F.max("gap") <= limit_us, F.lit(True)).alias("healthy"))
+def feed_silence(items: DataFrame, feed: str, limit_us: int, chunk_us: int = 86_400_000_000) -> DataFrame:
+    """Per feed: items, longest silence in minutes between items, and whether it stays within the limit. Gaps are taken within
+    stretches of ``chunk_us``; then a row per stretch, its first and last item, gives the gaps between stretches. Items
+    without a time are counted only."""
+    u = items.select(feed, F.unix_micros("ts").alias("u")).withColumn("chunk", F.floor(F.col("u") / chunk_us))
+    gap = F.col("u") - F.lag("u").over(Window.partitionBy(feed, "chunk").orderBy("u"))
+    c = u.withColumn("gap", gap).groupBy(feed, "chunk").agg(F.count("*").alias("n"), F.min("u").alias("first"), F.max("u").alias("last"), F.max("gap").alias("gap"))
+    between = F.col("first") - F.lag("last").over(Window.partitionBy(feed).orderBy("chunk"))
+    g = c.withColumn("gap", F.greatest("gap", between)).groupBy(feed)
+    return g.agg(F.sum("n").alias("items"), F.round(F.coalesce(F.max("gap"), F.lit(0)) / 60e6, 4).alias("silent_min"), F.coalesce(F.max("gap") <= limit_us, F.lit(True)).alias("healthy"))
 
 
 def observed_hours(df: DataFrame, key: str) -> DataFrame:

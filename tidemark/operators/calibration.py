@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import bucket_label, pearson, rnd, z_null, z_wald
+from tidemark.operators.selection import slices
 
 
 def join_time_window(trades: DataFrame, markets: DataFrame, before_s: int, after_s: int, offset_s: int = 0) -> DataFrame:
@@ -101,12 +102,9 @@ def top_actionable(table: DataFrame, min_n: int = 30, k: int = 30) -> DataFrame:
     return table.where(F.col("n") >= min_n).orderBy(F.desc(F.abs("deviation")), "bucket").limit(k)
 
 
-def equal_count_slices(snapshots: DataFrame, order: list[str], k: int, keys: list[str]) -> DataFrame:
-    """Chronological slices per key with edges round-half-even(i * n / k)."""
-    w = Window.partitionBy(*keys)
-    s = snapshots.select("*", (F.row_number().over(w.orderBy(*order)) - 1).alias("rn"), F.count("*").over(w).alias("n_all"))
-    edges = [F.when(F.col("rn") >= F.bround(F.col("n_all") * i / k, 0), 1).otherwise(0) for i in range(1, k)]
-    return s.withColumn("slice", sum(edges, F.lit(0))).drop("rn", "n_all")
+def equal_count_slices(snapshots: DataFrame, order: list[str], k: int, keys: list[str], parts: int = 1000) -> DataFrame:
+    """Chronological slices per key with edges round-half-even(i * n / k); rows that aren't ordered are left out."""
+    return slices(snapshots, keys, order, [lambda n, i=i: F.bround(n * i / k, 0) for i in range(1, k)], "slice", parts)
 
 
 def trend_direction(sliced: DataFrame, keys: list[str], flat: float = 0.05) -> DataFrame:

@@ -41,16 +41,21 @@ def probes_struct(df: DataFrame):
     return df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType
 
 
-def _next_at(left: DataFrame, right: DataFrame, key: str, ts: str, before_us: int) -> DataFrame:
-    """left with first_us: the earliest right time of its key at or after t - before; null if none. One shuffle on the
-    key: both sides are stacked and the next right time is carried backward in one sort."""
+def _next_at(left: DataFrame, right: DataFrame, key: str, ts: str, before_us: int, bucket_us: int = 86_400_000_000) -> DataFrame:
+    """left with first_us: the earliest right time of its key at or after t - before; null if none. Both sides are stacked and the
+    next right time is carried backward in one sort within each key and time bucket; what lies in later buckets is read from a
+    table of one row per key and bucket."""
     kind = probes_struct(left)
     r = right.where(F.col(ts).isNotNull()).select(F.col(key).alias("__k"), F.unix_micros(ts).alias("__u"), F.lit(1).alias("__side"), F.unix_micros(ts).alias("__r"), F.lit(None).cast(kind).alias("__p"))
     p = left.select(F.col(key).alias("__k"), (F.unix_micros(ts) - before_us).alias("__u"), F.lit(0).alias("__side"), F.lit(None).cast("long").alias("__r"), F.struct(*left.columns).alias("__p"))
-    w = Window.partitionBy("__k").orderBy("__u", "__side").rowsBetween(0, Window.unboundedFollowing)
-    j = r.unionByName(p).withColumn("first_us", F.first("__r", ignorenulls=True).over(w)).where("__side = 0")
+    both = r.unionByName(p).withColumn("__b", F.floor(F.col("__u") / bucket_us))
+    later = F.min("__first").over(Window.partitionBy("__k").orderBy("__b").rowsBetween(1, Window.unboundedFollowing))
+    starts = both.groupBy("__k", "__b").agg(F.min("__r").alias("__first")).select(F.col("__k").alias("__ek"), F.col("__b").alias("__eb"), later.alias("__later"))
+    w = Window.partitionBy("__k", "__b").orderBy("__u", "__side").rowsBetween(0, Window.unboundedFollowing)
+    j = both.withColumn("first_us", F.first("__r", ignorenulls=True).over(w)).where("__side = 0")
+    j = j.hint("merge").join(starts.hint("merge"), F.col("__k").eqNullSafe(F.col("__ek")) & F.col("__b").eqNullSafe(F.col("__eb")), "left")
     known = F.col(f"__p.{key}").isNotNull() & F.col("__u").isNotNull()  # null keys and times meet nothing
-    return j.select("__p.*", F.when(known, F.col("first_us")).alias("first_us"))
+    return j.select("__p.*", F.when(known, F.coalesce("first_us", "__later")).alias("first_us"))
 
 
 def first_in_range(left: DataFrame, right: DataFrame, key: str, ts: str, before_us: int, after_us: int) -> DataFrame:

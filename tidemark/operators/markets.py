@@ -100,22 +100,14 @@ def winner_from_scores(home, away, done) -> Column:
     return F.when(col(done), F.when(col(home) > col(away), "home").when(col(home) < col(away), "away").otherwise("draw"))
 
 
-def move_zscore(probes: DataFrame, series: DataFrame, key: str, value: str, baseline_s: int, horizon_s: int, sigma_s: int, tie: str) -> DataFrame:
-    """Move from the value ``baseline_s`` before a probe to ``horizon_s`` after it, over the deviation of the values in
-    the ``sigma_s`` before it: two as-of lookups and one range-window deviation."""
-    shift = lambda s: F.timestamp_micros(F.unix_micros("at") + s * 1_000_000)
-    p = probes.withColumn("at", F.col("ts"))
-    a = asof_backward(p.withColumn("ts", shift(-baseline_s)), series, key, "ts", value, None, tie).withColumnRenamed(value, "before")
-    b = asof_backward(a.withColumn("ts", shift(horizon_s)), series, key, "ts", value, None, tie).withColumnRenamed(value, "after")
-    dev = series.select(key, F.unix_micros("ts").alias("u"), F.col("ts"), F.col(tie), F.stddev_samp(F.col(value).cast("double")).over(Window.partitionBy(key).orderBy(F.unix_micros("ts")).rangeBetween(-sigma_s * 1_000_000, 0)).alias("sigma"))
-    c = asof_backward(b.withColumn("ts", F.col("at")), dev, key, "ts", "sigma", None, tie)
-    return c.withColumn("z", F.round(F.try_divide((F.col("after") - F.col("before")).cast("double"), F.col("sigma")), 4))
-
-
-def expiry_error(samples: DataFrame, markets: DataFrame, offsets_s: list[int], mispriced: float = 0.15) -> DataFrame:
-    """Price at fixed offsets before each market's end against its outcome: one as-of lookup per exploded offset."""
+def expiry_error(samples: DataFrame, markets: DataFrame, offsets_s: list[int], mispriced: float = 0.15, actionable: float = 0.20, spot: DataFrame | None = None, least_z: float = 1.0) -> DataFrame:
+    """Price at fixed offsets before each market's end against its outcome: one as-of lookup per exploded offset. Mispriced from
+    one error on; actionable from a larger one on where the spot's z (``spot``: market_id, z) is ``least_z`` or more in either
+    direction; without spot scores, or without one for the market, nothing is actionable."""
     m = markets.where("yes is not null").withColumn("offset", F.explode(F.array(*[F.lit(x) for x in offsets_s])))
     m = m.select("market_id", "yes", "offset", F.timestamp_micros(F.unix_micros("end_ts") - F.col("offset").cast("long") * 1_000_000).alias("ts"))
     j = asof_backward(m, samples, "market_id", "ts", "price_milli", None, "line").where("price_milli is not null")
+    j = j.hint("merge").join(spot.select("market_id", "z").hint("merge"), "market_id", "left") if spot is not None else j.withColumn("z", F.lit(None).cast("double"))
     err = F.abs(F.col("price_milli") / 1000 - F.col("yes"))
-    return j.select("market_id", "offset", F.round(err, 4).alias("error"), (err >= mispriced).alias("mispriced"))
+    acts = F.coalesce((err >= actionable) & (F.abs("z") >= least_z), F.lit(False))
+    return j.select("market_id", "offset", F.round(err, 4).alias("error"), (err >= mispriced).alias("mispriced"), F.col("z").alias("spot_z"), acts.alias("actionable"))

@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import pearson, rnd
-
-
-def grid_last_ffill(ticks: DataFrame, key: str, value: str, step_s: int, tie: str) -> DataFrame:
-    """Last value per bin on a dense grid per key, filled forward."""
-    b = ticks.select(key, F.expr(f"unix_micros(ts) div {step_s * 1_000_000}").alias("bin"), F.struct("ts", tie).alias("o"), value)
-    last = b.groupBy(key, "bin").agg(F.max_by(value, "o").alias(value))
-    span = last.groupBy(key).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-    dense = span.select(key, F.explode(F.sequence("lo", "hi")).alias("bin"))
-    w = Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    return dense.hint("merge").join(last.hint("merge"), [key, "bin"], "left").withColumn(value, F.last(value, ignorenulls=True).over(w))
+from tidemark.operators.selection import slices
+
+
+def grid_last_ffill(ticks: DataFrame, key: str, value: str, step_s: int, tie: str, chunk: int = 4096) -> DataFrame:
+    """Last value per bin on a dense grid per key, filled forward. The grid is filled within stretches of ``chunk`` bins; what comes
+    into a stretch is carried over a table of one row per key and stretch."""
+    b = ticks.select(key, F.floor(F.unix_micros("ts") / (step_s * 1_000_000)).alias("bin"), F.struct("ts", tie).alias("o"), value)
+    last = b.groupBy(key, "bin").agg(F.max_by(value, "o").alias(value)).withColumn("__c", F.floor(F.col("bin") / chunk))
+    ends = last.groupBy(key, "__c").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("bin"))).alias("__end"), F.min("bin").alias("lo"), F.max("bin").alias("hi"))
+    span = ends.groupBy(key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    stretches = span.select(key, "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / chunk), F.floor(F.col("hi") / chunk))).alias("__c"))
+    carried = F.last("__end", ignorenulls=True).over(Window.partitionBy(key).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1))
+    stretches = stretches.hint("merge").join(ends.select(key, "__c", "__end").hint("merge"), [key, "__c"], "left").withColumn("__in", carried)
+    first, end = F.greatest("lo", F.col("__c") * chunk), F.least("hi", F.col("__c") * chunk + chunk - 1)
+    dense = stretches.repartition(key, "__c").select(key, "__c", "__in", F.explode(F.sequence(first, end)).alias("bin"))
+    w = Window.partitionBy(key, "__c").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    filled = dense.hint("merge").join(last.hint("merge"), [key, "__c", "bin"], "left")
+    return filled.select(key, "bin", F.coalesce(F.last(value, ignorenulls=True).over(w), "__in").alias(value))
 
 
 def log_returns(grid: DataFrame, key: str, value: str) -> DataFrame:
@@ -48,13 +56,26 @@ def carry_forward_basket(legs: DataFrame, step_s: int, tolerance_s: int, require
     return t.select("event", "bucket", "n_legs", F.when(whole, F.col("total_micro")).alias("total_micro"))
 
 
-def threshold_runs(grid: DataFrame, key: str, order: str, value: str, below: float, least_rows: int = 1) -> DataFrame:
-    """Maximal runs of consecutive rows of a key with value < ``below`` (null breaks): gaps and islands."""
-    w = Window.partitionBy(key).orderBy(order)
-    g = grid.select("*", F.row_number().over(w).alias("rn")).where(F.col(value) < below)
-    g = g.withColumn("island", F.col("rn") - F.row_number().over(w))
-    r = g.groupBy(key, "island").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n_rows"), F.min(value).alias("least"), F.max(value).alias("most"), F.min_by(value, order).alias("first_value"), F.max_by(value, order).alias("last_value"))
-    return r.where(F.col("n_rows") >= least_rows).drop("island")
+def threshold_runs(grid: DataFrame, key: str, order: str, value: str, below: float, least_rows: int = 1, chunk: int = 4096) -> DataFrame:
+    """Maximal runs of consecutive rows of a key with value < ``below`` (null breaks). Runs are made within stretches of ``chunk``
+    units of ``order`` (a number, unique in a key); those at a stretch's ends are joined with their neighbours in a second
+    step, over at most two rows per key and stretch."""
+    low = F.coalesce(F.col(value) < below, F.lit(False))
+    g = grid.select(key, F.col(order).alias("o"), F.col(value).alias("v"), F.floor(F.col(order) / chunk).alias("__c"), low.alias("low"))
+    w = Window.partitionBy(key, "__c").orderBy("o")
+    g = g.withColumn("turn", F.coalesce(F.col("low") != F.lag("low").over(w), F.lit(False)).cast("int"))
+    g = g.select("*", F.sum("turn").over(w).alias("part"), F.count("*").over(Window.partitionBy(key, "__c")).alias("all"), F.row_number().over(w).alias("rn"))
+    merged = [F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_rows").alias("n_rows"), F.min("least").alias("least"), F.max("most").alias("most"), F.min_by("first_value", "start").alias("first_value"), F.max_by("last_value", "start").alias("last_value")]
+    local = g.groupBy(key, "__c", "part").agg(
+        F.first("low").alias("low"), F.min("o").alias("start"), F.max("o").alias("end"), F.count("*").alias("n_rows"), F.min("v").alias("least"), F.max("v").alias("most"),
+        F.min_by("v", "o").alias("first_value"), F.max_by("v", "o").alias("last_value"), (F.min("rn") == 1).alias("first"), (F.max("rn") == F.first("all")).alias("last"))
+    # every stretch has a run, high or low, at either end: of two neighbours the later is the next stretch's first
+    local = local.withColumn("side", F.when(F.col("first") | F.col("last"), F.lit(None)).otherwise(F.col("__c")))
+    over = Window.partitionBy(key, "side").orderBy("start")
+    joins = F.col("side").isNull() & F.col("first") & F.col("low") & F.lag(F.col("low") & F.col("last")).over(over)
+    local = local.withColumn("run", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(over))
+    r = local.where("low").groupBy(key, "side", "run").agg(*merged)
+    return r.where(F.col("n_rows") >= least_rows).drop("side", "run")
 
 
 def window_first_last_delta(ticks: DataFrame, key: str, value: str, minutes: int, tie: str, volume: str | None = None) -> DataFrame:
@@ -89,11 +110,10 @@ def realized_vol_windows(hourly: DataFrame, key: str, value: str, hours: int, ev
     return e.groupBy(key, "w").agg(F.count("*").alias("n"), F.round(F.stddev_samp("ret") * F.sqrt(F.lit(8760.0)), 6).alias("vol")).where(F.col("n") == hours)
 
 
-def terciles(rows: DataFrame, key: str, value: str, tie: str) -> DataFrame:
+def terciles(rows: DataFrame, key: str, value: str, tie: str, parts: int = 1000) -> DataFrame:
     """low, mid or high by sorted index n div 3 and 2n div 3."""
-    w = Window.partitionBy(key)
-    x = rows.select("*", (F.row_number().over(w.orderBy(value, tie)) - 1).alias("i"), F.count("*").over(w).alias("m"))
-    return x.withColumn("regime", F.expr("CASE WHEN i < m div 3 THEN 'low' WHEN i < 2 * m div 3 THEN 'mid' ELSE 'high' END")).drop("i", "m")
+    s = slices(rows, [key], [value, tie], [lambda n: F.floor(n / 3), lambda n: F.floor(2 * n / 3)], "__slice", parts)
+    return s.withColumn("regime", F.element_at(F.array(*[F.lit(x) for x in ("low", "mid", "high")]), F.col("__slice") + 1)).drop("__slice")
 
 
 def time_in_range(ticks: DataFrame, key: str, value: str, order: list[str], widths: list[float]) -> DataFrame:
