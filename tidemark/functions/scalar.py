@@ -323,7 +323,7 @@ SUBCATEGORIES: list[Rule] = [
     ("-beat-", "game_outcome"),
     ("^[a-z0-9-]+-vs-[a-z0-9-]+$", "game_outcome"),
     ("-at-[a-z]+-[0-9]{4}-[0-9]{2}-[0-9]{2}$", "game_outcome"),
-    ("^[a-z]{2,5}-[a-z0-9]{2,6}-[a-z0-9]{2,6}-[0-9]{4}-[0-9]{2}-[0-9]{2}$", "game_outcome"),
+    ("-[0-9]{4}-[0-9]{2}-[0-9]{2}$", "game_outcome"),
 ]
 
 

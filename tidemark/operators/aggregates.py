@@ -251,18 +251,6 @@ def normalized_odds(df: DataFrame, group: list[str], odds: str) -> DataFrame:
     return x.withColumn("overround", F.sum("implied").over(w)).withColumn("prob", F.col("implied") / F.col("overround")).drop("ok")
 
 
-def flag_moves(windows: DataFrame, sigma: DataFrame, key: str, least_z: float = 3.0, quiet_windows: int = 3, *, ends: DataFrame, margin_us: int, volume: str, least_volume: int, health: DataFrame, sure: int) -> DataFrame:
-    """Windows (key, window, end_ts, delta) whose move is ``least_z`` sigmas or more: not among a key's first
-    ``quiet_windows``, at least ``margin_us`` before its end (``ends``: key, key_end), with enough volume and healthy feeds
-    (``health``: key, healthy). Sigmas from fewer than ``sure`` calm windows are of low confidence."""
-    w = Window.partitionBy(key).orderBy("window")
-    j = windows.withColumn("rn", F.row_number().over(w)).join(sigma.where("sigma is not null"), key).join(ends, key).join(health.where("healthy"), key)
-    z = F.round(F.abs(F.col("delta")) / F.col("sigma"), 4)
-    left = F.unix_micros("key_end") - F.unix_micros("end_ts")
-    kept = j.withColumn("z", z).where((F.col("z") >= least_z) & (F.col("rn") > quiet_windows) & (left >= margin_us) & (F.col(volume) >= least_volume))
-    return kept.withColumn("low_confidence", F.col("n_calm") < sure).drop("rn").orderBy(F.desc("z"), key, "window")
-
-
 def feed_coverage(items: DataFrame, feed: str, key: str) -> DataFrame:
     """Per feed: items, keys, least, median and most items of a key, and the latest."""
     n = items.groupBy(feed, key).agg(F.count("*").alias("n"), F.max("ts").alias("at"))

@@ -104,13 +104,28 @@ def token_date(a: DataFrame, b: DataFrame, days: int = 1) -> DataFrame:
     return x.hint("merge").join(y.hint("merge"), ["t", "d"]).where(same | turned).groupBy("a_id").agg(F.min_by(F.struct("b_id", same.alias("same")), "b_id").alias("m")).select("a_id", "m.b_id", "m.same")
 
 
+def _keyword_counts(news: DataFrame, markets: DataFrame, least: int) -> DataFrame:
+    """Every keyword that stands in a news item, counted: an equi join on the word (of a phrase: its first), counts combined before
+    they are shuffled."""
+    k = markets.select("market_id", F.explode(F.array_distinct("keywords")).alias("kw")).withColumn("head", F.split("kw", " ")[0])
+    phrase = F.instr("kw", " ") > 0
+    words = news.select("news_id", F.explode(F.array_distinct("tokens")).alias("head")).where("instr(head, ' ') = 0")
+    singles = words.hint("merge").join(k.where(~phrase).hint("merge"), "head").groupBy("news_id", "market_id").agg(F.count("*").alias("hits"))
+    may = words.hint("merge").join(k.where(phrase).hint("merge"), "head").select("news_id", "market_id", "kw")
+    stands = may.hint("merge").join(news.select("news_id", F.lower("title").alias("title")).hint("merge"), "news_id").where(F.col("title").contains(F.col("kw")))
+    both = singles.unionByName(stands.distinct().groupBy("news_id", "market_id").agg(F.count("*").alias("hits")))
+    return both.groupBy("news_id", "market_id").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= least)
+
+
 def keyword_match(news: DataFrame, markets: DataFrame, least: int = 2, share: float = 0.0) -> DataFrame:
     """news: (news_id, tokens, title), markets: (market_id, keywords). Pairs with at least ``least`` keywords, and at least
-    ``share`` of the market's. Single words match tokens; phrases stand in the title.
+    ``share`` of the market's. Single words match tokens; phrases stand in the title and begin with one of its tokens.
 
-    A market of k keywords that needs h hits misses at most k - h of them, so it is looked up by its k - h + 1 rarest
-    keywords only (a phrase by its first word); all keywords are counted for the candidates. Common words are thus
-    joined only where a market has no rarer ones."""
+    Without a share, keywords are counted by a join on words. With one, a market of k keywords that needs h hits misses at most k - h of
+    them, so it is looked up by its k - h + 1 rarest keywords only (a phrase by its first word); all keywords are counted for
+    the candidates. Common words are thus joined only where a market has no rarer ones."""
+    if not share:
+        return _keyword_counts(news, markets, least)
     m = markets.select("market_id", F.array_distinct("keywords").alias("keywords")).where(F.size("keywords") > 0)
     m = m.withColumn("need", F.greatest(F.lit(least), F.ceil(F.size("keywords") * F.lit(share) - 1e-9)).cast("int"))
     k = m.where("need <= size(keywords)").select("market_id", "need", F.size("keywords").alias("k"), F.explode("keywords").alias("kw")).withColumn("head", F.split("kw", " ")[0])

@@ -91,6 +91,17 @@ def rank_in_group(rows: DataFrame, group: str, by: str, tie: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(by), tie)))
 
 
+def rank_stats(rows: DataFrame, group: str, by: str, tie: str, outcome: str, legs: int, keys: list[str] = (), least: int = 1) -> DataFrame:
+    """Groups of exactly ``legs`` rows ranked by falling ``by`` (ties by ``tie``); per rank, over all and per value of ``keys`` (null: over
+    all): rows, how often the outcome was 1, mean, least and largest ``by``, and the rate less the mean."""
+    w = Window.partitionBy(group)
+    r = rows.select(*keys, by, outcome, F.row_number().over(w.orderBy(F.desc(by), tie)).alias("rank"), F.count("*").over(w).alias("__n")).where(F.col("__n") == legs)
+    rate, mean = F.avg(F.col(outcome).cast("double")), F.sum(by) / F.count("*")
+    g = r.groupingSets([["rank"], [*keys, "rank"]] if keys else [["rank"]], *keys, "rank")
+    out = g.agg(F.count("*").alias("n"), rnd(rate).alias("rate"), rnd(mean).alias("mean"), F.min(by).alias("least"), F.max(by).alias("most"), rnd(rate - mean).alias("deviation"))
+    return out.where(F.col("n") >= least)
+
+
 def change_count(ticks: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     d = ticks.select(key, (F.col(value) != F.lag(value).over(w)).alias("c"))

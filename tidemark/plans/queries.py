@@ -71,19 +71,16 @@ q("tier_assign", MARKET, body="SELECT market_id, CASE WHEN volume < 50000 THEN '
 # -- scalar functions ----------------------------------------------------------------------------------------------
 q("fee_p1mp", TRADE, body="SELECT market_id, line, round(0.02 * (price_milli / 1000) * (1 - price_milli / 1000), 8) AS fee FROM v_trade")(lambda t: t.trade.select("market_id", "line", F.round(S.fee_quadratic(200.0, F.col("price_milli") / 1000), 8).alias("fee")))
 q("fee_min", TRADE, body="SELECT market_id, line, round(0.02 * least(price_milli / 1000, 1 - price_milli / 1000), 8) AS fee FROM v_trade")(lambda t: t.trade.select("market_id", "line", F.round(S.fee_min(200.0, F.col("price_milli") / 1000), 8).alias("fee")))
-q("digital_fair_value")(lambda t: t.market.select("market_id", F.round(S.digital_fair_value(F.col("volume") / 1000, F.lit(150.0), F.lit(0.25)), 5).alias("fair")))
 q("normalize_epoch", TICK, body="SELECT id, CASE WHEN v > 1e12 THEN v / 1000 ELSE v END AS s FROM (SELECT id, CASE WHEN id % 2 = 0 THEN epoch_us(ts) // 1000 ELSE epoch_us(ts) // 1000000 END AS v FROM v_tick)")(lambda t: t.tick.select("id", S.normalize_epoch(F.expr("CASE WHEN id % 2 = 0 THEN unix_micros(ts) div 1000 ELSE unix_micros(ts) div 1000000 END")).cast("double").alias("s")))
 q("mid_and_spread", TRADE, body="SELECT market_id, line, round(CASE WHEN b > 0 AND b < a AND a < 1 THEN (a + b) / 2 ELSE price_milli / 1000 END, 6) AS mid, round(CASE WHEN b > 0 AND b < a AND a < 1 THEN a - b END, 6) AS spread FROM (SELECT *, price_milli / 1000 - size / 500 AS b, price_milli / 1000 + size / 400 AS a FROM v_trade)")(lambda t: t.trade.withColumns({"b": F.expr("price_milli / 1000 - size / 500"), "a": F.expr("price_milli / 1000 + size / 400")}).select("market_id", "line", *[F.round(c, 6).alias(n) for c, n in zip(S.mid_and_spread("b", "a", F.col("price_milli") / 1000), ("mid", "spread"))]))
 q("bytes_to_hex", TRADE, body="SELECT DISTINCT wallet, lower(hex(CAST(wallet AS VARCHAR))) AS hex FROM v_trade")(lambda t: t.trade.select("wallet").distinct().select("wallet", S.bytes_to_hex(F.col("wallet").cast("string").cast("binary")).alias("hex")))
 q("tokenize_stop", body="SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower(p_name), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and')))), ' ') AS tokens FROM part")(lambda t: t.part.select("p_partkey", F.concat_ws(" ", S.tokenize("p_name", ["the", "and"])).alias("tokens")))
 q("categorize_rules", body="SELECT label, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(p_type), '^(small|medium).*(tin|nickel)') THEN 'soft' WHEN regexp_matches(lower(p_type), 'brass|copper') THEN 'warm' WHEN regexp_matches(lower(p_type), 'steel') THEN 'hard' ELSE 'other' END AS label FROM part) GROUP BY label")(lambda t: t.part.select(S.rules(F.lower("p_type"), [("^(small|medium).*(tin|nickel)", "soft"), ("brass|copper", "warm"), ("steel", "hard")]).alias("label")).groupBy("label").agg(F.count("*").alias("n")))
-q("categorize_keywords", body="SELECT label, count(*) AS n FROM (SELECT CASE WHEN contains(p_type, 'STEEL') THEN 'steel' WHEN contains(p_type, 'LARGE') THEN 'large' ELSE 'other' END AS label FROM part) GROUP BY label")(lambda t: t.part.select(S.rules(F.col("p_type"), [("STEEL", "steel"), ("LARGE", "large")], regex=False).alias("label")).groupBy("label").agg(F.count("*").alias("n")))
 q("match_with_exclusions", body="SELECT p_partkey FROM part WHERE regexp_matches(p_type, '^(S|M|L|E|P)') AND NOT regexp_matches(p_type, 'SMALL|ECONOMY')")(lambda t: t.part.where(F.col("p_type").rlike("^(S|M|L|E|P)") & ~F.col("p_type").rlike("SMALL|ECONOMY")).select("p_partkey"))
 q("slug_like", body="SELECT p_partkey FROM part WHERE p_type LIKE '%STEEL%' OR p_type LIKE 'SMALL%'")(lambda t: t.part.where(F.col("p_type").like("%STEEL%") | F.col("p_type").like("SMALL%")).select("p_partkey"))
 q("overround_normalize", body="SELECT l_orderkey, l_linenumber, round(1 / (l_quantity + 1) / o, 6) AS prob, round(o, 6) AS overround FROM (SELECT *, sum(1 / (l_quantity + 1)) OVER (PARTITION BY l_orderkey) AS o FROM lineitem)")(lambda t: A.normalized_odds(t.lineitem.withColumn("odds", F.col("l_quantity") + 1), ["l_orderkey"], "odds").select("l_orderkey", "l_linenumber", F.round("prob", 6).alias("prob"), F.round("overround", 6).alias("overround")))
 q("auto_name_flag", body="SELECT c_custkey, (c_name IS NULL OR c_name = '' OR (starts_with(c_name, '0x') AND length(c_name) >= 40)) AS auto FROM customer")(lambda t: t.customer.select("c_custkey", S.auto_name("c_name").alias("auto")))
 q("skip_reason_counts", TRADE, body="SELECT CASE WHEN price_milli = 0 THEN 'zero-price' WHEN size < 5 THEN 'thin' WHEN cents < 500000 THEN 'cheap' ELSE 'kept' END AS reason, count(*) AS n FROM v_trade GROUP BY 1")(lambda t: A.skip_reasons(t.trade, {"zero-price": F.col("price_milli") == 0, "thin": F.col("size") < 5, "cheap": F.col("cents") < 500_000}))
-q("gate_reason", TRADE, body="SELECT cap, CASE WHEN size > cap THEN 'cap_too_tight' WHEN n > 5 THEN 'event_concentration_cap' ELSE 'open' END AS reason, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY market_id) AS n FROM v_trade), (VALUES (10), (30)) c(cap) GROUP BY ALL")(lambda t: J.grid(t.trade.join(t.trade.groupBy("market_id").agg(F.count("*").alias("n")), "market_id"), cap=[10, 30]).groupBy("cap", F.coalesce(S.first_reason({"cap_too_tight": F.col("size") > F.col("cap"), "event_concentration_cap": F.col("n") > 5}), F.lit("open")).alias("reason")).agg(F.count("*").alias("n")))
 q("liquidity_sanity_filter", TRADE, body="SELECT market_id, count(*) AS n FROM (SELECT *, sum(price_milli) OVER (PARTITION BY market_id) AS s FROM v_trade WHERE size >= 2) WHERE s BETWEEN 980 AND 2500 GROUP BY market_id")(lambda t: (lambda x: x.join(x.groupBy("market_id").agg(F.sum("price_milli").alias("s")).where("s between 980 and 2500"), "market_id", "left_semi").groupBy("market_id").agg(F.count("*").alias("n")))(t.trade.where("size >= 2")))
 q("single_winner_filter", MARKET, body="SELECT event_id, count(*) AS n FROM v_market GROUP BY event_id HAVING sum(yes) = 1 AND count(*) > 1")(lambda t: t.market.groupBy("event_id").agg(F.count("*").alias("n"), F.sum("yes").alias("w")).where("w = 1 and n > 1").drop("w"))
 
@@ -109,7 +106,7 @@ q("join_token_overlap", body="WITH a AS (SELECT p_partkey, unnest(list_distinct(
 KEYWORDS = """n AS (SELECT doc_id AS news_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM documents),
 k AS (SELECT item_id AS market_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM benchmark),
 s AS (SELECT market_id, greatest(5, CAST(ceil(count(*) * 0.6 - 1e-9) AS BIGINT)) AS need FROM k GROUP BY market_id)"""
-q("join_keyword_match", KEYWORDS, body="""
+q("join_keyword_match_share", KEYWORDS, body="""
 SELECT news_id, market_id, count(*) AS hits FROM n JOIN k USING (w) JOIN s USING (market_id) GROUP BY news_id, market_id, need HAVING count(*) >= need
 """)(lambda t: J.keyword_match(
     t.documents.select(F.col("doc_id").alias("news_id"), F.split(F.lower("text"), " ").alias("tokens"), F.col("text").alias("title")),
@@ -119,14 +116,13 @@ q("upsert_coalesce", MARKET, body="SELECT coalesce(o.k, n.k) AS k, coalesce(o.s,
 q("sort_multi", MARKET, body="SELECT market_id, yes, volume FROM v_market ORDER BY yes DESC NULLS LAST, volume DESC, market_id")(lambda t: t.market.orderBy(F.desc_nulls_last("yes"), F.desc("volume"), "market_id").select("market_id", "yes", "volume"))
 q("join_match_news_ts", TICK, body="SELECT asset, epoch_us(ts) // 86400000000 AS day, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM v_tick GROUP BY ALL")(lambda t: J.news_index(t.tick.select(F.col("id").alias("news_id"), F.struct("asset", F.expr("unix_micros(ts) div 86400000000").alias("day")).alias("market_id")), t.tick.select(F.col("id").alias("news_id"), "ts")).select("market_id.asset", "market_id.day", F.size("times").cast("long").alias("n"), F.unix_micros(F.element_at("times", 1)).alias("first_us"), F.unix_micros(F.element_at("times", -1)).alias("last_us")))
 
-# the same under the names of round 1's whole-table forms; of the keyword match the one without a share of the keywords
-for _name in ("join_token_overlap", "join_asof_backward", "upsert_coalesce", "sort_multi", "join_match_news_ts"):
-    QUERIES[f"{_name}_whole"] = QUERIES[_name]
-q("join_keyword_match_whole", *KEYWORDS.split(",\nk")[:1], "k" + KEYWORDS.split(",\nk")[1].split(",\ns")[0], body="""
-SELECT news_id, market_id, count(*) AS hits FROM n JOIN k USING (w) GROUP BY news_id, market_id HAVING count(*) >= 5
-""")(lambda t: J.keyword_match(
-    t.documents.select(F.col("doc_id").alias("news_id"), F.split(F.lower("text"), " ").alias("tokens"), F.col("text").alias("title")),
-    t.benchmark.select(F.col("item_id").alias("market_id"), F.split(F.lower("text"), " ").alias("keywords")), 5))
+# the keyword match by a number of words instead of a share of the keywords
+for _name, _least in (("join_keyword_match", 2), ("join_keyword_match_whole", 5)):
+    q(_name, *KEYWORDS.split(",\ns")[:1], body=f"""
+SELECT news_id, market_id, count(*) AS hits FROM n JOIN k USING (w) GROUP BY news_id, market_id HAVING count(*) >= {_least}
+""")(lambda t, least=_least: J.keyword_match(
+        t.documents.select(F.col("doc_id").alias("news_id"), F.split(F.lower("text"), " ").alias("tokens"), F.col("text").alias("title")),
+        t.benchmark.select(F.col("item_id").alias("market_id"), F.split(F.lower("text"), " ").alias("keywords")), least))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -32,5 +32,3 @@ q("pair_sum_edge", TRADE, body="SELECT y.market_id, y.ask + n.ask AS total, leas
 q("candle_vwap_fallback", TICK, HOURLY, body="SELECT asset, round(CAST(sum(close * volume) AS DOUBLE) / sum(volume), 4) AS price, 'traded' AS source FROM hourly GROUP BY asset")(lambda t: K.candle_vwap(hourly(t).withColumn("reference", F.col("open")), "asset"))
 q("detection_rate_forecast", TICK, body="SELECT n, keys, round(n / h, 4) AS per_hour, round(1000.0::DOUBLE / (keys / h), 4) AS hours_needed, 1000.0::DOUBLE / (keys / h) > 168 AS warn FROM (SELECT count(*) AS n, count(DISTINCT actor) AS keys, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 AS h FROM v_tick)")(lambda t: K.detection_forecast(t.tick, "actor", 1000))
 q("winner_from_scores", TRADE, body="SELECT market_id, line, CASE WHEN outcome_index = 1 THEN CASE WHEN size > 25 THEN 'home' WHEN size < 25 THEN 'away' ELSE 'draw' END END AS winner FROM v_trade")(lambda t: t.trade.select("market_id", "line", K.winner_from_scores("size", F.lit(25), F.col("outcome_index") == 1).alias("winner")))
-q("expiry_error", MARKET, TRADE, body=f"SELECT m.market_id, o.off AS \"offset\", round(abs(t.p / 1000 - m.yes), 4) AS error, abs(t.p / 1000 - m.yes) >= 0.15 AS mispriced FROM (SELECT market_id, yes, end_ts FROM v_market WHERE yes IS NOT NULL) m CROSS JOIN (VALUES (0), ({30 * DAY})) o(off) ASOF JOIN (SELECT market_id, ts, last(price_milli ORDER BY line, price_milli) AS p FROM v_trade GROUP BY ALL) t ON m.market_id = t.market_id AND m.end_ts - to_seconds(o.off) >= t.ts")(lambda t: K.expiry_error(t.trade.groupBy("market_id", "ts").agg(F.max_by("price_milli", F.struct("line", "price_milli")).alias("price_milli"), F.max("line").alias("line")), t.market, [0, 30 * DAY]))
-q("move_zscore")(lambda t: K.move_zscore(t.tick.where("asset = 'purchase'").select("asset", "ts", "id"), t.tick, "asset", "cents", 30, 3600, 86_400, "id").select("id", "before", "after", "z"))

@@ -37,7 +37,6 @@ q("wallet_vertical_mix", MARKET, TRADE, body=f"SELECT wallet, coalesce(u, 0) AS
 q("wallet_overlap", TRADE, body="SELECT a.wallet, a.x AS inside, coalesce(b.x, 0) AS outside FROM (SELECT wallet, CAST(sum(cents) AS BIGINT) AS x FROM v_trade WHERE size > 45 GROUP BY wallet) a LEFT JOIN (SELECT wallet, CAST(sum(cents) AS BIGINT) AS x FROM v_trade WHERE size <= 45 GROUP BY wallet) b ON a.wallet = b.wallet")(lambda t: A.overlap(t.trade, "wallet", F.col("size") > 45, "cents"))
 for name, cost, signed in (("settled_pnl", "cents", False), ("settled_pnl_signed", "(CASE WHEN outcome_index = 1 THEN -1 ELSE 1 END) * cents", True)):
     q(name, MARKET, TRADE, body=f"SELECT wallet, count(*) AS markets, CAST(sum(pnl) AS BIGINT) AS pnl_cents, {share('count(*) FILTER (WHERE pnl > 0)', 'count(*)')} AS win_rate FROM (SELECT wallet, (CASE WHEN net > 0 THEN net * yes ELSE -net * (1 - yes) END) * 100 - cost AS pnl FROM (SELECT wallet, market_id, sum((CASE WHEN outcome_index = 1 THEN -1 ELSE 1 END) * size) AS net, sum({cost}) AS cost FROM v_trade GROUP BY ALL) JOIN v_market USING (market_id) WHERE yes IS NOT NULL) GROUP BY wallet")(lambda t, signed=signed: A.settled_pnl(t.trade, t.market, signed))
-q("realized_fee_bands", TRADE, body="SELECT band, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM v_trade, (VALUES ('low', 0, 100), ('mid', 400, 600), ('high', 900, 999)) b(band, lo, hi) WHERE price_milli BETWEEN lo AND hi GROUP BY band")(lambda t: A.banded(t.trade, "price_milli", [("low", 0, 100), ("mid", 400, 600), ("high", 900, 999)], F.count("*").alias("n"), F.sum("cents").alias("cents")))
 q("missed_reason", MARKET, TRADE, body="SELECT reason, count(*) AS n FROM (SELECT CASE WHEN t.market_id IS NULL THEN 'no_detection' WHEN t.most > 45 THEN 'cap_too_tight' WHEN t.n < 3 THEN 'attempted_no_fill' ELSE 'filled' END AS reason FROM v_market m LEFT JOIN (SELECT market_id, max(size) AS most, count(*) AS n FROM v_trade GROUP BY market_id) t ON m.market_id = t.market_id WHERE yes IS NOT NULL) GROUP BY reason")(lambda t: A.skip_reasons(t.market.where("yes is not null").join(t.trade.groupBy("market_id").agg(F.max("size").alias("most"), F.count("*").alias("n")), "market_id", "left"), {"no_detection": F.col("n").isNull(), "cap_too_tight": F.col("most") > 45, "attempted_no_fill": F.col("n") < 3, "filled": F.lit(True)}))
 q("topk_global", TRADE, body="SELECT wallet, CAST(sum(cents) AS BIGINT) AS cents FROM v_trade GROUP BY wallet ORDER BY cents DESC, wallet LIMIT 20")(lambda t: t.trade.groupBy("wallet").agg(F.sum("cents").alias("cents")).orderBy(F.desc("cents"), "wallet").limit(20))
 q("topk_per_group", MARKET, body="SELECT category, market_id, rank FROM (SELECT category, market_id, row_number() OVER (PARTITION BY category ORDER BY volume DESC, market_id) AS rank FROM v_market) WHERE rank <= 10")(lambda t: A.topk_per_group(t.market, "category", [F.desc("volume"), F.col("market_id")], 10).select("category", "market_id", "rank"))
@@ -95,5 +94,4 @@ q("unpivot_selections", body="SELECT l_orderkey, l_linenumber, name, v FROM (SEL
 q("explode_nested", body="SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")(lambda t: t.events.select("event_id", F.from_json("props", "map<string,bigint>").alias("m")).select("event_id", F.explode("m").alias("key", "k")).where("key = 'k'").select("event_id", "k"))
 q("scan_parquet_pruned", body="SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 49")(lambda t: t.lineitem.select("l_orderkey", "l_quantity").where("l_quantity > 49"))
 q("scan_parquet_tolerant", body="SELECT o_orderkey, o_orderstatus FROM orders")(lambda t: t.orders.select([c for c in ("o_orderkey", "o_missing", "o_orderstatus") if c in t.orders.columns]))
-q("dataset_profile", body="SELECT count(*) AS n FROM lineitem")(lambda t: t.lineitem.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n")))
 q("venue_inventory", body="SELECT p_brand, p_type, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS rank FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY p_brand, p_type)) WHERE rank <= 3")(lambda t: A.topk_per_group(t.part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n")), "p_brand", [F.desc("n"), F.col("p_type")], 3))

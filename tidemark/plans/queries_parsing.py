@@ -43,7 +43,6 @@ SLUG = View(
     matchup=f"concat({pick(K_, 'Lions', 'Will Lions', 'Bears')}, {pick(K_, ' vs. Team ', ' win on May ', ' and ')}, CAST(o_custkey AS STRING), {pick(f'(o_custkey + {K_})', ' (final)', '', ': live')})",
     stamp=f"concat({pick(K_, '2024-03-', '2024-03-', 'Mar ', 'on ')}, lpad(CAST({K_} % 28 + 1 AS STRING), 2, '0'), {pick(K_, ' 10:00:00+00', 'T10:00:00Z', ', 2024 10:00', '')})",
     cadence=f"concat('temp-', {pick(K_, '2024-05-06', 'week-of-may', 'in-may-high', 'ever', '12-mon-low')})",
-    kind=f"concat('lions-', {pick(K_, 'spread-3', 'over-200', 'points-leader', 'champion', 'vs-bears', 'bears-2026-04-25', 'moon')})",
     theme=f"{pick(K_, 'iran-deal', 'israel-x', 'russia-ukraine-end', 'aid-to-ukraine', 'china-y', 'taiwan', 'uk-z', 'europe', 'control-a', 'other')}",
 )
 PRICES = View(
@@ -117,11 +116,6 @@ SELECT market_id, CASE WHEN regexp_matches(cadence, '-\\d{4}-\\d{2}-\\d{2}') THE
 WHEN regexp_matches(cadence, '-(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)-') THEN 'monthly' ELSE 'one-off' END AS cadence FROM v_slug
 """)(lambda t: SLUG.of(t).select("market_id", S.cadence_from_slug("cadence").alias("cadence")))
 
-KINDS = "CASE market_id % 7 WHEN 0 THEN 'spreads' WHEN 1 THEN 'totals' WHEN 2 THEN 'props' WHEN 3 THEN 'futures' WHEN 4 THEN 'game_outcome' WHEN 5 THEN 'game_outcome' ELSE 'uncategorized' END"
-q("subcategory_classify", SLUG.sql, body=f"SELECT market_id, {KINDS} AS subcategory FROM v_slug")(
-    lambda t: SLUG.of(t).select("market_id", S.subcategory("kind").alias("subcategory")))
-q("is_game_outcome", SLUG.sql, body="SELECT market_id FROM v_slug WHERE market_id % 7 IN (4, 5)")(lambda t: SLUG.of(t).where(S.is_game_outcome("kind")).select("market_id"))
-
 GROUP = """CASE WHEN theme LIKE 'iran-%' OR theme LIKE 'israel-%' THEN 'middle-east' WHEN theme LIKE '%ukraine%' THEN 'ukraine'
 WHEN theme LIKE 'china-%' OR theme LIKE 'taiwan%' THEN 'asia' WHEN theme LIKE 'uk-%' OR theme LIKE 'europe%' THEN 'uk' ELSE 'global' END"""
 q("theme_group", SLUG.sql, f"g AS (SELECT market_id, {GROUP} AS grp FROM v_slug)", body="""

@@ -302,22 +302,6 @@ q(
       LEFT JOIN (SELECT asset, epoch_us(ts) // 86400000000 AS day, count(*) AS n, max(epoch_us(ts)) AS l FROM v_tick GROUP BY ALL) c ON c.asset = g.asset AND c.day = g.day) GROUP BY day""",
 )(lambda t: A.feed_window_health(t.tick, "asset", 86_400, 14_400).withColumnRenamed("window", "day"))
 
-q(
-    "flag_moves", TICK, MOVES, SIG,
-    body=f"""SELECT actor, "window", z, n_calm < 40 AS low_confidence FROM (
-      SELECT w.actor, w."window", w.n, n_calm, row_number() OVER (PARTITION BY w.actor ORDER BY w."window") AS rn, round(abs(last - first) / sigma, 4) AS z, e.end_us, f.gap
-      FROM w JOIN sig USING (actor) JOIN (SELECT actor, max(epoch_us(ts)) AS end_us FROM v_tick GROUP BY actor) e USING (actor)
-      JOIN (SELECT actor, max(gap) AS gap FROM (SELECT actor, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY actor ORDER BY ts) AS gap FROM v_tick) GROUP BY actor) f USING (actor)
-      WHERE sigma IS NOT NULL)
-    WHERE z >= 1.5 AND rn > 3 AND n >= 2 AND end_us - ("window" + 1) * 21600000000 >= {DAY} * 1000000::BIGINT AND coalesce(gap <= {5 * DAY} * 1000000::BIGINT, true)""",
-)(
-    lambda t: A.flag_moves(
-        moves(t).withColumn("end_ts", F.timestamp_micros((F.col("window") + 1) * 21_600_000_000)), sigma(t), "actor", 1.5,
-        ends=t.tick.groupBy("actor").agg(F.max("ts").alias("key_end")), margin_us=DAY * 1_000_000, volume="n", least_volume=2,
-        health=A.feed_silence(t.tick, "actor", 5 * DAY * 1_000_000).select("actor", "healthy"), sure=40,
-    ).select("actor", "window", "z", "low_confidence")
-)
-
 HASH = "'0x' || sha256(CAST(l_orderkey AS VARCHAR))"
 q(
     "dataset_quality_gate",

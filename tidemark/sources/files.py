@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
@@ -28,14 +29,16 @@ def scan_tolerant(spark: SparkSession, path: str, columns: list[str]) -> DataFra
 
 
 def scan_parts(spark: SparkSession, paths: list[str], strict: bool = True) -> DataFrame:
-    """The union of all parts; a missing one is an error unless not ``strict``."""
+    """The union of all parts; a missing one is an error unless not ``strict``, and it always is one if none is there."""
     found = []
     for p in paths:
         try:
             found.append(spark.read.parquet(p))
-        except Exception as e:  # only a missing path is forgiven
-            if strict or "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:  # only a missing path is forgiven
+            if strict or e.getCondition() != "PATH_NOT_FOUND":
                 raise
+    if not found:
+        raise FileNotFoundError(f"none of {paths} is there")
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
@@ -56,11 +59,15 @@ def scan_json_docs(spark: SparkSession, path: str, schema: T.StructType, items:
 
 
 def scan_csv_mixed(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> DataFrame:
-    """CSV files of different widths as strings, malformed lines dropped, file name kept."""
+    """CSV files of different widths as strings, file name kept. Lines with too few or too many fields keep what they have, and
+    their text in _corrupt (count them there)."""
     out = None
     for p in paths:
-        df = spark.read.option("header", True).option("encoding", encoding).option("mode", "DROPMALFORMED").csv(p)
-        df = df.toDF(*[c.lstrip("﻿") for c in df.columns]).withColumn("file_name", F.element_at(F.split(F.input_file_name(), "/"), -1))
+        reader = spark.read.option("header", True).option("encoding", encoding)
+        names = reader.csv(p).columns
+        kind = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_corrupt"]])
+        df = reader.schema(kind).option("columnNameOfCorruptRecord", "_corrupt").option("enforceSchema", True).csv(p)
+        df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns]).withColumn("file_name", F.element_at(F.split(F.input_file_name(), "/"), -1))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
@@ -74,13 +81,34 @@ def file_label(name: str, labels: dict[str, str]):
     return out
 
 
-def scan_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A relational table; partition options (column, bounds, count) spread the read."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def land_table(df: DataFrame, url: str, table: str, types: str = "", **options: str) -> None:
+    """``df`` as a relational table; ``types`` declares columns whose default type a database can't compare or index."""
+    writer = df.write.format("jdbc").options(url=url, dbtable=table, **options)
+    (writer.option("createTableColumnTypes", types) if types else writer).mode("overwrite").save()
+
+
+def scan_table(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 1, **options: str) -> DataFrame:
+    """A relational table. With a numeric ``column`` and its ``bounds`` it is read in ``parts`` ranges by as many tasks (the bounds
+    deal the rows, they drop none); filters on its columns go to the database."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if column and bounds:
+        reader = reader.options(partitionColumn=column, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(parts))
+    return reader.load()
+
+
+def local_database(spark: SparkSession, folder: str) -> str | None:
+    """The address of an embedded database in ``folder``, for a master whose executors are the driver's own process; else null."""
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        return None
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    return f"jdbc:derby:{folder.removeprefix('file://').removeprefix('file:')};create=true"
 
 
 def profile(df: DataFrame) -> DataFrame:
-    return df.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count("*").alias("n"))
+    """Rows of each file, of all (null), the number of columns, and their names and types."""
+    kinds = ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
+    n = df.select(F.col("_metadata.file_name").alias("part")).rollup("part").agg(F.count("*").alias("n"))
+    return n.select("part", "n", F.lit(len(df.columns)).alias("n_columns"), F.lit(kinds).alias("columns"))
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
