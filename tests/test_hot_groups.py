@@ -126,3 +126,33 @@ def test_next_in_range(spark, bucket_s):
     for i, k, ts in left:
         later = [t for key, t in right if k is not None and key == k and t >= ts - dt.timedelta(seconds=100)]
         assert got[i] == (round((min(later) - dt.datetime(1970, 1, 1)).total_seconds() * 1e6) if later else None)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 4096])
+def test_lags_and_changes(spark, chunk):
+    rng = random.Random(chunk)
+    grid = [(k, b, rng.randrange(1, 9)) for k in "ab" for b in range(-10, 40)]
+    df = spark.createDataFrame(grid, "k string, bin long, v long").repartition(3)
+    value = {(k, b): v for k, b, v in grid}
+    for lag in (1, 5):
+        got = {(r.k, r.bin): r.before for r in O.lagged(df, "k", "bin", "v", lag, "before", chunk).collect()}
+        assert got == {(k, b): value.get((k, b - lag)) for k, b, _ in grid}
+    ticks = [(rng.choice("ab"), T0 + dt.timedelta(seconds=rng.randrange(500)), rng.choice([1, 1, 2, None]), i) for i in range(200)]
+    want = {}
+    for k in "ab":
+        mine = [v for _, _, v in sorted((ts, i, v) for key, ts, v, i in ticks if key == k)]
+        want[k] = (len(mine), sum(a is not None and b is not None and a != b for a, b in zip(mine, mine[1:])))
+    got = O.change_count(spark.createDataFrame(ticks, "k string, ts timestamp, v int, id long"), "k", "v", ["ts", "id"], chunk * 5_000_000)
+    assert {r.k: (r.n, r.changes) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("values", [[5] * 40 + [1] * 60, list(range(1, 150)), [0, 0, 3], [7]])
+def test_concentration_with_ties(spark, values):
+    df = spark.createDataFrame([(f"w{i}", v) for i, v in enumerate(values)], "w string, v long")
+    r = A.concentration(df, "w", "v").first()
+    x = sorted(values)
+    n, total = len(x), sum(x)
+    assert (r.participants, r.total) == (n, total)
+    for k in (1, 10, 50, 100):
+        assert abs(r[f"top{k}"] - sum(x[-k:]) / total) < 1e-6
+    assert abs(r.gini - (2 * sum((i + 1) * v for i, v in enumerate(x)) / (n * total) - (n + 1) / n)) < 1e-6

@@ -53,31 +53,36 @@ def topk_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> Da
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def ranked(df: DataFrame, value: str, key: str, parts: int = 256) -> DataFrame:
-    """df with its ascending rank ``i`` over all rows (ties by ``key``). Rows are dealt to at most ``parts`` ranges of the
-    value by approximate quantiles, ranked inside them, and moved up by the sizes of the ranges below: no task sorts all."""
-    cuts = df.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000).alias("__cuts"))
-    dealt = df.crossJoin(F.broadcast(cuts))  # one row
-    dealt = dealt.withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
-    below = F.coalesce(F.sum("__n").over(Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = dealt.groupBy(F.col("__b").alias("__at")).agg(F.count("*").alias("__n")).select("__at", below.alias("__below"))  # at most parts rows
-    own = dealt.withColumn("__i", F.row_number().over(Window.partitionBy("__b").orderBy(value, key)))
-    return own.join(F.broadcast(sizes), F.col("__b") == F.col("__at")).withColumn("i", F.col("__i") + F.col("__below")).drop("__b", "__at", "__i", "__below")
+def ranked(df: DataFrame, value: str, parts: int = 256) -> DataFrame:
+    """The distinct values of a column with how many rows have each (``m``) and how many have less (``below``). Values are dealt to at
+    most ``parts`` ranges by approximate quantiles, summed up inside them, and moved up by the sizes of the ranges below: no task
+    sorts all, and equal values are one row."""
+    counted = df.groupBy(F.col(value).alias("x")).agg(F.count("*").alias("m"))
+    cuts = counted.agg(F.percentile_approx("x", [k / parts for k in range(1, parts)], 10_000).alias("__cuts"))
+    dealt = counted.crossJoin(F.broadcast(cuts))  # one row
+    dealt = dealt.withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("x")))).drop("__cuts")
+    under = F.coalesce(F.sum("__n").over(Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy(F.col("__b").alias("__at")).agg(F.sum("m").alias("__n")).select("__at", under.alias("__under"))  # at most parts rows
+    inside = F.sum("m").over(Window.partitionBy("__b").orderBy("x")) - F.col("m")
+    return dealt.withColumn("__i", inside).join(F.broadcast(sizes), F.col("__b") == F.col("__at")).select("x", "m", (F.col("__i") + F.col("__under")).alias("below"))
 
 
 def concentration(df: DataFrame, key: str, value: str, group: list[str] = (), tops: tuple[int, ...] = (1, 10, 50, 100)) -> DataFrame:
     """Totals per participant, then per group: shares of the top 1, 10, 50, 100, Gini (ranked closed form), diffuse if the
-    top 10 have under half. Without groups all participants are ranked by ranges of their totals."""
+    top 10 have under half. Without groups participants are ranked by ranges of their totals, equal totals together."""
     t = df.groupBy(*group, key).agg(F.sum(value).alias("x"))
     if group:
         w = Window.partitionBy(*group)
-        r = t.select(*group, "x", F.row_number().over(w.orderBy("x", key)).alias("i"), F.count("*").over(w).alias("all"))
+        r = t.select(*group, "x", F.lit(1).alias("m"), (F.row_number().over(w.orderBy("x", key)) - 1).alias("below"), F.count("*").over(w).alias("all"))
     else:
-        r = ranked(t, "x", key).crossJoin(F.broadcast(t.agg(F.count("*").alias("all"))))  # one row
-    total = F.sum("x")
-    shares = [share(F.sum(F.when(F.col("all") - F.col("i") < k, F.col("x"))), total).alias(f"top{k}") for k in tops]
-    gini = F.round(2 * F.sum(F.col("i") * F.col("x")).cast("double") / (F.count("*") * total.cast("double")) - (F.count("*") + 1) / F.count("*"), 6)
-    return r.groupBy(*group).agg(F.count("*").alias("participants"), total.alias("total"), *shares, gini.alias("gini")).withColumn("diffuse", F.col("top10") < 0.5)
+        r = ranked(t, "x").crossJoin(F.broadcast(t.agg(F.count("*").alias("all"))))  # one row
+    n, total = F.sum("m"), F.sum(F.col("x") * F.col("m"))
+    # of m equal totals, those of the highest ranks are among the top k
+    inside = lambda k: F.greatest(F.least(F.col("m"), F.col("below") + F.col("m") - F.col("all") + k), F.lit(0))
+    shares = [share(F.sum(inside(k) * F.col("x")), total).alias(f"top{k}") for k in tops]
+    ranks = F.col("m") * F.col("below") + F.expr("m * (m + 1) div 2")  # the sum of the ranks of m equal totals
+    gini = F.round(2 * F.sum(ranks * F.col("x")).cast("double") / (n * total.cast("double")) - (n + 1) / n, 6)
+    return r.groupBy(*group).agg(n.alias("participants"), total.alias("total"), *shares, gini.alias("gini")).withColumn("diffuse", F.col("top10") < 0.5)
 
 
 def wallet_aggregate(t: DataFrame) -> DataFrame:

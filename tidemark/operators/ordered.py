@@ -25,9 +25,19 @@ def grid_last_ffill(ticks: DataFrame, key: str, value: str, step_s: int, tie: st
     return filled.select(key, "bin", F.coalesce(F.last(value, ignorenulls=True).over(w), "__in").alias(value))
 
 
-def log_returns(grid: DataFrame, key: str, value: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy("bin")
-    return grid.withColumn("ret", F.log(F.col(value) / F.lag(value).over(w)))
+def lagged(grid: DataFrame, key: str, order: str, value: str, k: int, name: str, chunk: int = 4096) -> DataFrame:
+    """``grid`` with ``name``, the value ``k`` rows before in its key. The grid is dense in ``order`` (a whole number a row), so a stretch
+    of ``chunk`` rows needs no more than the last k rows of those before: these are sent to it as well."""
+    at = F.floor(F.col(order) / chunk)
+    reach = F.sequence(at, F.floor((F.col(order) + k) / chunk))  # the stretches that a row is in or is looked back to from
+    rows = grid.select("*", at.alias("__own")).withColumn("__c", F.explode(reach))
+    w = Window.partitionBy(key, "__c").orderBy(order)
+    return rows.withColumn(name, F.lag(value, k).over(w)).where("__c = __own").drop("__c", "__own")
+
+
+def log_returns(grid: DataFrame, key: str, value: str, chunk: int = 4096) -> DataFrame:
+    """Logarithmic returns from bin to bin of a dense grid."""
+    return lagged(grid, key, "bin", value, 1, "__before", chunk).withColumn("ret", F.log(F.col(value) / F.col("__before"))).drop("__before")
 
 
 def lead_lag_xcorr(a: DataFrame, b: DataFrame, value: str, lags: int, least: int = 10) -> DataFrame:
@@ -102,14 +112,19 @@ def rank_stats(rows: DataFrame, group: str, by: str, tie: str, outcome: str, leg
     return out.where(F.col("n") >= least)
 
 
-def change_count(ticks: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    d = ticks.select(key, (F.col(value) != F.lag(value).over(w)).alias("c"))
-    return d.groupBy(key).agg(F.count("*").alias("n"), F.count_if("c").alias("changes"))
+def change_count(ticks: DataFrame, key: str, value: str, order: list[str], chunk_us: int = 86_400_000_000) -> DataFrame:
+    """Rows per key, and how often the value differs from the one before in the order (its first column is a time). Changes are
+    counted within stretches of ``chunk_us``; a row per stretch, its first and last value, gives the changes between them."""
+    rows = ticks.select(key, F.col(value).alias("v"), F.struct(*order).alias("o"), F.floor(F.unix_micros(order[0]) / chunk_us).alias("__c"))
+    inside = F.col("v") != F.lag("v").over(Window.partitionBy(key, "__c").orderBy("o"))
+    c = rows.withColumn("turn", inside).groupBy(key, "__c").agg(F.count("*").alias("n"), F.count_if("turn").alias("turns"), F.min_by(F.struct("v"), "o").alias("first"), F.max_by(F.struct("v"), "o").alias("last"))
+    between = F.col("first.v") != F.lag("last").over(Window.partitionBy(key).orderBy("__c"))["v"]
+    return c.withColumn("between", between).groupBy(key).agg(F.sum("n").alias("n"), (F.sum("turns") + F.count_if("between")).alias("changes"))
 
 
-def rolling_return(rows: DataFrame, key: str, order: str, value: str, k: int) -> DataFrame:
-    return rows.withColumn("ret", F.round(F.log(F.col(value) / F.lag(value, k).over(Window.partitionBy(key).orderBy(order))), 6))
+def rolling_return(rows: DataFrame, key: str, order: str, value: str, k: int, chunk: int = 4096) -> DataFrame:
+    """Logarithmic returns over ``k`` rows of a dense grid."""
+    return lagged(rows, key, order, value, k, "__before", chunk).withColumn("ret", F.round(F.log(F.col(value) / F.col("__before")), 6)).drop("__before")
 
 
 def realized_vol_windows(hourly: DataFrame, key: str, value: str, hours: int, every: int) -> DataFrame:
@@ -130,7 +145,8 @@ def terciles(rows: DataFrame, key: str, value: str, tie: str, parts: int = 1000)
 def time_in_range(ticks: DataFrame, key: str, value: str, order: list[str], widths: list[float]) -> DataFrame:
     """Share of values within +-width of the key's first value, for a fixed list of widths; whether any left it, the change
     from first to last in percent, and the extremes."""
-    f = ticks.select(key, value, F.struct(*order).alias("o"), F.first(value).over(Window.partitionBy(key).orderBy(*order)).alias("first"))
+    begins = ticks.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias("first"))  # a row per key: broadcast if it is small, else a join that may be split
+    f = ticks.select(key, value, F.struct(*order).alias("o")).join(begins, key)
     e = f.withColumn("width", F.explode(F.array(*[F.lit(x) for x in widths])))
     inside = F.abs(F.col(value) - F.col("first")) <= F.col("width") * F.col("first")
     first, last = F.max("first"), F.max_by(value, "o")
