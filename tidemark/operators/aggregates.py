@@ -53,7 +53,7 @@ def topk_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> Da
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def ranked(df: DataFrame, value: str, parts: int = 256) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, parts: int = 256) -> DataFrame:
     """The distinct values of a column with how many rows have each (``m``) and how many have less (``below``). Values are dealt to at
     most ``parts`` ranges by approximate quantiles, summed up inside them, and moved up by the sizes of the ranges below: no task
     sorts all, and equal values are one row."""
@@ -67,6 +67,14 @@ def ranked(df: DataFrame, value: str, parts: int = 256) -> DataFrame:
     return dealt.withColumn("__i", inside).join(F.broadcast(sizes), F.col("__b") == F.col("__at")).select("x", "m", (F.col("__i") + F.col("__under")).alias("below"))
 
 
+def ranked(df: DataFrame, value: str, key: str, parts: int = 256) -> DataFrame:
+    """df with its ascending rank ``i`` over all rows: those with less, by ``value_ranks``, and within equal values by ``key``. A
+    value that very many rows share is one task's; what only needs sums over ranks takes ``value_ranks``."""
+    less = value_ranks(df, value, parts).select(F.col("x").alias("__x"), "below")
+    own = df.withColumn("__i", F.row_number().over(Window.partitionBy(value).orderBy(key)))
+    return own.hint("merge").join(less.hint("merge"), F.col(value) == F.col("__x")).withColumn("i", F.col("__i") + F.col("below")).drop("__x", "__i", "below")
+
+
 def concentration(df: DataFrame, key: str, value: str, group: list[str] = (), tops: tuple[int, ...] = (1, 10, 50, 100)) -> DataFrame:
     """Totals per participant, then per group: shares of the top 1, 10, 50, 100, Gini (ranked closed form), diffuse if the
     top 10 have under half. Without groups participants are ranked by ranges of their totals, equal totals together."""
@@ -75,7 +83,7 @@ def concentration(df: DataFrame, key: str, value: str, group: list[str] = (), to
         w = Window.partitionBy(*group)
         r = t.select(*group, "x", F.lit(1).alias("m"), (F.row_number().over(w.orderBy("x", key)) - 1).alias("below"), F.count("*").over(w).alias("all"))
     else:
-        r = ranked(t, "x").crossJoin(F.broadcast(t.agg(F.count("*").alias("all"))))  # one row
+        r = value_ranks(t, "x").crossJoin(F.broadcast(t.agg(F.count("*").alias("all"))))  # one row
     n, total = F.sum("m"), F.sum(F.col("x") * F.col("m"))
     # of m equal totals, those of the highest ranks are among the top k
     inside = lambda k: F.greatest(F.least(F.col("m"), F.col("below") + F.col("m") - F.col("all") + k), F.lit(0))

@@ -101,9 +101,9 @@ def odds_to_prob(rows: DataFrame, condition: str, odds: str, most: float = 500.0
 
 
 def relevant_feeds(markets: DataFrame, feeds: DataFrame, group: str) -> DataFrame:
-    """markets with the feeds that cover their theme group or are global; feeds: feed, themes. The global feeds come in as the
-    list in one row."""
+    """markets with the feeds that cover their theme group or are global; feeds: feed, themes. The global feeds come in as one
+    list."""
     own = markets.hint("merge").join(feeds.select("feed", F.explode("themes").alias("theme")).hint("merge"), F.col(group) == F.col("theme")).drop("theme")
     everywhere = feeds.where(F.array_contains("themes", "global")).agg(F.sort_array(F.collect_set("feed")).alias("__feeds"))
-    every = markets.where(F.col(group).isNotNull()).crossJoin(F.broadcast(everywhere)).withColumn("feed", F.explode("__feeds")).drop("__feeds")
+    every = markets.where(F.col(group).isNotNull()).withColumn("__feeds", everywhere.scalar()).withColumn("feed", F.explode("__feeds")).drop("__feeds")
     return own.unionByName(every).distinct()

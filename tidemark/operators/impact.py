@@ -12,7 +12,7 @@ def feed_silence_at(windows: DataFrame, items: DataFrame, feeds: DataFrame) -> D
     """(feed, window, silent_us): how long each feed had sent nothing when a window began; null if it never had. windows: window,
     ts (one row per window); items: feed, ts, id; feeds: feed (a configuration table: one row per feed)."""
     names = feeds.select("feed").distinct().agg(F.collect_list("feed").alias("names"))
-    grid = windows.crossJoin(F.broadcast(names)).select("window", F.explode("names").alias("feed"), "ts")  # one row of names
+    grid = windows.withColumn("names", names.scalar()).select("window", F.explode("names").alias("feed"), "ts")
     series = items.select("feed", "ts", F.unix_micros("ts").alias("last_us"), "id")
     seen = asof_backward(grid, series, "feed", "ts", "last_us", None, "id")
     return seen.select("feed", "window", (F.unix_micros("ts") - F.col("last_us")).alias("silent_us"))
