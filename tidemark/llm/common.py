@@ -113,6 +113,11 @@ def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], total:
     return left.join(few, key).unionByName(rest)
 
 
+def group_key(*columns: str):
+    """A text that is the same for the same values of the columns, nulls included, and for no others."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xD6E8FEB86659FD93)
 

@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import shared_dir, written
+from tidemark.llm.common import scratch, shared_dir, spread_join, written
 
 MANIFEST = "file string, n_records long, n_bytes long, first_page_id long, last_page_id long, sha256 string"
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, file string, record_offset long, block_ok boolean"
@@ -94,11 +94,13 @@ def _writer(folder: str, roll_bytes: int, level: int, date: str):
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to, digest hex) of each page whose payload a larger page_id holds too; a narrow aggregate
-    with map-side combine finds each digest's keeper, so a payload on a third of all rows is no hot group."""
+    """(page_id, refers_to, digest hex) of each page whose payload a larger page_id holds too. A narrow aggregate with map-side
+    combine finds each digest's keeper and how many pages have it; a payload of very many pages (empty ones, error pages) is
+    joined where its pages are."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("b")).where("page_id is not null").select("page_id", F.sha1("b").alias("digest"))
-    keep = p.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least")
-    return p.hint("merge").join(keep.hint("merge"), "digest").where("page_id < refers_to").select("page_id", "refers_to", "digest")
+    p = written(p, "warc-digests")
+    keep = p.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"), F.count("*").alias("weight")).where("least < refers_to").drop("least")
+    return spread_join(p, written(keep, "warc-keepers"), "digest", p.count()).where("page_id < refers_to").select("page_id", "refers_to", "digest")
 
 
 def _base32(hex_digest):
@@ -117,12 +119,13 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll_bytes: int = 32
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    r = revisits(pages).select("page_id", F.lit(0).alias("kind"), _base32(F.col("digest")).alias("url"), F.lit(None).cast("binary").alias("html"), "refers_to")
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit(1).alias("kind"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").cast("binary").alias("html"), F.lit(None).cast("long").alias("refers_to"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # only page_id deals the rows, so a page and its marks share a task; url and payload order repeated ids
-    sorted_rows = p.union(r).repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
-    sorted_rows.mapInArrow(_writer(folder, roll_bytes, level, date), MANIFEST).write.parquet(f"{folder}/manifest")
+    with scratch(spark):
+        r = revisits(pages).select("page_id", F.lit(0).alias("kind"), _base32(F.col("digest")).alias("url"), F.lit(None).cast("binary").alias("html"), "refers_to")
+        p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit(1).alias("kind"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").cast("binary").alias("html"), F.lit(None).cast("long").alias("refers_to"))
+        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # only page_id deals the rows, so a page and its marks share a task; url and payload order repeated ids
+        sorted_rows = p.union(r).repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
+        sorted_rows.mapInArrow(_writer(folder, roll_bytes, level, date), MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
 
