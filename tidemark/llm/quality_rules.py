@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import WORD, written
+from tidemark.llm.common import WORD, group_key, spread_join, written
 
 SYMBOLS = "#*$%&|<>"
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
@@ -115,19 +115,20 @@ def thresholds(stats: DataFrame, fence: float = 4.0, least_rows: int = 50, relat
     return t.select("lang", "source", "feature", low.alias("low"), high.alias("high"))
 
 
-def quality_rules(docs: DataFrame, fence: float = 4.0, least_rows: int = 50, salts: int = 64) -> DataFrame:
+def quality_rules(docs: DataFrame, fence: float = 4.0, least_rows: int = 50) -> DataFrame:
     """Counts, base rules and the adaptive verdict for every document.
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated 8-word windows. kept: not base_failed
     and every feature inside its group's fences. Null text is empty (base_failed); null lang or source form groups
     of their own; repeated doc_ids give a row each; an empty table gives no rows; extra columns are ignored.
-    A hot source's documents are spread over ``salts`` copies of its thresholds.
+    Thresholds come to a hot source's documents by broadcast, to all others by a merge (``spread_join``).
     """
     stats = written(document_stats(docs), "quality-stats")
     one = thresholds(stats, fence, least_rows).groupBy("lang", "source").agg(*[F.max(F.when(F.col("feature") == k, F.col(side))).alias(f"{k}_{side}") for k in FEATURES for side in ("low", "high")])
-    one = written(one, "quality-thresholds").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.col("salt").alias("t_salt"), *[c for c in one.columns if c not in ("lang", "source")])
-    s = stats.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    j = s.hint("merge").join(one, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("salt") == F.col("t_salt")), "left")
+    sizes = stats.groupBy("lang", "source").agg(F.count("*").alias("weight")).withColumn("group", group_key("lang", "source")).drop("lang", "source")
+    one = one.withColumn("group", group_key("lang", "source")).drop("lang", "source")
+    one = written(sizes.hint("merge").join(one.hint("merge"), "group", "left"), "quality-thresholds")
+    j = spread_join(stats.withColumn("group", group_key("lang", "source")), one, "group", stats.count())
     j = j.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
     ok = F.lit(True)
     for k, (e, _, side) in FEATURES.items():
