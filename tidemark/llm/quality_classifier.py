@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import crc_fold, written
+from tidemark.llm.common import crc_fold, group_key, spread_join, written
 
 FEATURES = ("log_words", "word_length", "word_length_spread", "distinct_share", "short_share", "digit_share", "upper_share", "symbol_share", "punctuation_share", "repeat_share", "line_repeat_share", "packed_share")
 _word = re.compile(r"[^\x20\x09-\x0D]+")
@@ -107,7 +107,7 @@ def _strength(groups: DataFrame, mean: str, within: float = 1.0) -> float:
     return float(min(1000.0, max(1.0, noise / signal)))
 
 
-def classify(docs: DataFrame, model: QualityModel, host: str = "source", path: str = "lang", salts: int = 64) -> DataFrame:
+def classify(docs: DataFrame, model: QualityModel, host: str = "source", path: str = "lang") -> DataFrame:
     """doc_id, evidence (log Bayes factor), host_prior, path_prior, score and predicted for every document.
 
     Each document's own probability is left out of the sums that form its prior. Null text is a text without words;
@@ -126,8 +126,8 @@ def classify(docs: DataFrame, model: QualityModel, host: str = "source", path: s
     shrunk = hosts.select(F.col("host").alias("h_host"), F.col("n").alias("h_n"), F.col("s").alias("h_s"))
     both = paths.hint("merge").join(shrunk.hint("merge"), F.col("host").eqNullSafe(F.col("h_host")))
     path_strength = _strength(both, f"(h_s + {host_strength * mean!r}) / (h_n + {host_strength!r})")
-    both = both.select(F.col("host").alias("t_host"), F.col("path").alias("t_path"), "h_n", "h_s", F.col("n").alias("p_n"), F.col("s").alias("p_s"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("t_salt"))
-    j = p.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).hint("merge").join(both.hint("merge"), F.col("host").eqNullSafe(F.col("t_host")) & F.col("path").eqNullSafe(F.col("t_path")) & (F.col("salt") == F.col("t_salt")))
+    both = written(both.select(group_key("host", "path").alias("group"), F.col("n").alias("weight"), "h_n", "h_s", F.col("n").alias("p_n"), F.col("s").alias("p_s")), "quality-posteriors")
+    j = spread_join(p.withColumn("group", group_key("host", "path")), both, "group", n)
     all_but = F.expr(f"(({s!r} - p) + 1) / (({n} - 1) + 2)")
     j = j.withColumn("host_prior", (F.col("h_s") - F.col("p") + host_strength * all_but) / (F.col("h_n") - 1 + host_strength))
     j = j.withColumn("path_prior", (F.col("p_s") - F.col("p") + path_strength * F.col("host_prior")) / (F.col("p_n") - 1 + path_strength))
