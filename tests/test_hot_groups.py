@@ -8,12 +8,17 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregates as A, calibration as C, joins as J, ordered as O
+from tidemark.operators import aggregates as A, calibration as C, joins as J, ordered as O, selection
 from tidemark.operators.selection import select_ranks
 
 T0 = dt.datetime(2024, 1, 1)
 
 
+@pytest.fixture(autouse=True)
+def small_groups_are_hot(monkeypatch):
+    monkeypatch.setattr(selection, "HOT_ROWS", 0)
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(9)

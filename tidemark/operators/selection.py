@@ -1,6 +1,7 @@
 """Exact order statistics and slices of groups of any size.
 
-A group with over 1 / ``parts`` of all rows is hot; fewer than ``parts`` are. All other groups are ranked by a window. In a hot
+A group with over 1 / ``parts`` of all rows and over HOT_ROWS of them is hot; fewer than ``parts`` are. All other groups are ranked by
+a window, as one task sorts what they have. In a hot
 group the wanted ranks are found by selection: rows are counted in BINS bins between the group's extremes (map-side combined, so a
 task sends at most a row per bin), a running sum over the bins finds the bin of each rank, and only that bin's rows are counted
 again, in narrower bins. After PASSES passes what is left is counted by value. So a hot group is read a few times by all tasks,
@@ -17,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BINS = 1024
+HOT_ROWS = 1_000_000
 PASSES = 3
 
 
@@ -42,7 +44,7 @@ class Groups:
             known = known.where(F.col(c).isNotNull())
         self.sizes = known.groupBy(*keys).agg(F.count("*").alias("__n"))
         total = F.broadcast(self.sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__total")))  # one row
-        hot = self.sizes.crossJoin(total).where(F.col("__n") * parts > F.col("__total"))
+        hot = self.sizes.crossJoin(total).where((F.col("__n") * parts > F.col("__total")) & (F.col("__n") > HOT_ROWS))
         self.hot = F.broadcast(hot.select(*[F.col(k).alias(h) for k, h in zip(keys, self.hot_keys)], "__n"))  # under ``parts`` rows
         on = _keys_equal(keys, self.hot_keys)
         self.hot_rows = known.join(self.hot, on)
