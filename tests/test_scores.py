@@ -174,5 +174,8 @@ def test_tolerant_sources(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,2\n3\n4,5,6\n")
     rows = files.scan_csv_mixed(spark, [f"{tmp_path}/x.csv"]).cache()
     assert rows.count() == 3 and rows.where("_corrupt is not null").count() == 2
+    with pytest.raises(ValueError):
+        files.json_report(spark.range(1), spark.range(20), "id", 10)
+    assert files.json_report(spark.range(1).toDF("n"), spark.range(2), "id").first()[0] == '{"n":0,"cells":[{"id":0},{"id":1}]}'
     parts = {r.part: r.n for r in files.profile(spark.read.parquet(f"{tmp_path}/a")).collect()}
     assert parts[None] == 3 and sum(n for p, n in parts.items() if p) == 3

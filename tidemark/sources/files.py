@@ -119,8 +119,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def json_report(overall: DataFrame, cells: DataFrame, by: str) -> DataFrame:
-    """A nested report: one overall row with its cells (a bounded table) as an array."""
+def json_report(overall: DataFrame, cells: DataFrame, by: str, most: int = 100_000) -> DataFrame:
+    """A nested report: one overall row with its cells as an array. A report is for readers: over ``most`` cells are refused, as they
+    would all be one row."""
+    if cells.limit(most + 1).count() > most:
+        raise ValueError(f"a report of more than {most} cells")
     nested = cells.agg(F.sort_array(F.collect_list(F.struct(by, *[c for c in cells.columns if c != by]))).alias("cells"))
     return overall.crossJoin(nested).select(F.to_json(F.struct("*")).alias("report"))  # one row each
 
