@@ -27,9 +27,9 @@ def event_stream(t: Tables, heartbeat: bool = True) -> DataFrame:
     return s.selectExpr("event_type AS asset", "CAST(ts AS TIMESTAMP) AS ts", "CAST(round(value * 100) AS BIGINT) AS cents", "user_id AS actor", "event_id AS id")
 
 
-def through(t: Tables, stream: DataFrame) -> DataFrame:
-    """What a stream has written once all that has landed is read."""
-    return R.run_to_end(stream, folder(t))[0]
+def through(t: Tables, stream: DataFrame, keyed: bool = False) -> DataFrame:
+    """What a stream has written once all that has landed is read; ``keyed``: it has map state or timers."""
+    return R.run_to_end(stream, folder(t), keyed)[0]
 
 
 q("poll_feed_source", TICK, body=PER_ASSET)(lambda t: per_asset(through(t, event_stream(t, heartbeat=False))))
@@ -110,7 +110,9 @@ def matched(t: Tables) -> DataFrame:
     s = t.spark.readStream.schema(kind).parquet(f"{t.folder}/documents.parquet*")
     news = s.select(F.col("doc_id").alias("news_id"), F.split(F.lower("text"), " ").alias("tokens"), F.col("text").alias("title"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") % 3600).alias("ts"))
     markets = t.benchmark.select(F.col("item_id").alias("market_id"), F.split(F.lower("text"), " ").alias("keywords"))
-    M.news_match(news, markets, f"{at}/out", f"{at}/checkpoint", available_now=True).awaitTermination()
+    with R.state_partitions(t.spark):
+        query = M.news_match(news, markets, f"{at}/out", f"{at}/checkpoint", available_now=True)
+    query.awaitTermination()
     return t.spark.read.parquet(f"{at}/out").select("news_id", "market_id", "hits")
 
 
@@ -128,7 +130,7 @@ b AS (SELECT s.asset, s.id, s.rn, min(l.price) AS best FROM s
       LEFT JOIN l ON l.asset = s.asset AND l.there AND l.rn <= s.rn AND (l.until IS NULL OR l.until > s.rn) GROUP BY ALL)""", body="""
 SELECT asset, id, best FROM (SELECT *, lag(best) OVER (PARTITION BY asset ORDER BY rn) AS before FROM b) WHERE best IS DISTINCT FROM before
 """)(lambda t: through(t, K.book_state(event_stream(t, heartbeat=False).selectExpr(
-    "CAST(actor AS STRING) AS asset", "CASE WHEN id % 5 = 0 THEN 'BUY' ELSE 'SELL' END AS side", "cents % 1000 AS price", "CAST(id % 4 AS DOUBLE) AS size", "ts", "id")))
+    "CAST(actor AS STRING) AS asset", "CASE WHEN id % 5 = 0 THEN 'BUY' ELSE 'SELL' END AS side", "cents % 1000 AS price", "CAST(id % 4 AS DOUBLE) AS size", "ts", "id")), keyed=True)
     .select("asset", "id", "best"))
 
 LEGS, BELOW, PHANTOM, GAP = ("click", "error", "purchase", "signup", "view"), 900, 300, 43_200
@@ -139,8 +141,8 @@ def episodes(t: Tables) -> DataFrame:
     """Two runs: the second begins at CUT without the first one's state, whose open episodes are orphans then."""
     ticks = lambda s: s.selectExpr("actor AS event", "asset AS leg", "cents % 400 AS price", "ts", "id")
     cut = F.unix_micros("ts") < CUT
-    first = through(t, K.arb_episodes(ticks(event_stream(t, heartbeat=False).where(cut)), len(LEGS), BELOW, PHANTOM, GAP, run="first"))
-    second = through(t, K.arb_episodes(ticks(event_stream(t).where(~cut)), len(LEGS), BELOW, PHANTOM, GAP, run="second"))
+    first = through(t, K.arb_episodes(ticks(event_stream(t, heartbeat=False).where(cut)), len(LEGS), BELOW, PHANTOM, GAP, run="first"), keyed=True)
+    second = through(t, K.arb_episodes(ticks(event_stream(t).where(~cut)), len(LEGS), BELOW, PHANTOM, GAP, run="second"), keyed=True)
     return K.settled_episodes(first.unionByName(second), [("first", 0), ("second", CUT)]).withColumn("mean", F.round("mean", 6))
 
 
@@ -165,4 +167,4 @@ SELECT run, event, start_us, CASE status WHEN 'closed' THEN us1 WHEN 'silence' T
 q("stream_feed_silence", TICK, body="""
 SELECT actor, us AS last_us, us + 3 * 86400000000 AS silent_us, items FROM (SELECT actor, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER w AS us1, row_number() OVER w AS items
 FROM v_tick WINDOW w AS (PARTITION BY actor ORDER BY ts, id)) WHERE us1 IS NULL OR us1 - us > 3 * 86400000000
-""")(lambda t: through(t, K.feed_silence_warnings(event_stream(t).select("actor", "ts", "id"), "actor", 3 * DAY)).where("actor >= 0"))
+""")(lambda t: through(t, K.feed_silence_warnings(event_stream(t).select("actor", "ts", "id"), "actor", 3 * DAY), keyed=True).where("actor >= 0"))

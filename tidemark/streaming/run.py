@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections import Counter
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -26,6 +26,19 @@ def keyed_state(spark: SparkSession):
         spark.conf.set(PROVIDER, before)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """Streams started inside deal their state to twice as many partitions as the cluster has cores, or as many as the session says if
+    that is less: every micro-batch opens each partition's store, and the small ones of a stream aren't put together."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), max(8, 2 * spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def dropped(progress) -> int:
     """Rows that the stateful operators of one micro-batch dropped as later than the watermark. Windows count rows after
     their partial aggregation."""
@@ -62,12 +75,12 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
 
 
-def run_to_end(stream: DataFrame, folder: str, checkpoint: str | None = None) -> tuple[DataFrame, int]:
+def run_to_end(stream: DataFrame, folder: str, keyed: bool = True) -> tuple[DataFrame, int]:
     """What a stream has written to ``folder``/out once all that has landed is read, and how many rows it dropped as late. The
-    same folder again goes on where the last run stopped."""
+    same folder again goes on where the last run stopped. Without ``keyed`` the session's own state store is used."""
     spark = stream.sparkSession
-    writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint or f"{folder}/checkpoint")
-    with keyed_state(spark):
+    writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+    with state_partitions(spark), keyed_state(spark) if keyed else nullcontext():
         query = writer.trigger(availableNow=True).start(f"{folder}/out")
     query.awaitTermination()
     late = late_rows(query)
