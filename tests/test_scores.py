@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
-from tidemark.operators import impact as I, joins as J, running as U
+from tidemark.operators import aggregates as A, impact as I, joins as J, running as U
 from tidemark.plans.queries_scores import SLUGS
 from tidemark.sources import files
 
@@ -179,3 +179,10 @@ def test_tolerant_sources(spark, tmp_path):
     assert files.json_report(spark.range(1).toDF("n"), spark.range(2), "id").first()[0] == '{"n":0,"cells":[{"id":0},{"id":1}]}'
     parts = {r.part: r.n for r in files.profile(spark.read.parquet(f"{tmp_path}/a")).collect()}
     assert parts[None] == 3 and sum(n for p, n in parts.items() if p) == 3
+
+
+def test_momentum_from_a_price_of_zero(spark):
+    prices = spark.createDataFrame([("a", at(0), 0, 1), ("a", at(15000), 7, 2), ("b", at(0), 0, 3)], "asset string, ts timestamp, cents long, id long")
+    fills = spark.createDataFrame([(1, "a", at(15100), 1, 1), (2, "a", at(15100), -1, 2), (3, "b", at(15100), 1, 3), (4, "a", at(10), 1, 4)], "actor int, asset string, ts timestamp, side int, id long")
+    got = {r.actor: (r.n, r.momentum_share, r.label) for r in A.entry_momentum(fills, prices, "actor", "asset", "cents").collect()}
+    assert got == {1: (1, 1.0, "lucky"), 2: (1, 0.0, "structural"), 3: (1, 1.0, "lucky")}
