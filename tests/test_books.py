@@ -3,12 +3,15 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.operators import aggregates as A, books as B, joins as J
 from tidemark.sources import files
 
+T0 = dt.datetime(1997, 1, 1)
+
 
 def test_books(spark):
     kind = "id int, bids array<struct<price:double,size:double>>, asks array<struct<price:double,size:double>>"
@@ -82,3 +85,37 @@ def test_relational_and_bad_lines(spark, tmp_path):
     assert sorted((r.id or 0, r.x, r._corrupt) for r in rows) == [(0, 0.0, "{bad"), (1, 2.5, None), (3, 0.0, None)]
     report = files.json_report(spark.createDataFrame([(3,)], "n int"), spark.createDataFrame([("b", 1), ("a", 2)], "k string, c int"), "k").first().report
     assert report == '{"n":3,"cells":[{"k":"a","c":2},{"k":"b","c":1}]}'
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_anchor_window_breaks_ties_by_price(spark, turn):
+    markets = spark.createDataFrame([(1, "x", T0, T0)], "market_id long, category string, start_ts timestamp, event_ts timestamp")
+    trades = [(1, T0, p, 100, 3) for p in (500, 950, 300)][::turn] + [(1, T0, 999, 100, 2)]
+    df = spark.createDataFrame(trades, "market_id long, ts timestamp, price long, cents long, line int").coalesce(1)
+    now = df.select(F.unix_micros(F.lit(T0).cast("timestamp"))).first()[0]
+    got = B.anchor_window(markets, df, now, (0, 1), ["x"], 5, (0, 999), 1, 5).collect()
+    assert [(r.volume, r.last) for r in got] == [(400, 950)]
+
+
+def test_anchor_window_and_books_equal_their_sql_on_edges(spark, tmp_path):
+    """Lines of one order, number and day at other prices, and best prices 23/17 apart, where the near band ends on a level."""
+    import __spark_entry__ as entry
+    import duckdb
+
+    day = dt.datetime(1997, 2, 1)
+    line = lambda k, n, flag, cents, at=day, size=10.0: (k, 7, n, n, size, cents / 100, 0.0, 0.0, flag, "O", at)
+    lines = [line(1, 1, "N", c) for c in (1000500, 1000120, 1000777)] + [line(2, 2, "N", c) for c in (1000777, 1000500, 1000120)]
+    pairs = [(170, 161), (340, 322), (680, 644), (690, 357), (3, 500)]
+    lines += [line(10 + i, 1 + (f == "N"), f, 1000000 + x) for i, (b, a) in enumerate(pairs) for f, x in (("R", b), ("N", a))]
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame(lines, kinds).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(k, 1, "F", 100.0, dt.datetime(1997, 1, 15), "1-URGENT") for k in (1, 2, *range(10, 15))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("anchor_window_filter",):
+        got = entry.queries()[name](spark, str(tmp_path))
+        want = con.execute(entry.oracle_sql()[name])
+        names = [d[0] for d in want.description]
+        assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall()) and names
