@@ -114,7 +114,7 @@ def test_anchor_window_and_books_equal_their_sql_on_edges(spark, tmp_path):
     con = duckdb.connect()
     for t in ("lineitem", "orders"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
-    for name in ("anchor_window_filter",):
+    for name in ("anchor_window_filter", "book_best_and_depth"):
         got = entry.queries()[name](spark, str(tmp_path))
         want = con.execute(entry.oracle_sql()[name])
         names = [d[0] for d in want.description]
