@@ -186,3 +186,13 @@ def test_momentum_from_a_price_of_zero(spark):
     fills = spark.createDataFrame([(1, "a", at(15100), 1, 1), (2, "a", at(15100), -1, 2), (3, "b", at(15100), 1, 3), (4, "a", at(10), 1, 4)], "actor int, asset string, ts timestamp, side int, id long")
     got = {r.actor: (r.n, r.momentum_share, r.label) for r in A.entry_momentum(fills, prices, "actor", "asset", "cents").collect()}
     assert got == {1: (1, 1.0, "lucky"), 2: (1, 0.0, "structural"), 3: (1, 1.0, "lucky")}
+
+
+@pytest.mark.parametrize("name", ["move_zscore", "join_first_in_range", "join_range_exclusion"])
+def test_no_frame_is_summed_anew_for_each_row(spark, name):
+    """A frame that ends with its partition but doesn't begin with it costs the square of the partition."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\(\w+, ([^,]+), ([^)]+\)?)\)", plan)
+    assert frames and all(lo.startswith("unboundedpreceding") or not hi.startswith("unboundedfollowing") for lo, hi in frames)

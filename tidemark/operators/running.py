@@ -59,8 +59,8 @@ def sliding_deviation(probes: DataFrame, series: DataFrame, key: str, value: str
     p = lambda t, side: probes.select(F.col(key).alias("__k"), t.alias("__u"), F.lit(side).alias("__side"), F.lit(None).cast("double").alias("__v"), F.col(probe_id).alias("__id"))
     ends, starts = p(at, 1).withColumn("__b", F.floor(F.col("__u") / us)), p(at - us, -1).withColumn("__b", F.floor(F.col("__u") / us))
     both = s.withColumn("__b", F.floor(F.col("__u") / us)).unionByName(ends).unionByName(starts)
-    w = Window.partitionBy("__k", "__b").orderBy("__u", "__side")
-    upto, since = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy("__k", "__b")  # either way the frame grows by a row; one that shrinks is summed anew for each row
+    upto, since = (w.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (("__u", "__side"), (F.desc("__u"), F.desc("__side"))))
     moments = {"n": F.count("__v"), "s": F.sum("__v"), "q": F.sum(F.col("__v") * F.col("__v"))}
     pick = lambda m: F.when(F.col("__side") == 1, m.over(upto)).when(F.col("__side") == -1, m.over(since))
     both = both.select("__id", "__side", *[pick(m).alias(c) for c, m in moments.items()]).where("__side <> 0")
