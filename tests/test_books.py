@@ -119,3 +119,23 @@ def test_anchor_window_and_books_equal_their_sql_on_edges(spark, tmp_path):
         want = con.execute(entry.oracle_sql()[name])
         names = [d[0] for d in want.description]
         assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall()) and names
+
+
+def test_links_between_classes_are_all_pairs(spark):
+    rng = random.Random(11)
+    names = {i: " ".join(rng.choices("abcd", k=rng.randint(1, 4))) for i in range(60)} | {60: None, 61: None, 62: ""}
+    side = lambda r: spark.createDataFrame([(i, n.split(" ") if n is not None else None) for i, n in names.items() if i % 2 == r], f"{'ka' if r == 0 else 'kb'} long, tokens array<string>")
+    rows = J.token_overlap(side(0), side(1), "ka", "kb").collect()
+    sets = {i: set(n.split(" ")) if n is not None else set() for i, n in names.items()}
+    want = {(i, j, len(sets[i] & sets[j])) for i in names for j in names if i % 2 == 0 and j % 2 == 1 and len(sets[i] & sets[j]) >= 2}
+    held = {}
+    for r in rows:
+        if r.kind != "pair":
+            held.setdefault((r.kind, r.class_id), []).append(r.ka)
+    pairs = [r for r in rows if r.kind == "pair"]
+    assert {(i, j, r.shared) for r in pairs for i in held["a", r.ka] for j in held["b", r.kb]} == want
+    assert sum(r.n_links for r in pairs) == len(want) and len(pairs) < len(want)
+    assert sorted(i for m in held.values() for i in m) == sorted(names)
+    for r in rows:
+        if r.kind != "pair":
+            assert r.n_links == sum(r.ka == p["ab".index(r.kind)] for p in want)
