@@ -139,3 +139,18 @@ def test_links_between_classes_are_all_pairs(spark):
     for r in rows:
         if r.kind != "pair":
             assert r.n_links == sum(r.ka == p["ab".index(r.kind)] for p in want)
+
+
+def test_ticker_links_are_all_pairs(spark):
+    rng = random.Random(12)
+    day = lambda d: dt.date(2024, 1, 1) + dt.timedelta(days=d)
+    teams = [(i, rng.choice(["Boston", "Denver", "Miami"]), rng.randrange(4)) for i in range(30)]
+    tickers = [(100 + i, rng.choice(["X-BOSDEN", "X-MIA", "BOS", "X"]), rng.randrange(4)) for i in range(40)]
+    rows = J.ticker_prefix(spark.createDataFrame([(i, t, day(d)) for i, t, d in teams], "id long, team string, day date"), spark.createDataFrame([(i, t, day(d)) for i, t, d in tickers], "id long, ticker string, day date")).collect()
+    held = {}
+    for r in rows:
+        if r.kind != "pair":
+            held.setdefault((r.kind, r.class_id), []).append(r.a_id)
+    want = {(i, j) for i, t, d in teams for j, k, e in tickers if t[:3].upper() in k and abs(d - e) <= 1}
+    assert {(i, j) for r in rows if r.kind == "pair" for i in held["a", r.a_id] for j in held["b", r.b_id]} == want
+    assert sum(r.n_links for r in rows if r.kind == "pair") == len(want) > sum(r.kind == "pair" for r in rows)
