@@ -154,3 +154,21 @@ def test_ticker_links_are_all_pairs(spark):
     want = {(i, j) for i, t, d in teams for j, k, e in tickers if t[:3].upper() in k and abs(d - e) <= 1}
     assert {(i, j) for r in rows if r.kind == "pair" for i in held["a", r.a_id] for j in held["b", r.b_id]} == want
     assert sum(r.n_links for r in rows if r.kind == "pair") == len(want) > sum(r.kind == "pair" for r in rows)
+
+
+def test_token_date_brute_force(spark):
+    rng = random.Random(13)
+    day = lambda d: dt.date(2024, 1, 1) + dt.timedelta(days=d)
+    games = lambda n, at: [(at + i, rng.choices("abc", k=rng.randint(0, 2)), rng.choices("abc", k=rng.randint(0, 2)), rng.randrange(6)) for i in range(n)]
+    a, b = games(40, 0), games(40, 100)
+    frame = lambda g: spark.createDataFrame([(i, h, w, day(d)) for i, h, w, d in g], "id long, home array<string>, away array<string>, day date")
+    best = {}
+    for i, h, w, d in a:
+        for j, x, y, e in b:
+            same, turned = set(h) & set(x) and set(w) & set(y), set(h) & set(y) and set(w) & set(x)
+            if abs(d - e) <= 1 and (same or turned):
+                best[i] = min(best.get(i, (j, bool(same))), (j, bool(same)))
+    df = J.token_date(frame(a), frame(b))
+    assert {r.a_id: (r.b_id, r.same) for r in df.collect()} == best
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap" not in plan and "sequence" in plan  # nothing is compared pair by pair
