@@ -196,3 +196,13 @@ def test_no_frame_is_summed_anew_for_each_row(spark, name):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     frames = re.findall(r"specifiedwindowframe\(\w+, ([^,]+), ([^)]+\)?)\)", plan)
     assert frames and all(lo.startswith("unboundedpreceding") or not hi.startswith("unboundedfollowing") for lo, hi in frames)
+
+
+def test_keywords_of_a_common_word_are_dealt(spark):
+    """A word that stands in every item and market is counted by many tasks."""
+    news = spark.range(3000).selectExpr("id AS news_id", "array('the', concat('w', id % 7)) AS tokens", "'the' AS title")
+    markets = spark.range(40).selectExpr("id AS market_id", "array('the', concat('w', id % 7)) AS keywords")
+    got = J.keyword_match(news, markets, 2)
+    assert got.count() == sum(i % 7 == j % 7 for i in range(3000) for j in range(40))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "shard" in plan and "RepartitionByExpression [news_id" in plan

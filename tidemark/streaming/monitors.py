@@ -43,7 +43,7 @@ def news_match(stream: DataFrame, markets: DataFrame, out: str, checkpoint: str,
     """Each news item matched once: a row per market of which it has ``least`` keywords, or one row without a market.
 
     What an item matches depends on the static markets alone, so nothing waits for a watermark: a micro-batch is joined as
-    a batch (by the markets' rarest keywords, all joins merged) and written to a folder of its own number. A batch that a
+    a batch (on the word, all joins merged) and written to a folder of its own number. A batch that a
     restart repeats replaces its folder, so every item comes out exactly once; items sent again within ``delay`` are
     dropped. stream: news_id, tokens, title, ts; markets: market_id, keywords."""
 
