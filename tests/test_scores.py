@@ -206,3 +206,11 @@ def test_keywords_of_a_common_word_are_dealt(spark):
     assert got.count() == sum(i % 7 == j % 7 for i in range(3000) for j in range(40))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "shard" in plan and "RepartitionByExpression [news_id" in plan
+
+
+def test_fees_are_joined_once(spark):
+    """The passes over the fees of large bands read what one join has written."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["realized_fee_bands"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "l_orderkey" not in plan
