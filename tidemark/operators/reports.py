@@ -179,25 +179,35 @@ def group_collect(markets: DataFrame, event: str) -> DataFrame:
 
 def participant_profile(fills: DataFrame, top: int = 5, busy: float = 0.02) -> DataFrame:
     """fills: wallet, asset, ts, cents, maker, action (open, close, liquidation), fee, pnl. Counts, notional, share of maker
-    fills, role, span in days, hours of day with ``busy`` of the fills or more, and the ``top`` assets by notional."""
-    n = F.count("*")
-    total = fills.groupBy("wallet").agg(
-        n.alias("n"),
-        F.sum("cents").alias("notional"),
-        share(F.count_if("maker"), n).alias("maker_share"),
-        *[F.count_if(F.col("action") == a).alias(f"{a}s") for a in ("open", "close", "liquidation")],
-        F.sum("fee").alias("fees"),
+    fills, role, span in days, hours of day with ``busy`` of the fills or more, and the ``top`` assets by notional. The fills are read
+    once, into a row per wallet, asset and hour of day; all else comes from these."""
+    actions, sums = ("open", "close", "liquidation"), {"notional": "cents", "fees": "fee", "pnl": "pnl"}
+    at = F.unix_micros("ts")
+    each = fills.where(F.col("wallet").isNotNull()).groupBy("wallet", "asset", F.hour("ts").alias("hour")).agg(
+        F.count("*").alias("n"),
+        F.count_if("maker").alias("makers"),
+        *[F.sum(c).alias(name) for name, c in sums.items()],
+        *[F.count_if(F.col("action") == a).alias(f"{a}s") for a in actions],
+        F.min(at).alias("first"),
+        F.max(at).alias("last"),
+    )
+    of_wallet, of_hour = Window.partitionBy("wallet"), Window.partitionBy("wallet", "hour")
+    each = each.withColumns({"all": F.sum("n").over(of_wallet), "asset_sum": F.sum("notional").over(Window.partitionBy("wallet", "asset"))})
+    each = each.withColumns({"in_hour": F.sum("n").over(of_hour), "nth": F.row_number().over(of_hour.orderBy("asset"))})
+    each = each.withColumn("rank", F.dense_rank().over(of_wallet.orderBy(F.desc("asset_sum"), "asset")))
+    total = each.groupBy("wallet").agg(
+        F.sum("n").alias("n"),
+        F.sum("notional").alias("notional"),
+        share(F.sum("makers"), F.sum("n")).alias("maker_share"),
+        *[F.sum(f"{a}s").alias(f"{a}s") for a in actions],
+        F.sum("fees").alias("fees"),
         F.sum("pnl").alias("pnl"),
-        rnd((F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 86_400e6).alias("span_days"),
+        rnd((F.max("last") - F.min("first")) / 86_400e6).alias("span_days"),
+        F.count_if((F.col("nth") == 1) & (F.col("in_hour") >= busy * F.col("all"))).alias("busy_hours"),
+        F.concat_ws(",", F.sort_array(F.collect_set(F.when(F.col("rank") <= top, F.struct("rank", "asset"))))["asset"]).alias("assets"),
     )
     role = F.when(F.col("maker_share") >= 0.7, "maker").when(F.col("maker_share") <= 0.3, "taker").otherwise("mixed")
-    hours = fills.groupBy("wallet", F.hour("ts").alias("hour")).agg(F.count("*").alias("c"))
-    hours = hours.withColumn("all", F.sum("c").over(Window.partitionBy("wallet")))  # 24 rows a wallet
-    hours = hours.groupBy("wallet").agg(F.count_if(F.col("c") >= busy * F.col("all")).alias("busy_hours"))
-    assets = fills.groupBy("wallet", "asset").agg(F.sum("cents").alias("c"))
-    assets = assets.withColumn("rank", F.row_number().over(Window.partitionBy("wallet").orderBy(F.desc("c"), "asset"))).where(F.col("rank") <= top)
-    assets = assets.groupBy("wallet").agg(F.concat_ws(",", F.sort_array(F.collect_list(F.struct("rank", "asset")))["asset"]).alias("assets"))
-    return total.withColumn("role", role).join(hours, "wallet").join(assets, "wallet")
+    return total.withColumn("role", role)
 
 
 def flat_fraction(returns: DataFrame, ret: str, limit: float, quiet: list[int]) -> DataFrame:
