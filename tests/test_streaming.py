@@ -202,3 +202,35 @@ def test_resolution_lag(spark, tmp_path):
     df = spark.createDataFrame([(1, at(5), 1, at(10), False), (1, at(40), 2, at(10), True), (2, at(6), 3, at(10), False)], "market_id long, ts timestamp, id long, end_ts timestamp, resolved boolean")
     r = {x.market_id: (x.lag_s, x.status) for x in drain(spark, tmp_path, df, M.resolution_lag).collect()}
     assert r[1] == (30.0, "RESOLVED")
+
+
+def state_calls(spark, folder, stream):
+    """How often a stream reads or writes an entry of its state, over all its micro-batches."""
+    with R.keyed_state(spark):
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start(f"{folder}/out")
+    query.awaitTermination()
+    return sum(int(op["customMetrics"][c]) for p in query.recentProgress for op in p["stateOperators"] for c in ("rocksdbGetCount", "rocksdbPutCount"))
+
+
+def test_state_calls_of_episodes_follow_keys(spark, tmp_path):
+    """Ten times the rows of two events in a micro-batch call the state as often."""
+    rows = [(i % 2, "xyz"[i // 2 % 3], i * 7919 % 600, at(i), i) for i in range(400)]
+    few, many = (state_calls(spark, tmp_path / f"o{n}", K.arb_episodes(rows_of(spark, str(tmp_path / f"i{n}"), TICK, rows[:n]), 3, 700, 50, 3.0)) for n in (40, 400))
+    assert many <= few + 8
+
+
+def test_state_calls_of_books_follow_keys(spark, tmp_path):
+    schema = "asset string, side string, price long, size double, ts timestamp, id long"
+    rows = [("ab"[i % 2], "SELL", i * 7919 % 600, float(i % 3), at(i), i) for i in range(400)]
+    few, many = (state_calls(spark, tmp_path / f"o{n}", K.book_state(rows_of(spark, str(tmp_path / f"i{n}"), schema, rows[:n]))) for n in (40, 400))
+    assert many <= few + 8
+
+
+def test_book_of_several_blocks(spark, tmp_path):
+    """Levels far apart, in two runs: blocks empty, come back, and the best moves between them."""
+    rng = random.Random(8)
+    rows = [("a", "SELL", rng.choice([-1500, 10, 900, 999, 1000, 2500, 7000]), float(rng.choice([0, 0, 1])), rng.random() < 0.02, at(i), i) for i in range(160)]
+    schema = "asset string, side string, price long, size double, reset boolean, ts timestamp, id long"
+    for part in (rows[:70], rows[70:]):
+        got, _ = R.run_to_end(K.book_state(rows_of(spark, str(tmp_path / "in"), schema, part)), str(tmp_path / "out"))
+    assert sorted((r.asset, r.id, r.best) for r in got.collect()) == slow_book(rows)

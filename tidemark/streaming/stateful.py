@@ -1,7 +1,8 @@
 """Keyed stream processors with map state and timers: order books, episodes that close on silence, silent feeds.
 
 They need the RocksDB state store (``run.keyed_state``). A key's rows of one micro-batch are put in order of (ts, id); how
-many these are is bounded by the source's rate limit (maxFilesPerTrigger, maxBytesPerTrigger). Event time is in
+many these are is bounded by the source's rate limit (maxFilesPerTrigger, maxBytesPerTrigger). Every call to the state goes to
+the JVM and back, so a key reads and writes what it needs once per micro-batch, not once per row. Event time is in
 microseconds, timers are in milliseconds, so a timer fires up to 2 ms after what it waits for. Rows later than the
 watermark are dropped and counted (``run.late_rows``).
 """
@@ -10,23 +11,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
-def in_order(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """A key's rows by (us, id); ``us`` is the event time in microseconds."""
-    got = [f for f in frames if len(f)]
-    if got:
-        yield from pd.concat(got).sort_values(["us", "id"], kind="stable").itertuples(index=False)
+def in_order(rows: Iterator[Row]) -> list[Row]:
+    """A key's rows, with the columns of ``timed``, by (us, id), nulls last."""
+    last = lambda x: (x is None, x or 0)
+    return sorted(rows, key=lambda r: (last(r[1]), last(r[2])))
 
 
-def timed(stream: DataFrame, key: str, delay: str | None) -> DataFrame:
-    """With a watermark, and the event time as a number that no worker's time zone changes. Rows without a key are no one's:
-    they are left out."""
+def timed(stream: DataFrame, key: str, delay: str | None, *columns) -> DataFrame:
+    """The key, the event time as a number that no worker's time zone changes (us), id, ts and ``columns``, in this order, with a
+    watermark. Rows without a key are no one's: they are left out."""
     s = stream.withWatermark("ts", delay) if delay else stream
-    return s.where(F.col(key).isNotNull()).withColumn("us", F.unix_micros("ts"))
+    return s.where(F.col(key).isNotNull()).select(key, F.unix_micros("ts").alias("us"), "id", "ts", *columns)
 
 
 def past(us: int) -> int:
@@ -34,40 +33,59 @@ def past(us: int) -> int:
     return us // 1000 + 1
 
 
+BLOCK = 1000  # a whole unit of price
+
+
 class Ladder(StatefulProcessor):
-    """The ask side of a book as one map entry per level: a change reads and writes its own level and the best price. Only
-    when the best level goes are the other levels' prices read; none is rewritten."""
+    """The ask side of a book as map entries of a thousand adjacent prices each, beside the best price and the list of the entries. A micro-batch
+    reads the entries that it changes, and the lowest one when the best level goes; each once. It writes those that it has changed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "price bigint", "size double")
-        self.best = handle.getValueState("best", "price bigint")
+        self.levels = handle.getMapState("levels", "block bigint", "prices array<bigint>, sizes array<double>")
+        self.head = handle.getValueState("head", "best bigint, blocks array<bigint>")
+        self.row = Row("asset", "ts", "id", "best")
 
     def handleInputRows(self, key, rows, timerValues):
-        best = self.best.get()[0] if self.best.exists() else None
-        before, out = best, []
-        for r in in_order(rows):
-            if r.side != "SELL" or pd.isna(r.price) or pd.isna(r.size):
-                continue
+        got = self.head.get()
+        best, stored = (got[0], set(got[1])) if got else (None, set())
+        before, blocks, read, changed = best, set(stored), {}, set()
+
+        def levels(block):
+            if block not in read:
+                read[block] = dict(zip(*self.levels.getValue((block,)))) if block in stored else {}
+            return read[block]
+
+        for _, _, i, ts, price, size, *reset in in_order(rows):
             now = best
-            if getattr(r, "reset", False):
-                self.levels.clear()
-                now = None
-            price = int(r.price)
-            if r.size > 0:
-                self.levels.updateValue((price,), (float(r.size),))
+            if any(reset):
+                if stored:
+                    self.levels.clear()
+                stored, blocks, read, changed, now = set(), set(), {}, set(), None
+            block = price // BLOCK
+            here = levels(block)
+            if size > 0:
+                here[price] = size
+                blocks.add(block)
+                changed.add(block)
                 now = price if now is None else min(now, price)
-            else:
-                self.levels.removeKey((price,))
+            elif here.pop(price, None) is not None:
+                changed.add(block)
+                if not here:
+                    blocks.remove(block)
                 if now == price:
-                    now = min((k[0] for k in self.levels.keys()), default=None)
+                    now = min(levels(min(blocks))) if blocks else None
             if now != best:
                 best = now
-                out.append((key[0], r.ts, r.id, best))
-        if best is None:
-            self.best.clear()
-        elif best != before:
-            self.best.update((best,))
-        yield pd.DataFrame({"asset": [r[0] for r in out], "ts": pd.Series([r[1] for r in out], dtype="datetime64[ns]"), "id": [r[2] for r in out], "best": pd.array([r[3] for r in out], "Int64")})
+                yield self.row(key[0], ts, i, best)
+        for block in changed:
+            if read[block]:
+                self.levels.updateValue((block,), (list(read[block]), list(read[block].values())))
+            elif block in stored:
+                self.levels.removeKey((block,))
+        if blocks and (best != before or blocks != set(got[1] if got else [])):
+            self.head.update((best, sorted(blocks)))
+        elif got and not blocks:
+            self.head.clear()
 
     def close(self) -> None:
         pass
@@ -77,83 +95,74 @@ def book_state(deltas: DataFrame, delay: str = "1 minute") -> DataFrame:
     """Best ask per asset after each change. deltas: asset, side, price (thousandths), size, ts, id and optionally
     ``reset``, which begins a snapshot: what the book held before goes. A size of 0 removes its level, whichever it is;
     only side SELL holds asks; rows without a price or size change nothing."""
-    return timed(deltas, "asset", delay).groupBy("asset").transformWithStateInPandas(Ladder(), "asset string, ts timestamp, id bigint, best bigint", "append", "eventTime")
+    reset = [c for c in ("reset",) if c in deltas.columns]
+    asks = timed(deltas, "asset", delay, F.col("price").cast("bigint"), F.col("size").cast("double"), *reset, "side").where("side = 'SELL' AND price IS NOT NULL AND size IS NOT NULL AND NOT isnan(size)").drop("side")
+    return asks.groupBy("asset").transformWithState(Ladder(), "asset string, ts timestamp, id bigint, best bigint", "append", "eventTime")
 
 
 EPISODE = "start_us bigint, end_us bigint, status string, least bigint, mean double, updates bigint, phantom boolean, run string"
 
 
 class Episodes(StatefulProcessor):
-    """Sums of all legs' last prices under a limit, from opening to close; see ``arb_episodes``."""
+    """Sums of all legs' last prices under a limit, from opening to close; see ``arb_episodes``. An event's legs and open episode are one
+    value; its timer is where the open episode's last tick puts it."""
 
     def __init__(self, key: str, legs: int, below: int, phantom: int, gap_us: int, run: str):
         self.key, self.n_legs, self.below, self.phantom, self.gap_us, self.run = key, legs, below, phantom, gap_us, run
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.legs = handle.getMapState("legs", "leg string", "price bigint")
-        self.book = handle.getValueState("book", "total bigint, known bigint")
-        self.live = handle.getValueState("live", "start bigint, last bigint, least bigint, total bigint, n bigint")
-        self.timer = handle.getValueState("timer", "ms bigint")
+        self.book = handle.getValueState("book", "prices map<string,bigint>, start bigint, last bigint, least bigint, sums bigint, n bigint")
+        self.row = Row(self.key, *[c.split()[0] for c in EPISODE.split(", ")])
 
     def _row(self, key, live, end, status):
         start, _, least, total, n = live
-        return key[0], start, end, status, least, total / n, n, least < self.phantom, self.run
+        return self.row(key[0], start, end, status, least, total / n, n, least < self.phantom, self.run)
+
+    def _read(self):
+        got = self.book.get()
+        if got is None:
+            return {}, None
+        return dict(got[0]), tuple(got[1:]) if got[1] is not None else None
 
-    def _frame(self, rows):
-        frame = pd.DataFrame(rows, columns=[self.key, *[c.split()[0] for c in EPISODE.split(", ")]])
-        return frame.astype({"end_us": "Int64"})
+    def _write(self, prices, live) -> None:
+        self.book.update((prices, *(live or [None] * 5)))
 
-    def _arm(self, at: int | None) -> None:
-        """The one timer of the key is moved to ``at``."""
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-            self.timer.clear()
-        if at is not None:
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
+    def _due(self, live) -> int | None:
+        return past(live[1] + self.gap_us) if live else None
 
     def handleInputRows(self, key, rows, timerValues):
-        total, known = self.book.get() if self.book.exists() else (0, 0)
-        live = tuple(self.live.get()) if self.live.exists() else None
-        out, touched = [], False
-        for r in in_order(rows):
-            if r.leg is None or pd.isna(r.price):
-                continue
-            old = self.legs.getValue((r.leg,))
-            self.legs.updateValue((r.leg,), (int(r.price),))
-            total, known = total + int(r.price) - (old[0] if old else 0), known + (old is None)
-            if live and r.us - live[1] > self.gap_us:
-                out.append(self._row(key, live, live[1] + self.gap_us, "silence"))
+        prices, live = self._read()
+        total, due = sum(prices.values()), self._due(live)
+        touched = False
+        for _, us, _, _, leg, price in in_order(rows):
+            total += price - prices.get(leg, 0)
+            prices[leg] = price
+            if live and us - live[1] > self.gap_us:
+                yield self._row(key, live, live[1] + self.gap_us, "silence")
                 live = None
-            if known < self.n_legs:
+            if len(prices) < self.n_legs:
                 continue
             if total < self.below:
-                start, _, least, sums, n = live or (r.us, r.us, total, 0, 0)
-                live, touched = (start, r.us, min(least, total), sums + total, n + 1), True
+                start, _, least, sums, n = live or (us, us, total, 0, 0)
+                live, touched = (start, us, min(least, total), sums + total, n + 1), True
             elif live:
-                out.append(self._row(key, live, r.us, "closed"))
+                yield self._row(key, live, us, "closed")
                 live = None
-        self.book.update((total, known))
-        if live:
-            if touched:
-                out.append(self._row(key, live, None, "open"))
-                self.live.update(live)
-                self._arm(past(live[1] + self.gap_us))
-        else:
-            self.live.clear()
-            self._arm(None)
-        yield self._frame(out)
+        if live and touched:
+            yield self._row(key, live, None, "open")
+        self._write(prices, live)
+        if self._due(live) != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if live:
+                self.handle.registerTimer(self._due(live))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.timer.clear()
-        out = []
-        if self.live.exists():
-            live = tuple(self.live.get())
-            if expiredTimerInfo.getExpiryTimeInMs() >= past(live[1] + self.gap_us):
-                out.append(self._row(key, live, live[1] + self.gap_us, "silence"))
-                self.live.clear()
-        yield self._frame(out)
+        prices, live = self._read()
+        if live and expiredTimerInfo.getExpiryTimeInMs() >= self._due(live):
+            self._write(prices, None)
+            yield self._row(key, live, live[1] + self.gap_us, "silence")
 
     def close(self) -> None:
         pass
@@ -167,7 +176,8 @@ def arb_episodes(ticks: DataFrame, legs: int, below: int, phantom: int, gap_s: f
     change nothing."""
     kind = dict(ticks.dtypes)["event"]
     processor = Episodes("event", legs, below, phantom, int(gap_s * 1e6), run)
-    return timed(ticks, "event", delay).groupBy("event").transformWithStateInPandas(processor, f"event {kind}, {EPISODE}", "append", "eventTime")
+    known = timed(ticks, "event", delay, "leg", F.col("price").cast("bigint")).where("leg IS NOT NULL AND price IS NOT NULL")
+    return known.groupBy("event").transformWithState(processor, f"event {kind}, {EPISODE}", "append", "eventTime")
 
 
 def settled_episodes(log: DataFrame, runs: list[tuple[str, int]]) -> DataFrame:
@@ -190,17 +200,15 @@ class Silence(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "us bigint, items bigint, warned boolean")
-
-    def _frame(self, rows):
-        return pd.DataFrame(rows, columns=[self.feed, "last_us", "silent_us", "items"])
+        self.row = Row(self.feed, "last_us", "silent_us", "items")
 
     def handleInputRows(self, key, rows, timerValues):
-        last, items, warned = self.last.get() if self.last.exists() else (None, 0, False)
-        before, out = last, []
-        for r in in_order(rows):
-            us = r.us if self.event_time else timerValues.getCurrentProcessingTimeInMs() * 1000
+        last, items, warned = self.last.get() or (None, 0, False)
+        before = last
+        for _, us, _, _ in in_order(rows):
+            us = us if self.event_time else timerValues.getCurrentProcessingTimeInMs() * 1000
             if last is not None and us - last > self.limit_us and not warned:
-                out.append((key[0], last, last + self.limit_us, items))
+                yield self.row(key[0], last, last + self.limit_us, items)
             if last is None or us > last:
                 last, warned = us, False
             items += 1
@@ -209,15 +217,12 @@ class Silence(StatefulProcessor):
             if before is not None:
                 self.handle.deleteTimer(past(before + self.limit_us))
             self.handle.registerTimer(past(last + self.limit_us))
-        yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         last, items, warned = self.last.get()
-        out = []
         if not warned and expiredTimerInfo.getExpiryTimeInMs() >= past(last + self.limit_us):
-            out.append((key[0], last, last + self.limit_us, items))
             self.last.update((last, items, True))
-        yield self._frame(out)
+            yield self.row(key[0], last, last + self.limit_us, items)
 
     def close(self) -> None:
         pass
@@ -230,4 +235,4 @@ def feed_silence_warnings(stream: DataFrame, feed: str, limit: float = 3 * 3600,
     kind = dict(stream.dtypes)[feed]
     s = timed(stream, feed, delay if clock == "event" else None)
     processor = Silence(feed, int(limit * 1e6), clock == "event")
-    return s.groupBy(feed).transformWithStateInPandas(processor, f"{feed} {kind}, last_us bigint, silent_us bigint, items bigint", "append", "eventTime" if clock == "event" else "processingTime")
+    return s.groupBy(feed).transformWithState(processor, f"{feed} {kind}, last_us bigint, silent_us bigint, items bigint", "append", "eventTime" if clock == "event" else "processingTime")
