@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
-from tidemark.operators import aggregates as A, impact as I, joins as J, running as U
+from tidemark.operators import aggregates as A, impact as I, joins as J, ordered as O, running as U
 from tidemark.plans.queries_scores import SLUGS
 from tidemark.sources import files
 
@@ -214,3 +214,12 @@ def test_fees_are_joined_once(spark):
 
     plan = entry.queries()["realized_fee_bands"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "l_orderkey" not in plan
+
+
+def test_dealt_rows_are_bounded(spark):
+    rows = spark.range(3000).selectExpr("id % 1000 AS g", "id % 7 AS p", "id AS tie", "id % 2 AS o")
+    assert O.dealt(rows, "g", 100).rdd.getNumPartitions() == 30 and O.dealt(rows, "g").rdd.getNumPartitions() == 4
+    stats = O.rank_stats(O.dealt(rows, "g", 100), "g", "p", "tie", "o", 3)
+    assert {r["rank"]: r.n for r in stats.collect()} == {1: 1000, 2: 1000, 3: 1000}
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(g" in plan and plan.split("== Initial Plan ==")[-1].count("hashpartitioning(g") == 1

@@ -101,6 +101,13 @@ def rank_in_group(rows: DataFrame, group: str, by: str, tie: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(by), tie)))
 
 
+def dealt(rows: DataFrame, key: str, most: int = 400_000) -> DataFrame:
+    """``rows`` dealt by ``key`` so that a task has about ``most`` of them however many there are: what it sorts doesn't grow with the table.
+    They are counted first; a table as it was read is counted without reading its columns."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // most))
+    return rows.repartition(n, key)
+
+
 def rank_stats(rows: DataFrame, group: str, by: str, tie: str, outcome: str, legs: int, keys: list[str] = (), least: int = 1) -> DataFrame:
     """Groups of exactly ``legs`` rows ranked by falling ``by`` (ties by ``tie``); per rank, over all and per value of ``keys`` (null: over
     all): rows, how often the outcome was 1, mean, least and largest ``by``, and the rate less the mean."""
