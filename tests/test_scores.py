@@ -216,6 +216,24 @@ def test_fees_are_joined_once(spark):
     assert "Join" in plan and "l_orderkey" not in plan
 
 
+def test_gates_read_each_table_once_per_total(spark):
+    """The gates' running totals follow one another; none is worked out again for the next. Events are read for the sums and the buckets."""
+    pos = spark.range(9).selectExpr("'p' AS cell", "id AS market", "'Y' AS side", "id AS event", "timestamp_seconds(id) AS opened", "timestamp_seconds(id + 5) AS closed", "id AS pnl")
+    cand = spark.range(9).selectExpr("id", "timestamp_seconds(id) AS ts", "id AS market", "'Y' AS side", "id AS event", "CAST(0.3 AS DOUBLE) AS ask")
+    plan = U.gate_reasons(cand, pos, {"p": 0.5}, 400.0)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Range (") <= 10
+
+
+def test_running_over_buckets_without_events(spark):
+    """Probes in buckets that hold no event, before the first and after the last one, and with null keys."""
+    events = spark.createDataFrame([("a", at(100), 5), ("a", at(5000), -7), ("b", at(100), 1), (None, at(1), 9)], "k string, ts timestamp, x long")
+    probes = spark.createDataFrame([(1, "a", at(10)), (2, "a", at(2500)), (3, "a", at(9000)), (4, "b", at(9000)), (5, "c", at(9000)), (6, None, at(9000)), (7, "a", None)], "id long, k string, ts timestamp")
+    want = {1: (0, 0), 2: (5, 5), 3: (-2, 5), 4: (1, 1), 5: (0, 0), 6: (0, 0), 7: (0, 0)}
+    for source in (None, probes.select("k", "ts")):
+        got = U.running(probes, events, ["k"], ["x"], "x", 1_000_000_000, source)
+        assert {r.id: (r.x, r.x_peak) for r in got.collect()} == want
+
+
 def test_dealt_rows_are_bounded(spark):
     rows = spark.range(3000).selectExpr("id % 1000 AS g", "id % 7 AS p", "id AS tie", "id % 2 AS o")
     assert O.dealt(rows, "g", 100).rdd.getNumPartitions() == 30 and O.dealt(rows, "g").rdd.getNumPartitions() == 4

@@ -12,10 +12,11 @@ from tidemark.operators.joins import asof_backward
 DAY_US = 86_400_000_000
 
 
-def running(probes: DataFrame, events: DataFrame, keys: list[str], sums: list[str], peak: str | None = None, bucket_us: int = 30 * DAY_US) -> DataFrame:
+def running(probes: DataFrame, events: DataFrame, keys: list[str], sums: list[str], peak: str | None = None, bucket_us: int = 30 * DAY_US, source: DataFrame | None = None) -> DataFrame:
     """``probes`` with each of ``sums`` totalled over the events of the same keys at or before the probe's ``ts``, and with
     ``peak``: the highest total that this column ever had (``<peak>_peak``, 0 before the first event). Events of one time count
-    together. Null keys and times meet nothing: their totals are 0."""
+    together. Null keys and times meet nothing: their totals are 0. ``source``: rows with all the probes' keys and times, if they are read
+    more cheaply a second time than the probes are."""
     known = F.lit(True)
     for k in [*keys, "ts"]:
         known = known & F.col(k).isNotNull()
@@ -28,17 +29,18 @@ def running(probes: DataFrame, events: DataFrame, keys: list[str], sums: list[st
     both = both.select("*", *[F.sum(c).over(w).alias(f"__in_{c}") for c in sums])
     if peak:
         both = both.withColumn("__top", F.max(F.when(F.col("__side") == 0, F.col(f"__in_{peak}"))).over(w))
-    b = both.groupBy(*keys, "__b").agg(*[F.sum(c).alias(c) for c in sums], *([F.max("__top").alias("__top")] if peak else []))
+    e = per_time.withColumn("__u", F.unix_micros("ts")).withColumn("__b", F.floor(F.col("__u") / bucket_us))
+    if peak:
+        e = e.withColumn("__top", F.sum(peak).over(Window.partitionBy(*keys, "__b").orderBy("__u").rowsBetween(Window.unboundedPreceding, 0)))
+    asked = (probes if source is None else source).where(known).select(*keys, F.floor(F.unix_micros("ts") / bucket_us).alias("__b")).distinct()
+    b = e.select(*keys, "__b", *sums, *(["__top"] if peak else [])).unionByName(asked, allowMissingColumns=True)
+    b = b.groupBy(*keys, "__b").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], *([F.max("__top").alias("__top")] if peak else []))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row per key and bucket
     b = b.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__base_{c}") for c in sums])
     if peak:
         b = b.withColumn("__peak", F.greatest(F.max(F.col(f"__base_{peak}") + F.col("__top")).over(before), F.lit(0)))
-    names = [f"__j{i}" for i in range(len(keys) + 1)]
-    b = b.select(*[F.col(k).alias(n) for k, n in zip([*keys, "__b"], names)], *[c for c in b.columns if c.startswith(("__base_", "__peak"))])
-    on = F.lit(True)
-    for k, n in zip([*keys, "__b"], names):
-        on = on & F.col(k).eqNullSafe(F.col(n))
-    j = both.where("__side = 1").hint("merge").join(b.hint("merge"), on)
+    b = b.select(*keys, "__b", *[c for c in b.columns if c.startswith(("__base_", "__peak"))])
+    j = both.where("__side = 1").hint("merge").join(b.hint("merge"), [*keys, "__b"], "left")  # by the window's own keys: dealt and sorted once
     ok = F.lit(True)
     for k in [*keys, "__u"]:
         ok = ok & F.col(k).isNotNull()
@@ -95,16 +97,17 @@ def gate_reasons(candidates: DataFrame, positions: DataFrame, cells: dict[str, f
     event_concentration_cap: ``most_open`` positions or more of the event are open. early_killed: ``kill_after`` positions or more
     are closed, at a loss in all.
     candidates: id, ts, market, side, event, ask; positions: cell, market, side, event, opened, closed (null: open), pnl."""
-    c = candidates.withColumn("c", F.explode(F.array(*[F.struct(F.lit(k).alias("cell"), F.lit(float(v)).alias("cap")) for k, v in cells.items()]))).select("*", "c.*").drop("c")
+    c = candidates.withColumn("c", F.explode(F.array(*[F.struct(F.lit(k).alias("cell"), F.lit(float(v)).alias("cap")) for k, v in cells.items()])))
+    c = source = c.select("id", "ts", "market", "side", "event", "c.cell", (F.col("ask") > F.col("c.cap")).alias("tight"))
     turns = positions.select("cell", "market", "side", "event", F.explode(F.array(F.struct(F.col("opened").alias("ts"), F.lit(1).alias("held")), F.struct(F.col("closed").alias("ts"), F.lit(-1).alias("held")))).alias("t"))
     turns = turns.select("cell", "market", "side", "event", "t.*")
     closed = positions.where("closed is not null").select("cell", F.col("closed").alias("ts"), "pnl", F.lit(1).alias("done"))
-    c = running(c, turns, ["cell", "market", "side"], ["held"])
-    c = running(c, turns.withColumnRenamed("held", "in_event"), ["cell", "event"], ["in_event"])
-    c = running(c, closed, ["cell"], ["pnl", "done"], "pnl")
+    c = running(c, turns, ["cell", "market", "side"], ["held"], source=source).drop("market", "side")
+    c = running(c, turns.withColumnRenamed("held", "in_event"), ["cell", "event"], ["in_event"], source=source).drop("event")
+    c = running(c, closed, ["cell"], ["pnl", "done"], "pnl", source=source)
     lost = (F.col("pnl_peak") - F.col("pnl")) / (seed + F.col("pnl_peak")) if from_peak else -F.col("pnl") / seed
     gates = {
-        "cap_too_tight": F.col("ask") > F.col("cap"),
+        "cap_too_tight": F.col("tight"),
         "already_open": F.col("held") > 0,
         "drawdown_breaker": lost > drawdown,
         "event_concentration_cap": F.col("in_event") >= most_open,
