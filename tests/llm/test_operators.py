@@ -134,6 +134,27 @@ def test_packing(spark, docs):
         assert list(words.encode(x)) == tokenizer.encode(x, add_special_tokens=False).ids
 
 
+def test_packing_common_words_kept():
+    """Common words are encoded once, whatever their case and the marks behind, also after the word cache was cut; ids are the tokenizer's."""
+    path = tokenizer_file("word_bpe_49k.json")
+    words, learned = packing.WordTokens(path, most=400), collections.Counter()
+    learn = words._learn
+    words._learn = lambda new: (learned.update(w.lower().strip(".,!?;(") for w in new), learn(new))[1]
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdeghiklmnoprstu\u00e9\u00fc"))
+    name = lambda: "".join(rng.choice(letters, 9))
+    common = [name() for _ in range(50)]
+    forms = (str, str.upper, str.title, "{},".format, "{}.".format, "{}!?".format, "{};(".format)
+    for _ in range(40):
+        texts = [" ".join(forms[rng.integers(len(forms))](w) for w in rng.permutation([*common, *(name() for _ in range(60))])) for _ in range(2)]
+        for text, ids in zip(texts, words.encode_many(texts)):
+            assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert max(learned[w] for w in common) == 1
+    odd = [None, "", " \n", "a!'s b", "x...y \u00d7 \u00f7 \u0149a. e\u0301, \u0130, don't! (it's)", "<|endoftext|>,", "\u00e9!<|endoftext|>"]
+    assert [x.tolist() for x in words.encode_many(odd)] == [words.tokenizer.encode(x or "", add_special_tokens=False).ids for x in odd]
+    assert [x.tolist() for x in words.encode_many([None])] == [[]] and words.encode_many([]) == []
+
+
 def test_pii(spark, docs):
     texts = ["mail Ann.4@mail8.example.com, ann.4@mail8.example.com", "call +1 (988) 555-2485 or 988-555-2485", "card 4041894974608795. 4041 8949 7460 8795", "ip 42.144.35.254.", "ssn 123-45-6789", "on 2024-02-29 and 31.12.1999", "GB82 WEST 1234 5698 7654 32"]
     clean = ["id 764263600241 v 2.0. 4041894974608796", "2023-02-30 000-12-3456 1.2.3", "", None]

@@ -9,13 +9,14 @@ fan-in times the open windows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import cache
 from itertools import chain
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,21 +28,20 @@ _NAMES = [x.split()[0] for x in OPEN.split(", ")]
 _KINDS = (pa.int64(),) * 8 + (pa.binary(), pa.int64())
 
 
-class _Index(dict):
-    """word: its number; a new word takes the next one and is noted."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
+#: A word of Latin letters, all of them whole letters in NFC (U+0130 has a lower case of its own), and what ASCII marks are behind it.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_WORD = f"^(?P<stem>[{_LETTERS}]+)(?P<marks>[!-&(-/:-@\\[-`{{-~]*)$"
+_STEM = re.compile(f"[{_LETTERS}]+")
 
 
 class WordTokens:
     """ids of texts by a word-wise tokenizer: its pieces never cross ASCII white space, so each distinct word is
-    encoded once and kept. The cache is emptied when it holds ``most`` words; that bounds memory, not results.
+    encoded once and kept. When over ``most`` words are kept, those that fewest batches had go; that bounds memory, not
+    results.
 
-    Most words are letters with at most one full stop or comma behind. The tokenizer normalizes (NFC, lower case) and
-    parts these as the code here does, so they go straight to its model; all others take its whole pipeline.
+    Most words are letters with a few marks behind. The tokenizer normalizes (NFC, lower case) and parts these as the
+    code here does, so stem and marks are kept apart and stems go straight to its model; all others take its whole
+    pipeline.
     """
 
     def __init__(self, path: str, most: int = 200_000):
@@ -49,74 +49,90 @@ class WordTokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only spin
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        probe = "Zebra, \u00c9t\u00e9. Stra\u00dfe"
-        self.stops = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in ".,"}
         self.bytes = {i: c for i, c in enumerate(_byte_letters())}
         self.direct = True
         self.clear()
-        self.direct = [i for w in probe.split() for i in self._simple(w) or ()] == self.tokenizer.encode(probe, add_special_tokens=False).ids
+        probe = "Zebra, \u00c9t\u00e9. Stra\u00dfe (a) b!?"
+        self.direct = self.encode(probe).tolist() == self.tokenizer.encode(probe, add_special_tokens=False).ids
+        self.clear()
 
     def clear(self) -> None:
-        self.index = _Index()
-        self.index.new = []
-        self.stems: dict[str, list[int]] = {}
-        self.starts, self.ids, self.used, self.filled = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0, 0
-
-    def _simple(self, word: str) -> list[int] | None:
-        stop = word[-1:]
-        stem = word[:-1] if stop in self.stops and stop else word
-        stem = stem.lower()
-        got = self.stems.get(stem)
-        if got is None:
-            if not stem.isalpha():
-                return None
-            if stem.isascii():
-                name = stem
-            elif max(stem) < "\u0180" and "\u0130" not in word and is_normalized("NFC", word):
-                name = stem.encode().decode("latin-1").translate(self.bytes)
-            else:
-                return None
-            got = self.stems[stem] = [x.id for x in self.tokenizer.model.tokenize(name)]
-        return got + self.stops[stop] if len(stem) < len(word) else got
+        self.index: dict[str, int] = {}
+        self.n, self.uses, self.starts, self.ids = 0, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+
+    def _shrink(self) -> None:
+        """Keeps the words that more than one batch had, half of ``most`` of them at the most."""
+        names, uses = list(self.index), self.uses[: self.n]
+        kept = np.argsort(-uses, kind="stable")[: min(self.most // 2, int((uses > 1).sum()))]
+        a, n = self.starts[kept], self.starts[kept + 1] - self.starts[kept]
+        ids = self.ids[_spans(a, n)]
+        self.clear()
+        self._add([names[i] for i in kept.tolist()], ids, n)
+
+    def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        m, used = self.n + len(words), int(self.starts[self.n])
+        self.index.update(zip(words, range(self.n, m)))
+        while m + 1 > len(self.starts):
+            self.starts, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.uses))
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[used : used + len(ids)] = ids
+        self.starts[self.n + 1 : m + 1] = used + np.cumsum(counts)
+        self.n = m
 
     def _learn(self, words: list[str]) -> None:
-        found = [self._simple(w) if self.direct else None for w in words]
+        found: list = [None] * len(words)
+        if self.direct:
+            model, is_stem = self.tokenizer.model, _STEM.fullmatch
+            for i, w in enumerate(words):
+                if is_stem(w):
+                    found[i] = tuple([x.id for x in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes))])
         rest = [i for i, x in enumerate(found) if x is None]
         for i, x in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
-            found[i] = x.ids
-        flat = np.fromiter(chain.from_iterable(found), np.uint32)
-        while self.filled + len(words) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[self.filled + 1 : self.filled + 1 + len(words)] = self.used + np.cumsum(np.fromiter(map(len, found), np.int64, len(words)))
-        self.used, self.filled = self.used + len(flat), self.filled + len(words)
-
-    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        words, counts = [], []
-        for text in texts:
-            for x in "\t\n\v\f\r" if text else "":  # split() without argument would part at other white space too
-                text = text.replace(x, " ")
-            own = text.split(" ") if text else []
-            words += own
-            counts.append(len(own))
-        if self.filled > self.most:
-            self.clear()
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        if self.index.new:
-            self._learn(self.index.new)
-            self.index.new = []
-        a = self.starts[at]
-        n = self.starts[at + 1] - a
+            found[i] = tuple(x.ids)
+        self._add(words, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(words)))
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of distinct words, new ones learned."""
+        names = words.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in names if w not in self.index]
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        self.uses[at] += 1
+        return at
+
+    def encode_many(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        if self.n > self.most:
+            self._shrink()
+        own = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = own.flatten().dictionary_encode()
+        # each distinct word is a stem and marks, or one part
+        parted = pc.extract_regex(words.dictionary, _WORD)
+        stems = pc.utf8_lower(pc.struct_field(parted, "stem")) if self.direct else pa.nulls(len(parted), pa.string())
+        whole = stems.is_null() if self.direct else pa.array(np.ones(len(parted), bool))
+        parts = pa.chunked_array([pc.if_else(whole, words.dictionary, stems), pc.if_else(whole, "", pc.struct_field(parted, "marks"))]).combine_chunks().dictionary_encode()
+        at = self._numbers(parts.dictionary)[parts.indices.to_numpy()].reshape(2, -1).T.ravel()
+        a, n = self.starts[at], self.starts[at + 1] - self.starts[at]
         ends = np.append(0, np.cumsum(n))
-        ids = self.ids[np.arange(int(ends[-1])) + np.repeat(a - ends[:-1], n)]
-        return np.split(ids, ends[np.cumsum(counts)[:-1]]) if texts else []
+        ids = pa.ListArray.from_arrays(pa.array(ends[::2].astype(np.int32)), pa.array(self.ids[_spans(a, n)])).take(words.indices)
+        cuts = ids.offsets.to_numpy()[own.offsets.to_numpy()[1:-1] - own.offsets[0].as_py()]
+        return np.split(ids.flatten().to_numpy(), cuts - ids.offsets[0].as_py())
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_many([text])[0]
 
 
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of ragged rows laid end to end."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
 def _byte_letters() -> list[str]:
     """Byte-level BPE's letter of each byte: printable ones stand for themselves, others for code points from 256."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -209,9 +225,11 @@ def _pack_documents(path: str, end_id: int, size: int, most: int, least_cut: int
         base, made, w, row = part << 36, 0, Windows(size, most, least_cut), part << 36
         words = tokens_of(path)
         for b in batches:
-            for k in range(0, b.num_rows, 32):
-                some = b.slice(k, 32)
-                for doc_id, ids in zip(some.column(0).to_pylist(), words.encode_many(some.column(1).to_pylist())):
+            ends = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = [0, *(np.flatnonzero(np.diff(ends >> 20)) + 1).tolist(), b.num_rows]  # some 1 MB of text each
+            for i, j in zip(cuts, cuts[1:]):
+                some = b.slice(i, j - i)
+                for doc_id, ids in zip(some.column(0).to_pylist(), words.encode_many(some.column(1))):
                     ids = np.append(ids, np.uint32(end_id))
                     w.add((doc_id, 0, ids, len(ids), row))
                     row += 1
