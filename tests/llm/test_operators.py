@@ -11,6 +11,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,6 +385,37 @@ def test_segmentations(spark, docs):
     assert draws(r) == draws(segmentations.sample_segmentations(docs.repartition(5), path, k=3))
 
 
+def test_segmentations_common_words_kept(spark):
+    """Common words' lattices are built once, also after others had to go, and draws don't depend on what went; texts are cut and
+    decoded as one by one."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    small, large, learned = segmentations.Lattice(path, most_arcs=8000), segmentations.Lattice(path), collections.Counter()
+    learn = small.learn
+    small.learn = lambda new: (learned.update(new), learn(new))[1]
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdeghiklmnoprstu\u00e9\u0416"))
+    name = lambda: "".join(rng.choice(letters, 9))
+    common = [name() for _ in range(50)]
+    for i in range(30):
+        rows = [segmentations.words_of(" ".join(rng.permutation([*common, *(name() for _ in range(60))]))) for _ in range(2)]
+        (found, threshold), (want, least) = (segmentations.search(x, x.numbers([*rows[0], *rows[1]]), np.array([len(r) for r in rows]), np.array([i, 900 + i], np.uint64), 2) for x in (small, large))
+        assert np.allclose(threshold, least)
+        for p, q in zip(found, want):
+            assert (small.piece_ids(p.arcs) == large.piece_ids(q.arcs)).all() and (p.counts == q.counts).all() and np.allclose(p.log_p, q.log_p)
+    assert small._cum.n < 40000 and max(learned[w] for w in common) == 1
+    texts = ["a b", None, "", " ", "  ", " a", "a ", "a  b   c  ", "x\u2581y \u2581", "\u00e9\n\tb", "\U0001f600 \ue000 z", "a b c"]
+    words, counts = segmentations._raw_words_of(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(np.array(words.to_pylist(), object), np.cumsum(counts)[:-1])] == [segmentations._raw_words(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    back = segmentations.decode(segmentations.sample_segmentations(df, path), path).collect()
+    assert {(r.doc_id, r.text) for r in back} == {(i, (t or "").replace("\u2581", " ")) for i, t in enumerate(texts)}
+    d = segmentations.decoder_of(path)
+    raw = [b"\xe2\x96\x81", b"a", b"\xe2\x96\x81"]  # word marks in byte pieces
+    byte = {x: i for i, x in reversed(list(enumerate(d.raw.to_pylist())))}
+    ids = np.array([byte[bytes([c])] for c in b"".join(raw)], "<u4").tobytes()
+    assert d.decode_many([None, ids, b"", ids[:12]]).to_pylist() == [None, "a ", "", ""] and d.decode_many([None, b""]).to_pylist() == [None, ""]
+
+
 def test_shared_helpers(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(e).collect()}

@@ -17,10 +17,10 @@ from __future__ import annotations
 import re
 import zlib
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import frugal, mix64
@@ -52,15 +52,6 @@ class _Grown:
         self.n += len(more)
 
 
-class _Index(dict):
-    """word: its number; a new word takes the next one and is noted."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-
 class Lattice:
     """The vocabulary's pieces with their weights, and the lattices of the words met so far.
 
@@ -83,12 +74,13 @@ class Lattice:
         self.byte_weight = float(z[-1])  # of each byte of a character that no piece covers
         self.ids = {self.pieces[i]: (i, float(z[rank[i]])) for i in usable}
         self.longest = max(map(len, self.ids))
-        # a table of the pieces by their hashes, filled by linear probing
-        rows = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") for x in self.ids]
-        self.keys = np.array([self._hash(x.astype(np.uint64)) for x in rows], np.uint64)
-        # the last entry stands for no piece
-        self.piece_id, self.piece_weight = (np.array([*x, none]) for x, none in zip(zip(*self.ids.values()), (_NONE, -np.inf)))
-        self.piece_id = self.piece_id.astype(np.int32)
+        # a table of the pieces and all that pieces start with, by their hashes, filled by linear probing
+        rows = list(dict.fromkeys([*self.ids, *(x[:n] for x in self.ids for n in range(1, len(x)))]))
+        self.keys = self._hashes(rows)
+        # what is no piece, as is the last entry, has no id
+        self.piece_id = np.full(len(rows) + 1, _NONE, np.int32)
+        self.piece_weight = np.full(len(rows) + 1, -np.inf)
+        self.piece_id[: len(self.ids)], self.piece_weight[: len(self.ids)] = zip(*self.ids.values())
         bits = max(4, (8 * len(rows)).bit_length())
         self.shift, self.slots, self.probes = np.uint64(64 - bits), np.full((1 << bits) + 64, -1, np.int32), 1
         for i, at in enumerate((self.keys >> self.shift).tolist()):
@@ -97,18 +89,21 @@ class Lattice:
                 at += 1
             self.slots[at] = i
             self.probes = max(self.probes, at - start + 1)
-        self.most = most_arcs  # 22 bytes each; over it the words start anew, which bounds memory, not results
+        self.most = most_arcs  # 22 bytes each; over it the words of fewest batches go, which bounds memory, not results
         self.clear()
 
     @staticmethod
-    def _hash(points: np.ndarray) -> np.ndarray:
-        h = np.zeros(1, np.uint64)
-        for x in points:
-            h = _step(h, x)
-        return h[0]
+    def _hashes(texts: list[str]) -> np.ndarray:
+        h, sizes = np.zeros(len(texts), np.uint64), np.fromiter(map(len, texts), np.int64, len(texts))
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        start = np.cumsum(sizes) - sizes
+        for k in range(int(sizes.max(initial=0))):
+            on = sizes > k
+            h[on] = _step(h[on], points[start[on] + k])
+        return h
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        """The row of the piece with each hash, or -1."""
+        """The table's row of each hash, or -1."""
         at = (h >> self.shift).astype(np.int64)
         row = self.slots[at]
         open_ = np.flatnonzero((row >= 0) & (self.keys[row] != h))
@@ -120,8 +115,8 @@ class Lattice:
         return row
 
     def clear(self) -> None:
-        self.words = _Index()
-        self.words.new = []
+        self.words: dict[str, int] = {}
+        self._uses = _Grown([], np.int64)  # batches of each word
         self._first = _Grown([], np.int64)  # first node of each word
         self._chars = _Grown([], np.int64)  # its length
         self._arc0 = _Grown([0], np.int64)  # per node: first arc
@@ -135,59 +130,103 @@ class Lattice:
     def _show(self) -> None:
         self.first, self.chars, self.arc0, self.cum, self.arc_id, self.arc_n, self.arc_w, self.arc_only = (x.room for x in (self._first, self._chars, self._arc0, self._cum, self._arc_id, self._arc_n, self._arc_w, self._arc_only))
 
+    def shrink(self) -> None:
+        """Keeps the words that more than one batch had, with half of ``most`` arcs at the most."""
+        names, uses, first, chars = list(self.words), self._uses.room[: self._uses.n], self.first, self.chars
+        order = np.argsort(-uses, kind="stable")[: int((uses > 1).sum())]
+        n_arcs = self.arc0[first[order] + chars[order]] - self.arc0[first[order]]
+        order = order[np.cumsum(n_arcs) <= self.most // 2]
+        sizes = chars[order]
+        row, inner = _ragged(sizes)
+        nodes = first[order][row] + inner
+        counts = self.arc0[nodes + 1] - self.arc0[nodes]
+        row, inner = _ragged(counts)
+        arcs = self.arc0[nodes][row] + inner
+        cum, ids, n, only, w = (x[arcs] for x in (self.cum, self.arc_id, self.arc_n, self.arc_only, self.arc_w))
+        self.clear()
+        self._name([names[i] for i in order.tolist()])
+        self._first.add(np.cumsum(sizes) - sizes)
+        self._chars.add(sizes)
+        self._add_arcs(counts, cum, ids, n, only, w)
+        self._show()
+
+    def _name(self, words: list[str]) -> None:
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self._uses.add(np.zeros(len(words), np.int64))
+
+    def _add_arcs(self, counts: np.ndarray, *arcs: np.ndarray) -> None:
+        self._arc0.add(self._cum.n + np.cumsum(counts))
+        for room, more in zip((self._cum, self._arc_id, self._arc_n, self._arc_only, self._arc_w), arcs):
+            room.add(more)
+
     def learn(self, words: list[str], cells: int = 1 << 20) -> None:
-        """Adds the lattices of new words, those of one length side by side: rows are words, columns their positions, and
-        the third axis the lengths of pieces, long ones first."""
+        """Adds the lattices of new words, those of one length side by side: rows are words, columns their positions;
+        the arcs of a position are its pieces, long ones first."""
+        self._name(words)
         words = [SPACE + w.replace(" ", SPACE) for w in words]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
         text = np.frombuffer("".join([words[i] for i in order.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4")
-        first, done, at = np.empty(len(words), np.int64), 0, 0
+        first, done, at, nodes, made = np.empty(len(words), np.int64), 0, 0, self._arc0.n - 1, []
+        sorted_ = sizes[order]
         while done < len(words):
-            size = int(sizes[order[done]])
+            size = int(sorted_[done])
             width = min(size, self.longest)
-            n = min(int(np.searchsorted(sizes[order], size, "right")) - done, max(1, cells // (size * width)))
-            first[order[done : done + n]] = self._arc0.n - 1 + np.arange(n) * size
-            self._learn(text[at : at + n * size].astype(np.uint64).reshape(n, size), width)
-            done, at = done + n, at + n * size
+            n = min(int(np.searchsorted(sorted_, size, "right")) - done, max(1, cells // (size * width)))
+            first[order[done : done + n]] = nodes + np.arange(n) * size
+            made.append(self._learn(text[at : at + n * size].astype(np.uint64).reshape(n, size), width))
+            done, at, nodes = done + n, at + n * size, nodes + n * size
         self._first.add(first)
         self._chars.add(sizes)
+        self._add_arcs(*(np.concatenate(x) for x in zip(*made)))
         self._show()
 
-    def _learn(self, chars: np.ndarray, width: int) -> None:
+    def _learn(self, chars: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+        """Arcs per node, then the arcs, word by word and node by node."""
         n, size = chars.shape
-        chars = np.ascontiguousarray(chars.T)  # words last: every step below runs along them
-        ids = np.full((size, width, n), _NONE, np.int32)
-        weight = np.full((size, width, n), -np.inf)
-        h = np.zeros((size, n), np.uint64)
+        chars = np.ascontiguousarray(chars.T).ravel()  # words last: every step below runs along them
+        # from each place on as long as some piece starts so
+        place, h, found = np.arange(size * n), np.zeros(size * n, np.uint64), []
         for k in range(width):
-            h = _step(h[: size - k], chars[k:])
-            row = self._find(h.ravel()).reshape(h.shape)
-            ids[: size - k, width - 1 - k], weight[: size - k, width - 1 - k] = self.piece_id[row], self.piece_weight[row]
-        bare = ids[:, -1] == _NONE
+            h = _step(h, chars[place + k * n])
+            row = self._find(h)
+            hit = np.flatnonzero(self.piece_id[row] != _NONE)
+            found.append((place[hit], np.full(len(hit), k + 1, np.int16), self.piece_id[row[hit]], self.piece_weight[row[hit]]))
+            on = np.flatnonzero((row >= 0) & (place < (size - k - 1) * n))
+            if not len(on):
+                break
+            place, h = place[on], h[on]
+        bare = np.ones(size * n, bool)
+        bare[found[0][0]] = False
+        bare = np.flatnonzero(bare)
         points = chars[bare].astype(np.int64)
-        ids[:, -1][bare] = -1 - points
-        weight[:, -1][bare] = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)) * self.byte_weight
+        found.insert(0, (bare, np.ones(len(bare), np.int16), (-1 - points).astype(np.int32), (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)) * self.byte_weight))
+        at, step, ids, weight = (np.concatenate(x) for x in zip(*found[::-1]))
+        order = np.argsort(at, kind="stable")
+        at, step, ids, weight = at[order], step[order], ids[order], weight[order]
+        counts = np.bincount(at, minlength=size * n)
+        head = np.append(0, np.cumsum(counts))
         # totals from the words' ends backward
-        beta = np.zeros((size + width, n))
+        after = at + step.astype(np.int64) * n
+        beta = np.zeros((size + 1) * n)
         for i in range(size - 1, -1, -1):
-            v = weight[i, max(0, width - size + i) :]
-            v = v + beta[i + 1 : i + 1 + len(v)][::-1]
-            top = v.max(0)
-            beta[i] = np.log(np.exp(v - top).sum(0)) + top
-        # the arcs word by word, node by node
-        word, at, k = np.nonzero((ids != _NONE).transpose(2, 0, 1))
-        step = width - k
-        log_p = weight[at, k, word] + beta[at + step, word] - beta[at, word]
-        counts = np.bincount(word * size + at, minlength=n * size)
-        share, head, most = np.exp(log_p), np.cumsum(counts) - counts, int(counts.max(initial=1))
+            a, b = head[i * n], head[(i + 1) * n]
+            own, v = at[a:b] - i * n, weight[a:b] + beta[after[a:b]]
+            top = np.maximum.reduceat(v, head[i * n : (i + 1) * n] - a)
+            beta[i * n : (i + 1) * n] = np.log(np.bincount(own, np.exp(v - top[own]), n)) + top
+        log_p = weight + beta[after] - beta[at]
+        share, most = np.exp(log_p), int(counts.max(initial=1))
         for r in range(1, most):
-            on = head[counts > r] + r
+            on = head[:-1][counts > r] + r
             share[on] += share[on - 1]
-        share = np.minimum(1.0, share / np.repeat(share[head + counts - 1], counts))
-        self._arc0.add(self._cum.n + np.cumsum(counts))
-        for room, more in ((self._cum, share), (self._arc_id, ids[at, k, word]), (self._arc_n, step), (self._arc_only, np.repeat(counts == 1, counts)), (self._arc_w, log_p)):
-            room.add(more)
+        share = np.minimum(1.0, share / np.repeat(share[head[1:] - 1], counts))
+        only = np.repeat(counts == 1, counts)
+        # from places to words
+        node = np.arange(size * n).reshape(size, n).T.ravel()
+        counts = counts[node]
+        row, inner = _ragged(counts)
+        arc = head[node][row] + inner
+        return counts, share[arc], ids[arc], step[arc], only[arc], log_p[arc]
 
     def draw(self, node: np.ndarray, left: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Arcs of a sampled path to the word's end from each node, one path after the other, and their numbers."""
@@ -214,14 +253,17 @@ class Lattice:
         """The numbers of words as ``words_of`` gives them."""
         return self.numbers_raw([w[1:] for w in words])
 
-    def numbers_raw(self, words: list[str]) -> np.ndarray:
+    def numbers_raw(self, words: list[str] | pa.Array) -> np.ndarray:
         if self._cum.n > self.most:
-            self.clear()
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        if self.words.new:
-            self.learn(self.words.new)
-            self.words.new = []
-        return at
+            self.shrink()
+        each = (words if isinstance(words, pa.Array) else pa.array(words, pa.string())).dictionary_encode()
+        names = each.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in names if w not in self.words]
+        if new:
+            self.learn(new)
+        at = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))
+        self._uses.room[at] += 1
+        return at[each.indices.to_numpy()]
 
     def piece_ids(self, arcs: np.ndarray) -> np.ndarray:
         return self.piece_ids_of(arcs, np.array([len(arcs)]))[0]
@@ -255,6 +297,20 @@ def _raw_words(text: str | None) -> list[str]:
     return [w[1:] for w in _run.findall(" " + text)] if "" in words else words
 
 
+def _raw_words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``_raw_words`` of each text laid end to end, and how many each has."""
+    texts = texts.fill_null("")
+    split = pc.split_pattern(texts, " ")
+    counts = np.diff(split.offsets.to_numpy())
+    no_word = pc.equal(pc.binary_length(split.flatten()), 0).to_numpy(zero_copy_only=False)
+    odd = np.bincount(np.repeat(np.arange(len(texts)), counts)[no_word], minlength=len(texts)) > 0  # with runs of spaces or empty
+    if odd.any():
+        runs = pa.array([_raw_words(t) for t in texts.filter(pa.array(odd)).to_pylist()], split.type)
+        split = pa.concat_arrays([split.filter(pa.array(~odd)), runs]).take(pa.array(np.argsort(np.argsort(odd, kind="stable"))))
+        counts = pc.list_value_length(split).to_numpy()
+    return split.flatten(), counts.astype(np.int64)
+
+
 def words_of(text: str | None) -> list[str]:
     """The normal form cut before each run of word marks."""
     return [SPACE + w.replace(" ", SPACE) for w in _raw_words(text)]
@@ -431,10 +487,9 @@ def _sampler(path: str, k: int, temperature: float, seed: int):
         lattice = lattice_of(path, temperature)
         names = [x.split()[0] for x in SAMPLES.split(", ")]
         for b in batches:
-            doc_id, texts = b.column(0), b.column(1).to_pylist()
-            words = [_raw_words(t) for t in texts]
-            n_words = np.fromiter(map(len, words), np.int64, len(words))
-            flat = lattice.numbers_raw(list(chain.from_iterable(words)))
+            doc_id = b.column(0)
+            words, n_words = _raw_words_of(b.column(1))
+            flat = lattice.numbers_raw(words)
             seeds = np.array([zlib.crc32(str(i).encode()) << 32 | seed for i in doc_id.to_pylist()], np.uint64)
             found, threshold = search(lattice, flat, n_words, seeds, k)
             for j, p in enumerate(found):
@@ -467,10 +522,15 @@ class Decoder:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.raw = [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else p.encode() for i, p in enumerate(sp.id_to_piece(list(range(sp.get_piece_size()))))]
+        self.raw = pa.array([bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(sp.id_to_piece(list(range(sp.get_piece_size()))))], pa.binary())
 
-    def decode(self, ids) -> str:
-        return b"".join([self.raw[i] for i in ids]).decode("utf-8", "surrogatepass").replace(SPACE, " ")[1:]
+    def decode_many(self, ids: list[bytes | None]) -> pa.Array:
+        ends = np.append(0, np.cumsum([len(x or b"") // 4 for x in ids]))
+        pieces = self.raw.take(pa.array(np.frombuffer(b"".join([x or b"" for x in ids]), "<u4")))
+        ends = np.frombuffer(pieces.buffers()[1], np.int32)[ends] if len(pieces) else np.zeros(len(ids) + 1, np.int32)
+        raw = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pieces.buffers()[2]])
+        text = pc.replace_substring(raw.cast(pa.string()), SPACE, " ")  # word marks in byte pieces
+        return pc.if_else(pa.array([x is not None for x in ids], pa.bool_()), pc.utf8_slice_codeunits(text, 1), None)
 
 
 @cache
@@ -482,9 +542,8 @@ def _decoder(path: str):
     def decode(batches):
         d = decoder_of(path)
         for b in batches:
-            text = [d.decode(np.frombuffer(x, "<u4").tolist()) if x is not None else None for x in b.column("ids").to_pylist()]
             keep = [n for n in b.schema.names if n != "ids"]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep], pa.array(text, pa.string())], names=[*keep, "text"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep], d.decode_many(b.column("ids").to_pylist())], names=[*keep, "text"])
 
     return frugal(decode)
 
