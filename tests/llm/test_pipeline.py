@@ -1,6 +1,7 @@
 """The corpus pipeline against the same five steps in plain Python, row by row."""
 
 import collections
+import uuid
 import zlib
 from pathlib import Path
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from test_operators import near_brute
 
-from tidemark.llm import pii, toxicity
+from tidemark.llm import pii, suffix_dedup, toxicity
 from tidemark.llm.registry import tokenizer_file
 
 DATA = Path("/root/testdata/sf0.01")
@@ -74,3 +75,36 @@ def test_pipeline(spark, tmp_path):
     sums = got.groupby("sequence_id").length.sum()
     assert sums.max() <= 4096 and (sums <= 4096 - 32).sum() <= 1  # short by a cut's least length at most, but for the last
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeats", "private", "packing"]
+
+
+def test_batches_are_small(spark, tmp_path, monkeypatch):
+    """The texts that a stage hands to Python come a megabyte at a time, however many there are."""
+    import corpus_pipeline
+
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", tmp_path / "seen"
+    seen.mkdir()
+
+    def noted(fn, rows=256):
+        def run(batches):
+            def each():
+                for b in batches:
+                    (seen / uuid.uuid4().hex).write_text(str(b.nbytes))
+                    yield b
+
+            yield from fn(each())
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "frugal", noted)
+    before = spark.conf.getAll.get(key)
+    try:
+        spark.conf.unset(key)
+        docs = spark.range(0, 60, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 2000), x -> sha2(concat(id, ' ', x), 256))) AS text", "0L AS n_chars")
+        assert corpus_pipeline.cut_repeats(spark, docs, "").count() == 60
+        sizes = [int(p.read_text()) for p in seen.iterdir()]
+        assert 60 * 130_000 < sum(sizes) and max(sizes) < 1_500_000
+        spark.conf.set(key, "5m")  # a limit of the session's own holds
+        corpus_pipeline.replace_private(spark, docs, "")
+        assert spark.conf.get(key) == "5m"
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
