@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from test_operators import near_brute
 
-from tidemark.llm import pii, suffix_dedup, toxicity
+from tidemark.llm import packing, pii, suffix_dedup, toxicity
+from tidemark.llm.common import frugal
 from tidemark.llm.registry import tokenizer_file
 
 DATA = Path("/root/testdata/sf0.01")
@@ -108,3 +109,10 @@ def test_batches_are_small(spark, tmp_path, monkeypatch):
         assert spark.conf.get(key) == "5m"
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def test_workers_drop_what_other_operators_keep():
+    """The tokenizer and its words stay from one packing task to the next, and go with the first task of another operator."""
+    kept = packing.tokens_of(tokenizer_file("word_bpe_49k.json"))
+    assert list(frugal(list, keeps="tokens_of")([])) == [] and packing.tokens_of(tokenizer_file("word_bpe_49k.json")) is kept
+    assert list(frugal(list)([])) == [] and packing.tokens_of.cache_info().currsize == 0

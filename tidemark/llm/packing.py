@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import frugal, written
+from tidemark.llm.common import frugal, kept, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long"
 OPEN = PIECES + ", ids binary, part long"
@@ -140,9 +139,9 @@ def _byte_letters() -> list[str]:
     return [chr(i) if i in own else chr(next(others)) for i in range(256)]
 
 
-@cache
+@kept
 def tokens_of(path: str) -> WordTokens:
-    """One per worker process and file, kept between tasks."""
+    """One per worker process and file, kept between packing's tasks."""
     return WordTokens(path)
 
 
@@ -240,7 +239,7 @@ def _pack_documents(path: str, end_id: int, size: int, most: int, least_cut: int
         yield _batch(rows)
         yield _batch(_rows(w.rest(False), None, part))
 
-    return frugal(pack, 0)
+    return frugal(pack, 0, "tokens_of")
 
 
 def _merge(round_: int, fan_in: int, size: int, most: int, least_cut: int, last: bool):
@@ -266,7 +265,7 @@ def _merge(round_: int, fan_in: int, size: int, most: int, least_cut: int, last:
         if w:
             yield _batch(close())
 
-    return frugal(merge)
+    return frugal(merge, keeps="tokens_of")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, open_windows: int = 32, end_id: int = 2, least_cut: int = 32, fan_in: int = 32) -> DataFrame:
