@@ -175,6 +175,16 @@ def test_pii(spark, docs):
     assert pii.pseudonymise(df.limit(0)).count() == 0 and pii.pseudonymise(df, key="other").where("doc_id = 4").first().text != r[4].text
 
 
+def test_mailboxes_of_one_character(spark):
+    """Their first half is empty: no remainder by the length of nothing."""
+    box = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"to {c}@b.com, {c.upper()}@b.com") for i, c in enumerate(box)] + [(26, "7@b.com")]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert sorted(t[3] for t in got[:26]) == list(box)  # a permutation of the letters
+    assert all(t == f"to {t[3]}@b.com, {t[3].upper()}@b.com" for t in got[:26]) and re.fullmatch("[0-9]@b.com", got[26])
+    assert [t[3] for t in got[:26]] != list(box)
+
+
 def test_segments_brute():
     rng = np.random.default_rng(5)
 
