@@ -116,3 +116,15 @@ def test_workers_drop_what_other_operators_keep():
     kept = packing.tokens_of(tokenizer_file("word_bpe_49k.json"))
     assert list(frugal(list, keeps="tokens_of")([])) == [] and packing.tokens_of(tokenizer_file("word_bpe_49k.json")) is kept
     assert list(frugal(list)([])) == [] and packing.tokens_of.cache_info().currsize == 0
+
+
+def test_addresses_that_repeats_cut_short(spark):
+    """A passage that repeats up to the middle of an address leaves a mailbox of one character, which becomes private too."""
+    import corpus_pipeline
+
+    passage = " ".join(f"w{i}" for i in range(80)) + " ann.lee-"
+    docs = spark.createDataFrame([(1, passage + "q@mail.example.com", 0), (2, passage + "z@mail.example.com", 0)], "doc_id long, text string, n_chars long")
+    cut = corpus_pipeline.cut_repeats(spark, docs, "").cache()
+    assert sorted(r.text for r in cut.collect()) == ["q@mail.example.com", "z@mail.example.com"]
+    got = sorted(r.text for r in corpus_pipeline.replace_private(spark, cut, "").collect())
+    assert len(set(got)) == 2 and all(len(t) == 18 and t.endswith("@mail.example.com") for t in got)
