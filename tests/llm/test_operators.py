@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -175,6 +176,21 @@ def test_pii(spark, docs):
     assert pii.pseudonymise(df.limit(0)).count() == 0 and pii.pseudonymise(df, key="other").where("doc_id = 4").first().text != r[4].text
 
 
+def test_shuffles_go_with_their_query(spark):
+    """Near duplicates leave no shuffle files of the queries that have ended, whether or not the driver collects garbage."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {n for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles()) if (n := f.getName()).startswith("shuffle_")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = names(), spark.conf.get(key, None)
+    rows = [(i, " ".join(f"w{(i // 2 * 7 + k) % 90}" for k in range(30)) + " x" * (i % 2)) for i in range(60)]
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    until = time.time() + 20
+    while (left := names() - before) and time.time() < until:
+        time.sleep(0.5)
+    assert not left and spark.conf.get(key, None) == was
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: c for i, _, c in near_brute(rows)}
+
+
 def test_mailboxes_of_one_character(spark):
     """Their first half is empty: no remainder by the length of nothing."""
     box = "abcdefghijklmnopqrstuvwxyz"
