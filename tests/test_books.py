@@ -172,3 +172,29 @@ def test_token_date_brute_force(spark):
     assert {r.a_id: (r.b_id, r.same) for r in df.collect()} == best
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "arrays_overlap" not in plan and "sequence" in plan  # nothing is compared pair by pair
+
+
+def test_token_pairs_are_rows(spark):
+    """Every pair of rows comes out with its rank, copies too, across packs and slices; rows that repeat an id are one."""
+    rng = random.Random(13)
+    names = [(i, " ".join(rng.choices("abcd", k=rng.randint(1, 4)))) for i in range(60)] + [(60, None), (61, None), (62, ""), (3, "a b"), (4, "c d"), (64, "a b c d")]
+    side = lambda r: spark.createDataFrame([(i, n.split(" ") if n is not None else None) for i, n in names if i % 2 == r], f"{'ka' if r == 0 else 'kb'} long, tokens array<string>")
+    held = {}
+    for i, n in names:
+        held.setdefault(i, []).extend(set(n.split(" ")) if n is not None else [])
+    want = set()
+    for i in (i for i in held if i % 2 == 0):
+        found = sorted((-n, j) for j in held if j % 2 == 1 and (n := sum(held[i].count(t) * held[j].count(t) for t in set(held[i]))) >= 2)
+        want |= {(i, j, -n, k) for k, (n, j) in enumerate(found, 1)}
+    for pack in (1024, 3):
+        got = J.token_pairs(side(0), side(1), "ka", "kb", pack=pack, rows_per_task=200)
+        assert got.columns == ["ka", "kb", "shared", "rank"]
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(want) and set(rows) == want
+    import __spark_entry__ as entry
+
+    got = entry.queries()["join_token_overlap"](spark, "/root/testdata/sf0.001")
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey", "p_name").collect()
+    sets = {r.p_partkey: set(r.p_name.split(" ")) for r in part}
+    assert got.columns == ["p_partkey", "b_key", "shared", "rank"]
+    assert got.count() == sum(len(sets[i] & sets[j]) >= 2 for i in sets if i % 2 == 0 for j in sets if j % 2 == 1) > len(set(map(frozenset, sets.values())))
