@@ -198,3 +198,19 @@ def test_token_pairs_are_rows(spark):
     sets = {r.p_partkey: set(r.p_name.split(" ")) for r in part}
     assert got.columns == ["p_partkey", "b_key", "shared", "rank"]
     assert got.count() == sum(len(sets[i] & sets[j]) >= 2 for i in sets if i % 2 == 0 for j in sets if j % 2 == 1) > len(set(map(frozenset, sets.values())))
+
+
+def test_ticker_pairs_are_rows(spark):
+    """Every pair of ids comes out once, copies too, across packs; short teams, and ids with rows in several classes."""
+    import __spark_entry__ as entry
+
+    rng = random.Random(14)
+    day = lambda d: dt.date(2024, 1, 1) + dt.timedelta(days=d) if d is not None else None
+    teams = [(i, rng.choice(["Boston", "Denver", "Miami", "LA"]), rng.randrange(4)) for i in range(30)] + [(3, "Boston", 1), (3, "Boston", 2), (30, None, 1), (31, "Miami", None)]
+    tickers = [(100 + i, rng.choice(["X-BOSDEN", "X-MIA", "BOS", "X", "LA"]), rng.randrange(4)) for i in range(40)] + [(107, "X-BOSDEN", 0), (107, "X-MIA", 3), (140, None, 1), (141, "BOS", None)]
+    a, b = (spark.createDataFrame([(i, t, day(d)) for i, t, d in rows], f"id long, {c} string, day date") for rows, c in ((teams, "team"), (tickers, "ticker")))
+    want = {(i, j) for i, t, d in teams for j, k, e in tickers if None not in (t, d, k, e) and t[:3].upper() in k and abs(d - e) <= 1}
+    for pack in (1024, 2):
+        rows = [tuple(r) for r in J.ticker_pairs(a, b, pack=pack, rows_per_task=100).collect()]
+        assert len(rows) == len(want) and set(rows) == want
+    assert entry.queries()["join_ticker_prefix"](spark, "/root/testdata/sf0.001").columns == ["a_id", "b_id"]
